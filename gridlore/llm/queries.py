@@ -24,9 +24,67 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"), with_ids=False)
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gridlore.llm.packing import pack_documents
+
+    return pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlore.llm.fingerprints import fingerprint_documents
+
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlore.llm.quality_pu import score_documents
+
+    return score_documents(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlore.llm.language_cnn import identify_documents
+
+    return identify_documents(documents(spark, sf_dir))
+
+
+#: verdict, host, path
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlore.llm.url_markov import judge_urls
+
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), URL_RULES)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlore.llm.toxicity_automata import score_documents
+
+    return score_documents(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op2_packing": op2_packing,
+        "op4_fingerprints": op4_fingerprints,
+        "op5_quality": op5_quality,
+        "op6_language": op6_language,
+        "op7_url_filter": op7_url_filter,
+        "op9_toxicity": op9_toxicity,
     }
 
 
