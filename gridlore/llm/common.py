@@ -69,6 +69,18 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
         low = high
 
 
+def kept_rows(docs: DataFrame, keep) -> DataFrame:
+    """Rows of ``docs``, in all its columns, for which ``keep(texts)`` is true; it gets the column ``text``, as Arrow."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, at):
+                yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 # --------------------------------------------------------------------- words
 
 _WHITE = np.zeros(256, bool)

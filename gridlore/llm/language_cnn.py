@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import crc_of_id, slices, utf8
+from gridlore.llm.common import crc_of_id, kept_rows, slices, utf8
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -180,9 +180,8 @@ def train_network(docs: DataFrame) -> ByteNetwork | None:
     return ByteNetwork(languages).train(windows, np.array([place[r["lang"]] for r in sample]))
 
 
-def predicted(batch: pa.RecordBatch, column: int, network: ByteNetwork | None, tables: list) -> tuple[list[str], np.ndarray]:
-    """Language and its probability for each text of the batch."""
-    texts = batch.column(column)
+def predicted(texts: pa.Array, network: ByteNetwork | None, tables: list) -> tuple[list[str], np.ndarray]:
+    """Language and its probability for each text."""
     data, at = utf8(texts)
     names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
     if network is not None and len(texts):
@@ -215,7 +214,7 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 2, 1 << 20):
-                names, scores = predicted(batch, 2, network, tables)
+                names, scores = predicted(batch.column(2), network, tables)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(names, pa.string()), pa.array(scores)],
                     names=["doc_id", "held_out", "lang_pred", "score"],
@@ -223,3 +222,15 @@ def identify_documents(docs: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang and others) whose language the network names, in its own columns.
+
+    Where nothing could be learnt, the rows whose text has a letter.
+    """
+    network = train_network(docs.where(~held_out()))
+    if network is None:
+        return kept_rows(docs, lambda texts: [has_letter(t) for t in texts.to_pylist()])
+    tables = network.tables()
+    return kept_rows(docs, lambda texts: [name != UNKNOWN for name in predicted(texts, network, tables)[0]])

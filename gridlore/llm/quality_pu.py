@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import crc_of_id, slices, utf8, words
+from gridlore.llm.common import crc_of_id, kept_rows, slices, utf8, words
 
 #: About so many trusted positives, and so many unlabelled texts, are learnt from.
 POSITIVES = 6000
@@ -209,3 +209,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and others) whose score is 0.5 or more, in its own columns."""
+    network = train_quality(docs, labels)
+    return kept_rows(docs, lambda texts: scores(texts, network) >= 0.5)

@@ -36,6 +36,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlore.llm.jaccard_partenum import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlore.llm.fingerprints import fingerprint_documents
 
@@ -70,6 +76,18 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), URL_RULES)
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlore.llm.ann_srs import nearest_vectors
+
+    return nearest_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlore.llm.suffix_dedup import repeated_passages
+
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlore.llm.toxicity_automata import score_documents
 
@@ -80,11 +98,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_packing": op2_packing,
+        "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_fingerprints": op4_fingerprints,
         "op5_quality": op5_quality,
         "op6_language": op6_language,
         "op7_url_filter": op7_url_filter,
+        "op8_neighbours": op8_neighbours,
         "op9_toxicity": op9_toxicity,
+        "op10_repeated_passages": op10_repeated_passages,
     }
 
 
