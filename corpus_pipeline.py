@@ -1,7 +1,58 @@
-"""The corpus pipeline: quality, language, near duplicates, repeated passages, packing."""
-STAGES = []
+"""The corpus pipeline: quality, language, near duplicates, repeated passages, packing.
+
+Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's
+docs. All but the last return the columns of docs.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from gridlore.llm import jaccard_partenum, language_cnn, packing, quality_pu, suffix_dedup
+from gridlore.llm.common import staged
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier predicts to be good."""
+    return quality_pu.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the byte network names; those without a letter go."""
+    return language_cnn.keep_known(docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of least id."""
+    return jaccard_partenum.keep_first(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that stand at an earlier place."""
+    return suffix_dedup.without_repeats(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("language", known_language),
+    ("near_duplicates", one_of_each),
+    ("repeats", without_repeats),
+    ("packing", packed),
+]
+
+#: Stages learn models and tokenise, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
