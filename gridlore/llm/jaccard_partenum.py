@@ -25,14 +25,14 @@ from gridlore.llm.common import grams, mix, slices, staged, utf8, words
 #: Words of a shingle.
 SHINGLE = 5
 #: A shingle that so many nodes of a task share is reported, one reported for so many nodes in all is common.
-SHARED_IN_TASK = 3
-COMMON = 32
+SHARED_IN_TASK = 2
+COMMON = 8
 #: Common shingles that are left out of the first domain, the most frequent first. Any number gives the same result.
-MOST_COMMON = 1 << 17
+MOST_COMMON = 1 << 18
 #: Nodes that a task knows as listed already; beyond, copies are listed again.
 KNOWN = 500_000
 #: Shingles whose counts a task keeps.
-COUNTED = 4_000_000
+COUNTED = 3_000_000
 #: Rows of one signature from which its nodes are passed on unsorted by group.
 LONG_RUN = 4096
 #: Document ids up to which a list is broadcast; above, it is joined.
@@ -257,6 +257,37 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(closed(signature, node))
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """How many elements fall into each of as many buckets as the set's band has room for, up to 255 each."""
+    band = len(elements).bit_length() - 1
+    bucket = (mix(elements ^ _U(0xC2B2AE3D27D4EB4F)) >> _U(64 - band)).astype(np.int64) if band else np.zeros(len(elements), np.int64)
+    return np.minimum(np.bincount(bucket, minlength=1 << band), 255).astype(np.uint8).tobytes()
+
+
+def within_reach(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
+    """Whether two sets' sizes and sketches leave room for similarity 3/4; never false for sets that are similar.
+
+    Two sets differ in at least as many elements as their counts do, bucket by bucket.
+    """
+    if 4 * min(n, m) < 3 * max(n, m):
+        return False
+    x, y = x.astype(np.int32), y.astype(np.int32)
+    while len(x) > len(y):
+        x = np.minimum(x.reshape(-1, 2).sum(1), 255)
+    while len(y) > len(x):
+        y = np.minimum(y.reshape(-1, 2).sum(1), 255)
+    return 7 * int(np.abs(x - y).sum()) <= n + m
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (a, b, size and sketch of a, size and sketch of b) the pairs that may be similar."""
+    for batch in batches:
+        n, m = batch.column(2).to_pylist(), batch.column(4).to_pylist()
+        pairs = zip(n, batch.column(3), m, batch.column(5), strict=True)
+        keep = [within_reach(i, np.frombuffer(x.as_buffer(), np.uint8), j, np.frombuffer(y.as_buffer(), np.uint8)) for i, x, j, y in pairs]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (a, b, the set of a, the set of b) the pairs that are similar."""
     for batch in batches:
@@ -313,34 +344,42 @@ def linked_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 0):
-                found = [(x, node_of(x)) for x in shingle_sets(*utf8(batch.column(0))) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([k for _, k in found], pa.int64()), pa.array([x.tobytes() for x, _ in found], pa.binary())], names=["node", "elements"])
+                found = [x for x in shingle_sets(*utf8(batch.column(0))) if len(x)]
+                columns = [pa.array([node_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64())]
+                columns += [pa.array([f(x) for x in found], pa.binary()) for f in (sketch, np.ndarray.tobytes)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "sketch", "elements"])
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(
         _small(firsts.select(F.col("doc_id").alias("__first")).distinct(), n), F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi"
     )
-    held = staged(texts.select("text").mapInArrow(elements, "node long, elements binary").join(_small(firsts.select("node"), n), "node", "left_semi").dropDuplicates(["node"]), "elements")
+    held = staged(texts.select("text").mapInArrow(elements, "node long, size long, sketch binary, elements binary").join(_small(firsts.select("node"), n), "node", "left_semi").dropDuplicates(["node"]), "elements")
 
+    groups = staged(groups.join(held.select("node", "size"), "node").select("group", "node", "place", "size"), "groups")
     links = labels = None
     begin, end = 0, 2
     while True:
         centres = groups.where((F.col("place") >= begin) & (F.col("place") < end))
         others = groups.where(F.col("place") > begin)
         kept = F.lit(True) if labels is None else F.col("c.label") != F.col("o.label")
-        pairs = centres.alias("c").join(others.alias("o"), "group").where((F.col("c.place") < F.col("o.place")) & kept)
+        in_size = 4 * F.least("c.size", "o.size") >= 3 * F.greatest("c.size", "o.size")
+        pairs = centres.alias("c").join(others.alias("o"), "group").where((F.col("c.place") < F.col("o.place")) & kept & in_size)
         pairs = pairs.select(F.least("c.node", "o.node").alias("a"), F.greatest("c.node", "o.node").alias("b")).distinct()
-        with_a = pairs.join(held.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
-        both = with_a.join(held.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
+        sketches = lambda k, x: held.select(F.col("node").alias(k), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        near = pairs.join(sketches("a", "x"), "a").join(sketches("b", "y"), "b").select("a", "b", "nx", "sx", "ny", "sy")
+        near = staged(near.mapInArrow(_near, "a long, b long"), "near")
+        elements_of = lambda k, x: held.select(F.col("node").alias(k), F.col("elements").alias(x))
+        both = near.join(elements_of("a", "x"), "a").join(elements_of("b", "y"), "b").select("a", "b", "x", "y")
         found = staged(both.mapInArrow(_verified, "a long, b long"), "similar")
-        links = found if links is None else links.unionByName(found)
-        labels = staged(components(links), "labels")
-        groups = groups.select("group", "node", "place").where(F.col("place") >= end).join(labels, "node", "left")
+        if labels is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = staged(components(links), "labels")
+        groups = groups.select("group", "node", "place", "size").where(F.col("place") >= end).join(labels, "node", "left")
         groups = groups.withColumn("label", F.coalesce("label", "node"))
         alive = groups.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
         groups = staged(groups.join(alive.select("group"), "group", "left_semi"), "groups")
         if groups.isEmpty():
             return labels
-        begin, end = end, end + 2 * (end - begin)
+        begin, end = end, end + 4 * (end - begin)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
