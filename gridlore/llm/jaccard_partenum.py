@@ -6,9 +6,10 @@ up one signature, so sets that differ in at most k elements agree on some partit
 for all sets, a set needs only the first k + 1: the first that both sets have is among them on either side.
 
 Shingles that many texts share are left out of that domain, which is sound, since leaving elements out adds no
-difference; a set with too few signatures left is also listed over the whole domain. Equal sets are one node. Nodes
-that share a signature are compared from a few centres outwards: pairs already known to be in one component are not
-compared, so a large group of near copies costs about one comparison for each of them.
+difference; a set with too few signatures left is also listed over finer partitions, and at last over the whole domain.
+Equal sets are one node. The nodes of a signature are compared with its least node, the centre; so a large group of
+near copies costs about one comparison for each of them. Only where a centre's nodes are not all in one component are
+they compared with each other, in blocks of bounded size, and only those outside the centre's component with the rest.
 """
 
 from __future__ import annotations
@@ -31,10 +32,14 @@ COMMON = 8
 MOST_COMMON = 1 << 18
 #: Nodes that a task knows as listed already; beyond, copies are listed again.
 KNOWN = 500_000
+#: So many times as many partitions are used for sets with few elements outside the common ones.
+FINER = 8
 #: Shingles whose counts a task keeps.
 COUNTED = 3_000_000
-#: Rows of one signature from which its nodes are passed on unsorted by group.
+#: Rows of one signature from which its nodes are passed on as they come.
 LONG_RUN = 4096
+#: Nodes in a block of a centre's nodes.
+BLOCK = 1024
 #: Document ids up to which a list is broadcast; above, it is joined.
 BROADCAST_IDS = 500_000
 
@@ -103,13 +108,14 @@ def signatures(elements: np.ndarray, common: np.ndarray) -> np.ndarray:
     found = []
     for b, k in reach:
         partitions = partitions_of(b)
-        own = _tokens(rare, partitions, 3 * b)
-        found.append(_first(own, k + 1))
-        if len(own) <= k:
-            full = _tokens(elements, partitions, 3 * b + 1)
-            found.append(_first(full, k + 1))
-            if len(full) <= k:
-                found.append(_first(_tokens(elements, partitions, 3 * b + 2, True), k + 1))
+        # Each listing is for sets that have too few signatures in the one before it.
+        for salt, domain, n_parts, empty in (
+            (0, rare, partitions, False), (1, rare, FINER * partitions, False), (2, elements, partitions, False), (3, elements, partitions, True)
+        ):
+            own = _tokens(domain, n_parts, 4 * b + salt, empty)
+            found.append(_first(own, k + 1))
+            if len(own) > k:
+                break
     return np.concatenate(found).view(np.int64)
 
 
@@ -198,33 +204,32 @@ def _listed(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (signature, node) in order, the nodes of each signature that several have: group, node, place.
+    """From rows (signature, node) in order, the nodes of each signature that several have: its least node, and each other.
 
-    Signatures of the same nodes are one group, whose number depends on the nodes alone. The nodes of a very frequent
-    signature go through as they come, under the signature itself.
+    Signatures of the same nodes are passed on once. The nodes of a very frequent signature go through as they come.
     """
     seen: set[int] = set()
     signature, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    streaming, passed, last = None, 0, None  # a long run under way: its signature, rows let through, last node
+    streaming, centre, last = None, 0, 0  # a long run under way: its signature, first and last node
 
-    def out(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        columns = [np.concatenate([np.zeros(0, np.int64), *(r[k] for r in rows)]) for k in range(3)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["group", "node", "place"])
+    def out(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        columns = [np.concatenate([np.zeros(0, np.int64), *(r[k] for r in rows)]) for k in range(2)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["centre", "node"])
 
-    def closed(signature: np.ndarray, node: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def closed(signature: np.ndarray, node: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         edge = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1], [True]]))
         size = np.diff(edge)
         many = np.flatnonzero(size > 1)
         if not len(many):
             return []
         mixed = np.concatenate([[_U(0)], np.cumsum(mix(node.view(np.uint64)))])
-        group = mix(mixed[edge[many + 1]] - mixed[edge[many]] + size[many].astype(np.uint64)).view(np.int64)
+        group = mix(mixed[edge[many + 1]] - mixed[edge[many]] + size[many].astype(np.uint64)).tolist()
         rows = []
-        for g, a, n in zip(group.tolist(), edge[many].tolist(), size[many].tolist(), strict=True):
+        for g, a, n in zip(group, edge[many].tolist(), size[many].tolist(), strict=True):
             if g not in seen:
                 if len(seen) < KNOWN:
                     seen.add(g)
-                rows.append((np.full(n, g, np.int64), node[a : a + n], np.arange(n)))
+                rows.append((np.full(n - 1, node[a]), node[a + 1 : a + n]))
         return rows
 
     for batch in batches:
@@ -237,9 +242,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         if streaming is not None:
             n = int(np.searchsorted(signature, streaming, "right"))
-            more = node[:n][node[:n] != last] if last is not None else node[:n]
-            rows.append((np.full(len(more), streaming, np.int64), more, passed + np.arange(len(more))))
-            passed += len(more)
+            more = node[:n][node[:n] != last]
+            rows.append((np.full(len(more), centre), more))
             last = more[-1] if len(more) else last
             signature, node = signature[n:], node[n:]
             if not len(signature):
@@ -250,8 +254,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows += closed(signature[:open_at], node[:open_at])
         signature, node = signature[open_at:], node[open_at:]
         if len(signature) > LONG_RUN:
-            streaming, passed, last = int(signature[0]), len(node), node[-1]
-            rows.append((signature, node, np.arange(len(node))))
+            streaming, centre, last = int(signature[0]), node[0], node[-1]
+            rows.append((np.full(len(node) - 1, centre), node[1:]))
             signature, node = signature[:0], node[:0]
         yield out(rows)
     yield out(closed(signature, node))
@@ -302,6 +306,36 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep))
 
 
+def _compared(block: pa.Table) -> pa.Table:
+    """From rows (node, label, asks, elements) of one block, links of the nodes that ask with similar ones of other labels.
+
+    One link for each asking node and other label. Overlaps are counted by matrix products over the elements that
+    several of the nodes have.
+    """
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in block.column("elements").chunks for x in c]
+    node, label = (block.column(c).to_numpy() for c in ("node", "label"))
+    asks = block.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, element, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    owner, element = owner[count[element] > 1], element[count[element] > 1]
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    rows, columns = np.flatnonzero(~asks), np.flatnonzero(asks)
+    shared = np.zeros((len(columns), len(rows)), np.float32)
+    wide = 2048
+    for low in range(0, int(element[-1]) + 1 if len(element) else 0, wide):
+        a, b = np.searchsorted(element, (low, low + wide))
+        if a < b:
+            held = np.zeros((len(sets), wide), np.float32)
+            held[owner[a:b], element[a:b] - low] = 1
+            shared += held[columns] @ held[rows].T
+    union = size[columns][:, None] + size[rows][None, :] - shared
+    i, j = np.nonzero((100 * shared >= 75 * union) & (label[columns][:, None] != label[rows][None, :]))
+    _, first = np.unique(np.stack([node[columns[i]], label[rows[j]]]), axis=1, return_index=True)
+    return pa.table({"a": pa.array(node[columns[i[first]]], pa.int64()), "b": pa.array(node[rows[j[first]]], pa.int64())})
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for each node of ``links`` (a, b): the least node that it reaches.
 
@@ -333,10 +367,9 @@ def linked_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, label): a label for each node of ``sets`` that is linked with another."""
     common = _common(sets)
     ordered = _listed(docs, common).repartition("signature").sortWithinPartitions("signature", "node")
-    groups = staged(ordered.mapInArrow(_groups, "group long, node long, place long"), "groups")
-    groups = staged(groups.dropDuplicates(["group", "node"]), "groups")
+    pairs = staged(ordered.mapInArrow(_groups, "centre long, node long").distinct(), "pairs")
 
-    wanted = groups.select("node").distinct()
+    wanted = pairs.select("node").union(pairs.select("centre")).distinct()
     firsts = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first"))
     firsts = staged(firsts.select("node", F.col("first.doc_id").alias("doc_id")).join(wanted, "node", "left_semi"), "candidates")
     n = firsts.count()
@@ -354,32 +387,27 @@ def linked_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     )
     held = staged(texts.select("text").mapInArrow(elements, "node long, size long, sketch binary, elements binary").join(_small(firsts.select("node"), n), "node", "left_semi").dropDuplicates(["node"]), "elements")
 
-    groups = staged(groups.join(held.select("node", "size"), "node").select("group", "node", "place", "size"), "groups")
-    links = labels = None
-    begin, end = 0, 2
-    while True:
-        centres = groups.where((F.col("place") >= begin) & (F.col("place") < end))
-        others = groups.where(F.col("place") > begin)
-        kept = F.lit(True) if labels is None else F.col("c.label") != F.col("o.label")
-        in_size = 4 * F.least("c.size", "o.size") >= 3 * F.greatest("c.size", "o.size")
-        pairs = centres.alias("c").join(others.alias("o"), "group").where((F.col("c.place") < F.col("o.place")) & kept & in_size)
-        pairs = pairs.select(F.least("c.node", "o.node").alias("a"), F.greatest("c.node", "o.node").alias("b")).distinct()
-        sketches = lambda k, x: held.select(F.col("node").alias(k), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-        near = pairs.join(sketches("a", "x"), "a").join(sketches("b", "y"), "b").select("a", "b", "nx", "sx", "ny", "sy")
-        near = staged(near.mapInArrow(_near, "a long, b long"), "near")
-        elements_of = lambda k, x: held.select(F.col("node").alias(k), F.col("elements").alias(x))
-        both = near.join(elements_of("a", "x"), "a").join(elements_of("b", "y"), "b").select("a", "b", "x", "y")
-        found = staged(both.mapInArrow(_verified, "a long, b long"), "similar")
-        if labels is None or not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = staged(components(links), "labels")
-        groups = groups.select("group", "node", "place", "size").where(F.col("place") >= end).join(labels, "node", "left")
-        groups = groups.withColumn("label", F.coalesce("label", "node"))
-        alive = groups.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        groups = staged(groups.join(alive.select("group"), "group", "left_semi"), "groups")
-        if groups.isEmpty():
-            return labels
-        begin, end = end, end + 4 * (end - begin)
+    sketches = lambda k, x: held.select(F.col("node").alias(k), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    near = pairs.join(sketches("centre", "x"), "centre").join(sketches("node", "y"), "node").select("centre", "node", "nx", "sx", "ny", "sy")
+    near = staged(near.mapInArrow(_near, "a long, b long"), "near")
+    elements_of = lambda k, x: held.select(F.col("node").alias(k), F.col("elements").alias(x))
+    both = near.join(elements_of("a", "x"), "a").join(elements_of("b", "y"), "b").select("a", "b", "x", "y")
+    links = staged(both.mapInArrow(_verified, "a long, b long"), "similar")
+    labels = staged(components(links), "labels")
+
+    # Nodes of a centre that are not all of one component are compared with each other.
+    named = lambda k: F.coalesce("label", k)
+    of_node = pairs.join(labels, "node", "left").select("centre", "node", named("node").alias("label"))
+    of_both = of_node.join(labels.select(F.col("node").alias("centre"), F.col("label").alias("own")), "centre", "left").withColumn("own", F.coalesce("own", "centre"))
+    mixed = of_both.groupBy("centre").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    blocks = mixed.select("centre", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    members = of_both.join(blocks, "centre").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    held_by = members.select("centre", "node", "label", F.lit(False).alias("asks"), F.col("block").alias("row"), every.alias("column"))
+    asking = members.where(F.col("label") != F.col("own")).select("centre", "node", "label", F.lit(True).alias("asks"), every.alias("row"), F.col("block").alias("column"))
+    dealt = held_by.unionByName(asking).join(held.select("node", "elements"), "node")
+    more = staged(dealt.select("centre", "row", "column", "node", "label", "asks", "elements").groupBy("centre", "row", "column").applyInArrow(_compared, "a long, b long"), "similar")
+    return labels if more.isEmpty() else staged(components(links.unionByName(more)), "labels")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
