@@ -15,7 +15,8 @@ def periods(readings: DataFrame, rules: list[str] | None = None, t: Thresholds =
     # One window for all rules: a period's number is a reading's place less the holding readings so far.
     placed = readings.select("site_id", "timestamp", "id", F.row_number().over(order).alias("place"), *(flag(n, t).cast("int").alias(n) for n in names))
     running = Window.partitionBy("site_id").orderBy("timestamp", "id").rowsBetween(Window.unboundedPreceding, 0)
-    entries = F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("holds"), (F.col("place") - F.sum(n).over(running)).alias("period")) for n in names))
+    placed = placed.select("site_id", "timestamp", *names, *((F.col("place") - F.sum(n).over(running)).alias(f"{n}_period") for n in names))
+    entries = F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("holds"), F.col(f"{n}_period").alias("period")) for n in names))
     rows = placed.select("site_id", "timestamp", F.explode(entries).alias("e")).where("e.holds = 1")
     return (
         rows.groupBy("e.rule", "site_id", "e.period")

@@ -45,34 +45,48 @@ def _kind(column: str) -> T.DataType:
 
 ENERGY = T.StructType([T.StructField(c, _kind(c)) for c in ENERGY_COLUMNS])
 SERIES = T.StructType([T.StructField("id", T.LongType()), T.StructField("dataset_id", T.LongType()), *ENERGY.fields])
-WARNING = T.StructType.fromDDL("row int, column string, issue string, action string")
-DATASETS = T.StructType.fromDDL(
+_TYPES = {
+    "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType(),
+    "timestamp": T.TimestampType(), "timestamp_ntz": T.TimestampNTZType(), "strings": T.ArrayType(T.StringType()),
+    "vector": T.ArrayType(T.FloatType()), "labels": T.MapType(T.StringType(), T.StringType()),
+    "location": T.StructType(
+        [T.StructField("pdf_page_number", T.IntegerType()), T.StructField("printed_page_number", T.StringType()), T.StructField("section_title", T.StringType())]
+    ),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    return T.StructType([T.StructField(n, _TYPES[k]) for n, k in (c.split() for c in columns.split(", "))])
+
+
+WARNING = _struct("row int, column string, issue string, action string")
+DATASETS = _struct(
     "id long, name string, file_name string, description string, row_count int, start_time timestamp_ntz, end_time timestamp_ntz, created_at timestamp"
 )
-PAGES = T.StructType.fromDDL(
+PAGES = _struct(
     "source_filename string, page_index int, pdf_page_number int, printed_page_number string, section_title string, "
     "page_status string, extraction_method string, text string, char_count int, image_coverage_ratio double"
 )
-CHUNKS = T.StructType.fromDDL(
+CHUNKS = _struct(
     "chunk_id string, source_filename string, chunk_type string, text string, char_count int, page_index_start int, "
-    "page_index_end int, pdf_page_number_start int, pdf_page_number_end int, printed_page_number_list array<string>, "
+    "page_index_end int, pdf_page_number_start int, pdf_page_number_end int, printed_page_number_list strings, "
     "section_title string, strategy_name string, table_title string"
 )
-DOCUMENTS = T.StructType.fromDDL(
+DOCUMENTS = _struct(
     "id long, filename string, document_content_hash string, total_pages int, created_at timestamp, supersedes_document_id long"
 )
-STORED_CHUNKS = T.StructType.fromDDL(
+STORED_CHUNKS = _struct(
     "chunk_id string, document_id long, strategy_name string, chunk_type string, text string, page_index_start int, page_index_end int, "
-    "pdf_page_number_start int, pdf_page_number_end int, printed_page_number_map map<string,string>, section_title string, table_title string, "
-    "embedding_content_hash string, chunk_metadata_hash string, embedding array<float>, embedding_provider string, embedding_model string, "
+    "pdf_page_number_start int, pdf_page_number_end int, printed_page_number_map labels, section_title string, table_title string, "
+    "embedding_content_hash string, chunk_metadata_hash string, embedding vector, embedding_provider string, embedding_model string, "
     "embedding_dimensions int, embedding_model_version string, embedded_at timestamp, is_active boolean, created_at timestamp, updated_at timestamp"
 )
-QUESTIONS = T.StructType.fromDDL(
+QUESTIONS = _struct(
     "id string, question string, source_document string, verification_tier string, retrieval_eval_eligible boolean, eligibility_reason string, "
-    "retrieval_target string, expected_location struct<pdf_page_number:int,printed_page_number:string,section_title:string>, "
-    "expected_content_keywords array<string>, multi_chunk_coverage_threshold double, false_positive_control boolean"
+    "retrieval_target string, expected_location location, "
+    "expected_content_keywords strings, multi_chunk_coverage_threshold double, false_positive_control boolean"
 )
-CASES = T.StructType.fromDDL(
+CASES = _struct(
     "case_id string, site_id string, event_time timestamp_ntz, event_type string, symptoms string, root_cause string, operator_action string, "
     "resolution_result string, severity string, tags string, related_dataset_id long, related_time_range string"
 )
