@@ -26,8 +26,6 @@ PASSAGE = 50
 HEAD = 12
 #: Documents of a task whose suffixes are known to be listed already; beyond, copies are listed again.
 KNOWN = 500_000
-#: Kept suffixes up to which the wanted places are broadcast to the documents; above, they are joined.
-BROADCAST_PLACES = 1_500_000
 
 _U = np.uint64
 _BASE = 0xA0761D6478BD642F
@@ -67,11 +65,11 @@ def _same(hashes: np.ndarray, a: int, b: int) -> int:
     return int(mix(np.array([total + _U(b - a)], np.uint64)).view(np.int64)[0])
 
 
-LISTED = "doc_id long, same long, n_words long, n_chars long, places array<long>, heads array<long>"
+LISTED = "doc_id long, same long, n_words long, n_chars long, heads array<long>, repeated array<long>"
 
 
 def _listed(docs: DataFrame) -> DataFrame:
-    """Each document's kept suffixes: their places and the hashes of their heads."""
+    """How each document's kept suffixes begin, each head once, and the heads that it has more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -84,67 +82,66 @@ def _listed(docs: DataFrame) -> DataFrame:
                 out: list[list] = [[], [], [], []]
                 for a, b in zip(word_at[:-1].tolist(), word_at[1:].tolist(), strict=True):
                     same = _same(hashes, a, b)
-                    places = np.zeros(0, np.int64)
+                    own = again = np.zeros(0, np.uint64)
                     if b - a >= PASSAGE and same not in known:
-                        places = np.unique(minimiser[a : b - PASSAGE + 1])
+                        own, times = np.unique(heads[np.unique(minimiser[a : b - PASSAGE + 1])], return_counts=True)
+                        again = own[times > 1]
                         if len(known) < KNOWN:
                             known.add(same)
-                    for column, x in zip(out, (same, b - a, places - a, heads[places].view(np.int64)), strict=True):
+                    for column, x in zip(out, (same, b - a, own.view(np.int64), again.view(np.int64)), strict=True):
                         column.append(x)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).cast(pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())]
                     + [pa.array(chars[at[1:]] - chars[at[:-1]], pa.int64())]
                     + [pa.array(x, pa.list_(pa.int64())) for x in out[2:]],
-                    names=["doc_id", "same", "n_words", "n_chars", "places", "heads"],
+                    names=["doc_id", "same", "n_words", "n_chars", "heads", "repeated"],
                 )
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, LISTED)
 
 
 def _like_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (head, same, place) in order, those that begin like the row before or after; repeats of a row count once."""
+    """From rows (head, same) in order, those whose neighbour before or after begins alike; repeats of a row count once."""
     held = None  # the last row so far, and whether it has been let through
     for batch in batches:
         if not batch.num_rows:
             continue
-        head, same, place = (np.asarray(c) for c in batch.columns)
+        head, same = (np.asarray(c) for c in batch.columns)
         passed = False
         if held is not None:
-            head, same, place = (np.concatenate([[h], c]) for h, c in zip(held[:3], (head, same, place), strict=True))
-            passed = held[3]
-        new = np.concatenate([[True], (head[1:] != head[:-1]) | (same[1:] != same[:-1]) | (place[1:] != place[:-1])])
-        if held is not None and not new.all():
-            new[0] = True
-        head, same, place = head[new], same[new], place[new]
+            head, same = np.concatenate([[held[0]], head]), np.concatenate([[held[1]], same])
+            passed = held[2]
+        new = np.concatenate([[True], (head[1:] != head[:-1]) | (same[1:] != same[:-1])])
+        head, same = head[new], same[new]
         like = np.zeros(len(head), bool)
         like[1:] = head[1:] == head[:-1]
         like[:-1] |= like[1:]
-        held = (head[-1], same[-1], place[-1], bool(like[-1]) or (passed and len(head) == 1))
+        held = (head[-1], same[-1], bool(like[-1]) or (passed and len(head) == 1))
         if passed:
             like[0] = False
-        yield pa.RecordBatch.from_arrays([pa.array(same[like]), pa.array(place[like])], names=["same", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(same[like]), pa.array(head[like])], names=["same", "head"])
 
 
 WINDOWS = "hash long, doc_id long, place long, start long, end long"
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (doc_id, text, same, places) all passages whose minimiser is among the places, with their characters."""
+    """From rows (doc_id, text, same, heads) all passages whose minimiser begins one of the heads, with their characters."""
     for whole in batches:
         for batch in slices(whole, 1):
             data, at = utf8(batch.column(1))
             begin, end, hashes, word_at = words(data, at, False)
-            minimiser, _ = _kept(hashes)
+            minimiser, heads = _kept(hashes)
             spans = _spans(hashes, PASSAGE).view(np.int64)
             chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             found: list[list[np.ndarray]] = [[], [], [], [], []]
             rows = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True)
-            for k, (doc, same, places) in enumerate(rows):
+            for k, (doc, same, wanted) in enumerate(rows):
                 a, b = int(word_at[k]), int(word_at[k + 1])
                 if b - a < PASSAGE or _same(hashes, a, b) != same:
                     continue
-                own = minimiser[a : b - PASSAGE + 1]
-                s = a + np.flatnonzero(np.isin(own, places.values.to_numpy() + a))
+                own = heads[minimiser[a : b - PASSAGE + 1]].view(np.int64)
+                s = a + np.flatnonzero(np.isin(own, wanted.values.to_numpy()))
                 offset = chars[at[k]]
                 for column, x in zip(
                     found, (spans[s], np.full(len(s), doc, np.int64), s - a, chars[begin[s]] - offset, chars[end[s + PASSAGE - 1]] - offset), strict=True
@@ -200,14 +197,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     long = listed.where(F.col("n_words") >= PASSAGE)
     nodes = long.groupBy("same").agg(F.min("doc_id").alias("first"))
 
-    suffixes = long.select("same", F.explode(F.arrays_zip("heads", "places")).alias("x")).select(F.col("x.heads").alias("head"), "same", F.col("x.places").alias("place"))
-    ordered = suffixes.repartition("head").sortWithinPartitions("head", "same", "place")
-    alike = ordered.mapInArrow(_like_neighbours, "same long, place long")
-    places = alike.groupBy("same").agg(F.collect_list("place").alias("places"))  # of one document each
-    wanted = staged(places.join(nodes, "same").select(F.col("first").alias("doc_id"), "same", "places"), "places")
-
-    size = wanted.agg(F.sum(F.size("places")).alias("n")).first()["n"] or 0
-    texts = docs.join(F.broadcast(wanted) if size <= BROADCAST_PLACES else wanted, "doc_id").select("doc_id", "text", "same", "places")
+    suffixes = long.select(F.explode("heads").alias("head"), "same")
+    alike = suffixes.repartition("head").sortWithinPartitions("head", "same").mapInArrow(_like_neighbours, "same long, head long")
+    alike = alike.unionByName(long.select("same", F.explode("repeated").alias("head")))
+    heads = alike.groupBy("same").agg(F.collect_set("head").alias("heads"))  # of one document each
+    wanted = staged(heads.join(nodes, "same").select(F.col("first").alias("doc_id"), "same", "heads"), "heads")
+    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "same", "heads")
     windows = staged(texts.mapInArrow(_windows, WINDOWS), "passages")
     firsts = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "place", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = staged(firsts.select("hash", F.col("first.doc_id").alias("source"), F.col("first.place").alias("source_place"), F.col("first.start").alias("source_start")), "passage_firsts")
