@@ -64,10 +64,10 @@ def test_components_equal_brute_force(make_docs, near_copies):
     assert got == brute_components(near_copies)
 
 
-def test_components_without_common_shingles_and_with_long_runs(make_docs, near_copies, monkeypatch):
-    """Neither the list of common shingles nor the streaming of long runs changes the result."""
+def test_components_without_common_shingles_and_in_small_blocks(make_docs, near_copies, monkeypatch):
+    """Neither the list of common shingles nor the size of blocks changes the result."""
     monkeypatch.setattr(J, "MOST_COMMON", 1)
-    monkeypatch.setattr(J, "LONG_RUN", 3)
+    monkeypatch.setattr(J, "BLOCK", 5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(make_docs(near_copies)).collect()}
     assert got == brute_components(near_copies)
 
@@ -155,12 +155,23 @@ def test_repeats_of_no_documents(make_docs):
     assert without_repeats(make_docs([])).count() == 0
 
 
-def test_runs_across_batches():
-    """Signatures and suffixes that go on in the next batch are told apart as in one batch."""
+@pytest.mark.parametrize("long_run", [4096, 3])
+def test_runs_across_batches(monkeypatch, long_run):
+    """Signatures and suffixes that go on in the next batch are told apart as in one batch, long ones too."""
     import pyarrow as pa
 
-    rows = sorted((int(k), int(n)) for k, n in np.random.default_rng(4).integers(0, 12, (300, 2)))
-    one = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["signature", "node"])]
-    many = [one[0].slice(k, 7) for k in range(0, 300, 7)]
-    pairs = lambda bs: Counter((g, n) for b in J._groups(iter(bs)) for g, n, _ in zip(*(c.to_pylist() for c in b.columns), strict=True))
-    assert pairs(one) == pairs(many)
+    from gridlore.llm import suffix_dedup as S
+
+    monkeypatch.setattr(J, "LONG_RUN", long_run)
+    rows = sorted((int(k), int(n)) for k, n in np.random.default_rng(4).integers(0, 40, (700, 2)))
+    one = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["head", "node"])]
+    many = [one[0].slice(k, 7) for k in range(0, 700, 7)]
+    by_key = {}
+    for k, n in rows:
+        by_key.setdefault(k, set()).add(n)
+    passed = lambda f, bs: [r for b in f(iter(bs)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    for batches in (one, many):
+        got = set(passed(J._groups, batches))
+        assert got == {(min(s), n) for s in by_key.values() if len(s) > 1 for n in s if n != min(s)}
+        alike = Counter(passed(S._like_neighbours, batches))
+        assert alike == Counter((n, k) for k, s in by_key.items() if len(s) > 1 for n in s)
