@@ -34,8 +34,9 @@ MOST_COMMON = 1 << 18
 KNOWN = 500_000
 #: So many times as many partitions are used for sets with few elements outside the common ones.
 FINER = 8
-#: Shingles whose counts a task keeps.
+#: Shingles whose counts a task keeps, and those that wait to be counted with them.
 COUNTED = 3_000_000
+WAITING = 500_000
 #: Rows of one signature from which its nodes are passed on as they come.
 LONG_RUN = 4096
 #: Nodes in a block of a centre's nodes.
@@ -125,22 +126,26 @@ class _Counts:
     def __init__(self):
         self.parts: list[np.ndarray] = []
         self.waiting = 0
-        self.values, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.values, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
     def add(self, elements: np.ndarray) -> None:
         self.parts.append(elements)
         self.waiting += len(elements)
-        if self.waiting > COUNTED:
+        if self.waiting > WAITING:
             self.settle()
 
     def settle(self) -> None:
-        values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.parts]), return_counts=True)
+        new, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.parts]), return_counts=True)
         self.parts, self.waiting = [], 0
-        both, at = np.unique(np.concatenate([self.values, values]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([self.counts, counts]), len(both)).astype(np.int64)
-        if len(both) > COUNTED:
-            both, total = both[total > 1], total[total > 1]
-        self.values, self.counts = both, total
+        at = np.searchsorted(self.values, new)
+        known = at < len(self.values)
+        known[known] = self.values[at[known]] == new[known]
+        self.counts[at[known]] += times[known].astype(np.int32)
+        self.values = np.insert(self.values, at[~known], new[~known])
+        self.counts = np.insert(self.counts, at[~known], times[~known])
+        if len(self.values) > COUNTED:
+            often = self.counts > 1
+            self.values, self.counts = self.values[often], self.counts[often]
 
 
 SETS = "doc_id long, n_shingles long, node long, shared array<long>, times array<long>"
@@ -170,7 +175,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 yield out(batch.column(0).cast(pa.int64()), sizes, nodes, [None] * len(sizes), [None] * len(sizes))
         counts.settle()
         often = counts.counts >= SHARED_IN_TASK
-        yield out(pa.array([None], pa.int64()), [None], [None], [counts.values[often].view(np.int64)], [counts.counts[often]])
+        yield out(pa.array([None], pa.int64()), [None], [None], [counts.values[often].view(np.int64)], [counts.counts[often].astype(np.int64)])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, SETS)
 

@@ -26,6 +26,8 @@ WINDOWS_PER_TEXT = 4
 #: Languages beyond so many, the rarest, are not learnt.
 LANGUAGES = 500
 EPOCHS = 8
+#: Bytes whose windows the filters run over at once.
+BLOCK_BYTES = 1 << 15
 
 UNKNOWN = "und"
 
@@ -117,16 +119,23 @@ class ByteNetwork:
         owner = np.repeat(np.arange(texts), count)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
         start = begin[owner] + within * WINDOW
-        long = padded.astype(np.int32)
-        pair = long[:-1] * 256 + long[1:]
-        pooled = []
-        for width, parts in zip(WIDTHS, tables, strict=True):
-            m = len(padded) - width + 1
-            out = np.zeros((len(padded), FILTERS), np.float32)
-            for k, table in enumerate(parts):
-                out[:m] += table[(long if len(table) == 256 else pair)[2 * k : 2 * k + m]]
-            pooled.append(np.maximum.reduceat(out, start, axis=0))
-        active = np.maximum(np.concatenate(pooled, 1) + self.bias, 0)
+        stop = np.append(start[1:], len(padded))
+        pooled = np.empty((len(owner), FILTERS * len(WIDTHS)), np.float32)
+        low = 0
+        while low < len(owner):
+            high = max(low + 1, int(np.searchsorted(start, start[low] + BLOCK_BYTES)))
+            here = slice(low, high)
+            n = int(stop[high - 1] - start[low])
+            single = padded[start[low] : start[low] + n + gap - 1].astype(np.int32)
+            pair = single[:-1] * 256 + single[1:]
+            for w, (width, parts) in enumerate(zip(WIDTHS, tables, strict=True)):
+                m = min(n, len(single) - width + 1)
+                out = np.zeros((n, FILTERS), np.float32)
+                for k, table in enumerate(parts):
+                    out[:m] += table.take((single if len(table) == 256 else pair)[2 * k : 2 * k + m], axis=0)
+                pooled[here, w * FILTERS : (w + 1) * FILTERS] = np.maximum.reduceat(out, start[here] - start[low], axis=0)
+            low = high
+        active = np.maximum(pooled + self.bias, 0)
         logits = active @ self.top + self.top_bias
         chance = np.exp(logits - logits.max(1, keepdims=True))
         chance /= chance.sum(1, keepdims=True)
