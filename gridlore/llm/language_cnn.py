@@ -26,6 +26,8 @@ WINDOWS_PER_TEXT = 4
 #: Languages beyond so many, the rarest, are not learnt.
 LANGUAGES = 500
 EPOCHS = 8
+#: Share of the windows that are cut to a random length when they are learnt from, as short texts are.
+SHORTENED = 0.25
 #: Bytes whose windows the filters run over at once.
 BLOCK_BYTES = 1 << 15
 
@@ -62,7 +64,9 @@ class ByteNetwork:
             for low in range(0, len(order), size):
                 rows = order[low : low + size]
                 step += 1
-                for p, g, m, v in zip(parameters, self._gradients(windows[rows], labels[rows], weight[rows]), first, second, strict=True):
+                kept = np.where(rng.random(len(rows)) < SHORTENED, WINDOW ** rng.random(len(rows)) + 2, WINDOW)
+                seen = np.where(np.arange(WINDOW) < kept[:, None], windows[rows], 0).astype(np.uint8)
+                for p, g, m, v in zip(parameters, self._gradients(seen, labels[rows], weight[rows]), first, second, strict=True):
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
                     p -= 0.004 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
