@@ -1,9 +1,10 @@
 """Toxicity scores from a learnt lexicon, matched through Levenshtein automata.
 
-The lexicon holds words that stand in far more toxic texts than others. It is kept as a trie; a word of a text is run
-through the intersection of the trie with the word's Levenshtein automaton, so terms misspelled by one edit are met
-as well. Each meeting is weighed by its context window: inside quotation marks, or after a word of reporting, it counts
-as a quotation, elsewhere as abuse. A logistic model over these sums gives the score.
+The lexicon holds words that stand in far more toxic texts than others, and beginnings of words that do, so that other
+endings of a term are met, too. Words are kept as a trie; a word of a text is run through the intersection of the trie
+with the word's Levenshtein automaton, so terms misspelled by one edit are met as well. Each meeting is weighed by its
+context window: inside quotation marks, or after a word of reporting, it counts as a quotation, elsewhere as abuse. A
+logistic model over these sums gives the score.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ OTHER_TEXTS = 8000
 TERMS = 3000
 #: A term is at least so many times as frequent in toxic texts.
 RATIO = 20.0
+#: The same for beginnings of words, which other words have by chance; how often they are met then tells.
+STEM_RATIO = 4.0
 #: Shortest term that is also met misspelled.
 FUZZY_LENGTH = 5
+#: Letters of the beginnings of words that may be terms, the longest first.
+STEMS = (7, 6, 5, 4)
 #: Words before and after a term that make up its context window.
 CONTEXT = 6
 #: Entries of a task's table of words already looked up.
@@ -94,22 +99,29 @@ class Trie:
         return best[1] if best else None
 
 
+def stems(word: str) -> list[str]:
+    """The word's beginnings, marked by ``*``, which no clean word ends with."""
+    return [word[:n] + "*" for n in STEMS if len(word) > n]
+
+
 class Lexicon:
     """Terms and their weights, and a table of the words already met."""
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
-        self.trie = Trie(sorted(weights))
-        self.met: dict[str, tuple[float, bool] | int] = {}
+        self.trie = Trie(sorted(t for t in weights if not t.endswith("*")))
+        self.met: dict[str, tuple[float, int] | int] = {}
 
-    def look_up(self, raw: str) -> tuple[float, bool] | int:
-        """(weight, exact) of the term that the word is, or is one edit from; 0 if none."""
+    def look_up(self, raw: str) -> tuple[float, int] | int:
+        """Weight and kind (0: itself, 1: one edit away, 2: its beginning) of the term that a word meets; 0 if none."""
         word = clean(raw)
-        found: tuple[float, bool] | int = 0
+        found: tuple[float, int] | int = 0
         if word in self.weights:
-            found = (self.weights[word], True)
+            found = (self.weights[word], 0)
         elif len(word) >= FUZZY_LENGTH - 1 and self.trie.possible(word) and (term := self.trie.within(word)):
-            found = (self.weights[term], False)
+            found = (self.weights[term], 1)
+        elif begun := [self.weights[s] for s in stems(word) if s in self.weights]:
+            found = (max(begun), 2)
         if len(self.met) < TABLE_ENTRIES:
             self.met[raw] = found
         return found
@@ -122,19 +134,16 @@ class Lexicon:
             found = [self.look_up(w) if f is None else f for w, f in zip(split, found, strict=True)]
         if not any(found):
             return [0.0] * N_FEATURES
-        abuse = misspelled = quoted = 0.0
-        terms = set()
+        abuse, quoted, terms = [0.0, 0.0, 0.0], 0.0, [set(), set(), set()]
         for i, f in enumerate(found):
             if f:
                 if self._is_quoted(split, i):
                     quoted += f[0]
-                elif f[1]:
-                    abuse += f[0]
-                    terms.add(split[i])
                 else:
-                    misspelled += f[0]
-        n = len(split) + 10
-        return [np.log1p(abuse), np.log1p(misspelled), np.log1p(quoted), 100 * abuse / n, 100 * misspelled / n, np.log1p(len(terms))]
+                    abuse[f[1]] += f[0]
+                    terms[f[1]].add(split[i])
+        sums = [np.log1p(x) for x in (abuse[0], abuse[1], quoted, abuse[2])]
+        return sums + [100 * x / (len(split) + 10) for x in abuse] + [np.log1p(len(t)) for t in (terms[0], terms[2])]
 
     @staticmethod
     def _is_quoted(split: list[str], i: int) -> bool:
@@ -146,7 +155,7 @@ class Lexicon:
         return opens and closes or any(clean(w) in _REPORTING for w in before[-2:]) and opens
 
 
-N_FEATURES = 6
+N_FEATURES = 9
 
 
 class Model:
@@ -208,6 +217,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame) -> Model:
             out, rows = [], []
             for k, text in enumerate(batch.column(0).to_pylist()):
                 found = {clean(w) for w in (text or "").split()}
+                found |= {s for w in found for s in stems(w)}
                 out += found
                 rows += [k] * len(found)
             rows = pa.array(rows, pa.int32())
@@ -228,7 +238,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame) -> Model:
     def strongest(toxic: str, other: str, n_toxic: int, n_other: int) -> dict[str, float]:
         ratio = ((F.col(toxic) + 0.1) / (n_toxic + 1)) / ((F.col(other) + 0.5) / (n_other + 1))
         least = max(2, min(8, n_toxic // 40))
-        found = counted.where((F.col(toxic) >= least) & (ratio >= RATIO)).select("word", F.col(toxic).alias("n"), F.log(ratio).alias("weight"))
+        found = counted.where((F.col(toxic) >= least) & (ratio >= F.when(F.col("word").endswith("*"), STEM_RATIO).otherwise(RATIO))).select("word", F.col(toxic).alias("n"), F.log(ratio).alias("weight"))
         return {r["word"]: float(r["weight"]) for r in found.orderBy(F.desc(F.col("n") * F.col("weight")), "word").limit(TERMS).collect()}
 
     halved = strongest("toxic_half", "other_half", totals[1][0], totals[0][0])
