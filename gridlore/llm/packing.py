@@ -109,6 +109,11 @@ class WordTable:
         self.inner: dict[str, bytes] = {}
         self.opening: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empty the table, so that a worker that goes on with other work is no larger for it."""
+        for table in (self.first, self.inner, self.opening):
+            table.clear()
+
     def whole(self, text: str) -> bytes:
         return np.array(self.bpe.encode_ordinary(text), self.kind).tobytes()
 
@@ -167,6 +172,7 @@ def tokenised(docs: DataFrame, queues: dict[str, int], ranks_file: str, pattern:
                 columns = [pa.array([part] * len(n), pa.int32()), pa.array(queue, pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int64())]
                 columns += [batch.column(0).cast(pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "queue", "start", "n", "doc_id", "ids"])
+        table.forget()
 
     rows = docs.select("doc_id", _key("source").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, TOKENS)
