@@ -202,7 +202,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     alike = alike.unionByName(long.select("same", F.explode("repeated").alias("head")))
     heads = alike.groupBy("same").agg(F.collect_set("head").alias("heads"))  # of one document each
     wanted = staged(heads.join(nodes, "same").select(F.col("first").alias("doc_id"), "same", "heads"), "heads")
-    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "same", "heads")
+    # Merged at every size: left to itself, Spark sends the heads of small inputs to every executor.
+    texts = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "same", "heads")
     windows = staged(texts.mapInArrow(_windows, WINDOWS), "passages")
     firsts = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "place", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = staged(firsts.select("hash", F.col("first.doc_id").alias("source"), F.col("first.place").alias("source_place"), F.col("first.start").alias("source_start")), "passage_firsts")
