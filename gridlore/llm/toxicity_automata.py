@@ -48,29 +48,29 @@ def clean(word: str) -> str:
     return _EDGES.sub("", word.lower())
 
 
+def gapped(word: str) -> list[str]:
+    """The word without each of its letters."""
+    return [word[:i] + word[i + 1 :] for i in range(len(word))]
+
+
 class Trie:
     """Terms as nested dicts; '' marks the end of a term and holds it."""
 
     def __init__(self, terms: list[str]):
         self.root: dict = {}
-        self.prefixes: dict[int, set[str]] = {}
-        self.suffixes: dict[int, set[str]] = {}
+        self.gaps: set[str] = set()
         for term in terms:
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
             if len(term) >= FUZZY_LENGTH:
-                p = (len(term) - 1) // 2
-                self.prefixes.setdefault(len(term), set()).add(term[:p])
-                self.suffixes.setdefault(len(term), set()).add(term[-p:])
+                self.gaps.add(term)
+                self.gaps.update(gapped(term))
 
     def possible(self, word: str) -> bool:
-        """Whether a term may be one edit away: an edit leaves the first or the last half of the term as it is."""
-        for n in (len(word) - 1, len(word), len(word) + 1):
-            if n in self.prefixes and (word[: (p := (n - 1) // 2)] in self.prefixes[n] or word[-p:] in self.suffixes[n]):
-                return True
-        return False
+        """Whether a term may be one edit away: then the two agree once each has lost a letter at most."""
+        return word in self.gaps or not self.gaps.isdisjoint(gapped(word))
 
     def within(self, word: str, most: int = 1) -> str | None:
         """The nearest term at ``most`` edits (change, gap, extra letter, swap of neighbours), ties to the first in order.
@@ -135,9 +135,10 @@ class Lexicon:
         if not any(found):
             return [0.0] * N_FEATURES
         abuse, quoted, terms = [0.0, 0.0, 0.0], 0.0, [set(), set(), set()]
+        quotes = any(c in text for c in _QUOTES)
         for i, f in enumerate(found):
             if f:
-                if self._is_quoted(split, i):
+                if quotes and self._is_quoted(split, i):
                     quoted += f[0]
                 else:
                     abuse[f[1]] += f[0]
