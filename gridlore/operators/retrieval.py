@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridlore.functions.text import contains_all, dates, is_table_question, mentions_date, preview
 from gridlore.functions.vectors import cosine_distance, norm
 
 #: Candidates by distance that are re-scored; a better match beyond them is not seen.
 POOL = 30
-#: Questions up to which they are broadcast to the chunks; more are asked in batches of so many.
+#: Questions of a block; more are asked in blocks of about so many. Up to so many are broadcast where they are graded.
 MOST_QUESTIONS = 10_000
+#: Numbers of the vectors of a block of chunks or questions, and of the distances worked on at once.
+BLOCK_NUMBERS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -23,23 +29,72 @@ class Weights:
     table: float = 0.2
 
 
+def _vectors(column: pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
+    """The vectors of the rows, which have one length."""
+    flat = column.take(pa.array(rows)).combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+
+def _nearest(x: np.ndarray, x_norm: np.ndarray, place: np.ndarray, asked: np.ndarray, asked_norm: np.ndarray, k: int):
+    """For each asked vector the rows of x that are its k nearest, and their distances; ties to the least place.
+
+    Matrix products pick the rows that may be among them; those are summed up in the order of ``cosine_distance``.
+    """
+    unit = x / x_norm[:, None]
+    for low in range(0, len(asked), step := max(1, BLOCK_NUMBERS // len(x))):
+        away = 1.0 - (asked[low : low + step] / asked_norm[low : low + step, None]) @ unit.T
+        limit = np.partition(away, k - 1, axis=1)[:, k - 1] if k < len(x) else np.full(len(away), np.inf)
+        for q, row, most in zip(range(low, low + len(away)), away, limit, strict=True):
+            near = np.flatnonzero(~(row > most + 1e-9))
+            dot = np.cumsum(x[near] * asked[q], axis=1)[:, -1]
+            distance = 1.0 - dot / (x_norm[near] * asked_norm[q])
+            best = np.lexsort((place[near], distance))[:k]
+            yield q, near[best], distance[best]
+
+
 def candidates(chunks: DataFrame, queries: DataFrame, k: int = POOL, document: str | None = None) -> DataFrame:
     """The k nearest active chunks of each query by cosine distance, with ``vector_rank``; ties to the smaller chunk_id.
 
     chunks: chunk_id, embedding, optional is_active, filename, and any others; queries: query_id, query_vector and any
-    others. Every query meets every chunk, by design; null and zero vectors are left out. The queries are broadcast
-    and so must be few (``MOST_QUESTIONS``); each task keeps k rows of a query before the shuffle.
+    others. Every query meets every chunk of its length, by design; null and zero vectors are left out. Both are dealt
+    in blocks of bounded size, by hashes of their ids; k rows of a query are kept of each block before the last shuffle.
     """
-    if queries.count() > MOST_QUESTIONS:
-        raise ValueError(f"at most {MOST_QUESTIONS} queries at once")
     if "is_active" in chunks.columns:
         chunks = chunks.where("is_active")
     if document is not None:
         chunks = chunks.where(F.col("filename") == document)
-    left = chunks.withColumn("chunk_norm", norm(F.col("embedding"))).where(F.col("chunk_norm") > 0)
-    right = queries.withColumn("query_norm", norm(F.col("query_vector"))).where(F.col("query_norm") > 0)
-    distance = cosine_distance(F.col("embedding"), F.col("query_vector"), F.col("chunk_norm"), F.col("query_norm"))
-    met = left.join(F.broadcast(right), how="cross").withColumn("distance", distance).drop("embedding", "query_vector", "chunk_norm", "query_norm")
+    wide = lambda v: F.transform(v, lambda x: x.cast("double")).alias("v")
+    packed = lambda df, vector: F.struct(*(c for c in df.columns if c != vector)).alias("row")
+    left = chunks.select(packed(chunks, "embedding"), wide("embedding"), norm(F.col("embedding")).alias("norm")).where(F.col("norm") > 0)
+    right = queries.select(packed(queries, "query_vector"), wide("query_vector"), norm(F.col("query_vector")).alias("norm")).where(F.col("norm") > 0)
+    sized = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("d")).first()
+    count = lambda r, most: max(1, -(-r["n"] // max(1, min(most, BLOCK_NUMBERS // r["d"]))))
+    blocks, query_blocks = count(sized(left), BLOCK_NUMBERS), count(sized(right), MOST_QUESTIONS)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = left.select("*", dealt("row.chunk_id", blocks).alias("block"), every(query_blocks).alias("query_block"))
+    right = right.select("*", every(blocks).alias("block"), dealt("row.query_id", query_blocks).alias("query_block"))
+    schema = StructType([StructField("chunk", left.schema["row"].dataType), StructField("query", right.schema["row"].dataType), StructField("distance", DoubleType())])
+
+    def meet(block: pa.Table, asked: pa.Table) -> pa.Table:
+        found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        lengths, asked_lengths = (pc.list_value_length(t.column("v")).to_numpy() for t in (block, asked))
+        for d in np.intersect1d(lengths, asked_lengths):
+            rows, queried = np.flatnonzero(lengths == d), np.flatnonzero(asked_lengths == d)
+            ids = pc.struct_field(block.column("row").take(pa.array(rows)).combine_chunks(), "chunk_id")
+            place = np.empty(len(rows), np.int64)
+            place[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(rows))
+            x, q = _vectors(block.column("v"), rows), _vectors(asked.column("v"), queried)
+            norms, asked_norms = block.column("norm").to_numpy()[rows], asked.column("norm").to_numpy()[queried]
+            for i, near, distance in _nearest(x, norms, place, q, asked_norms, k):
+                for column, values in zip(found, (rows[near], np.full(len(near), queried[i]), distance), strict=True):
+                    column.append(values)
+        chunk, query, distance = map(np.concatenate, found)
+        columns = [block.column("row").take(pa.array(chunk)), asked.column("row").take(pa.array(query)), pa.array(distance, pa.float64())]
+        return pa.table(columns, names=["chunk", "query", "distance"])
+
+    keys = ("block", "query_block")
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema).select("chunk.*", "query.*", "distance")
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return met.withColumn("vector_rank", F.row_number().over(order)).where(F.col("vector_rank") <= k)
 

@@ -1,5 +1,6 @@
 import datetime
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -282,6 +283,24 @@ def test_search_leaves_out_null_zero_and_inactive(spark):
     assert [r["chunk_id"] for r in retrieval.hybrid_search(table, asked, document="g").collect()] == ["b"]
 
 
+def test_search_of_more_queries_than_a_block(spark, monkeypatch):
+    """Blocks on both sides, ties, vectors of two lengths and repeated ones, against every distance."""
+    monkeypatch.setattr(retrieval, "MOST_QUESTIONS", 7)
+    monkeypatch.setattr(retrieval, "BLOCK_NUMBERS", 90)
+    vector = lambda i: [float(i * i % 7 - 3), float(i % 5), 1.0] + [2.0] * (i % 9 == 0)
+    chunks = [(f"c{i % 90:02}x{i}", vector(i)) for i in range(120)]
+    asked = [(i, vector(3 * i)) for i in range(40)]
+    table = spark.createDataFrame(chunks, "chunk_id string, embedding array<float>")
+    got = {}
+    for r in retrieval.candidates(table, spark.createDataFrame(asked, "query_id int, query_vector array<float>"), 6).collect():
+        got.setdefault(r["query_id"], []).append((r["vector_rank"], r["chunk_id"], r["distance"]))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    norm = lambda a: math.sqrt(dot(a, a))
+    for i, q in asked:
+        met = sorted((1.0 - dot(v, q) / (norm(v) * norm(q)), c) for c, v in chunks if len(v) == len(q))
+        assert sorted(got[i]) == [(k + 1, c, d) for k, (d, c) in enumerate(met[:6])]
+
+
 def test_grading(spark):
     page = spark.createDataFrame([(63, 64, p) for p in (63, 64, 65, None)], "a int, b int, p int")
     assert [r[0] for r in page.select(retrieval.page_in_range(F.col("a"), F.col("b"), F.col("p"))).collect()] == [True, True, False, False]
