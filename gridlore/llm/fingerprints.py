@@ -2,14 +2,16 @@
 
 A text's prefix array holds, for each i, the polynomial hash of its first i code points modulo two primes. Any span's
 hash follows from two entries, so span equality costs two lookups, and the longest common extension of two texts is
-found by binary search. A fingerprint is a text's length, its full hash, and the hashes of its prefixes and suffixes
-at lengths that grow by a fixed ratio: the longest common prefix and suffix of two texts follow from their
-fingerprints alone, by the same binary search over those lengths.
+found by binary search. A fingerprint is a text's length, its full hash, the hashes of its prefixes and suffixes at
+lengths that grow by a fixed ratio, and the hashes of spans between places that the content picks: the longest common
+prefix and suffix of two texts follow from their fingerprints alone, by the same binary search over those lengths, and
+equal content between them from their common spans, wherever these stand.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,10 @@ PRIMES = (2147483629, 2147483587)
 BASES = (1000003, 1299709)
 #: Lengths of the ladder in each doubling.
 STEPS = 8
+#: Spans of a text's finest level at most; each coarser level has about half as many.
+SPANS = 64
+#: Code points by which a place is picked, and the least length of a span but the last is 2**LEAST_SPAN.
+GRAM, LEAST_SPAN = 8, 3
 
 _U = np.uint64
 _tables: dict[tuple[int, bool], np.ndarray] = {}
@@ -64,6 +70,13 @@ class PrefixHashes:
             total = np.zeros(self.n + 1, np.uint64)
             np.cumsum(points * _powers(k, False, self.n + 1)[: self.n] % _U(p), out=total[1:])
             self.sums.append(total % _U(p))
+        self._grams: np.ndarray | None = None
+
+    def grams(self) -> np.ndarray:
+        """A number for the ``GRAM`` code points from each place on, the same wherever they stand."""
+        if self._grams is None:
+            self._grams = _grams(self, 0, max(0, self.n - GRAM + 1))
+        return self._grams
 
     def prefix(self, k: int, lengths: np.ndarray) -> np.ndarray:
         return self.sums[k][lengths]
@@ -99,17 +112,61 @@ class Spliced:
         tail = self.second.sums[k][np.maximum(lengths - keep, 0)]
         return (head + tail * _powers(k, False, keep + 1)[keep] % p) % p
 
+    def grams(self) -> np.ndarray:
+        low, high = max(0, self.keep - GRAM + 1), min(self.keep, max(0, self.n - GRAM + 1))
+        ends = self.first.grams()[:low], self.second.grams()[: max(0, self.n - self.keep - GRAM + 1)]
+        return np.concatenate([ends[0], _grams(self, low, max(low, high)), ends[1]])
+
+
+def _grams(text: PrefixHashes | Spliced, low: int, high: int) -> np.ndarray:
+    p, at = _U(PRIMES[0]), np.arange(low, high)
+    h = (text.prefix(0, at + GRAM) + p - text.prefix(0, at)) % p * _powers(0, True, high + 1)[low:high] % p
+    h = h * _U(0x9E3779B97F4A7C15)
+    return (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+
+
+def _levels(text: PrefixHashes | Spliced) -> str:
+    """``exponent/spans|spans|..``: the spans (``length.hash`` each) of the finest level, then of ever coarser ones.
+
+    At exponent e, the next place is the one of the least gram among those between 2**e and 3 * 2**e after the last,
+    so that texts of equal content soon pick equal places, whatever stands before. Texts of other lengths share the
+    coarser levels.
+    """
+    n, exponent = text.n, LEAST_SPAN
+    while n >> exponent > SPANS:
+        exponent += 1
+    grams, starts, sizes, step = text.grams(), [], [], 1 << exponent
+    while n > 3 * step:
+        place, size = 0, len(starts)
+        starts.append(0)
+        while n - place > 3 * step:
+            place += step
+            place += int(grams[place : place + 2 * step].argmin())
+            starts.append(place)
+        sizes.append(len(starts) - size)
+        step *= 2
+    if not sizes:
+        return f"{exponent:x}/"
+    begin = np.array(starts)
+    end = np.append(begin[1:], n)
+    end[end == 0] = n
+    spans = [(text.prefix(k, end) + _U(p) - text.prefix(k, begin)) % _U(p) * _powers(k, True, n + 1)[begin] % _U(p) for k, p in enumerate(PRIMES)]
+    hashes = _short(*spans)
+    keys = [f"{m:x}.{hashes[8 * i : 8 * i + 8]}" for i, m in enumerate((end - begin).tolist())]
+    cuts = np.cumsum([0, *sizes]).tolist()
+    return f"{exponent:x}/{'|'.join(','.join(keys[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True))}"
+
 
 def _short(a: np.ndarray, b: np.ndarray) -> str:
-    """16 bits of each pair of hashes, as hex."""
+    """32 bits of each pair of hashes, as hex."""
     h = a * _U(0x9E3779B97F4A7C15) + b * _U(0xC2B2AE3D27D4EB4F)
     h ^= h >> _U(29)
     h *= _U(0xBF58476D1CE4E5B9)
-    return (h >> _U(48)).astype(">u2").tobytes().hex()
+    return (h >> _U(32)).astype(">u4").tobytes().hex()
 
 
 def fingerprint(text: PrefixHashes | Spliced) -> str:
-    """``length:hash:prefixes:suffixes`` in hex; equal texts have equal fingerprints."""
+    """``length:hash:prefixes:suffixes:spans`` in hex; equal texts have equal fingerprints."""
     n, lengths = text.n, ladder(text.n)
     whole = np.array([n])
     heads, tails, full = [], [], []
@@ -119,32 +176,63 @@ def fingerprint(text: PrefixHashes | Spliced) -> str:
         rest = (total + _U(p) - text.prefix(k, n - lengths)) % _U(p)
         tails.append(rest * _powers(k, True, n + 1)[n - lengths] % _U(p))
         full.append(int(total[0]))
-    return f"{n:x}:{full[0]:08x}{full[1]:08x}:{_short(*heads)}:{_short(*tails)}"
+    return f"{n:x}:{full[0]:08x}{full[1]:08x}:{_short(*heads)}:{_short(*tails)}:{_levels(text)}"
+
+
+def _spans(levels: str, exponent: int, head: int, tail: int) -> list[tuple[int, int, str]]:
+    """Start, end and key of each span of a level that stands neither in the head nor in the tail."""
+    first, spans = levels.split("/")
+    spans = spans.split("|")
+    place, found = exponent - int(first, 16), []
+    if place >= len(spans) or not spans[place]:
+        return found
+    start = 0
+    for key in spans[place].split(","):
+        end = start + int(key.partition(".")[0], 16)
+        if end > head and start < tail:
+            found.append((start, end, key))
+        start = end
+    return found
+
+
+def _between(a: str, n: int, b: str, m: int, head: int, tail: int) -> int:
+    """Code points of the first text between its head and tail that common spans cover."""
+    exponent = max(int(x.partition("/")[0], 16) for x in (a, b))
+    left = Counter(key for _, _, key in _spans(b, exponent, head, m - tail))
+    covered = 0
+    for start, end, key in _spans(a, exponent, head, n - tail):
+        if left[key] > 0:
+            left[key] -= 1
+            covered += min(end, n - tail) - max(start, head)
+    return covered
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of the longer text that the common prefix and the common suffix cover, from two fingerprints.
+    """Share of the longer text that the common prefix, the common suffix and common spans cover, from two fingerprints.
 
-    1 for equal fingerprints, 0 if one text is empty and the other not. A common run counts as the largest ladder
-    length that it reaches.
+    1 for equal fingerprints only, 0 if one text is empty and the other not. A common prefix or suffix counts as the
+    largest ladder length that it reaches. A span counts as often as both texts hold it, wherever it stands.
     """
     if a == b:
         return 1.0
-    n, _, heads, tails = a.split(":")
-    m, _, other_heads, other_tails = b.split(":")
+    n, _, heads, tails, spans = a.split(":")
+    m, _, other_heads, other_tails, other_spans = b.split(":")
     n, m = int(n, 16), int(m, 16)
     short, long = min(n, m), max(n, m)
-    covered = 0
+    ends = []
     for x, y in ((heads, other_heads), (tails, other_tails)):
-        low, high = 0, min(len(x), len(y)) // 4  # so many rungs agree at least, at most
+        low, high = 0, min(len(x), len(y)) // 8  # so many rungs agree at least, at most
         while low < high:
             mid = (low + high + 1) // 2
-            if x[4 * mid - 4 : 4 * mid] == y[4 * mid - 4 : 4 * mid]:
+            if x[8 * mid - 8 : 8 * mid] == y[8 * mid - 8 : 8 * mid]:
                 low = mid
             else:
                 high = mid - 1
-        covered += int(_ladder[low - 1]) if low else 0
-    return min(covered, short) / long
+        ends.append(int(_ladder[low - 1]) if low else 0)
+    covered = sum(ends)
+    if covered < short:
+        covered += min(_between(spans, n, other_spans, m, *ends), _between(other_spans, m, spans, n, *ends))
+    return min(covered, short, long - 1) / long
 
 
 _LAST = -(2**63)

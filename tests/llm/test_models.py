@@ -42,6 +42,18 @@ def test_fingerprints_of_one_and_no_document(make_docs):
     assert fingerprints.fingerprint_documents(make_docs([])).count() == 0
 
 
+@pytest.mark.parametrize("text", [prose(5, 900), "abcdefghij" * 300, prose(6, 20_000), prose(7, 60) * 15])
+def test_equal_content_between_edits_counts(text):
+    near = lambda a, b: fingerprints.likeness(*(fingerprints.fingerprint(fingerprints.PrefixHashes(x)) for x in (a, b)))
+    n = len(text)
+    changed = text[:10] + "#" + text[11 : n - 10] + "#" + text[n - 9 :]
+    grown = text[:10] + "#+#" + text[10 : n - 10] + text[n - 9 :]
+    assert 0.8 < near(text, changed) < 1 and 0.8 < near(text, grown) < 1
+    assert near(text, grown) == near(grown, text)
+    assert 0.6 < near(text, text[n // 2 :] + text[: n // 2]) < 1 or text[: n // 2] == text[n // 2 :]
+    assert near(text, prose(99, n // 5)) < 0.05
+
+
 def test_spans_and_common_extensions():
     a, b = prose(1, 50), "x" + prose(1, 30) + "!" + prose(2, 20)
     x, y = fingerprints.PrefixHashes(a), fingerprints.PrefixHashes(b)
