@@ -5,6 +5,10 @@ share of a window is rarely whole, so its deficit is carried to the next window:
 served the floor of its exact due, to within a token. Because that carried sum has a closed form, a document's place
 follows from the number of tokens before it in its queue alone. Tasks need no order among them: the deficits carry
 across windows and partitions alike, and every window but the last is full.
+
+Small sources share a queue. In it, a second schedule keeps their proportions to within a document: each source's
+documents stand at evenly spaced places between 0 and 1, by the tokens before them in their source, and the queue is
+sorted by these places, in ranges.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gridlore.llm.common import slices, staged
 
-#: A source with less than 1 / OWN_QUEUE of the documents shares the last queue with the others like it.
+#: A source with less than 1 / OWN_QUEUE of the documents shares the last queue with the others like it, by places.
 OWN_QUEUE = 128
 #: The least share of a window that a queue with tokens left gets is 1 / LEAST_SHARE.
 LEAST_SHARE = 1000
@@ -143,7 +147,7 @@ class WordTable:
 
 _tables: dict[str, WordTable] = {}
 
-TOKENS = "part int, queue int, start long, n long, doc_id long, ids binary"
+TOKENS = "part int, queue int, row long, source long, start long, n long, doc_id long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -152,7 +156,10 @@ def _key(column: str):
 
 
 def tokenised(docs: DataFrame, queues: dict[str, int], ranks_file: str, pattern: str, end_id: int) -> DataFrame:
-    """Each document's ids, then ``end_id``, with its queue and the tokens before it in this task's share of the queue."""
+    """Each document's ids, then ``end_id``, with its queue and the tokens before it in this task's share of the queue.
+
+    In the last queue, ``start`` is the tokens before it in this task's share of its source. ``source`` is a hash.
+    """
     last = len(queues)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,24 +167,52 @@ def tokenised(docs: DataFrame, queues: dict[str, int], ranks_file: str, pattern:
             _tables[ranks_file] = WordTable(ranks_file, pattern, 2)
         table = _tables[ranks_file]
         end = np.array([end_id], table.kind).tobytes()
-        part, before = TaskContext.get().partitionId(), [0] * (last + 1)
+        part, before, rows = TaskContext.get().partitionId(), [0] * last, 0
+        earlier: dict[int, int] = {}  # by small source
         for whole in batches:
             for batch in slices(whole, 2):
                 ids = [table.encode(t) + end for t in batch.column(2).to_pylist()]
                 queue = [queues.get(s, last) for s in batch.column(1).to_pylist()]
                 start, n = [], [len(b) // table.kind.itemsize for b in ids]
-                for q, m in zip(queue, n, strict=True):
-                    start.append(before[q])
-                    before[q] += m
-                columns = [pa.array([part] * len(n), pa.int32()), pa.array(queue, pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int64())]
-                columns += [batch.column(0).cast(pa.int64()), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "queue", "start", "n", "doc_id", "ids"])
+                for q, h, m in zip(queue, batch.column(3).to_pylist(), n, strict=True):
+                    at, key = (before, q) if q < last else (earlier, h)
+                    start.append(at[key] if q < last else at.get(key, 0))
+                    at[key] = start[-1] + m
+                columns = [pa.array([part] * len(n), pa.int32()), pa.array(queue, pa.int32()), pa.array(range(rows, rows + len(n)), pa.int64())]
+                columns += [batch.column(3), pa.array(start, pa.int64()), pa.array(n, pa.int64()), batch.column(0).cast(pa.int64()), pa.array(ids, pa.binary())]
+                rows += len(n)
+                yield pa.RecordBatch.from_arrays(columns, names=[k.split()[0] for k in TOKENS.split(", ")])
         table.forget()
 
-    rows = docs.select("doc_id", _key("source").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select("doc_id", _key("source").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64(_key("source")).alias("hash"))
     return rows.mapInArrow(run, TOKENS)
 
 
+def shared_starts(tokens: DataFrame, queue: int) -> DataFrame:
+    """part, row and the tokens before it in the queue, for each document of the queue that small sources share."""
+    spark = tokens.sparkSession
+    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = tokens.where(F.col("queue") == queue).select("part", "row", "source", "start", "n")
+    sums = rows.groupBy("source", "part").agg(F.sum("n").alias("tokens"))
+    of = Window.partitionBy("source")
+    before = F.coalesce(F.sum("tokens").over(of.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("source", "part", before.alias("before"), F.sum("tokens").over(of).alias("total"))
+    # A hash of the source says where in its stretch a document stands, so that first documents do not come together.
+    phase = F.pmod(F.xxhash64("source", F.lit(1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    place = (F.col("start") + F.col("before") + phase * F.col("n")) / F.col("total")
+    placed = rows.join(sums, ["source", "part"]).select("part", "row", "source", "n", place.alias("place"))
+    cut = F.least(F.floor(F.col("place") * ranges), F.lit(ranges - 1)).cast("int")
+    placed = staged(placed.withColumn("range", cut), "places")
+    starts, at = [], 0
+    for r in placed.groupBy("range").agg(F.sum("n").alias("n")).orderBy("range").collect():  # one row a range
+        starts.append((r["range"], at))
+        at += r["n"]
+    starts = F.broadcast(spark.createDataFrame(starts, "range int, first long"))
+    order = Window.partitionBy("range").orderBy("place", "source", "part", "row").rowsBetween(Window.unboundedPreceding, -1)
+    within = placed.select("part", "row", "range", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("within"))
+    return within.join(starts, "range").select("part", "row", (F.col("first") + F.col("within")).alias("start"))
+
+
 def pack_documents(
     docs: DataFrame, ranks_file: str, pattern: str, window: int = 2048, end_id: int = 1, targets: dict[str, float] | None = None
 ) -> DataFrame:
@@ -208,7 +243,12 @@ def pack_documents(
     starts = shares.select("part", "queue", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     if shares.count() <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
-    placed = tokens.join(starts, ["part", "queue"]).select("doc_id", "queue", (F.col("start") + F.col("before")).alias("start"), "n", "ids")
+    columns = ["doc_id", "queue", "start", "n", "ids"]
+    last = len(queues)
+    placed = tokens.where(F.col("queue") < last).join(starts, ["part", "queue"]).withColumn("start", F.col("start") + F.col("before")).select(columns)
+    if totals[last]:
+        shared = tokens.where(F.col("queue") == last).drop("start").join(shared_starts(tokens, last), ["part", "row"])
+        placed = placed.unionByName(shared.select(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from gridlore.llm.packing import Schedule, pack_documents
+from gridlore.llm.packing import Schedule, WordTable, pack_documents
 from gridlore.llm.sentencepiece_table import encode_documents
 
 from .conftest import prose
@@ -65,6 +65,25 @@ def test_packing_places_every_id_once(make_docs, odd_texts, targets):
     check_packing(rows, {k: t.encode(x or "", add_special_tokens=False).ids + [1] for k, x in enumerate(texts)}, 64)
 
 
+@pytest.mark.parametrize("hot", [0, 1000])
+def test_packing_mixes_small_sources(spark, hot):
+    """More sources than queues, each in one run of rows: every window holds them in proportion, to within a document."""
+    rows = [(k, "aa bb cc dd", f"s{k // 10:03}") for k in range(2000)] + [(2000 + k, "aa bb cc dd", "hot") for k in range(hot)]
+    rows += [(4000 + k, "aa bb cc dd", f"lone{k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {r[0]: r[2] for r in rows}
+    pieces = pack_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 1000).collect()
+    ids = np.frombuffer(WordTable(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 2).encode("aa bb cc dd"), "<u2").tolist() + [1]
+    check_packing(pieces, dict.fromkeys(source, ids), 1000)
+    windows = {}
+    for r in pieces:
+        windows.setdefault(r["sequence_id"], {}).setdefault(source[r["doc_id"]], []).append(r["length"])
+    tokens, n = pieces[0]["doc_tokens"], len(windows)
+    for held in list(windows.values())[:-1]:
+        assert max(sum(x) for s, x in held.items() if s != "hot") <= tokens * (10 / n + 2)
+        assert abs(sum(sum(x) for s, x in held.items() if s.startswith("lone")) - 1000 * 200 / len(rows)) < 80
+
+
 def test_packing_of_no_documents(make_docs):
     assert pack_documents(make_docs([]), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
