@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,23 +18,51 @@ SLICE_BYTES = 1 << 20
 _U = np.uint64
 
 
+#: Frees the shuffle files of a query as soon as it has ended; staged queries never run twice.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a new one where that is unset (tests)."""
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a new local folder if Spark runs in one process (tests), else an error: executors of a cluster
+    would not see each other's files.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.conf.get("spark.gridlore.shared", "")
-        if not base:
-            base = tempfile.mkdtemp(prefix="gridlore-")
-            spark.conf.set("spark.gridlore.shared", base)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="gridlore-")
+        spark.conf.set("spark.gridlore.shared", base)
     return f"{base.rstrip('/')}/gridlore"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends there, and a lost executor costs no rerun."""
+    """``df`` written to the shared folder and read again: its lineage ends there, and a lost executor costs no rerun.
+
+    Its shuffle files go when it is written; the table stays until ``dropped``.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete staged tables. Only for those whose every reader has been written itself."""
+    for table in tables:
+        jvm, path = table.sparkSession._jvm, table.staged_at
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def crc_of_id(column: str = "doc_id") -> Column:
@@ -87,34 +116,10 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def _letters(lower: bool) -> np.ndarray:
-    table = np.random.default_rng(20240229).integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-    if lower:
-        table[65:91] = table[97:123]
-    return table
-
-
-_EXACT, _LOWER = _letters(False), _letters(True)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
-    known = _powers.get(base)
-    if known is None or len(known) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        known = np.ones(size, np.uint64)
-        filled = 1
-        while filled < size:
-            step = _U(pow(base, filled, 1 << 64))
-            known[filled : 2 * filled] = known[:filled] * step
-            filled *= 2
-        _powers[base] = known
-    return known[:n]
-
-
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Words of more bytes are hashed one by one.
+_LONG_WORD = 256
 def mix(h: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values, one to one."""
     h = h ^ (h >> _U(30))
@@ -142,12 +147,27 @@ def words(data: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray, np
     opens[edges] = inside[edges]
     closes[edges - 1] = inside[edges - 1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _EXACT)[data] * powers(_BASE, n), out=total[1:])
-    hashes = mix((total[end] - total[start]) * powers(_BASE_INVERSE, n)[start])
+    hashes = _word_hashes(_LOWER[data] if lower else data, start, end - start)
     return start, end, hashes, np.searchsorted(start, at)
 
 
+def _word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, eight bytes at a time; long words by a cryptographic digest."""
+    eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).data, 0, (1,))
+    h = mix(size.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    rows = slice(None)  # those with bytes left
+    at, left = start, size
+    while len(at):
+        short = (_U(8) * (_U(8) - np.minimum(left, 8).astype(np.uint64)))
+        h[rows] = mix(h[rows] ^ (eights[at] << short))
+        go_on = np.flatnonzero((left > 8) & (left <= _LONG_WORD))
+        rows = go_on if isinstance(rows, slice) else rows[go_on]
+        at, left = at[go_on] + 8, left[go_on] - 8
+    for k in np.flatnonzero(size > _LONG_WORD).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[start[k] : start[k] + size[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 def grams(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` word hashes; runs across two texts are the caller's to leave out."""
     m = len(hashes) - width + 1

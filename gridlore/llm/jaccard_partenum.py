@@ -14,6 +14,7 @@ they compared with each other, in blocks of bounded size, and only those outside
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import grams, mix, slices, staged, utf8, words
+from gridlore.llm.common import dropped, grams, mix, slices, staged, utf8, words
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -66,9 +67,8 @@ def shingle_sets(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 
 def node_of(elements: np.ndarray) -> int:
-    """Hash of a set, as a signed number; equal sets are one node."""
-    total = mix(elements + _U(0x51ED270B)).sum(dtype=np.uint64)
-    return int(mix(np.array([total + _U(len(elements))], np.uint64)).view(np.int64)[0])
+    """Digest of a set, as a signed number; equal sets are one node."""
+    return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _tokens(elements: np.ndarray, partitions: int, salt: int, empty: bool = False) -> np.ndarray:
@@ -298,26 +298,31 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (a, b, the set of a, the set of b) the pairs that are similar."""
-    for batch in batches:
-        a, b, keep = batch.column(0), batch.column(1), np.zeros(batch.num_rows, bool)
-        for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            if 4 * len(x) >= 3 * len(y):
-                at = np.searchsorted(y, x)
-                keep[k] = similar(len(x), len(y), int((y[np.minimum(at, len(y) - 1)] == x).sum()))
-        yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep))
+    """From rows (a, block, b, text) in order of a and block, the centre's own (no b) first, the pairs that are similar."""
+    key, centre = None, np.zeros(0, np.uint64)
+    for whole in batches:
+        for batch in slices(whole, 3):
+            found: list[list[int]] = [[], []]
+            rows = zip(*(batch.column(k).to_pylist() for k in range(3)), shingle_sets(*utf8(batch.column(3))), strict=True)
+            for a, block, b, elements in rows:
+                if b is None:
+                    key, centre = (a, block), elements
+                elif key == (a, block) and 4 * min(len(centre), len(elements)) >= 3 * max(len(centre), len(elements)):
+                    few, many = sorted((centre, elements), key=len)
+                    at = np.searchsorted(many, few)
+                    if similar(len(few), len(many), int((many[np.minimum(at, len(many) - 1)] == few).sum())):
+                        found[0].append(a)
+                        found[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
 
 def _compared(block: pa.Table) -> pa.Table:
-    """From rows (node, label, asks, elements) of one block, links of the nodes that ask with similar ones of other labels.
+    """From rows (node, label, asks, text) of one block, links of the nodes that ask with similar ones of other labels.
 
     One link for each asking node and other label. Overlaps are counted by matrix products over the elements that
     several of the nodes have.
     """
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in block.column("elements").chunks for x in c]
+    sets = shingle_sets(*utf8(block.column("text")))
     node, label = (block.column(c).to_numpy() for c in ("node", "label"))
     asks = block.column("asks").to_numpy(zero_copy_only=False).astype(bool)
     size = np.array([len(x) for x in sets])
@@ -349,6 +354,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while True:
+        last = edges
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
@@ -356,12 +362,15 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(joined.select("a", F.col("least").alias("b"))).where("a <> b").distinct()
         edges = staged(small, "links")
+        dropped(last)
         now = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
         if now == before:
             break
         before = now
     nodes = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), "b"))
-    return nodes.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+    labels = staged(nodes.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")), "labels")
+    dropped(edges)
+    return labels
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
@@ -374,45 +383,73 @@ def linked_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     ordered = _listed(docs, common).repartition("signature").sortWithinPartitions("signature", "node")
     pairs = staged(ordered.mapInArrow(_groups, "centre long, node long").distinct(), "pairs")
 
+    held = _texts_of(docs, sets, pairs)
+    sketches = lambda k, x: held.select(F.col("node").alias(k), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    near = pairs.join(sketches("centre", "x"), "centre").join(sketches("node", "y"), "node").select("centre", "node", "nx", "sx", "ny", "sy")
+    near = staged(near.mapInArrow(_near, "a long, b long"), "near")
+
+    # The text of a centre is sent once for each block of the nodes that are compared with it.
+    blocks = near.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = staged(near.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b"), "dealt")
+    dropped(near)
+    others = dealt.join(held.select(F.col("node").alias("b"), "text"), "b").select("a", "block", "b", "text")
+    centres = dealt.select("a", "block").distinct().join(held.select(F.col("node").alias("a"), "text"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "text")
+    met = centres.unionByName(others).repartition("a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
+    links = staged(met.mapInArrow(_verified, "a long, b long"), "similar")
+    dropped(dealt)
+    labels = components(links)
+
+    # Nodes of a centre that are not all of one component are compared with each other.
+    named = lambda k: F.coalesce("label", k)
+    of_node = pairs.join(labels, "node", "left").select("centre", "node", named("node").alias("label"))
+    of_both = of_node.join(labels.select(F.col("node").alias("centre"), F.col("label").alias("own")), "centre", "left").withColumn("own", F.coalesce("own", "centre"))
+    mixed = of_both.groupBy("centre").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    blocks = staged(mixed.select("centre", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    members = of_both.join(blocks, "centre").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = staged(members.select("centre", "node", "label", (F.col("label") != F.col("own")).alias("asks"), "blocks", "block"), "members")
+    dropped(pairs, blocks)
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asking = members.where("asks").select("centre", "node", "label", "asks", every.alias("row"), F.col("block").alias("column"))
+    # Only columns in which a node asks are dealt the other nodes.
+    columns = members.where("asks").groupBy("centre").agg(F.collect_set("block").alias("columns"))
+    held_by = members.join(columns, "centre").select("centre", "node", "label", F.lit(False).alias("asks"), F.col("block").alias("row"), F.explode("columns").alias("column"))
+    compared = held_by.unionByName(asking).join(held.select("node", "text"), "node").select("centre", "row", "column", "node", "label", "asks", "text")
+    more = staged(compared.groupBy("centre", "row", "column").applyInArrow(_compared, "a long, b long"), "similar")
+    dropped(members, held)
+    if not more.isEmpty():
+        dropped(labels)
+        labels = components(links.unionByName(more))
+    dropped(links, more)
+    return labels
+
+
+def _texts_of(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, size, sketch and text of one document for each node of ``pairs``."""
     wanted = pairs.select("node").union(pairs.select("centre")).distinct()
     firsts = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first"))
     firsts = staged(firsts.select("node", F.col("first.doc_id").alias("doc_id")).join(wanted, "node", "left_semi"), "candidates")
     n = firsts.count()
 
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 0):
-                found = [x for x in shingle_sets(*utf8(batch.column(0))) if len(x)]
+                found = shingle_sets(*utf8(batch.column(0)))
+                some = pa.array([len(x) > 0 for x in found], pa.bool_())
+                found = [x for x in found if len(x)]
                 columns = [pa.array([node_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64())]
-                columns += [pa.array([f(x) for x in found], pa.binary()) for f in (sketch, np.ndarray.tobytes)]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "sketch", "elements"])
+                columns += [pa.array(map(sketch, found), pa.binary()), batch.column(0).filter(some)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "sketch", "text"])
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(
         _small(firsts.select(F.col("doc_id").alias("__first")).distinct(), n), F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi"
     )
-    held = staged(texts.select("text").mapInArrow(elements, "node long, size long, sketch binary, elements binary").join(_small(firsts.select("node"), n), "node", "left_semi").dropDuplicates(["node"]), "elements")
-
-    sketches = lambda k, x: held.select(F.col("node").alias(k), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    near = pairs.join(sketches("centre", "x"), "centre").join(sketches("node", "y"), "node").select("centre", "node", "nx", "sx", "ny", "sy")
-    near = staged(near.mapInArrow(_near, "a long, b long"), "near")
-    elements_of = lambda k, x: held.select(F.col("node").alias(k), F.col("elements").alias(x))
-    both = near.join(elements_of("a", "x"), "a").join(elements_of("b", "y"), "b").select("a", "b", "x", "y")
-    links = staged(both.mapInArrow(_verified, "a long, b long"), "similar")
-    labels = staged(components(links), "labels")
-
-    # Nodes of a centre that are not all of one component are compared with each other.
-    named = lambda k: F.coalesce("label", k)
-    of_node = pairs.join(labels, "node", "left").select("centre", "node", named("node").alias("label"))
-    of_both = of_node.join(labels.select(F.col("node").alias("centre"), F.col("label").alias("own")), "centre", "left").withColumn("own", F.coalesce("own", "centre"))
-    mixed = of_both.groupBy("centre").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    blocks = mixed.select("centre", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = of_both.join(blocks, "centre").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    held_by = members.select("centre", "node", "label", F.lit(False).alias("asks"), F.col("block").alias("row"), every.alias("column"))
-    asking = members.where(F.col("label") != F.col("own")).select("centre", "node", "label", F.lit(True).alias("asks"), every.alias("row"), F.col("block").alias("column"))
-    dealt = held_by.unionByName(asking).join(held.select("node", "elements"), "node")
-    more = staged(dealt.select("centre", "row", "column", "node", "label", "asks", "elements").groupBy("centre", "row", "column").applyInArrow(_compared, "a long, b long"), "similar")
-    return labels if more.isEmpty() else staged(components(links.unionByName(more)), "labels")
+    texts = texts.select("text").mapInArrow(sketched, "node long, size long, sketch binary, text string")
+    held = staged(texts.join(_small(firsts.select("node"), n), "node", "left_semi"), "texts")
+    if not held.groupBy("node").count().where("count > 1").isEmpty():  # rows that repeat an id and its text
+        repeated, held = held, staged(held.dropDuplicates(["node"]), "texts")
+        dropped(repeated)
+    dropped(firsts)
+    return held
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -422,7 +459,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     words as one if it has fewer. Rows whose sets have Jaccard similarity 3/4 or more are linked; ``component_id`` is
     the least doc_id that links reach, the own one included. Null texts and texts without words have empty sets, are
     linked with nothing, and keep their own id. Repeated rows stay, linked with each other; a null id is larger than
-    any other. Sets are told apart by 64-bit hashes. Other columns are not read.
+    any other. Words, shingles and sets are told apart by 64-bit digests. Other columns are not read.
     """
     docs = docs.select("doc_id", "text")
     sets = staged(_sets(docs), "sets")
@@ -432,6 +469,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     nodes = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first")
     least = nodes.groupBy("label").agg(F.min("first").alias("component_id"))
     named = staged(nodes.join(least, "label").select("node", "component_id"), "components")
+    dropped(labels)
     joined = sets.where(F.col("node").isNotNull()).join(named, "node").select("doc_id", "n_shingles", "component_id")
     alone = sets.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return joined.unionByName(alone)
@@ -442,6 +480,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Rows that repeat an id stand or fall together; rows with a null id stay.
     """
-    found = staged(jaccard_components(docs), "components")
+    found = jaccard_components(docs)
     others = staged(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__other")).distinct(), "others")
-    return docs.join(_small(others, others.count()), F.col("doc_id") == F.col("__other"), "left_anti")
+    return docs.join(_small(others, others.count()), docs["doc_id"] == others["__other"], "left_anti")

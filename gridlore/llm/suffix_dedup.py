@@ -11,6 +11,7 @@ one without overlap. Documents of the same words are handled once.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import grams, mix, powers, slices, staged, utf8, words
+from gridlore.llm.common import dropped, grams, mix, slices, staged, utf8, words
 
 #: Words of the shortest repeat.
 PASSAGE = 50
@@ -28,19 +29,18 @@ HEAD = 12
 KNOWN = 500_000
 
 _U = np.uint64
-_BASE = 0xA0761D6478BD642F
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE_BITS = 26
 
 
-def _spans(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of ``width`` word hashes, from a prefix array."""
-    m = len(hashes) - width + 1
+def _spans(heads: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` words, from the hashes of its n-grams."""
+    m = len(heads) + HEAD - width
     if m <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * powers(_BASE, len(hashes)), out=total[1:])
-    return mix((total[width:] - total[:m]) * powers(_BASE_INVERSE, m))
+    total = np.zeros(m, np.uint64)
+    for at in [*range(0, width - HEAD, HEAD), width - HEAD]:
+        total = mix(total ^ heads[at : at + m])
+    return total
 
 
 def _kept(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,8 +61,7 @@ def _kept(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _same(hashes: np.ndarray, a: int, b: int) -> int:
     """Hash of a document's words, as a signed number: documents of the same words share it."""
-    total = (hashes[a:b] * powers(_BASE, b - a)).sum(dtype=np.uint64)
-    return int(mix(np.array([total + _U(b - a)], np.uint64)).view(np.int64)[0])
+    return int.from_bytes(hashlib.blake2b(hashes[a:b].tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 LISTED = "doc_id long, same long, n_words long, n_chars long, heads array<long>, repeated array<long>"
@@ -132,7 +131,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, at = utf8(batch.column(1))
             begin, end, hashes, word_at = words(data, at, False)
             minimiser, heads = _kept(hashes)
-            spans = _spans(hashes, PASSAGE).view(np.int64)
+            spans = _spans(heads, PASSAGE).view(np.int64)
             chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             found: list[list[np.ndarray]] = [[], [], [], [], []]
             rows = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True)
