@@ -13,6 +13,8 @@ sorted by these places, in ranges.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -27,7 +29,7 @@ from gridlore.llm.common import slices, staged
 
 #: A source with less than 1 / OWN_QUEUE of the documents shares the last queue with the others like it, by places.
 OWN_QUEUE = 128
-#: The least share of a window that a queue with tokens left gets is 1 / LEAST_SHARE.
+#: The least share of a window that a queue with tokens left gets is 1 / LEAST_SHARE, and about two tokens.
 LEAST_SHARE = 1000
 #: Rows (one for each task and queue) up to which the tasks' starting places are broadcast; above, they are joined.
 BROADCAST_ROWS = 200_000
@@ -39,14 +41,22 @@ class Schedule:
     """Which tokens of each queue stand in which window.
 
     ``totals`` are the queues' tokens, ``weights`` their target shares (by default, the totals). While all queues have
-    tokens the windows keep the target shares; when one runs out, the others share its room by their weights.
+    tokens the windows keep the target shares; when one runs out, the others share its room by their weights. A queue
+    is dealt two tokens a window at least: with less than one, the floors of its due would not always grow. So a
+    window has room for twice as many tokens as there are queues, or a ValueError says so.
     """
 
     def __init__(self, totals: list[int], window: int, weights: list[float] | None = None):
         self.window, self.total = window, sum(totals)
         w = list(totals) if weights is None else [max(1, round(x * (1 << 20))) for x in weights]
-        least = -(-sum(w) // LEAST_SHARE)
-        w = [max(x, least) if t else 0 for x, t in zip(w, totals, strict=True)]
+        scale = 1 + (1 << 30) // max(1, sum(w))  # so that whole numbers are fine enough
+        w = [x * scale if t else 0 for x, t in zip(w, totals, strict=True)]
+        if 2 * sum(x > 0 for x in totals) > window:
+            raise ValueError(f"a window of {window} tokens has no room for two of each of {len(totals)} queues")
+        least = 0
+        while (more := -(-sum(w) // min(LEAST_SHARE, window // 2))) > least and least < max(w):
+            least = more
+            w = [max(x, least) if t else 0 for x, t in zip(w, totals, strict=True)]
         left, n = list(totals), len(totals)
         self.begins = [0]  # of each phase: tokens of all queues before it
         self.lengths: list[int] = []
@@ -99,7 +109,7 @@ class WordTable:
     are no white space; texts with other runs of white space are encoded whole.
     """
 
-    def __init__(self, ranks_file: str, pattern: str, width: int, entries: int = TABLE_ENTRIES):
+    def __init__(self, ranks_file: str, pattern: str, width: int, entries: int = TABLE_ENTRIES, special: dict[str, int] | None = None):
         import base64
 
         import tiktoken
@@ -109,6 +119,8 @@ class WordTable:
         self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.kind = np.dtype("<u2") if width == 2 else np.dtype("<u4")
         self.entries = entries
+        self.special = {name: np.array([i], self.kind).tobytes() for name, i in (special or {}).items()}
+        self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.first: dict[str, bytes] = {}
         self.inner: dict[str, bytes] = {}
         self.opening: dict[str, bytes] = {}
@@ -130,6 +142,16 @@ class WordTable:
         return found
 
     def encode(self, text: str) -> bytes:
+        """Ids of the text; strings of special tokens in it are those tokens."""
+        if not self.marks or not self.marks.search(text):
+            return self._ordinary(text)
+        parts, at = [], 0
+        for m in self.marks.finditer(text):
+            parts += [self._ordinary(text[at : m.start()]), self.special[m[0]]]
+            at = m.end()
+        return b"".join([*parts, self._ordinary(text[at:])])
+
+    def _ordinary(self, text: str) -> bytes:
         parts: list[bytes] = []
         for k, line in enumerate(text.split("\n")):
             words = line.split(" ")
@@ -145,7 +167,14 @@ class WordTable:
         return b"".join(parts)
 
 
-_tables: dict[str, WordTable] = {}
+_tables: dict[tuple, WordTable] = {}
+
+
+def special_tokens(tokenizer_file: str) -> dict[str, int]:
+    """The special tokens of a tokenizer's JSON file and their ids."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"] if t["special"]}
+
 
 TOKENS = "part int, queue int, row long, source long, start long, n long, doc_id long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -155,7 +184,7 @@ def _key(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def tokenised(docs: DataFrame, queues: dict[str, int], ranks_file: str, pattern: str, end_id: int) -> DataFrame:
+def tokenised(docs: DataFrame, queues: dict[str, int], ranks_file: str, pattern: str, end_id: int, special: dict[str, int] | None = None) -> DataFrame:
     """Each document's ids, then ``end_id``, with its queue and the tokens before it in this task's share of the queue.
 
     In the last queue, ``start`` is the tokens before it in this task's share of its source. ``source`` is a hash.
@@ -163,9 +192,10 @@ def tokenised(docs: DataFrame, queues: dict[str, int], ranks_file: str, pattern:
     last = len(queues)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if ranks_file not in _tables:
-            _tables[ranks_file] = WordTable(ranks_file, pattern, 2)
-        table = _tables[ranks_file]
+        key = (ranks_file, tuple(sorted((special or {}).items())))
+        if key not in _tables:
+            _tables[key] = WordTable(ranks_file, pattern, 2, special=special)
+        table = _tables[key]
         end = np.array([end_id], table.kind).tobytes()
         part, before, rows = TaskContext.get().partitionId(), [0] * last, 0
         earlier: dict[int, int] = {}  # by small source
@@ -214,13 +244,15 @@ def shared_starts(tokens: DataFrame, queue: int) -> DataFrame:
 
 
 def pack_documents(
-    docs: DataFrame, ranks_file: str, pattern: str, window: int = 2048, end_id: int = 1, targets: dict[str, float] | None = None
+    docs: DataFrame, ranks_file: str, pattern: str, window: int = 2048, end_id: int = 1, targets: dict[str, float] | None = None, special: dict[str, int] | None = None
 ) -> DataFrame:
     """Pack ``docs`` (doc_id, text, source) into sequences of ``window`` tokens; one row per piece, see ``PIECES``.
 
     Every id lies in exactly one piece; every sequence but the last is full. ``targets`` maps sources to their shares
     of each sequence (others: none until the named ones have run out, but for the least share); by default each source
-    gets its share of all tokens. Null and empty texts are one ``end_id``; a null source is a source of its own name
+    gets its share of all tokens. ``special`` maps strings in the texts to ids of their own. Sources beyond the
+    ``OWN_QUEUE`` (and a fourth of ``window``) most frequent share a queue. A window too small for two tokens of each
+    of ``targets`` is a ValueError. Null and empty texts are one ``end_id``; a null source is a source of its own name
     ''; rows are packed one by one, so repeated rows and ids are packed repeatedly. Other columns are not read.
 
     The ids are written once to the shared folder; only counts (one row for each task and queue) are summed up.
@@ -228,11 +260,12 @@ def pack_documents(
     spark = docs.sparkSession
     sources = docs.groupBy(_key("source").alias("source")).agg(F.count("*").alias("rows"))
     total = docs.count()
-    named = [r["source"] for r in sources.where(F.col("rows") * OWN_QUEUE >= total).orderBy("source").collect()]  # OWN_QUEUE at most
+    most = max(1, min(OWN_QUEUE, window // 4))
+    named = [r["source"] for r in sources.where(F.col("rows") * most >= total).orderBy("source").collect()]  # at most so many
     if targets:
         named = sorted({*named, *targets})
     queues = {s: k for k, s in enumerate(named)}
-    tokens = staged(tokenised(docs, queues, ranks_file, pattern, end_id), "tokens")
+    tokens = staged(tokenised(docs, queues, ranks_file, pattern, end_id, special), "tokens")
     shares = staged(tokens.groupBy("part", "queue").agg(F.sum("n").alias("n")), "shares")
     totals = [0] * (len(queues) + 1)
     for r in shares.groupBy("queue").agg(F.sum("n").alias("n")).collect():

@@ -31,9 +31,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from gridlore.llm.packing import pack_documents
+    from gridlore.llm.packing import pack_documents, special_tokens
 
-    return pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    special = special_tokens(tokenizer_file("byte_bpe_50k.json"))
+    return pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special=special)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from gridlore.llm.packing import Schedule, WordTable, pack_documents
+from gridlore.llm.packing import Schedule, WordTable, pack_documents, special_tokens
 from gridlore.llm.sentencepiece_table import encode_documents
 
 from .conftest import prose
@@ -65,6 +65,16 @@ def test_packing_places_every_id_once(make_docs, odd_texts, targets):
     check_packing(rows, {k: t.encode(x or "", add_special_tokens=False).ids + [1] for k, x in enumerate(texts)}, 64)
 
 
+def test_special_tokens_in_texts_are_those_tokens():
+    """The same ids as the tokenizer's own call, whose settings are left as they are."""
+    from tokenizers import Tokenizer
+
+    name = P.path("byte_bpe_50k.json")
+    t, table = Tokenizer.from_file(name), WordTable(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 2, special=special_tokens(name))
+    for text in ["x<|endoftext|>", "<|endoftext|><|endoftext|> a", "a <|endoftext|>\n b", "<|endoftext|", "", "a b", " <|endoftext|>  <|endoftext|> 's"]:
+        assert np.frombuffer(table.encode(text), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("hot", [0, 1000])
 def test_packing_mixes_small_sources(spark, hot):
     """More sources than queues, each in one run of rows: every window holds them in proportion, to within a document."""
@@ -112,3 +122,32 @@ def test_schedule_keeps_the_mixture(totals, weights):
         for k in range(lasting):
             for queue, w in enumerate(weights):
                 assert abs(sum(n for _, n, q in windows[k] if q == queue) - window * w) < 2
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_schedules_of_any_window(seed):
+    """Thin, empty and equal queues in windows of 16 to 4096: every token stands once, every window but the last is full."""
+    rng = np.random.default_rng(seed)
+    window = int(rng.choice([16, 17, 64, 128, 1000, 2048, 4096]))
+    n = int(rng.integers(1, min(40, window // 2) + 1))
+    totals = [int(x) for x in (10 ** rng.uniform(0, 5, n)).astype(int) * (rng.random(n) < 0.9)]
+    weights = None if seed % 2 else [float(x) for x in 10 ** rng.uniform(-4, 0, n)]
+    plan, windows = Schedule(totals, window, weights), {}
+    for queue, total in enumerate(totals):
+        at = 0
+        for k, place, low, high in plan.pieces(queue, 0, total) if total else []:
+            assert low == at < high
+            at = high
+            windows.setdefault(k, []).append((place, high - low))
+        assert at == total
+    for k, pieces in windows.items():
+        place = 0
+        for offset, m in sorted(pieces):
+            assert offset == place
+            place += m
+        assert place == min(window, sum(totals) - k * window)
+
+
+def test_more_queues_than_a_window_holds():
+    with pytest.raises(ValueError):
+        Schedule([5] * 9, 16)
