@@ -14,17 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import crc_of_id, kept_rows, slices, utf8
+from gridlore.llm.common import crc_of_id, slices, utf8
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
-#: About so many labelled texts of each language are learnt from, and so many windows of each text.
+#: About so many labelled texts of each language are learnt from (fewer, if all languages would have more than
+#: ``MOST_TEXTS`` of them together, but one at least), and so many windows of each text.
 TEXTS_PER_LANGUAGE = 1500
+MOST_TEXTS = 120_000
 WINDOWS_PER_TEXT = 4
-#: Languages beyond so many, the rarest, are not learnt.
-LANGUAGES = 500
+#: Languages up to which their rates are broadcast; above, they are joined.
+BROADCAST_LANGUAGES = 100_000
 EPOCHS = 8
 #: Share of the windows that are cut to a random length when they are learnt from, as short texts are.
 SHORTENED = 0.25
@@ -32,6 +34,10 @@ SHORTENED = 0.25
 BLOCK_BYTES = 1 << 15
 
 UNKNOWN = "und"
+#: ``keep_known`` lets a text go whose best language has less than this probability, ...
+LEAST_SCORE = 0.5
+#: ... or whose own ``lang``, one of those learnt, has less than this one.
+LEAST_OWN = 0.05
 
 
 class ByteNetwork:
@@ -116,14 +122,14 @@ class ByteNetwork:
         """Languages' probabilities of each text (bytes ``data``, offsets ``at``), all its windows averaged by bytes."""
         texts, gap = len(at) - 1, max(WIDTHS)
         size = np.diff(at)
-        padded = np.zeros(len(data) + gap * texts, np.uint8)
+        padded = np.zeros(len(data) + gap * (texts + 1), np.uint8)  # filters may end in what follows the last text
         padded[np.arange(len(data)) + np.repeat(gap * np.arange(texts), size)] = data
         begin = at[:-1] + gap * np.arange(texts)
         count = np.maximum(1, -(-size // WINDOW))
         owner = np.repeat(np.arange(texts), count)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
         start = begin[owner] + within * WINDOW
-        stop = np.append(start[1:], len(padded))
+        stop = np.append(start[1:], len(padded) - gap)
         pooled = np.empty((len(owner), FILTERS * len(WIDTHS)), np.float32)
         low = 0
         while low < len(owner):
@@ -166,14 +172,15 @@ def train_network(docs: DataFrame) -> ByteNetwork | None:
     is left to learn from.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    languages = sorted(counts)
-    if not languages:
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    if not counts:
         return None
-    rate = F.lit(0.0)
-    for name in languages:
-        rate = F.when(F.col("lang") == name, F.lit(min(1.0, TEXTS_PER_LANGUAGE / counts[name]))).otherwise(rate)
-    drawn = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 20)) < rate * (1 << 20))
+    each = min(TEXTS_PER_LANGUAGE, max(1, MOST_TEXTS // len(counts)))
+    rates = docs.sparkSession.createDataFrame([(name, min(1.0, each / n)) for name, n in counts.items()], "lang string, rate double")
+    if len(counts) <= BROADCAST_LANGUAGES:
+        rates = F.broadcast(rates)
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 20))
+    drawn = known.join(rates, "lang").where(draw < F.col("rate") * (1 << 20))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,20 +192,21 @@ def train_network(docs: DataFrame) -> ByteNetwork | None:
                     names += [name] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array(names, pa.string())], names=["bytes", "lang"])
 
-    sample = sorted(drawn.select("text", "lang").mapInArrow(cut, "bytes binary, lang string").collect(), key=lambda r: (r["lang"], bytes(r["bytes"])))
-    if not sample:
+    sample = drawn.select("text", "lang").mapInArrow(cut, "bytes binary, lang string").toArrow().sort_by([("lang", "ascending"), ("bytes", "ascending")])
+    if not sample.num_rows:
         return None
-    place = {name: k for k, name in enumerate(languages)}
-    windows = np.frombuffer(b"".join(bytes(r["bytes"]) for r in sample), np.uint8).reshape(len(sample), WINDOW)
-    return ByteNetwork(languages).train(windows, np.array([place[r["lang"]] for r in sample]))
+    labels = np.asarray(sample.column("lang").to_pylist(), object)
+    languages = sorted(set(labels))  # those of which a text with a letter was drawn
+    windows = np.frombuffer(b"".join(sample.column("bytes").to_pylist()), np.uint8).reshape(len(labels), WINDOW)
+    return ByteNetwork(languages).train(windows, np.searchsorted(np.array(languages, object), labels))
 
 
-def predicted(texts: pa.Array, network: ByteNetwork | None, tables: list) -> tuple[list[str], np.ndarray]:
-    """Language and its probability for each text."""
+def predicted(texts: pa.Array, network: ByteNetwork | None, tables: list, chance: np.ndarray | None = None) -> tuple[list[str], np.ndarray]:
+    """Language and its probability for each text; ``chance`` are all languages' probabilities, if known already."""
     data, at = utf8(texts)
     names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
     if network is not None and len(texts):
-        chance = network.probabilities(data, at, tables)
+        chance = network.probabilities(data, at, tables) if chance is None else chance
         best = chance.argmax(1)
         names, scores = np.array(network.languages, object)[best], chance.max(1).astype(np.float64)
     ascii_letter = np.zeros(256, bool)
@@ -238,12 +246,28 @@ def identify_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, lang and others) whose language the network names, in its own columns.
+    """The rows of ``docs`` (doc_id, text, lang and others) whose language the network is sure of, in its own columns.
 
-    Where nothing could be learnt, the rows whose text has a letter.
+    Those go whose text is null or has no letter, whose best language has a probability under ``LEAST_SCORE``, or
+    whose own ``lang`` is one of those learnt and has one under ``LEAST_OWN``. A null or unknown ``lang`` contradicts
+    nothing. Where nothing could be learnt, the rows whose text has a letter stay. Repeated rows stand or fall together.
     """
     network = train_network(docs.where(~held_out()))
-    if network is None:
-        return kept_rows(docs, lambda texts: [has_letter(t) for t in texts.to_pylist()])
-    tables = network.tables()
-    return kept_rows(docs, lambda texts: [name != UNKNOWN for name in predicted(texts, network, tables)[0]])
+    text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
+    tables = network.tables() if network else []
+    place = {name: k for k, name in enumerate(network.languages)} if network else {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text_at):
+                texts = batch.column(text_at)
+                if network is None:
+                    yield batch.filter(pa.array([has_letter(t) for t in texts.to_pylist()], pa.bool_()))
+                    continue
+                chance = network.probabilities(*utf8(texts), tables)
+                names, scores = predicted(texts, network, tables, chance)
+                own = [place.get(name) for name in batch.column(lang_at).cast(pa.string()).to_pylist()]
+                keep = [n != UNKNOWN and s >= LEAST_SCORE and (k is None or c[k] >= LEAST_OWN) for n, s, k, c in zip(names, scores, own, chance, strict=True)]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -2,7 +2,8 @@
 
 A small network is trained on statistics of texts to minimise the non-negative unbiased risk (Kiryo et al. 2017):
 trusted positives stand for the good class, unlabelled web text for the mixture, and the share of good texts in the
-mixture is estimated first (best-bin estimator). Negative labels are never used.
+mixture is estimated first (best-bin estimator). Negative labels are never used. The loss is bounded: with an unbounded
+one and a share that is estimated too high, all texts would end up good.
 """
 
 from __future__ import annotations
@@ -20,7 +21,11 @@ from gridlore.llm.common import crc_of_id, kept_rows, slices, utf8, words
 POSITIVES = 6000
 UNLABELLED = 12000
 HIDDEN = 24
-STEPS = 3000
+STEPS = 1500
+#: Weight decay: the first number, and the second over the number of unlabelled texts, so that few are not learnt by heart.
+DECAY = (1e-4, 3.0)
+#: Share of its allowance for chance by which the class prior is lowered.
+CAUTION = 0.1
 
 _KINDS = np.zeros(256, np.int8)  # 0: other printing ASCII
 _KINDS[97:123] = 1
@@ -100,6 +105,7 @@ class PUNetwork:
         """Adam on the non-negative risk; without a prior, on telling trusted from unlabelled texts apart."""
         rng = np.random.default_rng(seed)
         good, mixed = self.scaled(good), self.scaled(mixed)
+        decay = DECAY[0] + DECAY[1] / len(mixed)
         parameters = [self.w, self.b, self.v, self.c]
         first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
         for step in range(1, STEPS + 1):
@@ -112,16 +118,13 @@ class PUNetwork:
             chance_p, chance_u = chance[: len(p)], chance[len(p) :]
             if prior is None:
                 back[: len(p)], back[len(p) :] = (chance_p - 1) / len(p), chance_u / len(u)
-            else:  # logistic loss: gradient (chance - 1) for the good class, chance for the other
-                negative = -np.log1p(-np.minimum(chance_u, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(chance_p, 1 - 1e-9)).mean()
-                if negative >= 0:
-                    back[: len(p)] = prior * ((chance_p - 1) - chance_p) / len(p)
-                    back[len(p) :] = chance_u / len(u)
-                else:  # the estimate fell below nought, which only overfitting does: step back
-                    back[: len(p)] = prior * chance_p / len(p)
-                    back[len(p) :] = -chance_u / len(u)
+            else:  # sigmoid loss, which is bounded: 1 - chance for the good class, chance for the other
+                slope = chance * (1 - chance)
+                sign = 1 if chance_u.mean() >= prior * chance_p.mean() else -1  # below nought, which only overfitting does: step back
+                back[: len(p)] = -prior * slope[: len(p)] / len(p) * (2 if sign > 0 else -1)
+                back[len(p) :] = sign * slope[len(p) :] / len(u)
             inner = (back[:, None] * self.v) * (1 - hidden * hidden)
-            gradients = [z.T @ inner + 1e-4 * self.w, inner.sum(0), hidden.T @ back + 1e-4 * self.v, back.sum(keepdims=True)]
+            gradients = [z.T @ inner + decay * self.w, inner.sum(0), hidden.T @ back + decay * self.v, back.sum(keepdims=True)]
             rate = 0.01 * min(1.0, 2 * (1 - step / (STEPS + 1)))
             for q, g, m, v in zip(parameters, gradients, first, second, strict=True):
                 m += 0.1 * (g - m)
@@ -134,14 +137,14 @@ def class_prior(trusted: np.ndarray, mixed: np.ndarray) -> float:
     """Share of the good class in ``mixed``, from scores that tell trusted from unlabelled texts apart.
 
     The least ratio of the two sets' shares above a threshold, with an allowance for chance, over thresholds that
-    leave at least a twentieth of the trusted texts above.
+    leave at least a twentieth of the trusted texts above; less a share of that allowance.
     """
     cuts = np.quantile(trusted, np.linspace(0.0, 0.95, 96))
     above_p = 1 - np.searchsorted(np.sort(trusted), cuts) / len(trusted)
     above_u = 1 - np.searchsorted(np.sort(mixed), cuts) / len(mixed)
     slack = np.sqrt(np.log(400) / (2 * len(mixed))) + np.sqrt(np.log(400) / (2 * len(trusted)))
     best = np.argmin((above_u + slack) / above_p)
-    return float(np.clip(above_u[best] / above_p[best], 0.05, 0.98))
+    return float(np.clip(above_u[best] / above_p[best] - CAUTION * slack, 0.05, 0.98))
 
 
 def _sampled(docs: DataFrame, rate: float, salt: str) -> DataFrame:
@@ -160,6 +163,15 @@ def _matrix(docs: DataFrame) -> np.ndarray:
     return np.array(sorted(list(r["x"]) for r in rows)).reshape(len(rows), N_FEATURES)
 
 
+def learnt(trusted: np.ndarray, mixed: np.ndarray) -> PUNetwork:
+    """A network learnt from statistics of trusted good and of unlabelled texts, whose class prior is estimated first."""
+    mean, spread = mixed.mean(0), mixed.std(0) + 1e-3
+    half = np.arange(len(trusted)) % 2 == 0
+    judge = PUNetwork(mean, spread).train(trusted[half], mixed[::2], None)
+    prior = class_prior(judge.score(trusted[~half]), judge.score(mixed[1::2]))
+    return PUNetwork(mean, spread).train(trusted, mixed, prior)
+
+
 def held_out():
     return crc_of_id() % 3 == 1
 
@@ -174,13 +186,7 @@ def train_quality(docs: DataFrame, labels: DataFrame) -> PUNetwork | None:
     good = _sampled(good, min(1.0, POSITIVES / max(1, good.count())), "trusted").limit(2 * POSITIVES)
     trusted = _matrix(open_docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left_semi"))
     mixed = _matrix(_sampled(open_docs, min(1.0, UNLABELLED / max(1, open_docs.count())), "unlabelled"))
-    if len(trusted) < 2 or len(mixed) < 2:
-        return None
-    mean, spread = mixed.mean(0), mixed.std(0) + 1e-3
-    half = np.arange(len(trusted)) % 2 == 0
-    judge = PUNetwork(mean, spread).train(trusted[half], mixed[::2], None)
-    prior = class_prior(judge.score(trusted[~half]), judge.score(mixed[1::2]))
-    return PUNetwork(mean, spread).train(trusted, mixed, prior)
+    return learnt(trusted, mixed) if len(trusted) > 1 and len(mixed) > 1 else None
 
 
 def scores(column: pa.Array, network: PUNetwork | None) -> np.ndarray:

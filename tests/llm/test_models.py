@@ -101,6 +101,25 @@ def test_negative_quality_labels_are_not_learnt(labelled):
     assert a == b
 
 
+@pytest.mark.parametrize("n", [100, 240, 900, 5000])
+def test_quality_learns_from_few_texts(n):
+    """Bad texts go and good ones stay, however few are learnt from."""
+    import pyarrow as pa
+
+    texts = [" ".join(w + "$$$" for w in prose(k, 60 + k % 40).split(" ")) if k % 6 == 0 else prose(k, 60 + k % 40) for k in range(n)]
+    x, good, learnt = quality_pu.features(pa.array(texts)), np.arange(n) % 6 != 0, np.array([crc(k) % 3 != 1 for k in range(n)])
+    trusted, mixed = x[learnt & good & (np.arange(n) % 2 == 1)], x[learnt]
+    network = quality_pu.learnt(trusted, mixed)
+    assert np.mean((network.score(x) >= 0.5) == good) > 0.97
+
+
+def test_quality_of_no_documents_and_no_labels(labelled):
+    docs, labels = labelled
+    assert quality_pu.score_documents(docs.where("doc_id < 0"), labels).count() == 0
+    assert quality_pu.keep_good(docs.where("doc_id < 0"), labels).count() == 0
+    assert {r["score"] for r in quality_pu.score_documents(docs, labels.where("doc_id < 0")).collect()} == {0.5}
+
+
 def test_class_prior():
     rng = np.random.default_rng(0)
     good, mixed = rng.normal(3, 1, 4000), np.concatenate([rng.normal(3, 1, 6000), rng.normal(-3, 1, 4000)])
@@ -170,6 +189,48 @@ def test_languages_on_held_out_texts(languages):
     assert kept.columns == languages.columns and kept.count() == languages.count() - 3
 
 
+def test_the_network_decides_which_documents_stay(languages):
+    """Texts with letters go if the network contradicts their language; a null or unknown one contradicts nothing."""
+    from pyspark.sql import functions as F
+
+    wrong = F.when(F.col("doc_id").isin(30, 31, 32, 33), F.lit("cc")).when(F.col("doc_id") == 35, F.lit("zz")).otherwise(F.col("lang"))
+    docs = languages.withColumn("lang", wrong).withColumn("score", F.lit(1))
+    kept = language_cnn.keep_known(docs)
+    assert kept.columns == docs.columns
+    gone = {r["doc_id"] for r in docs.select("doc_id").collect()} - {r["doc_id"] for r in kept.collect()}
+    assert gone - {900, 901, 902} == {30, 31, 33}  # 32 is of that language
+
+
+def test_network_tables_answer_as_the_network_does():
+    """The tables give what embedding, filters, pooling and softmax give window by window, averaged by bytes."""
+    net = language_cnn.ByteNetwork(["a", "b", "c"])
+    texts = ["x", "ab" * 300, "é" * 97, prose(3, 90), "q" * language_cnn.WINDOW, prose(9, 9)]
+    import pyarrow as pa
+
+    from gridlore.llm.common import utf8
+
+    got = net.probabilities(*utf8(pa.array(texts)), net.tables())
+    for text, row in zip(texts, got, strict=True):
+        data, total = text.encode(), 0
+        for low in range(0, len(data), language_cnn.WINDOW):
+            size = min(language_cnn.WINDOW, len(data) - low)
+            places = size + 4 * (low + size == len(data))  # filters begin in the gap after a text, and end in the next window
+            x = net.embedding[np.frombuffer(data[low : low + places + 4].ljust(places + 4, b"\0"), np.uint8)]
+            pooled = [np.max([sum(x[i + j] @ f[j] for j in range(len(f))) for i in range(places)], axis=0) for f in net.filters]
+            logits = np.maximum(np.concatenate(pooled) + net.bias, 0) @ net.top + net.top_bias
+            chance = np.exp(logits - logits.max())
+            total = total + size * chance / chance.sum()
+        assert np.abs(total / total.sum() - row).max() < 1e-4
+
+
+def test_no_documents_and_no_labels(spark, languages):
+    docs = languages.where("doc_id < 0")
+    assert language_cnn.identify_documents(docs).count() == 0 and language_cnn.keep_known(docs).count() == 0
+    unknown = languages.where("doc_id >= 900").selectExpr("doc_id", "text", "cast(null as string) as lang")
+    assert {r["lang_pred"] for r in language_cnn.identify_documents(unknown).collect()} == {"und"}
+    assert {r["doc_id"] for r in language_cnn.keep_known(unknown).collect()} == {903, 904}
+
+
 def test_network_gradients_are_those_of_its_loss():
     rng = np.random.default_rng(1)
     net = language_cnn.ByteNetwork(["a", "b"])
