@@ -120,11 +120,13 @@ class ByteNetwork:
 
     def probabilities(self, data: np.ndarray, at: np.ndarray, tables: list[list[np.ndarray]]) -> np.ndarray:
         """Languages' probabilities of each text (bytes ``data``, offsets ``at``), all its windows averaged by bytes."""
-        texts, gap = len(at) - 1, max(WIDTHS)
+        texts, gap = len(at) - 1, 2 * max(WIDTHS)
         size = np.diff(at)
-        padded = np.zeros(len(data) + gap * (texts + 1), np.uint8)  # filters may end in what follows the last text
+        padded = np.zeros(len(data) + gap * (texts + 1), np.uint8)
         padded[np.arange(len(data)) + np.repeat(gap * np.arange(texts), size)] = data
         begin = at[:-1] + gap * np.arange(texts)
+        # Where a filter would reach into the next text.
+        across = (begin[:, None] + size[:, None] + np.arange(gap - max(WIDTHS) + 1, gap)).ravel()
         count = np.maximum(1, -(-size // WINDOW))
         owner = np.repeat(np.arange(texts), count)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
@@ -143,6 +145,7 @@ class ByteNetwork:
                 out = np.zeros((n, FILTERS), np.float32)
                 for k, table in enumerate(parts):
                     out[:m] += table.take((single if len(table) == 256 else pair)[2 * k : 2 * k + m], axis=0)
+                out[across[np.searchsorted(across, start[low]) : np.searchsorted(across, start[low] + n)] - start[low]] = -np.inf
                 pooled[here, w * FILTERS : (w + 1) * FILTERS] = np.maximum.reduceat(out, start[here] - start[low], axis=0)
             low = high
         active = np.maximum(pooled + self.bias, 0)

@@ -214,7 +214,7 @@ def test_network_tables_answer_as_the_network_does():
         data, total = text.encode(), 0
         for low in range(0, len(data), language_cnn.WINDOW):
             size = min(language_cnn.WINDOW, len(data) - low)
-            places = size + 4 * (low + size == len(data))  # filters begin in the gap after a text, and end in the next window
+            places = size + 5 * (low + size == len(data))  # filters begin in the gap after a text, and end in the next window
             x = net.embedding[np.frombuffer(data[low : low + places + 4].ljust(places + 4, b"\0"), np.uint8)]
             pooled = [np.max([sum(x[i + j] @ f[j] for j in range(len(f))) for i in range(places)], axis=0) for f in net.filters]
             logits = np.maximum(np.concatenate(pooled) + net.bias, 0) @ net.top + net.top_bias
