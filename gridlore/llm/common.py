@@ -65,6 +65,13 @@ def dropped(*tables: DataFrame) -> None:
         folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+def free_name(table: DataFrame, name: str) -> str:
+    """``name``, with underscores after it as long as the table has such a column."""
+    while name.lower() in {c.lower() for c in table.columns}:
+        name += "_"
+    return name
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of the id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import dropped, grams, mix, slices, staged, utf8, words
+from gridlore.llm.common import dropped, free_name, grams, mix, slices, staged, utf8, words
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -461,9 +461,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     linked with nothing, and keep their own id. Repeated rows stay, linked with each other; a null id is larger than
     any other. Words, shingles and sets are told apart by 64-bit digests. Other columns are not read.
     """
+    return _components(docs)[0]
+
+
+def _components(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``jaccard_components``, and the staged tables that it reads."""
     docs = docs.select("doc_id", "text")
     sets = staged(_sets(docs), "sets")
     labels = linked_components(docs, sets)
+    tables = [sets]
     sets = sets.where(F.col("n_shingles").isNotNull()).select("doc_id", "n_shingles", "node")
     nodes = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"))
     nodes = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first")
@@ -472,7 +478,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     dropped(labels)
     joined = sets.where(F.col("node").isNotNull()).join(named, "node").select("doc_id", "n_shingles", "component_id")
     alone = sets.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return joined.unionByName(alone)
+    return joined.unionByName(alone), [*tables, named]
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -480,6 +486,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Rows that repeat an id stand or fall together; rows with a null id stay.
     """
-    found = jaccard_components(docs)
-    others = staged(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__other")).distinct(), "others")
-    return docs.join(_small(others, others.count()), docs["doc_id"] == others["__other"], "left_anti")
+    found, tables = _components(docs)
+    name = free_name(docs, "other")
+    others = staged(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct(), "others")
+    dropped(*tables)
+    return docs.join(_small(others, others.count()), F.col("doc_id") == F.col(name), "left_anti")

@@ -2,8 +2,9 @@
 
 A suffix is kept where a minimiser stands: among the word n-grams of any passage of ``PASSAGE`` words, the one of least
 hash. Equal passages keep equal suffixes at equal places, so every repeat shows among the kept ones, about one word in
-twenty. They are sorted by how they begin and compared with their neighbours; those that begin like a neighbour are
-extended to the left and to the right, word by word, as long as passages of ``PASSAGE`` words around them repeat.
+twenty. They are sorted by how they begin and compared with their neighbours; of a run that begins alike, each suffix is
+extended to the left and to the right against the run's first one, word by word, as far as passages reach whose
+minimiser it is. What that leaves open, passages that the first one does not have, is told by digests of whole passages.
 
 A passage is redundant if it stands at an earlier place as well: in a document of smaller id, or before it in the same
 one without overlap. Documents of the same words are handled once.
@@ -19,25 +20,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import dropped, grams, mix, slices, staged, utf8, words
+from gridlore.llm.common import dropped, free_name, grams, mix, slices, staged, utf8, words
 
 #: Words of the shortest repeat.
 PASSAGE = 50
 #: Words by which a kept suffix is sorted.
 HEAD = 12
+#: Suffixes of a run that are extended in one place; the first of a longer run is sent to several.
+BLOCK = 4096
 #: Documents of a task whose suffixes are known to be listed already; beyond, copies are listed again.
 KNOWN = 500_000
 
 _U = np.uint64
-_PLACE_BITS = 26
+_PLACE_BITS = 32
 
 
-def _spans(heads: np.ndarray, width: int) -> np.ndarray:
+def _spans(heads: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """Hash of each run of ``width`` words, from the hashes of its n-grams."""
     m = len(heads) + HEAD - width
     if m <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(m, np.uint64)
+    total = np.full(m, seed, np.uint64)
     for at in [*range(0, width - HEAD, HEAD), width - HEAD]:
         total = mix(total ^ heads[at : at + m])
     return total
@@ -59,12 +62,17 @@ def _kept(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (least & _U((1 << _PLACE_BITS) - 1)).astype(np.int64), heads
 
 
-def _same(hashes: np.ndarray, a: int, b: int) -> int:
-    """Hash of a document's words, as a signed number: documents of the same words share it."""
-    return int.from_bytes(hashlib.blake2b(hashes[a:b].tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digest(hashes: np.ndarray) -> bytes:
+    """Of a document's words: documents of the same words share it."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-LISTED = "doc_id long, same long, n_words long, n_chars long, heads array<long>, repeated array<long>"
+def _short(digest: bytes) -> int:
+    """A digest's beginning, as a signed number. Suffixes are listed under it; only whole digests make copies."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+LISTED = "doc_id long, same long, digest binary, n_words long, n_chars long, heads array<long>, repeated array<long>"
 
 
 def _listed(docs: DataFrame) -> DataFrame:
@@ -78,22 +86,23 @@ def _listed(docs: DataFrame) -> DataFrame:
                 _, _, hashes, word_at = words(data, at, False)
                 minimiser, heads = _kept(hashes)
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 for a, b in zip(word_at[:-1].tolist(), word_at[1:].tolist(), strict=True):
-                    same = _same(hashes, a, b)
+                    digest = _digest(hashes[a:b])
+                    same = _short(digest)
                     own = again = np.zeros(0, np.uint64)
                     if b - a >= PASSAGE and same not in known:
                         own, times = np.unique(heads[np.unique(minimiser[a : b - PASSAGE + 1])], return_counts=True)
                         again = own[times > 1]
                         if len(known) < KNOWN:
                             known.add(same)
-                    for column, x in zip(out, (same, b - a, own.view(np.int64), again.view(np.int64)), strict=True):
+                    for column, x in zip(out, (same, digest, b - a, own.view(np.int64), again.view(np.int64)), strict=True):
                         column.append(x)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).cast(pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())]
+                    [batch.column(0).cast(pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())]
                     + [pa.array(chars[at[1:]] - chars[at[:-1]], pa.int64())]
-                    + [pa.array(x, pa.list_(pa.int64())) for x in out[2:]],
-                    names=["doc_id", "same", "n_words", "n_chars", "heads", "repeated"],
+                    + [pa.array(x, pa.list_(pa.int64())) for x in out[3:]],
+                    names=[k.split()[0] for k in LISTED.split(", ")],
                 )
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, LISTED)
@@ -121,63 +130,118 @@ def _like_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(same[like]), pa.array(head[like])], names=["same", "head"])
 
 
-WINDOWS = "hash long, doc_id long, place long, start long, end long"
+CONTEXTS = "head long, block int, doc_id long, place long, before int, words binary, starts binary, ends binary"
+
 
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (doc_id, text, same, heads with their blocks) each suffix that begins so, for each of its blocks.
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (doc_id, text, same, heads) all passages whose minimiser begins one of the heads, with their characters."""
+    ``words`` are hashes of all words of the passages whose minimiser it is, ``before`` of which stand before the suffix
+    at ``place``; ``starts`` and ``ends`` are those passages' characters.
+    """
+    names = [k.split()[0] for k in CONTEXTS.split(", ")]
     for whole in batches:
         for batch in slices(whole, 1):
             data, at = utf8(batch.column(1))
             begin, end, hashes, word_at = words(data, at, False)
             minimiser, heads = _kept(hashes)
-            spans = _spans(heads, PASSAGE).view(np.int64)
             chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            found: list[list[np.ndarray]] = [[], [], [], [], []]
-            rows = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True)
+            out: list[list] = [[] for _ in names]
+            rows = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             for k, (doc, same, wanted) in enumerate(rows):
                 a, b = int(word_at[k]), int(word_at[k + 1])
-                if b - a < PASSAGE or _same(hashes, a, b) != same:
+                if b - a < PASSAGE or _short(_digest(hashes[a:b])) != same:
                     continue
-                own = heads[minimiser[a : b - PASSAGE + 1]].view(np.int64)
-                s = a + np.flatnonzero(np.isin(own, wanted.values.to_numpy()))
-                offset = chars[at[k]]
-                for column, x in zip(
-                    found, (spans[s], np.full(len(s), doc, np.int64), s - a, chars[begin[s]] - offset, chars[end[s + PASSAGE - 1]] - offset), strict=True
-                ):
-                    column.append(x)
-            if found[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in found], names=[k.split()[0] for k in WINDOWS.split(", ")])
+                blocks = {w["head"]: w for w in wanted}
+                own = minimiser[a : b - PASSAGE + 1]
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                last = np.append(first[1:], len(own)) - 1
+                seen: set[int] = set()
+                for low, high, p, head in zip((first + a).tolist(), (last + a).tolist(), own[first].tolist(), heads[own[first]].view(np.int64).tolist(), strict=True):
+                    if (w := blocks.get(head)) is None:
+                        continue
+                    row = (doc, p - a, p - low, hashes[low : high + PASSAGE].tobytes())
+                    row += ((chars[begin[low : high + 1]] - chars[at[k]]).tobytes(), (chars[end[low + PASSAGE - 1 : high + PASSAGE]] - chars[at[k]]).tobytes())
+                    for block in range(w["blocks"]) if w["leads"] and head not in seen else (w["block"],):
+                        for column, x in zip(out, (head, block, *row), strict=True):
+                            column.append(x)
+                    seen.add(head)
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
+
+
+MATCHES = "doc_id long, place long, last long, start long, end long, source long, source_start long, hash long, check long"
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From suffixes in order of head, block, document and place, what is redundant, and what is left to be told by digests.
+
+    Redundant: passages from ``place`` to ``last`` that the run's first suffix has, too, and its source. Left open:
+    single passages with their digest and no source.
+    """
+    names = [k.split()[0] for k in MATCHES.split(", ")]
+    lead = None  # the run's first suffix: head and block, document, place, words before it, words, starts
+    listed = False  # whether its own passages are listed, as is needed for repeats that overlap it
+    for batch in batches:
+        out: list[tuple] = []
+
+        def left_open(doc, place, before, own, starts, ends, skip=range(0)):
+            runs = grams(own, HEAD)
+            both = _spans(runs, PASSAGE).view(np.int64), _spans(runs, PASSAGE, 1).view(np.int64)
+            for k in range(len(starts)):
+                if before - k not in skip:
+                    s = place - before + k
+                    out.append((doc, s, s, int(starts[k]), int(ends[k]), None, None, int(both[0][k]), int(both[1][k])))  # noqa: B023
+
+        for head, block, doc, place, before, own, starts, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own, starts, ends = np.frombuffer(own, np.uint64), np.frombuffer(starts, np.int64), np.frombuffer(ends, np.int64)
+            x = (doc, place, before, own, starts, ends)
+            if lead is None or lead[0] != (head, block):
+                lead, listed = ((head, block), *x), False
+                continue
+            _, doc0, place0, before0, own0, starts0, _ = lead
+            if doc == doc0 and place - place0 < PASSAGE:
+                if not listed:
+                    left_open(*lead[1:])
+                    listed = True
+                left_open(*x)
+                continue
+            n = min(before, before0)
+            unlike = np.flatnonzero(own[before - n : before][::-1] != own0[before0 - n : before0][::-1])
+            left = int(unlike[0]) if len(unlike) else n
+            n = min(len(own) - before, len(own0) - before0)
+            unlike = np.flatnonzero(own[before : before + n] != own0[before0 : before0 + n])
+            right = int(unlike[0]) if len(unlike) else n
+            most, least = left, max(PASSAGE - right, before - len(starts) + 1)  # words before the suffix, of passages that both have
+            if least <= most:
+                first, last = before - most, before - least
+                out.append((doc, place - most, place - least, int(starts[first]), int(ends[last]), doc0, int(starts0[before0 - most]), None, None))
+            left_open(*x, range(least, most + 1))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(names))], names=names)
 
 
 SPANS = "doc_id long, start long, end long, n_words long, source_doc_id long, source_start long"
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, place, start, end, source, source start), in order of document and place, to maximal spans."""
-    held: list | None = None  # doc_id, start, end, first place, last place, source, source start
+    """Rows (doc_id, place, last, start, end, source, source start), in order of document and place, to maximal spans."""
+    held: list | None = None
     names = [k.split()[0] for k in SPANS.split(", ")]
 
     def out(rows: list[list]) -> pa.RecordBatch:
-        made = [(d, s, e, q - p + PASSAGE, o, t) for d, s, e, p, q, o, t in rows]
+        made = [(d, s, e, q - p + PASSAGE, o, t) for d, p, q, s, e, o, t in rows]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*made, strict=True) if made else [[]] * 6)], names=names)
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        doc, place, start, end, source, source_start = (np.asarray(c) for c in batch.columns)
-        opens = np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + PASSAGE)])
-        first = np.flatnonzero(opens)
-        last = np.concatenate([first[1:], [len(doc)]]) - 1
-        rows = [list(r) for r in zip(*(x.tolist() for x in (doc[first], start[first], end[last], place[first], place[last], source[first], source_start[first])), strict=True)]
-        if held is not None:
-            if held[0] == rows[0][0] and rows[0][3] <= held[4] + PASSAGE:
-                held[2], held[4] = rows[0][2], rows[0][4]
-                rows[0] = held
+        done = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held is not None and held[0] == row[0] and row[1] <= held[2] + PASSAGE:
+                held[2], held[4] = max(held[2], row[2]), max(held[4], row[4])
             else:
-                rows.insert(0, held)
-        held = rows.pop()
-        yield out(rows)
+                if held is not None:
+                    done.append(held)
+                held = list(row)
+        yield out(done)
     if held is not None:
         yield out([held])
 
@@ -189,31 +253,46 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     the span's first ``PASSAGE`` words. A document of the same words as one of smaller id, and of ``PASSAGE`` words at
     least, is one span from 0 to its end. Null and shorter texts have no passage. Rows that repeat an id and its text
     count once; rows that repeat an id with other texts are judged by the least of them alone. Rows with a null id are
-    left out. Other columns are not read.
+    left out. Other columns are not read. Texts of any length are taken whole.
     """
+    return _repeats(docs)[0]
+
+
+def _repeats(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``repeated_passages``, and the staged tables that it reads."""
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     listed = staged(_listed(docs), "suffixes")
     long = listed.where(F.col("n_words") >= PASSAGE)
-    nodes = long.groupBy("same").agg(F.min("doc_id").alias("first"))
+    nodes = long.groupBy("same", "digest").agg(F.min("doc_id").alias("first"))
 
     suffixes = long.select(F.explode("heads").alias("head"), "same")
     alike = suffixes.repartition("head").sortWithinPartitions("head", "same").mapInArrow(_like_neighbours, "same long, head long")
-    alike = alike.unionByName(long.select("same", F.explode("repeated").alias("head")))
-    heads = alike.groupBy("same").agg(F.collect_set("head").alias("heads"))  # of one document each
-    wanted = staged(heads.join(nodes, "same").select(F.col("first").alias("doc_id"), "same", "heads"), "heads")
+    alike = alike.unionByName(long.select("same", F.explode("repeated").alias("head"))).distinct()
+    alike = staged(alike.join(nodes, "same").select("head", "same", F.col("first").alias("doc_id")), "alike")
+    runs = alike.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("doc_id").alias("lead"))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")
+    placed = alike.join(runs, "head").select("doc_id", "same", F.struct("head", block, "blocks", (F.col("doc_id") == F.col("lead")).alias("leads")).alias("head"))
+    wanted = staged(placed.groupBy("doc_id", "same").agg(F.collect_list("head").alias("heads")), "heads")  # of one document each
+    dropped(alike)
     # Merged at every size: left to itself, Spark sends the heads of small inputs to every executor.
-    texts = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "same", "heads")
-    windows = staged(texts.mapInArrow(_windows, WINDOWS), "passages")
-    firsts = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "place", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = staged(firsts.select("hash", F.col("first.doc_id").alias("source"), F.col("first.place").alias("source_place"), F.col("first.start").alias("source_start")), "passage_firsts")
+    texts = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "same", "heads").mapInArrow(_contexts, CONTEXTS)
+    order = ("head", "block", "doc_id", "place")
+    matches = staged(texts.repartition("head", "block").sortWithinPartitions(*order).mapInArrow(_extended, MATCHES), "matches")
+    dropped(wanted)
+
+    open_ones = matches.where(F.col("hash").isNotNull())
+    firsts = open_ones.groupBy("hash", "check").agg(F.min(F.struct("doc_id", "place", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = firsts.select("hash", "check", F.col("first.doc_id").alias("source"), F.col("first.place").alias("source_place"), F.col("first.start").alias("source_start"))
     later = (F.col("doc_id") != F.col("source")) | (F.col("place") >= F.col("source_place") + PASSAGE)
-    redundant = windows.join(firsts, "hash").where(later).select("doc_id", "place", "start", "end", "source", "source_start")
+    columns = ["doc_id", "place", "last", "start", "end", "source", "source_start"]
+    redundant = open_ones.drop("source", "source_start").join(firsts, ["hash", "check"]).where(later).select(columns)
+    redundant = redundant.unionByName(matches.where(F.col("hash").isNull()).select(columns))
     spans = redundant.repartition("doc_id").sortWithinPartitions("doc_id", "place", "source").mapInArrow(_merged, SPANS)
 
-    copies = long.join(nodes, "same").where(F.col("doc_id") != F.col("first")).select(
+    copies = long.join(nodes, ["same", "digest"]).where(F.col("doc_id") != F.col("first")).select(
         "doc_id", F.lit(0).cast("long").alias("start"), F.col("n_chars").alias("end"), "n_words", F.col("first").alias("source_doc_id"), F.lit(0).cast("long").alias("source_start")
     ).dropDuplicates(["doc_id"])
-    return spans.unionByName(copies)
+    return spans.unionByName(copies), [listed, matches]
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -222,9 +301,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     ``n_chars``, if there is such a column, follows the text. Rows without a redundant passage stay as they are, also
     those with a null text or id; of rows that repeat an id all lose the spans found for it.
     """
-    spans = staged(repeated_passages(docs), "spans")
-    by_doc = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))  # of one document each
-    joined = docs.join(by_doc, F.col("doc_id") == F.col("__id"), "left")
+    found, tables = _repeats(docs)
+    spans_name, id_name = free_name(docs, "spans"), free_name(docs, "id")
+    by_doc = staged(found.groupBy(F.col("doc_id").alias(id_name)).agg(F.collect_list(F.struct("start", "end")).alias(spans_name)), "spans")  # of one document each
+    dropped(*tables)
+    joined = docs.join(by_doc, F.col("doc_id") == F.col(id_name), "left")
     names = docs.columns
     kinds = dict(docs.dtypes)
 
@@ -247,7 +328,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names)
-    return joined.select(*(docs[n] for n in names), "__spans").mapInArrow(cut, schema)
+    return joined.select(*(F.col(f"`{n}`") for n in names), spans_name).mapInArrow(cut, schema)
 
 
 def _left(text: str, spans: list[dict]) -> str | None:

@@ -175,3 +175,48 @@ def test_runs_across_batches(monkeypatch, long_run):
         assert got == {(min(s), n) for s in by_key.values() if len(s) > 1 for n in s if n != min(s)}
         alike = Counter(passed(S._like_neighbours, batches))
         assert alike == Counter((n, k) for k, s in by_key.items() if len(s) > 1 for n in s)
+
+
+def thue_morse(n, a, b):
+    """Sequences over two parts of which sums of powers modulo 2**64 are alike, whatever the base."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return [b if x else a for x in bits], [a if x else b for x in bits]
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_and_texts_that_sums_modulo_two_to_the_64_confuse(make_docs, n):
+    """Nothing is taken for a copy but what is one."""
+    x, y = ("".join(w) for w in thue_morse(n, "a", "b"))
+    p, q = (" ".join(w) for w in thue_morse(n, "ta", "ri"))
+    texts = [f"{x} one two three four", f"{y} one two three four", f"{p} {prose(1, 3)}", f"{q} {prose(1, 3)}"]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(make_docs(texts[:2])).collect()}
+    assert got == {0: 0, 1: 1}
+    spans = {}
+    for r in repeated_passages(make_docs(texts)).collect():
+        spans.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    assert {d: sorted(s) for d, s in spans.items()} == brute_repeats(texts)
+
+
+def test_columns_of_any_name_and_repeated_rows(spark):
+    """Columns that are named as the operators' own stay; rows that repeat an id stand or fall together."""
+    text, other = prose(1, 90), prose(2, 90)
+    rows = [(0, text, 1, 2, 3, 4), (1, text, 1, 2, 3, 4), (1, text, 1, 2, 3, 4), (2, other, 1, 2, 3, 4), (2, other, 1, 2, 3, 4), (None, other, 1, 2, 3, 4), (3, prose(3, 60) + " " + other, 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int, id int, other int, head int")
+    kept, cut = keep_first(docs), without_repeats(docs)
+    assert kept.columns == cut.columns == docs.columns
+    assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in kept.collect()) == [-1, 0, 2, 2, 3]
+    left = {(r["doc_id"], r["text"]) for r in cut.collect()}
+    assert left == {(0, text), (2, other), (None, other), (3, prose(3, 60) + " ")}
+
+
+def test_long_runs_are_split(make_docs, monkeypatch):
+    """The first suffix of a run is sent to several places; the result stays."""
+    from gridlore.llm import suffix_dedup as S
+
+    passage = prose(20, 70)
+    texts = [prose(100 + k, 8 + k % 30) + " " + passage + " " + prose(200 + k // 3, 30) for k in range(60)]
+    monkeypatch.setattr(S, "BLOCK", 7)
+    got = {}
+    for r in repeated_passages(make_docs(texts)).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    assert {d: sorted(s) for d, s in got.items()} == brute_repeats(texts)
