@@ -1,9 +1,10 @@
 """Nearest neighbours by few stable projections indexed in a kd-tree (after SRS, Sun et al. 2014).
 
-Largest inner product is turned into least distance by one more coordinate. Gaussian projections to ``PROJECTIONS``
-numbers keep distances up to a chi-square factor. The projected points of a block stand in a kd-tree; a query meets
-its leaves from near to far, verifies their points on the original vectors, and stops once a chi-square test says that
-a point nearer than the k-th found would have been met already.
+Largest inner product is turned into least distance by one more coordinate and by scaling each query to the largest
+norm. Gaussian projections to ``PROJECTIONS`` numbers keep distances up to a chi-square factor. The projected points of
+a block stand in a kd-tree; a query meets its leaves from near to far, and their points by projected distance. Points
+are verified on the original vectors until a chi-square test says that a point nearer than the k-th found would have
+been met already.
 """
 
 from __future__ import annotations
@@ -14,24 +15,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: An even number, for the chi-square distribution in closed form.
-PROJECTIONS = 8
+PROJECTIONS = 16
 #: Chance with which each true neighbour has been met when a search stops.
-CERTAINTY = 0.97
-LEAF = 256
+CERTAINTY = 0.93
+LEAF = 64
+#: Leaves that are met together at first, and points that are verified together; both grow fourfold as a search goes on.
+LEAVES = 16
+VERIFIED = 256
 #: Rows of an index block, and queries that meet a block at once.
 BLOCK = 32768
 QUERY_BLOCK = 4096
 
 
-def chi_square(x: np.ndarray | float) -> np.ndarray | float:
-    """Distribution function with ``PROJECTIONS`` degrees of freedom."""
+def chi_square(x: np.ndarray | float, degrees: int = 8) -> np.ndarray | float:
+    """Distribution function with an even number of degrees of freedom."""
     half, term, total = np.asarray(x) / 2, 1.0, 1.0
-    for i in range(1, PROJECTIONS // 2):
+    for i in range(1, degrees // 2):
         term = term * half / i
         total = total + term
     return 1 - np.exp(-half) * total
 
 
+def chi_square_limit(chance: float, degrees: int) -> float:
+    """Where the distribution function reaches ``chance``."""
+    low, high = 0.0, 1000.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, degrees) < chance else (low, middle)
+    return high
+
+
 class ProjectedTree:
     """The distinct vectors of a block, by the leaves of a kd-tree over their projections."""
 
@@ -63,32 +76,44 @@ class ProjectedTree:
         self.bounds = np.concatenate([[0], np.cumsum([len(r) for r in leaves])])
         self.low = np.array([projected[r].min(0) for r in leaves])
         self.high = np.array([projected[r].max(0) for r in leaves])
-        self.x, self.copies = x[order], [copies[i] for i in order]
+        self.x, self.copies, self.projected = x[order], [copies[i] for i in order], projected[order]
         self.first = np.array([c[0] for c in self.copies])
+        self.limit = chi_square_limit(CERTAINTY, PROJECTIONS)
+        self.asked = self.verified = 0  # queries, and points that they were compared with on the original vectors
 
     def nearest(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and inner products of the k nearest found, without the query's own row."""
-        p = q @ self.axes
+        scale = np.sqrt(self.largest / (q * q).sum())  # keeps the order, and sets near points off from far ones
+        p = q @ self.axes * scale
         away = np.maximum(np.maximum(self.low - p, p - self.high), 0.0)
         away = (away * away).sum(1)
         order = np.argsort(away, kind="stable")
-        base = (q * q).sum() + self.largest
         want = k + 1  # one of them may be the query's own vector
-        rows = np.zeros(0, np.int64)
-        score = np.zeros(0)
-        for place in range(0, len(order), 4):
-            if len(rows) == want:
-                reach = max(base - 2 * score[-1], 0.0)
-                if away[order[place]] > 0 and chi_square(away[order[place]] / max(reach, 1e-300)) >= CERTAINTY:
+        rows, score = np.zeros(0, np.int64), np.zeros(0)
+        self.asked += 1
+        place, leaves, together = 0, LEAVES, VERIFIED
+        while place < len(order) and away[order[place]] <= self._reach(score, scale, want):
+            met = order[place : place + leaves]
+            met = met[away[met] <= self._reach(score, scale, want)]
+            place, leaves = place + leaves, 4 * leaves
+            size = self.bounds[met + 1] - self.bounds[met]
+            near = np.arange(size.sum()) + np.repeat(self.bounds[met] - np.cumsum(size) + size, size)
+            apart = self.projected[near] - p
+            apart = np.einsum("ij,ij->i", apart, apart)
+            within = np.flatnonzero(apart <= self._reach(score, scale, want))
+            within = within[np.argsort(apart[within], kind="stable")]
+            near, apart = near[within], apart[within]
+            at = 0
+            while at < len(near):
+                stop = min(at + together, int(np.searchsorted(apart, self._reach(score, scale, want), "right")))
+                if stop <= at:
                     break
-            found, scores = [rows], [score]
-            for leaf in order[place : place + 4]:
-                a, b = self.bounds[leaf], self.bounds[leaf + 1]
-                found.append(np.arange(a, b))
-                scores.append(self.x[a:b] @ q)
-            rows, score = np.concatenate(found), np.concatenate(scores)
-            best = np.lexsort((self.first[rows], -score))[:want] if len(rows) <= 4 * want else self._best(rows, score, want)
-            rows, score = rows[best], score[best]
+                found = near[at:stop]
+                self.verified += len(found)
+                rows, score = np.concatenate([rows, found]), np.concatenate([score, self.x[found] @ q])
+                best = self._best(rows, score, want) if len(rows) > want else np.lexsort((self.first[rows], -score))
+                rows, score = rows[best], score[best]
+                at, together = stop, 4 * together
         exact = (self.x[rows] * q).sum(1)  # the same sum wherever a vector stands, so that copies tie
         ids = np.concatenate([self.copies[r] for r in rows] or [np.zeros(0, np.int64)])
         exact = np.repeat(exact, [len(self.copies[r]) for r in rows])
@@ -97,6 +122,12 @@ class ProjectedTree:
         best = np.lexsort((ids, -exact))[:k]
         return ids[best], exact[best]
 
+    def _reach(self, score: np.ndarray, scale: float, want: int) -> float:
+        """Projected distance (squared) beyond which the chi-square test rules points out."""
+        if len(score) < want:
+            return np.inf
+        return self.limit * max(2 * self.largest - 2 * scale * score[-1], 0.0)
+
     def _best(self, rows: np.ndarray, score: np.ndarray, want: int) -> np.ndarray:
         least = -np.partition(-score, want - 1)[want - 1]
         near = np.flatnonzero(score >= least - 1e-9 * (1 + abs(least)))
