@@ -65,6 +65,13 @@ def dropped(*tables: DataFrame) -> None:
         folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers get 1,000 rows at once, where the session has Spark's default of 10,000: whole texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def free_name(table: DataFrame, name: str) -> str:
     """``name``, with underscores after it as long as the table has such a column."""
     while name.lower() in {c.lower() for c in table.columns}:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlore.llm.common import small_batches
+
 
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
@@ -15,6 +17,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
