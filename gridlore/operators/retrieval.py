@@ -173,13 +173,13 @@ def hit_ranks(graded_rows: DataFrame, rank: str, keys: tuple[str, ...] = ("query
 def keyword_coverage(ranked: DataFrame, keywords: DataFrame, rank: str, k: int) -> DataFrame:
     """Share of each query's keywords that some text of rank k or better holds, and success against its threshold.
 
-    keywords: query_id, keywords, threshold (null: 1). No keywords are no coverage.
+    keywords: query_id, keywords, threshold (null: 1). A query without keywords has coverage 0 and no success.
     """
-    each = keywords.select("query_id", F.coalesce("threshold", F.lit(1.0)).alias("threshold"), F.explode("keywords").alias("keyword"))
+    each = keywords.select("query_id", F.coalesce("threshold", F.lit(1.0)).alias("threshold"), F.explode_outer("keywords").alias("keyword"))
     top = ranked.where(F.col(rank) <= k).select("query_id", "text")
     met = each.join(top, "query_id", "left").groupBy("query_id", "threshold", "keyword").agg(F.coalesce(F.bool_or(F.contains("text", F.col("keyword"))), F.lit(False)).alias("found"))
-    out = met.groupBy("query_id", "threshold").agg((F.count_if("found") / F.count("*")).alias("coverage"))
-    return out.select("query_id", "coverage", (F.col("coverage") >= F.col("threshold")).alias("success"))
+    out = met.groupBy("query_id", "threshold").agg((F.count_if("found") / F.count("*")).alias("coverage"), (F.count("keyword") > 0).alias("asked"))
+    return out.select("query_id", "coverage", ((F.col("coverage") >= F.col("threshold")) & F.col("asked")).alias("success"))
 
 
 def order_unchanged(ranked: DataFrame) -> DataFrame:

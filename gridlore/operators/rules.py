@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -173,6 +173,21 @@ def anomalies(readings: DataFrame, t: Thresholds = Thresholds(), keys: tuple[str
 
 
 def price_bands(readings: DataFrame, exact: bool = True) -> DataFrame:
-    """Each dataset's prices above which a price is high, and below which it is low (upper and lower quartile)."""
-    at = (lambda p: F.percentile("electricity_price", F.lit(p))) if exact else (lambda p: F.percentile_approx("electricity_price", p, 10_000).cast("double"))
-    return readings.groupBy("dataset_id").agg(at(0.75).alias("price_high"), at(0.25).alias("price_low"))
+    """Each dataset's prices above which a price is high, and below which it is low (upper and lower quartile).
+
+    Readings are counted by price before they are shuffled; null prices count for nothing.
+    """
+    price = "electricity_price"
+    if not exact:
+        at = lambda p: F.percentile_approx(price, p, 10_000).cast("double")
+        return readings.groupBy("dataset_id").agg(at(0.75).alias("price_high"), at(0.25).alias("price_low"))
+    counts = readings.groupBy("dataset_id", price).agg(F.count(price).alias("n"))
+    of = Window.partitionBy("dataset_id")
+    up_to = F.sum("n").over(of.orderBy(price).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.select("dataset_id", price, up_to.alias("up_to"), F.sum("n").over(of).alias("total"))
+    place = lambda p: F.lit(p) * (F.col("total") - 1)
+    at = lambda k: F.min(F.when(F.col("up_to") > k, F.col(price)))
+    ends = ((name, p, near, end) for name, p in (("high", 0.75), ("low", 0.25)) for near, end in ((F.floor, "a"), (F.ceil, "b")))
+    found = placed.groupBy("dataset_id", "total").agg(*(at(near(place(p))).alias(f"{name}_{end}") for name, p, near, end in ends))
+    between = lambda name, p: F.when(F.col(f"{name}_a") == F.col(f"{name}_b"), F.col(f"{name}_a")).otherwise((F.ceil(place(p)) - place(p)) * F.col(f"{name}_a") + (place(p) - F.floor(place(p))) * F.col(f"{name}_b"))
+    return found.select("dataset_id", between("high", 0.75).alias("price_high"), between("low", 0.25).alias("price_low"))

@@ -26,12 +26,28 @@ def periods(readings: DataFrame, rules: list[str] | None = None, t: Thresholds =
 
 
 def cycle_trend(readings: DataFrame, days: int = 7) -> DataFrame:
-    """Each reading with the least and largest cycle count of its site over the days before it, the reading included."""
+    """Each reading with the least and largest cycle count of its site over the days before it, the reading included.
+
+    Whole hours in between count by their extremes; the hour at either edge by its readings, which are dealt by site and
+    hour: each reading is also given to the hour for which it stands at the far edge.
+    """
+    reach, cycles = days * 24, F.col("battery_cycle_count")
     seconds = F.unix_seconds(F.col("timestamp").cast("timestamp"))
-    past = Window.partitionBy("site_id").orderBy("seconds").rangeBetween(-days * 86400, 0)
-    rows = readings.select("id", "site_id", "timestamp", "battery_cycle_count", seconds.alias("seconds"))
-    low, high = F.min("battery_cycle_count").over(past), F.max("battery_cycle_count").over(past)
-    return rows.select("id", "site_id", "timestamp", low.alias("cycles_low"), high.alias("cycles_high"), (high - low).alias("cycles_spread"))
+    rows = readings.select("id", "site_id", "timestamp", cycles.alias("now"), F.lit(None).cast(readings.schema["battery_cycle_count"].dataType).alias("past"), seconds.alias("seconds"))
+    hour = F.floor(F.col("seconds") / 3600)
+    hours = rows.withColumn("hour", hour).groupBy("site_id", "hour").agg(F.min("now").alias("low"), F.max("now").alias("high"))
+    # Hours without readings of their own need no row: only those of readings are asked for.
+    between = Window.partitionBy("site_id").orderBy("hour").rangeBetween(1 - reach, -1)
+    hours = hours.select(F.col("site_id").alias("site"), F.col("hour").alias("of"), F.min("low").over(between).alias("low"), F.max("high").over(between).alias("high"))
+    gone = rows.select("id", "site_id", "timestamp", F.lit(None).cast(rows.schema["now"].dataType).alias("now"), F.col("now").alias("past"), (F.col("seconds") + reach * 3600).alias("seconds"))
+    both = rows.withColumn("own", F.lit(True)).unionByName(gone.withColumn("own", F.lit(False))).withColumn("hour", hour)
+    edge = Window.partitionBy("site_id", "hour")
+    so_far = edge.orderBy("seconds").rangeBetween(Window.unboundedPreceding, 0)
+    still = edge.orderBy(F.desc("seconds")).rangeBetween(Window.unboundedPreceding, 0)
+    seen = both.select("id", "site_id", "timestamp", "hour", "own", *(f("now").over(so_far).alias(f"now_{n}") for f, n in ((F.min, "low"), (F.max, "high"))), *(f("past").over(still).alias(f"past_{n}") for f, n in ((F.min, "low"), (F.max, "high"))))
+    met = seen.where("own").join(hours, F.col("site_id").eqNullSafe(F.col("site")) & (F.col("hour") == F.col("of")), "left")
+    low, high = F.least("low", "now_low", "past_low"), F.greatest("high", "now_high", "past_high")
+    return met.select("id", "site_id", "timestamp", low.alias("cycles_low"), high.alias("cycles_high"), (high - low).alias("cycles_spread"))
 
 
 def load_peaks(readings: DataFrame, k: int = 5) -> DataFrame:

@@ -78,51 +78,70 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _pointers(spark: SparkSession, table: str) -> list[str]:
+    """Names of the table's pointers, the newest last."""
+    fs, p = _fs(spark, table)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.getPath().getName().startswith("CURRENT-")) if fs.exists(p) else []
+
+
 def current(spark: SparkSession, table: str, schema) -> DataFrame:
-    """The table's committed snapshot; empty before the first."""
-    fs, p = _fs(spark, f"{table}/CURRENT")
-    if not fs.exists(p):
+    """The table's committed snapshot, which the newest pointer names; empty before the first."""
+    pointers = _pointers(spark, table)
+    if not pointers:
         return spark.createDataFrame([], schema)
-    name = spark.read.text(f"{table}/CURRENT").first()[0]
+    name = spark.read.text(f"{table}/{pointers[-1]}").first()[0]
     return spark.read.schema(schema).parquet(f"{table}/{name}")
 
 
 def commit(df: DataFrame, table: str) -> None:
-    """Write ``df`` as a new snapshot, then swap the pointer."""
+    """Write ``df`` as a new snapshot, then a pointer of the next number, by one rename; older pointers go last.
+
+    Whatever fails on the way, the newest pointer names a whole snapshot. The one before it stays, for readers that
+    have just found it.
+    """
     spark = df.sparkSession
     name = f"snapshot-{uuid.uuid4().hex}"
     df.write.parquet(f"{table}/{name}")
-    fs, new = _fs(spark, f"{table}/CURRENT.{uuid.uuid4().hex}")
+    before = _pointers(spark, table)
+    number = int(before[-1].partition("-")[2]) + 1 if before else 1
+    fs, new = _fs(spark, f"{table}/.pointer-{uuid.uuid4().hex}")
     out = fs.create(new)
     out.write(bytearray(name.encode()))
     out.close()
-    _, pointer = _fs(spark, f"{table}/CURRENT")
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    fs.rename(new, pointer)
+    if not fs.rename(new, _fs(spark, f"{table}/CURRENT-{number:012}")[1]):
+        raise OSError(f"{table}: another writer has committed snapshot {number}")
+    for old in before[:-1]:
+        fs.delete(_fs(spark, f"{table}/{old}")[1], False)
 
 
 # -------------------------------------------------------------------- upserts
 
 
-def prepared(chunks: DataFrame, document_hash: Column, document_id: Column) -> DataFrame:
-    """Chunks with their identity and hashes; one of each identity."""
+def prepared(chunks: DataFrame, document_hash: Column, document_id: Column, pages: DataFrame | None = None) -> DataFrame:
+    """Chunks with their identity and hashes; one of each identity.
+
+    With ``pages``, the map of labels has the PDF page numbers of the chunk's range; else labels stand for themselves.
+    """
     label = F.map_from_entries(F.transform("printed_page_number_list", lambda x: F.struct(x.alias("key"), x.alias("value"))))
     out = chunks.withColumns({"embedding_content_hash": content_hash(F.col("text")), "printed_page_number_map": label, "document_id": document_id})
     out = out.withColumns(
         {
-            "chunk_metadata_hash": metadata_hash(F.to_json("printed_page_number_map"), F.col("section_title"), F.col("table_title")),
+            "chunk_metadata_hash": metadata_hash(F.col("printed_page_number_list"), F.col("section_title"), F.col("table_title")),
             "chunk_id": chunk_id(document_hash, F.col("strategy_name"), F.col("chunk_type"), F.col("page_index_start"), F.col("page_index_end"), F.col("embedding_content_hash")),
         }
     )
-    return out.dropDuplicates(["chunk_id"])
+    out = out.dropDuplicates(["chunk_id"])
+    if pages is None:
+        return out
+    names = out.columns
+    return out.drop("printed_page_number_map").join(page_label_map(out, pages), "chunk_id", "left").select(names)
 
 
 def page_label_map(chunks: DataFrame, pages: DataFrame) -> DataFrame:
-    """chunk_id and its map of page index to printed label: pages within the chunk's range."""
-    met = chunks.select("chunk_id", "source_filename", "page_index_start", "page_index_end").join(pages.select("source_filename", "page_index", "printed_page_number"), "source_filename")
+    """chunk_id and its map of PDF page number to printed label: pages within the chunk's range."""
+    met = chunks.select("chunk_id", "source_filename", "page_index_start", "page_index_end").join(pages.select("source_filename", "page_index", "pdf_page_number", "printed_page_number"), "source_filename")
     met = met.where(F.col("page_index").between(F.col("page_index_start"), F.col("page_index_end")))
-    entries = F.array_sort(F.collect_list(F.struct(F.col("page_index").cast("string").alias("key"), F.col("printed_page_number").alias("value"))))
+    entries = F.array_sort(F.collect_list(F.struct(F.col("pdf_page_number").cast("string").alias("key"), F.col("printed_page_number").alias("value"))))
     return met.groupBy("chunk_id").agg(F.map_from_entries(entries).alias("printed_page_number_map"))
 
 
@@ -210,11 +229,13 @@ def state_counts(stored: DataFrame, keys: tuple[str, ...] = ("document_id", "str
     return counts.withColumn("decision", decision)
 
 
-def cutover(stored: DataFrame, documents: DataFrame, document_id: int, strategy: str) -> tuple[str, DataFrame]:
+def cutover(stored: DataFrame, documents: DataFrame, document_id: int, strategy: str, failed: DataFrame | None = None) -> tuple[str, DataFrame]:
     """Outcome and next snapshot: the version's chunks active, those of the document it supersedes inactive.
 
-    Raises ``ChunkStateError`` where the version is partly active. Nothing is written here, so a failure changes nothing.
+    With ``failed`` chunks of its upsert the version stays inactive, and the one before it active. Raises ``ChunkStateError`` where the version is partly active. Nothing is written here, so a failure changes nothing.
     """
+    if failed is not None and not failed.isEmpty():
+        return "failed_chunks", stored
     own = stored.where((F.col("document_id") == document_id) & (F.col("strategy_name") == strategy))
     state = state_counts(own).head(1)
     if not state:

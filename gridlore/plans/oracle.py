@@ -184,7 +184,7 @@ def oracle_sql() -> dict[str, str]:
         ) + ") GROUP BY strategy_name",
         "content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
         "chunk_id": "SELECT doc_id, sha256(concat_ws(':', source, 'fixed_600_100', 'prose', CAST(doc_id AS VARCHAR), CAST(doc_id AS VARCHAR), sha256(text))) AS chunk_id FROM documents",
-        "metadata_hash": """SELECT doc_id, sha256('{"printed_page_number_map":["' || CAST(doc_id AS VARCHAR) || '"],"section_title":' || coalesce('"' || lang || '"', 'null') || ',"table_title":null}') AS metadata_hash FROM documents""",
+        "metadata_hash": """SELECT doc_id, sha256('{"printed_page_number_list": ["' || CAST(doc_id AS VARCHAR) || '"], "section_title": ' || coalesce('"' || lang || '"', 'null') || ', "table_title": null}') AS metadata_hash FROM documents""",
         "sentence_split": r"SELECT doc_id, CAST(length(regexp_replace(text, '[^。！？.!?]', '', 'g')) + CAST(NOT regexp_matches(text, '[。！？.!?]$') AND text <> '' AS INTEGER) AS INTEGER) AS sentences FROM documents",
         "upsert_plan": "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'insert' WHEN doc_id % 2 = 0 THEN 'update_metadata' ELSE 'skip' END AS action FROM documents",
         "duplicate_content": "SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc_id FROM documents GROUP BY 1 HAVING count(*) > 1",

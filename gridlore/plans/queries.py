@@ -392,7 +392,8 @@ def case_similarity(spark, sf_dir):
     n = F.col("vec_id")
     cases = embeddings(spark, sf_dir).select(n.alias("case_id"), F.concat(F.lit("type_"), (n % 3).cast("string")).alias("event_type"), F.array(F.concat(F.lit("t"), (n % 4).cast("string")), F.concat(F.lit("u"), (n % 5).cast("string"))).alias("tags"), "embedding")
     first = cases.where(F.col("case_id") == 0).first()
-    out = retrieval.similar_cases(cases, {"event_type": "type_0", "tags": ["t0", "u0"], "embedding": first["embedding"]}, 10)
+    asked = {"event_type": "type_0", "tags": ["t0", "u0"], "embedding": first["embedding"]} if first else None
+    out = retrieval.similar_cases(cases if asked else cases.limit(0), asked or {"event_type": "type_0", "tags": [], "embedding": [1.0]}, 10)
     return out.select("case_id", "event_type", F.round("score", 6).alias("score"), F.array_join("matching", ",").alias("matching"), F.array_join("differing", ",").alias("differing"))
 
 

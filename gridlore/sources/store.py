@@ -117,8 +117,10 @@ def ingest_csv(spark: SparkSession, store: str, path: str, name: str | None = No
         warnings = [r.asDict() for r in energy_csv.warnings_of(rows, missing).collect()]
         kept = energy_csv.accepted(rows)
         extent = rows.agg(F.count("*").alias("n"), F.count("timestamp").alias("kept"), F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
-        dataset_id = (datasets(spark, store).agg(F.max("id")).first()[0] or 0) + 1
-        base = series(spark, store).agg(F.max("id")).first()[0] or 0
+        taken = series(spark, store).agg(F.max("id"), F.max("dataset_id")).first()
+        base = taken[0] or 0
+        # Rows of an upload that failed before its catalogue row was written keep their dataset's id to themselves.
+        dataset_id = max(datasets(spark, store).agg(F.max("id")).first()[0] or 0, taken[1] or 0) + 1
         numbered = kept.withColumn("id", F.row_number().over(Window.orderBy("row")).cast("long") + base)
         numbered = numbered.select("id", F.lit(dataset_id).cast("long").alias("dataset_id"), *ENERGY_COLUMNS)
         numbered.write.mode("append").partitionBy("dataset_id").parquet(f"{store}/series")

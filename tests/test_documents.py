@@ -174,6 +174,32 @@ class Stub:
         return [[1.0, 2.0, 3.0] for _ in texts]
 
 
+def test_caption_at_the_end_of_a_page(spark):
+    """Its rows are those on the next page; neither they nor the caption are lost."""
+    found = of(chunks(spark, ["前言。\n表 3-1 電池系統組成", "項目\n電壓\n3.381\n容量"], 400), "table")
+    assert len(found) == 1 and found[0]["text"].split() == ["表", "3-1", "電池系統組成", "項目", "電壓", "3.381", "容量"]
+    assert found[0]["text"].replace("\n\n", "\n").split("\n") == ["表 3-1 電池系統組成", "項目", "電壓", "3.381", "容量"]
+
+
+def test_rows_of_captioned_tables(spark):
+    """Few blank lines may stand before the first of three rows, none between them; some ends of lines are no rows'."""
+    caption = "表 3-1 電池系統組成"
+    assert not of(chunks(spark, ["\n".join([caption, "項目", "電壓", "", "容量"])], 400), "table")
+    assert not of(chunks(spark, ["\n".join([caption, "項目", "說明：", "電壓", "容量"])], 400), "table")
+    assert of(chunks(spark, ["\n".join([caption, "", "", "項目", "電壓", "容量", "", "其他"])], 400), "table")[0]["text"].endswith("其他")
+    inside = of(chunks(spark, ["\n".join([caption, "項目", "電壓", "容量", "表 3-2 容量 ..... 16", "其他"])], 400), "table")
+    assert len(inside) == 1 and "其他" in inside[0]["text"]
+
+
+def test_metadata_hash_is_that_of_json_text(spark):
+    import hashlib
+
+    for labels, section, table in ((["1", None, "ii"], '第 3 章 "x"\n\\', None), ([], None, "表 3-1"), (["9"], "a", "b")):
+        text = json.dumps({"printed_page_number_list": labels, "section_title": section, "table_title": table}, sort_keys=True, ensure_ascii=False)
+        row = spark.createDataFrame([(labels, section, table)], "l array<string>, s string, t string")
+        assert row.select(metadata_hash(F.col("l"), F.col("s"), F.col("t"))).first()[0] == hashlib.sha256(text.encode()).hexdigest()
+
+
 def new_chunks(spark, texts, doc=1, title="T"):
     rows = [("x", f"d{doc}", "prose", t, len(t), 0, 0, 1, 1, ["1"], title, "s", None) for t in texts]
     from gridlore.schemas import CHUNKS
@@ -223,6 +249,42 @@ def test_version_life(spark, tmp_path, monkeypatch):
     assert versions.stale(stored(spark, tmp_path), versions.HashProvider()).count() == 4
 
 
+def test_a_failed_pointer_leaves_the_current_snapshot(spark, tmp_path, monkeypatch):
+    upsert(spark, tmp_path, new_chunks(spark, ["a"]))
+    before, whole = versions._fs, stored(spark, tmp_path)
+
+    def broken(session, path):
+        if "CURRENT-" in path:
+            raise OSError("stop")
+        return before(session, path)
+
+    monkeypatch.setattr(versions, "_fs", broken)
+    with pytest.raises(OSError):
+        versions.commit(whole.limit(0), f"{tmp_path}/chunks")
+    monkeypatch.setattr(versions, "_fs", before)
+    assert stored(spark, tmp_path).count() == 1
+    for n in (0, 1, 0):  # and later ones follow each other
+        versions.commit(whole.limit(n), f"{tmp_path}/chunks")
+        assert stored(spark, tmp_path).count() == n
+
+
+def test_failed_chunks_keep_a_version_from_going_live(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "f", "hash1", 1, NOW, None)], DOCUMENTS)
+    upsert(spark, tmp_path, new_chunks(spark, ["a", "b"]))
+    table = stored(spark, tmp_path)
+    outcome, out = versions.cutover(table, docs, 1, "s", table.limit(1).select("chunk_id"))
+    assert outcome == "failed_chunks" and out.where("is_active").count() == 0
+    assert versions.cutover(table, docs, 1, "s", table.limit(0).select("chunk_id"))[0] == "activated"
+
+
+def test_labels_by_pdf_page(spark):
+    from gridlore.schemas import CHUNKS
+
+    rows = [("x", "doc", "prose", "t", 1, 0, 1, 1, 2, ["9", "10"], None, "s", None)]
+    got = versions.prepared(spark.createDataFrame(rows, CHUNKS), F.lit("h"), F.lit(1).cast("long"), pages(spark, ["a", "b", "c"])).first()
+    assert got["printed_page_number_map"] == {"1": "9", "2": "10"}
+
+
 def test_a_failed_write_leaves_the_current_snapshot(spark, tmp_path):
     upsert(spark, tmp_path, new_chunks(spark, ["a"]))
     broken = stored(spark, tmp_path).withColumn("text", F.raise_error(F.lit("stop")).cast("string"))
