@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from gridlore.functions.text import contains_all, dates, is_table_question, mentions_date, preview
 from gridlore.functions.vectors import cosine_distance, norm
@@ -52,12 +52,13 @@ def _nearest(x: np.ndarray, x_norm: np.ndarray, place: np.ndarray, asked: np.nda
             yield q, near[best], distance[best]
 
 
-def candidates(chunks: DataFrame, queries: DataFrame, k: int = POOL, document: str | None = None) -> DataFrame:
+def candidates(chunks: DataFrame, queries: DataFrame, k: int = POOL, document: str | None = None, own_document: str | None = None) -> DataFrame:
     """The k nearest active chunks of each query by cosine distance, with ``vector_rank``; ties to the smaller chunk_id.
 
     chunks: chunk_id, embedding, optional is_active, filename, and any others; queries: query_id, query_vector and any
     others. Every query meets every chunk of its length, by design; null and zero vectors are left out. Both are dealt
     in blocks of bounded size, by hashes of their ids; k rows of a query are kept of each block before the last shuffle.
+    ``own_document`` names a column of the queries: each then meets the chunks of that file alone, dealt by file, too.
     """
     if "is_active" in chunks.columns:
         chunks = chunks.where("is_active")
@@ -72,8 +73,9 @@ def candidates(chunks: DataFrame, queries: DataFrame, k: int = POOL, document: s
     blocks, query_blocks = count(sized(left), BLOCK_NUMBERS), count(sized(right), MOST_QUESTIONS)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = left.select("*", dealt("row.chunk_id", blocks).alias("block"), every(query_blocks).alias("query_block"))
-    right = right.select("*", every(blocks).alias("block"), dealt("row.query_id", query_blocks).alias("query_block"))
+    file, asked_of = (F.col("row.filename"), F.col(f"row.{own_document}")) if own_document else (F.lit(""), F.lit(""))
+    left = left.select("*", file.alias("file"), dealt("row.chunk_id", blocks).alias("block"), every(query_blocks).alias("query_block"))
+    right = right.select("*", asked_of.alias("file"), every(blocks).alias("block"), dealt("row.query_id", query_blocks).alias("query_block"))
     schema = StructType([StructField("chunk", left.schema["row"].dataType), StructField("query", right.schema["row"].dataType), StructField("distance", DoubleType())])
 
     def meet(block: pa.Table, asked: pa.Table) -> pa.Table:
@@ -93,12 +95,45 @@ def candidates(chunks: DataFrame, queries: DataFrame, k: int = POOL, document: s
         columns = [block.column("row").take(pa.array(chunk)), asked.column("row").take(pa.array(query)), pa.array(distance, pa.float64())]
         return pa.table(columns, names=["chunk", "query", "distance"])
 
-    keys = ("block", "query_block")
+    keys = ("file", "block", "query_block")
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema).select("chunk.*", "query.*", "distance")
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return met.withColumn("vector_rank", F.row_number().over(order)).where(F.col("vector_rank") <= k)
 
 
+def in_both_scopes(chunks: DataFrame, queries: DataFrame, k: int = POOL, own_document: str = "source_document") -> DataFrame:
+    """The nearest chunks of each query among all documents, and among those of its own document; ``scope`` tells which."""
+    everywhere = candidates(chunks, queries, k).withColumn("scope", F.lit("all_documents"))
+    return everywhere.unionByName(candidates(chunks, queries, k, own_document=own_document).withColumn("scope", F.lit("document_scoped")))
+
+
+def with_filenames(stored: DataFrame, documents: DataFrame) -> DataFrame:
+    """Stored chunks with the ``filename`` of their document, as ``candidates`` wants them; those of no document go."""
+    names = documents.select(F.col("id").alias("document_id"), "filename")
+    return stored.drop("filename").join(names, "document_id")
+
+
+def embedded_questions(questions: DataFrame, provider, text: str = "question") -> DataFrame:
+    """Questions with their ``query_vector``, embedded in batches where the rows are, failures tried again.
+
+    A null question has a null vector.
+    """
+    from gridlore.operators.versions import BATCH, with_retry
+
+    schema = StructType([*questions.schema.fields, StructField("query_vector", ArrayType(DoubleType()))])
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, BATCH):
+                part = batch.slice(low, BATCH)
+                texts = part.column(part.schema.get_field_index(text)).to_pylist()
+                found = iter(with_retry(provider, [t for t in texts if t is not None]))
+                vectors = pa.array([None if t is None else next(found) for t in texts], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, vectors], names=[*part.schema.names, "query_vector"])
+
+    return questions.mapInArrow(run, schema)
+
+
 def rescored(pool: DataFrame, question: Column, w: Weights = Weights()) -> DataFrame:
     """The pool with similarity, both signals, final_score and hybrid_rank; ties keep the vector order."""
     wanted = dates(question)
@@ -140,6 +175,18 @@ def ranges_overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.coalesce((a0 <= b1) & (b0 <= a1), F.lit(False))
 
 
+def page_hits(ranked: DataFrame, questions: DataFrame) -> DataFrame:
+    """Whether some candidate's PDF pages overlap each question's expected page; no expected page is no hit.
+
+    ranked: query_id, pdf_page_number_start, pdf_page_number_end; questions: query_id, pdf_page_number. A question
+    without candidates has no hit.
+    """
+    page = F.col("pdf_page_number")
+    met = questions.select("query_id", "pdf_page_number").join(ranked.select("query_id", "pdf_page_number_start", "pdf_page_number_end"), "query_id", "left")
+    overlap = ranges_overlap(F.col("pdf_page_number_start"), F.col("pdf_page_number_end"), page, page)
+    return met.groupBy("query_id").agg(F.bool_or(overlap).alias("hit"))
+
+
 def graded(ranked: DataFrame, questions: DataFrame) -> DataFrame:
     """Ranked candidates with document_correct, page_correct, content_correct and correct.
 

@@ -194,6 +194,13 @@ def oracle_sql() -> dict[str, str]:
         "superseded_pairs": "SELECT a.doc_id AS id, a.source AS filename, b.doc_id AS old_id, b.source AS old_filename FROM documents a JOIN documents b ON a.doc_id % 3 = 0 AND b.doc_id = a.doc_id - 20",
         "vector_topk": _ALL + " SELECT query_id, CAST(vector_rank AS INTEGER) AS vector_rank, chunk_id, round(distance, 6) + CAST(0 AS DOUBLE) AS distance FROM pool WHERE vector_rank <= 5",
         "vector_topk_scoped": "WITH " + _CHUNKS.replace("{scope}", "WHERE filename = 'doc_1'") + " SELECT query_id, CAST(vector_rank AS INTEGER) AS vector_rank, chunk_id, round(distance, 6) + CAST(0 AS DOUBLE) AS distance FROM pool WHERE vector_rank <= 5",
+        "search_in_both_scopes": "".join(
+            ("" if k == 0 else " UNION ALL ") + "SELECT '" + scope + "' AS scope, query_id, CAST(vector_rank AS INTEGER) AS vector_rank, chunk_id, round(distance, 6) + CAST(0 AS DOUBLE) AS distance FROM (WITH " + _CHUNKS.replace("{scope}", where) + " SELECT * FROM pool WHERE vector_rank <= 5)"
+            for k, (scope, where) in enumerate((("all_documents", ""), ("document_scoped", "WHERE filename = 'doc_' || CAST(query_id % 4 AS VARCHAR)")))
+        ),
+        "page_overlap_hit": _ALL + """ SELECT query_id, bool_or(coalesce(CAST(chunk_id AS BIGINT) % 30 <= page AND page <= CAST(chunk_id AS BIGINT) % 30 + 2, false)) AS hit
+            FROM (SELECT *, CASE WHEN query_id % 100 = 0 THEN query_id % 30 END AS page FROM pool WHERE vector_rank <= 5) GROUP BY query_id""",
+        "chunks_with_filenames": "SELECT vec_id AS chunk_id, vec_id % 700 AS document_id, source AS filename FROM embeddings JOIN documents ON doc_id = vec_id % 700",
         "hybrid_topk": _ALL + " SELECT query_id, CAST(hybrid_rank AS INTEGER) AS hybrid_rank, CAST(vector_rank AS INTEGER) AS vector_rank, chunk_id, date_match, table_match, round(final_score, 6) AS final_score FROM ranked WHERE hybrid_rank <= 5",
         "order_unchanged": _ALL + " SELECT query_id, bool_and(hybrid_rank = vector_rank) AS unchanged FROM ranked GROUP BY query_id",
         "wrong_group_rate": _ALL + " SELECT count(*) FILTER (WHERE label <> query_label) AS wrong, count(*) AS candidates, round(avg(CAST(label <> query_label AS INTEGER)), 6) AS rate FROM ranked WHERE vector_rank <= 5",

@@ -313,6 +313,26 @@ def vector_topk_scoped(spark, sf_dir):
     return pool.select("query_id", "vector_rank", "chunk_id", F.round("distance", 6).alias("distance"))
 
 
+def search_in_both_scopes(spark, sf_dir):
+    asked = _asked(spark, sf_dir).withColumn("source_document", F.concat(F.lit("doc_"), (F.col("query_id") % 4).cast("string")))
+    pool = retrieval.in_both_scopes(_chunks(spark, sf_dir), asked, 5)
+    return pool.select("scope", "query_id", "vector_rank", "chunk_id", F.round("distance", 6).alias("distance"))
+
+
+def page_overlap_hit(spark, sf_dir):
+    start = (F.col("vec_id") % 30).cast("int")
+    chunks = _chunks(spark, sf_dir).withColumns({"pdf_page_number_start": start, "pdf_page_number_end": start + 2})
+    asked = _asked(spark, sf_dir)
+    questions = asked.select("query_id", F.when(F.col("query_id") % 100 == 0, F.col("query_id") % 30).cast("int").alias("pdf_page_number"))
+    return retrieval.page_hits(retrieval.candidates(chunks, asked, 5), questions)
+
+
+def chunks_with_filenames(spark, sf_dir):
+    stored = embeddings(spark, sf_dir).select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 700).alias("document_id"))
+    named = retrieval.with_filenames(stored, documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("filename")))
+    return named.select("chunk_id", "document_id", "filename")
+
+
 def _ranked(spark, sf_dir):
     return retrieval.rescored(retrieval.candidates(_chunks(spark, sf_dir), _asked(spark, sf_dir)), F.col("question"))
 
@@ -404,7 +424,7 @@ def queries() -> dict[str, Query]:
         cost_before_after, green_index_site_day, capacity_fade, site_day_analysis, price_bands, cycle_trend_7d, load_peak_rank, chart_series_bounds,
         stream_hourly_batch, page_status_counts, printed_label, section_heading, section_carry_forward, chunk_fixed_600_100, chunk_stats_by_strategy,
         chunk_structured_600_100, sentence_split, upsert_plan, duplicate_content, lifecycle_counts, lifecycle_decision, active_documents, superseded_pairs,
-        vector_topk, vector_topk_scoped, hybrid_topk, order_unchanged, wrong_group_rate, hit_at_k, keyword_coverage, date_candidates, table_question,
+        vector_topk, vector_topk_scoped, search_in_both_scopes, page_overlap_hit, chunks_with_filenames, hybrid_topk, order_unchanged, wrong_group_rate, hit_at_k, keyword_coverage, date_candidates, table_question,
         range_overlap, case_time_range, case_evidence, case_similarity,
     ]
     named = {f.__name__: f for f in plain}

@@ -404,3 +404,25 @@ def test_sources_and_sinks(spark, tmp_path):
     assert D.read_texts(spark, f"{tmp_path}/docs").count() == 1 and D.file_hashes(spark, f"{tmp_path}/docs").count() == 1
     D.append_run(spark, f"{tmp_path}/runs", "test", found.select("page_index"), NOW)
     assert spark.read.parquet(f"{tmp_path}/runs").count() == 2
+
+
+def test_questions_are_embedded(spark):
+    asked = spark.createDataFrame([(k, None if k == 3 else f"q{k}") for k in range(7)], "query_id long, question string")
+    provider = versions.HashProvider()
+    got = {r["query_id"]: r["query_vector"] for r in retrieval.embedded_questions(asked, provider).collect()}
+    assert got == {k: None if k == 3 else provider.embed([f"q{k}"])[0] for k in range(7)}
+
+
+def test_scopes_and_page_hits(spark):
+    rows = [("a", "f", [1.0, 0.0], 1, 2), ("b", "g", [1.0, 0.1], 5, 6), ("c", "g", [0.0, 1.0], 8, 8)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, filename string, embedding array<double>, pdf_page_number_start int, pdf_page_number_end int")
+    asked = spark.createDataFrame([(1, [1.0, 0.0], "g", 6), (2, [0.0, 1.0], None, None)], "query_id long, query_vector array<double>, source_document string, pdf_page_number int")
+    both = retrieval.in_both_scopes(chunks, asked, 1)
+    assert sorted((r["scope"], r["query_id"], r["chunk_id"]) for r in both.collect()) == [("all_documents", 1, "a"), ("all_documents", 2, "c"), ("document_scoped", 1, "b")]
+    hits = lambda df: {r["query_id"]: r["hit"] for r in retrieval.page_hits(df, asked).collect()}
+    ranked = both.drop("pdf_page_number")
+    assert hits(ranked.where("scope = 'document_scoped'")) == {1: True, 2: False}
+    assert hits(ranked.where("scope = 'all_documents'")) == {1: False, 2: False}
+    stored = spark.createDataFrame([("a", 1, None), ("b", 9, None)], "chunk_id string, document_id long, filename string")
+    docs = spark.createDataFrame([(1, "f.pdf")], "id long, filename string")
+    assert [(r["chunk_id"], r["filename"]) for r in retrieval.with_filenames(stored, docs).collect()] == [("a", "f.pdf")]
