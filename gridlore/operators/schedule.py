@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlore.operators.rules import Thresholds, _yes, flag, near_capacity, price_is_high, price_is_low
+from gridlore.operators.timeline import days_of, joined_days, run_columns, within_days
 
 c = F.col
 
@@ -52,12 +53,11 @@ def suggestions(readings: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
 
 def suggestion_windows(readings: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Contiguous periods of a site with the same action."""
-    site = Window.partitionBy("site_id").orderBy("timestamp", "id")
-    same = Window.partitionBy("site_id", "action").orderBy("timestamp", "id")
-    rows = readings.select("site_id", "timestamp", "id", action(t).alias("action"))
-    rows = rows.withColumn("period", F.row_number().over(site) - F.row_number().over(same))
-    grouped = rows.groupBy("site_id", "action", "period").agg(F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.count("*").alias("readings"))
-    return grouped.where("action <> 'none'").drop("period")
+    rows = within_days(readings.select("site_id", "timestamp", "id", action(t).alias("action")))
+    same = Window.partitionBy("site_id", "day", "action").orderBy("timestamp", "id")
+    rows = rows.withColumn("period", F.col("place") - F.row_number().over(same)).where("action <> 'none'")
+    runs = rows.groupBy("action", "site_id", "day", "period").agg(*run_columns()).drop("period")
+    return joined_days(runs, days_of(readings), "action").select("site_id", "action", "start_time", "end_time", "readings")
 
 
 def energy_cost() -> Column:

@@ -151,6 +151,15 @@ def test_window_starts_follow_the_loop(spark, size, overlap):
         assert starts == want
 
 
+def test_titles_carried_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "PAGES_TOGETHER", 3)
+    rows = [(f, k, "T%d" % k if k % 8 == 1 and f != "b" else None) for f in ("a", "b", None) for k in range(30)]
+    table = spark.createDataFrame(rows, "source_filename string, page_index int, section_title string")
+    got = {(r["source_filename"], r["page_index"]): r["carried_title"] for r in chunking.with_titles(table).collect()}
+    want = {(f, k): None if k < 1 or f == "b" else "T%d" % ((k - 1) // 8 * 8 + 1) for f, k, _ in rows}
+    assert got == want
+
+
 def test_carried_titles_and_completeness(spark):
     got = chunking.with_titles(pages(spark, ["a", "b", "c"], titles=[None, "T", None])).orderBy("page_index").collect()
     assert [r["carried_title"] for r in got] == [None, "T", "T"]

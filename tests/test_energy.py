@@ -159,6 +159,38 @@ def test_periods_and_site_day(spark):
     assert set(site_day.report(table)) >= {"summary", "anomalies", "cost", "green_index", "limitations"}
 
 
+def test_periods_over_midnights_equal_brute_force(spark):
+    """Runs over several days, days without readings, equal times, rows without a site or a time."""
+    import itertools
+    import random
+
+    rng, start = random.Random(5), datetime.datetime(2024, 1, 1)
+    rows = []
+    for k in range(400):
+        at = None if k % 97 == 0 else start + datetime.timedelta(hours=6 * rng.randrange(120) + (240 if k % 2 else 0))
+        soc = 10.0 if (at.day // 3 % 2 if at else 1) and rng.random() < 0.95 else 50.0
+        rows.append((k, 1, *reading(timestamp=at, site_id=rng.choice(["a", "b", None]), battery_soc=soc, grid_import_kw=10.0, load_kw=20.0, electricity_price=rng.choice([1.0, 1.0, 1.0, 5.0])).values()))
+    table = spark.createDataFrame(rows, SERIES).cache()
+    acts = table.select("id", "site_id", "timestamp", (rules.flag("LOW_SOC_RISK") == True).alias("low"), schedule.action().alias("action")).collect()  # noqa: E712
+    key = lambda r: (r["site_id"] or "", r["timestamp"] or datetime.datetime.min, r["id"])
+
+    def brute(state, keep):
+        found = []
+        for (site, value), run in itertools.groupby(sorted(acts, key=key), key=lambda r: (r["site_id"], r[state])):
+            if keep(value):
+                run = list(run)
+                times = [r["timestamp"] for r in run if r["timestamp"]]
+                found.append((site, min(times, default=None), max(times, default=None), len(run), value))
+        return sorted(found, key=str)
+
+    got = timeline.periods(table, ["LOW_SOC_RISK"]).collect()
+    want = brute("low", bool)
+    assert any(b and (b - a).days >= 2 for _, a, b, _, _ in want)
+    assert sorted([(r["site_id"], r["start_time"], r["end_time"], r["readings"], True) for r in got], key=str) == want
+    got = schedule.suggestion_windows(table).collect()
+    assert sorted([(r["site_id"], r["start_time"], r["end_time"], r["readings"], r["action"]) for r in got], key=str) == brute("action", lambda a: a != "none")
+
+
 def test_cycle_trend_equals_brute_force(spark):
     import random
 
