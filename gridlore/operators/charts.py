@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlore.operators import schedule, timeline
+from gridlore.operators.rules import Thresholds
+
 SERIES = {
     "pv": ["pv_forecast_kw", "pv_actual_kw"],
     "load_and_capacity": ["load_kw", "load_forecast_kw", "contract_capacity_kw"],
@@ -28,6 +31,12 @@ def series(readings: DataFrame, name: str) -> DataFrame:
     return readings.select("site_id", "timestamp", axis_label(F.col("timestamp")).alias("label"), *SERIES[name])
 
 
+def dashboard(readings: DataFrame, t: Thresholds = Thresholds()) -> dict[str, DataFrame]:
+    """The eight series: five of columns by reading, cost comparison and green index by day, anomalies by period."""
+    found = {name: series(readings, name) for name in SERIES}
+    return found | {"cost": schedule.before_after(readings, t), "green_index": schedule.green_index(readings, t), "anomaly_timeline": timeline.periods(readings, t=t)}
+
+
 def bounds(readings: DataFrame) -> DataFrame:
     """For each column of each series: whether it has a valid number, and its extent. One scan."""
     columns = [(s, c) for s, cs in SERIES.items() for c in cs]

@@ -21,6 +21,7 @@ from gridlore.functions.hashing import chunk_id, content_hash, metadata_hash
 from gridlore.schemas import DOCUMENTS, STORED_CHUNKS
 
 BATCH = 96
+TOKENS = ("prompt_tokens", "total_tokens")
 TRIES = 3
 
 
@@ -33,7 +34,11 @@ class EmbeddingError(RuntimeError):
 
 
 class EmbeddingProvider(Protocol):
-    """Turns texts into vectors; runs in the workers."""
+    """Turns texts into vectors; runs in the workers.
+
+    A provider may also have ``usage``, a dict with ``prompt_tokens`` and ``total_tokens`` of its last call (either may be
+    missing or None).
+    """
 
     name: str
     model: str
@@ -153,26 +158,38 @@ def plan_upsert(new: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def embedded(chunks: DataFrame, provider: EmbeddingProvider, batch: int = BATCH) -> DataFrame:
-    """(chunk_id, embedding, error): in batches; a batch that fails gives errors, the others go on."""
+    """(chunk_id, embedding, error, prompt_tokens, total_tokens): in batches; a batch that fails gives errors, the others go on.
+
+    A call's tokens, where the provider reports them, stand at its first chunk; ``token_totals`` sums them.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for low in range(0, len(pdf), batch):
                 part = pdf.iloc[low : low + batch]
+                used: dict = {}
                 try:
                     vectors, error = with_retry(provider, list(part["text"])), None
+                    used = getattr(provider, "usage", None) or {}
                 except EmbeddingError as e:
                     vectors, error = [None] * len(part), str(e)
-                yield pd.DataFrame({"chunk_id": list(part["chunk_id"]), "embedding": vectors, "error": [error] * len(part)})
+                tokens = {n: pd.array([used.get(n), *[None] * (len(part) - 1)], "Int64") for n in TOKENS}
+                yield pd.DataFrame({"chunk_id": list(part["chunk_id"]), "embedding": vectors, "error": [error] * len(part), **tokens})
+
+    return chunks.select("chunk_id", "text").mapInPandas(run, "chunk_id string, embedding array<float>, error string, prompt_tokens long, total_tokens long")
+
 
-    return chunks.select("chunk_id", "text").mapInPandas(run, "chunk_id string, embedding array<float>, error string")
+def token_totals(vectors: DataFrame) -> DataFrame:
+    """Tokens of all calls of ``embedded``, in one row; a call that reports none counts as none."""
+    return vectors.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in TOKENS))
 
 
 def apply_upsert(new: DataFrame, stored: DataFrame, provider: EmbeddingProvider, now: datetime.datetime, batch: int = BATCH) -> tuple[DataFrame, dict, DataFrame]:
     """The next snapshot of the chunks, counters, and the ids that failed.
 
     Only inserts are embedded. New chunks are inactive; a metadata change never touches ``is_active``. The embeddings
-    are kept, since a second call would be charged for.
+    are kept, since a second call would be charged for. Where the provider reports its usage, the counters have the
+    tokens of all calls.
     """
     plan = plan_upsert(new, stored).cache()
     inserts = plan.where(F.col("action") == "insert")
@@ -197,6 +214,8 @@ def apply_upsert(new: DataFrame, stored: DataFrame, provider: EmbeddingProvider,
         "inserted": counts.get("insert", 0) - n_failed, "metadata_updated": counts.get("update_metadata", 0), "skipped": counts.get("skip", 0),
         "failed": n_failed, "calls": -(-counts.get("insert", 0) // batch),
     }
+    if hasattr(provider, "usage"):
+        counters |= token_totals(vectors).first().asDict()
     return kept.select(*names).unionByName(made.select(*names)), counters, failed
 
 

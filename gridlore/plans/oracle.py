@@ -216,6 +216,15 @@ def oracle_sql() -> dict[str, str]:
             WHERE "timestamp" BETWEEN CAST("timestamp" AS DATE) + INTERVAL 6 HOUR AND CAST("timestamp" AS DATE) + INTERVAL 12 HOUR GROUP BY 1""",
         "case_evidence": f"""WITH {ENERGY}, a AS ({anomalies}), c AS (SELECT [{", ".join(f"'{n}'" for n in RULES)}][vec_id % {len(RULES)} + 1] AS rule, count(*) AS cases FROM embeddings GROUP BY 1)
             SELECT a.rule, severity, count(*) AS readings, any_value(cases) AS cases FROM a JOIN c ON a.rule = c.rule GROUP BY 1, 2""",
+        "evidence_answers": f"""WITH {ENERGY}, a AS ({anomalies}), f AS (SELECT dataset_id, site_id, CAST("timestamp" AS DATE) AS day, rule, count(*) AS readings FROM a GROUP BY ALL),
+            c AS (SELECT vec_id, [{", ".join(f"'{n}'" for n in RULES)}][vec_id % {len(RULES)} + 1] AS rule, 'cause_' || CAST(vec_id % 7 AS VARCHAR) AS cause, 'action_' || CAST(vec_id % 3 AS VARCHAR) AS action FROM embeddings),
+            k AS (SELECT rule, count(*) AS cases FROM c GROUP BY 1),
+            i AS (SELECT rule, string_agg('case:' || CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS ids FROM (SELECT rule, vec_id FROM c QUALIFY row_number() OVER (PARTITION BY rule ORDER BY vec_id) <= 5) GROUP BY 1),
+            x AS (SELECT rule, string_agg(cause || ':' || CAST(n AS VARCHAR), ',' ORDER BY n DESC, cause) AS causes FROM (SELECT rule, cause, count(*) AS n FROM c GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY rule ORDER BY count(*) DESC, cause) <= 5) GROUP BY 1),
+            y AS (SELECT rule, string_agg(action || ':' || CAST(n AS VARCHAR), ',' ORDER BY n DESC, action) AS actions FROM (SELECT rule, action, count(*) AS n FROM c GROUP BY 1, 2) GROUP BY 1)
+            SELECT dataset_id, site_id, day, f.rule, readings, coalesce(cases, 0) AS cases, causes, actions, CASE WHEN cases IS NULL THEN 'insufficient data' ELSE 'low' END AS confidence,
+              'dataset:' || CAST(dataset_id AS VARCHAR) || coalesce(',' || ids, '') AS citations
+            FROM f LEFT JOIN k ON f.rule = k.rule LEFT JOIN i ON f.rule = i.rule LEFT JOIN x ON f.rule = x.rule LEFT JOIN y ON f.rule = y.rule""",
         "case_similarity": """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),
             c AS (SELECT vec_id AS case_id, 'type_' || CAST(vec_id % 3 AS VARCHAR) AS event_type, CAST(vec_id % 3 = 0 AS INTEGER) AS e, CAST(vec_id % 4 = 0 AS INTEGER) + CAST(vec_id % 5 = 0 AS INTEGER) AS s,
               CAST(1 AS DOUBLE) - (CAST(1 AS DOUBLE) - list_inner_product(CAST(embedding AS DOUBLE[]), q) / (sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_inner_product(q, q))) ) AS x FROM embeddings, q),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridlore.functions import text as T
 from gridlore.functions.hashing import chunk_id, content_hash, metadata_hash
 from gridlore.functions.pages import image_coverage, page_status
-from gridlore.operators import charts, chunking, retrieval, rules, schedule, timeline, versions
+from gridlore.operators import answers, charts, chunking, retrieval, rules, schedule, timeline, versions
 from gridlore.plans import site_day
 from gridlore.sources import energy_csv, store
 from gridlore.sources.events_view import read_energy
@@ -408,6 +408,21 @@ def case_evidence(spark, sf_dir):
     return found.join(F.broadcast(cases), "rule")  # one row for each rule
 
 
+def evidence_answers(spark, sf_dir):
+    """Seven-part answers of all findings, with the cases of their kind; parts that are lists are given as text."""
+    kinds, n = list(rules.RULES), F.col("vec_id")
+    named = F.element_at(F.array(*map(F.lit, kinds)), (n % len(kinds) + 1).cast("int"))
+    text = lambda p, k: F.concat(F.lit(p), (n % k).cast("string"))
+    cases = embeddings(spark, sf_dir).select(n.alias("case_id"), named.alias("event_type"), text("cause_", 7).alias("root_cause"), text("action_", 3).alias("operator_action"))
+    out = answers.answers(answers.findings(rules.anomalies(read_energy(spark, sf_dir))), cases)
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["value"], F.lit(":"), x["cases"].cast("string"))), ",")
+    cited = F.array_join(F.transform("citations", lambda x: F.concat(x["source"], F.lit(":"), x["reference"])), ",")
+    return out.select(
+        "dataset_id", "site_id", "day", "rule", F.col("finding.readings").alias("readings"), F.col("evidence.cases").alias("cases"),
+        listed("possible_causes").alias("causes"), listed("next_checks").alias("actions"), "confidence", cited.alias("citations"),
+    )
+
+
 def case_similarity(spark, sf_dir):
     n = F.col("vec_id")
     cases = embeddings(spark, sf_dir).select(n.alias("case_id"), F.concat(F.lit("type_"), (n % 3).cast("string")).alias("event_type"), F.array(F.concat(F.lit("t"), (n % 4).cast("string")), F.concat(F.lit("u"), (n % 5).cast("string"))).alias("tags"), "embedding")
@@ -425,7 +440,7 @@ def queries() -> dict[str, Query]:
         stream_hourly_batch, page_status_counts, printed_label, section_heading, section_carry_forward, chunk_fixed_600_100, chunk_stats_by_strategy,
         chunk_structured_600_100, sentence_split, upsert_plan, duplicate_content, lifecycle_counts, lifecycle_decision, active_documents, superseded_pairs,
         vector_topk, vector_topk_scoped, search_in_both_scopes, page_overlap_hit, chunks_with_filenames, hybrid_topk, order_unchanged, wrong_group_rate, hit_at_k, keyword_coverage, date_candidates, table_question,
-        range_overlap, case_time_range, case_evidence, case_similarity,
+        range_overlap, case_time_range, case_evidence, evidence_answers, case_similarity,
     ]
     named = {f.__name__: f for f in plain}
     named |= {"page_status": page_status_query, "content_hash": content_hash_query, "chunk_id": chunk_id_query, "metadata_hash": metadata_hash_query}

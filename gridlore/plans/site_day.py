@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridlore.operators import rules, schedule, timeline
 from gridlore.operators.rules import Thresholds
+from gridlore.sources.documents import cases_in_series
 
 
 def site_day_numbers(readings: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -36,9 +37,9 @@ def analyze_site_day(readings: DataFrame, site_id: str, day: str, t: Thresholds
     )
 
 
-def report(readings: DataFrame, t: Thresholds = Thresholds()) -> dict[str, DataFrame]:
-    """The sections of a dataset's report."""
-    return {
+def report(readings: DataFrame, t: Thresholds = Thresholds(), cases: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The sections of a dataset's report; with ``cases`` (as ``documents.read_cases`` gives them) also those of its datasets."""
+    sections = {
         "summary": readings.groupBy("dataset_id").agg(F.count("*").alias("readings"), F.countDistinct("site_id").alias("sites"), F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time")),
         "anomalies": rules.anomalies(readings, t).groupBy("dataset_id", "rule", "severity").agg(F.count("*").alias("readings")),
         "timeline": timeline.periods(readings, t=t),
@@ -47,3 +48,9 @@ def report(readings: DataFrame, t: Thresholds = Thresholds()) -> dict[str, DataF
         "green_index": schedule.green_index(readings, t),
         "limitations": readings.sparkSession.createDataFrame([("prices count as high or low by fixed limits",), ("an hourly grid is assumed: kW counts as kWh",), ("index parts follow formulas of this library",)], "limitation string"),
     }
+    if cases is not None:
+        met = cases_in_series(cases, readings).groupBy("case_id").agg(F.count("*").alias("readings"))
+        own = cases.join(readings.select(F.col("dataset_id").alias("related_dataset_id")).distinct(), "related_dataset_id", "left_semi")
+        own = own.join(met, "case_id", "left").withColumn("readings", F.coalesce("readings", F.lit(0)))
+        sections["cases"] = own.select("related_dataset_id", "case_id", "event_type", "severity", "root_cause", "operator_action", "readings")
+    return sections

@@ -227,6 +227,24 @@ def stored(spark, tmp_path):
     return versions.current(spark, f"{tmp_path}/chunks", STORED_CHUNKS)
 
 
+class Counting(Stub):
+    """Reports its usage; a text "none" leaves it out."""
+
+    usage = None
+
+    def embed(self, texts):
+        self.usage = None if "none" in texts else {"prompt_tokens": sum(map(len, texts)), "total_tokens": None if "part" in texts else 100}
+        return super().embed(texts)
+
+
+def test_tokens_of_calls_are_summed(spark, tmp_path):
+    texts = ["abc", "none", "part", "de"]
+    counts, failed = upsert(spark, tmp_path, new_chunks(spark, texts), Counting(), 1)
+    assert failed == 0 and counts["prompt_tokens"] == 9 and counts["total_tokens"] == 200
+    again, _ = upsert(spark, tmp_path, new_chunks(spark, texts), Counting(), 1)
+    assert again["skipped"] == 4 and again["prompt_tokens"] == again["total_tokens"] == 0
+
+
 def test_version_life(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(versions, "TRIES", 1)
     docs = spark.createDataFrame([(1, "f", "hash1", 1, NOW, None), (2, "f", "hash2", 1, NOW, 1)], DOCUMENTS)

@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from gridlore.operators import rules, schedule, timeline
+from gridlore.operators import answers, charts, rules, schedule, timeline
 from gridlore.plans import site_day
 from gridlore.schemas import EMS_MODES, ENERGY, EQUIPMENT_STATUSES, SERIES
 from gridlore.sources import store
@@ -157,6 +157,36 @@ def test_periods_and_site_day(spark):
     assert len(row["anomalies"]) == 3 and row["cost_summary"]["cost_before"] == 120.0
     assert 0 <= row["green_operations_index"] <= 100
     assert set(site_day.report(table)) >= {"summary", "anomalies", "cost", "green_index", "limitations"}
+    cases = spark.createDataFrame(
+        [("c1", 1, t0, t0 + datetime.timedelta(hours=2)), ("c2", 1, None, None), ("c3", 2, t0, t0)],
+        "case_id string, related_dataset_id long, a timestamp_ntz, b timestamp_ntz",
+    ).selectExpr("case_id", "related_dataset_id", "named_struct('start', a, 'end', b) as related_time_range", "'LOW_SOC_RISK' as event_type", "'high' as severity", "'x' as root_cause", "'y' as operator_action")
+    met = site_day.report(table, cases=cases)["cases"].orderBy("case_id").collect()
+    assert [(r["case_id"], r["readings"]) for r in met] == [("c1", 3), ("c2", 0)]
+    shown = charts.dashboard(table)
+    assert len(shown) == 8 and shown["cost"].count() == 1 and shown["anomaly_timeline"].where("rule = 'LOW_SOC_RISK'").count() == 2
+
+
+def test_answers_of_seven_parts(spark):
+    t0 = datetime.datetime(2024, 1, 1)
+    table = spark.createDataFrame([(k, 1, *reading(timestamp=t0 + datetime.timedelta(hours=k), battery_soc=10.0, grid_import_kw=99.0 + k, contract_capacity_kw=100.0, load_kw=20.0).values()) for k in range(3)], SERIES)
+    found = answers.findings(rules.anomalies(table))
+    names = {r["rule"] for r in found.collect()}
+    assert "LOW_SOC_RISK" in names and len(names) > 1
+    case_rows = [(f"c{k}", "LOW_SOC_RISK", "worn" if k % 3 else "cold", "check" if k else None) for k in range(8)] + [("c0", "LOW_SOC_RISK", "worn", None), ("z", "fire", "x", "y"), (None, None, None, None)]
+    cases = spark.createDataFrame(case_rows, "case_id string, event_type string, root_cause string, operator_action string")
+    hits = spark.createDataFrame([("LOW_SOC_RISK", k, f"k{k}", "f.pdf", k, k + 1) for k in range(1, 9)] + [("LOW_SOC_RISK", 1, None, None, None, None)], "rule string, rank int, chunk_id string, filename string, page_index_start int, page_index_end int")
+    got = {r["rule"]: r for r in answers.answers(found, cases, hits).collect()}
+    assert set(got) == names
+    one = got.pop("LOW_SOC_RISK")
+    assert one["finding"]["readings"] == 3 and one["evidence"]["cases"] == 9 and one["confidence"] == "high" and one["background"] is None
+    assert [(x["value"], x["cases"]) for x in one["possible_causes"]] == [("worn", 6), ("cold", 3)]
+    assert [(x["value"], x["cases"]) for x in one["next_checks"]] == [("check", 7)]
+    assert [x["source"] for x in one["citations"]] == ["dataset", *["case"] * 5, *["document"] * one["evidence"]["passages"]]
+    assert [x["reference"] for x in one["citations"] if x["source"] == "case"] == ["c0", "c1", "c2", "c3", "c4"]
+    assert all(r["confidence"] == "insufficient data" and len(r["citations"]) == 1 for r in got.values())
+    assert {r["confidence"] for r in answers.answers(found, cases.limit(0)).collect()} == {"insufficient data"}
+    assert {r["confidence"] for r in answers.answers(found, cases).where("rule = 'LOW_SOC_RISK'").collect()} == {"low"}
 
 
 def test_periods_over_midnights_equal_brute_force(spark):
