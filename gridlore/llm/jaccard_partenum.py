@@ -15,7 +15,9 @@ they compared with each other, in blocks of bounded size, and only those outside
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -40,35 +42,64 @@ COUNTED = 3_000_000
 WAITING = 500_000
 #: Rows of one signature from which its nodes are passed on as they come.
 LONG_RUN = 4096
-#: Nodes in a block of a centre's nodes.
+#: Nodes in a block of a centre's nodes, and elements of the sets of such a block.
 BLOCK = 1024
+BLOCK_ELEMENTS = 1 << 20
 #: Document ids up to which a list is broadcast; above, it is joined.
 BROADCAST_IDS = 500_000
 
 _U = np.uint64
 
 
-def similar(n: int, m: int, shared: int) -> bool:
-    """Whether two sets of n and m elements that share so many have Jaccard similarity 3/4 or more."""
-    return 100 * shared >= 75 * (n + m - shared)
+@dataclass(frozen=True)
+class Likeness:
+    """Sets of ``width``-word shingles that are linked from a Jaccard similarity of ``percent`` on."""
 
+    width: int = SHINGLE
+    percent: int = 75
 
-def shingle_sets(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """The set of each text: sorted distinct hashes of its shingles; of all its words, if it has fewer than a shingle."""
-    _, _, hashes, word_at = words(data, at, True)
-    runs = grams(hashes, SHINGLE)
-    sets = []
-    for a, b in zip(word_at[:-1].tolist(), word_at[1:].tolist(), strict=True):
-        if b - a >= SHINGLE:
-            sets.append(np.unique(runs[a : b - SHINGLE + 1]))
-        else:
-            sets.append(grams(hashes[a:b], b - a) if b > a else np.zeros(0, np.uint64))
-    return sets
+    def similar(self, n: int, m: int, shared: int) -> bool:
+        """Whether two sets of n and m elements that share so many are linked."""
+        return 100 * shared >= self.percent * (n + m - shared)
 
+    def sizes_fit(self, n: int, m: int) -> bool:
+        return 100 * min(n, m) >= self.percent * max(n, m)
 
-def node_of(elements: np.ndarray) -> int:
-    """Digest of a set, as a signed number; equal sets are one node."""
-    return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True)
+    def sets(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """The set of each text: sorted distinct hashes of its shingles; of all its words, if it has fewer than a shingle."""
+        _, _, hashes, word_at = words(data, at, True)
+        runs = grams(hashes, self.width)
+        sets = []
+        for a, b in zip(word_at[:-1].tolist(), word_at[1:].tolist(), strict=True):
+            if b - a >= self.width:
+                sets.append(np.unique(runs[a : b - self.width + 1]))
+            else:
+                sets.append(grams(hashes[a:b], b - a) if b > a else np.zeros(0, np.uint64))
+        return sets
+
+    def within_reach(self, n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
+        """Whether two sets' sizes and sketches leave room for a link; never false for sets that are linked.
+
+        Two sets differ in at least as many elements as their counts do, bucket by bucket.
+        """
+        if not self.sizes_fit(n, m):
+            return False
+        x, y = x.astype(np.int32), y.astype(np.int32)
+        while len(x) > len(y):
+            x = np.minimum(x.reshape(-1, 2).sum(1), 255)
+        while len(y) > len(x):
+            y = np.minimum(y.reshape(-1, 2).sum(1), 255)
+        return (100 + self.percent) * int(np.abs(x - y).sum()) <= (100 - self.percent) * (n + m)
+
+
+#: The links of this operator.
+LINKS = Likeness()
+
+
+def node_of(elements: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """Two halves of a set's digest, as signed numbers. Equal sets are one node, named by the first half."""
+    digest = hashlib.blake2b(elements.tobytes(), digest_size=16, salt=salt.to_bytes(8, "little")).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _tokens(elements: np.ndarray, partitions: int, salt: int, empty: bool = False) -> np.ndarray:
@@ -148,10 +179,24 @@ class _Counts:
             self.values, self.counts = self.values[often], self.counts[often]
 
 
-SETS = "doc_id long, n_shingles long, node long, shared array<long>, times array<long>"
+SETS = "doc_id long, n_shingles long, node long, check long"
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def told_apart(sets_of: Callable[[int], DataFrame]) -> tuple[DataFrame, int]:
+    """The staged sets of a salt under which no two different sets have one node, and the salt.
+
+    Sets are told apart by 128 bits: where two share the node's half but not the other, the next salt is tried.
+    """
+    for salt in count():
+        sets = staged(sets_of(salt), "sets")
+        mixed = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high")
+        if mixed.isEmpty():
+            return sets, salt
+        dropped(sets)
+    raise AssertionError
+
+
+def _sets(docs: DataFrame, salt: int) -> DataFrame:
     """Each document's set size and node; and, in a last row of each task (no n_shingles), its often shared shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,25 +204,25 @@ def _sets(docs: DataFrame) -> DataFrame:
         counts = _Counts()
 
         def out(ids: pa.Array, sizes: list, nodes: list, shared: list, times: list) -> pa.RecordBatch:
-            columns = [ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(shared, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "shared", "times"])
+            columns = [ids, *(pa.array(x, pa.int64()) for x in (sizes, *zip(*nodes, strict=True))), *(pa.array(x, pa.list_(pa.int64())) for x in (shared, times))]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "check", "shared", "times"])
 
         for whole in batches:
             for batch in slices(whole, 1):
                 sizes, nodes = [], []
-                for elements in shingle_sets(*utf8(batch.column(1))):
+                for elements in LINKS.sets(*utf8(batch.column(1))):
                     sizes.append(len(elements))
-                    nodes.append(node_of(elements) if len(elements) else None)
-                    if len(elements) and nodes[-1] not in known:
+                    nodes.append(node_of(elements, salt) if len(elements) else (None, None))
+                    if len(elements) and nodes[-1][0] not in known:
                         counts.add(elements)
                         if len(known) < KNOWN:
-                            known.add(nodes[-1])
+                            known.add(nodes[-1][0])
                 yield out(batch.column(0).cast(pa.int64()), sizes, nodes, [None] * len(sizes), [None] * len(sizes))
         counts.settle()
         often = counts.counts >= SHARED_IN_TASK
-        yield out(pa.array([None], pa.int64()), [None], [None], [counts.values[often].view(np.int64)], [counts.counts[often].astype(np.int64)])
+        yield out(pa.array([None], pa.int64()), [None], [(None, None)], [counts.values[often].view(np.int64)], [counts.counts[often].astype(np.int64)])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, SETS)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"{SETS}, shared array<long>, times array<long>")
 
 
 def _common(sets: DataFrame) -> np.ndarray:
@@ -188,7 +233,7 @@ def _common(sets: DataFrame) -> np.ndarray:
     return np.sort(rows.column(0).to_numpy().view(np.uint64))
 
 
-def _listed(docs: DataFrame, common: np.ndarray) -> DataFrame:
+def _listed(docs: DataFrame, common: np.ndarray, salt: int) -> DataFrame:
     """One row (signature, node) for each signature of each node, once for each task that holds the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +241,8 @@ def _listed(docs: DataFrame, common: np.ndarray) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, 0):
                 found, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for elements in shingle_sets(*utf8(batch.column(0))):
-                    if not len(elements) or (node := node_of(elements)) in known:
+                for elements in LINKS.sets(*utf8(batch.column(0))):
+                    if not len(elements) or (node := node_of(elements, salt)[0]) in known:
                         continue
                     if len(known) < KNOWN:
                         known.add(node)
@@ -273,77 +318,71 @@ def sketch(elements: np.ndarray) -> bytes:
     return np.minimum(np.bincount(bucket, minlength=1 << band), 255).astype(np.uint8).tobytes()
 
 
-def within_reach(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
-    """Whether two sets' sizes and sketches leave room for similarity 3/4; never false for sets that are similar.
+def _near(links: Likeness):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From rows (a, b, size and sketch of a, size and sketch of b) the pairs that may be similar."""
+        for batch in batches:
+            n, m = batch.column(2).to_pylist(), batch.column(4).to_pylist()
+            pairs = zip(n, batch.column(3), m, batch.column(5), strict=True)
+            keep = [links.within_reach(i, np.frombuffer(x.as_buffer(), np.uint8), j, np.frombuffer(y.as_buffer(), np.uint8)) for i, x, j, y in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    Two sets differ in at least as many elements as their counts do, bucket by bucket.
-    """
-    if 4 * min(n, m) < 3 * max(n, m):
-        return False
-    x, y = x.astype(np.int32), y.astype(np.int32)
-    while len(x) > len(y):
-        x = np.minimum(x.reshape(-1, 2).sum(1), 255)
-    while len(y) > len(x):
-        y = np.minimum(y.reshape(-1, 2).sum(1), 255)
-    return 7 * int(np.abs(x - y).sum()) <= n + m
-
-
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (a, b, size and sketch of a, size and sketch of b) the pairs that may be similar."""
-    for batch in batches:
-        n, m = batch.column(2).to_pylist(), batch.column(4).to_pylist()
-        pairs = zip(n, batch.column(3), m, batch.column(5), strict=True)
-        keep = [within_reach(i, np.frombuffer(x.as_buffer(), np.uint8), j, np.frombuffer(y.as_buffer(), np.uint8)) for i, x, j, y in pairs]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (a, block, b, text) in order of a and block, the centre's own (no b) first, the pairs that are similar."""
-    key, centre = None, np.zeros(0, np.uint64)
-    for whole in batches:
-        for batch in slices(whole, 3):
-            found: list[list[int]] = [[], []]
-            rows = zip(*(batch.column(k).to_pylist() for k in range(3)), shingle_sets(*utf8(batch.column(3))), strict=True)
-            for a, block, b, elements in rows:
-                if b is None:
-                    key, centre = (a, block), elements
-                elif key == (a, block) and 4 * min(len(centre), len(elements)) >= 3 * max(len(centre), len(elements)):
-                    few, many = sorted((centre, elements), key=len)
-                    at = np.searchsorted(many, few)
-                    if similar(len(few), len(many), int((many[np.minimum(at, len(many) - 1)] == few).sum())):
-                        found[0].append(a)
-                        found[1].append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
-
-
-def _compared(block: pa.Table) -> pa.Table:
-    """From rows (node, label, asks, text) of one block, links of the nodes that ask with similar ones of other labels.
-
-    One link for each asking node and other label. Overlaps are counted by matrix products over the elements that
-    several of the nodes have.
-    """
-    sets = shingle_sets(*utf8(block.column("text")))
-    node, label = (block.column(c).to_numpy() for c in ("node", "label"))
-    asks = block.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-    size = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
-    _, element, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
-    owner, element = owner[count[element] > 1], element[count[element] > 1]
-    order = np.argsort(element, kind="stable")
-    owner, element = owner[order], element[order]
-    rows, columns = np.flatnonzero(~asks), np.flatnonzero(asks)
-    shared = np.zeros((len(columns), len(rows)), np.float32)
-    wide = 2048
-    for low in range(0, int(element[-1]) + 1 if len(element) else 0, wide):
-        a, b = np.searchsorted(element, (low, low + wide))
-        if a < b:
-            held = np.zeros((len(sets), wide), np.float32)
-            held[owner[a:b], element[a:b] - low] = 1
-            shared += held[columns] @ held[rows].T
-    union = size[columns][:, None] + size[rows][None, :] - shared
-    i, j = np.nonzero((100 * shared >= 75 * union) & (label[columns][:, None] != label[rows][None, :]))
-    _, first = np.unique(np.stack([node[columns[i]], label[rows[j]]]), axis=1, return_index=True)
-    return pa.table({"a": pa.array(node[columns[i[first]]], pa.int64()), "b": pa.array(node[rows[j[first]]], pa.int64())})
+    return run
+
+
+def _verified(links: Likeness):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From rows (a, block, b, text) in order of a and block, the centre's own (no b) first, the pairs that are similar."""
+        key, centre = None, np.zeros(0, np.uint64)
+        for whole in batches:
+            for batch in slices(whole, 3):
+                found: list[list[int]] = [[], []]
+                rows = zip(*(batch.column(k).to_pylist() for k in range(3)), links.sets(*utf8(batch.column(3))), strict=True)
+                for a, block, b, elements in rows:
+                    if b is None:
+                        key, centre = (a, block), elements
+                    elif key == (a, block) and links.sizes_fit(len(centre), len(elements)):
+                        few, many = sorted((centre, elements), key=len)
+                        at = np.searchsorted(many, few)
+                        if links.similar(len(few), len(many), int((many[np.minimum(at, len(many) - 1)] == few).sum())):
+                            found[0].append(a)
+                            found[1].append(b)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+
+    return run
+
+
+def _compared(links: Likeness):
+    def run(block: pa.Table) -> pa.Table:
+        """From rows (node, label, asks, text) of one block, links of the nodes that ask with similar ones of other labels.
+
+        One link for each asking node and other label. Overlaps are counted by matrix products over the elements that
+        several of the nodes have.
+        """
+        sets = links.sets(*utf8(block.column("text")))
+        node, label = (block.column(c).to_numpy() for c in ("node", "label"))
+        asks = block.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        size = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), size)
+        _, element, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+        owner, element = owner[times[element] > 1], element[times[element] > 1]
+        order = np.argsort(element, kind="stable")
+        owner, element = owner[order], element[order]
+        rows, columns = np.flatnonzero(~asks), np.flatnonzero(asks)
+        shared = np.zeros((len(columns), len(rows)), np.float32)
+        wide = 2048
+        for low in range(0, int(element[-1]) + 1 if len(element) else 0, wide):
+            a, b = np.searchsorted(element, (low, low + wide))
+            if a < b:
+                held = np.zeros((len(sets), wide), np.float32)
+                held[owner[a:b], element[a:b] - low] = 1
+                shared += held[columns] @ held[rows].T
+        union = size[columns][:, None] + size[rows][None, :] - shared
+        i, j = np.nonzero((100 * shared >= links.percent * union) & (label[columns][:, None] != label[rows][None, :]))
+        _, first = np.unique(np.stack([node[columns[i]], label[rows[j]]]), axis=1, return_index=True)
+        return pa.table({"a": pa.array(node[columns[i[first]]], pa.int64()), "b": pa.array(node[rows[j[first]]], pa.int64())})
+
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -377,16 +416,21 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_IDS else df
 
 
-def linked_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, label): a label for each node of ``sets`` that is linked with another."""
-    common = _common(sets)
-    ordered = _listed(docs, common).repartition("signature").sortWithinPartitions("signature", "node")
-    pairs = staged(ordered.mapInArrow(_groups, "centre long, node long").distinct(), "pairs")
+def sharing(listed: DataFrame) -> DataFrame:
+    """Staged (centre, node) from rows (signature, node): the least node of each signature that several have, and each other."""
+    ordered = listed.repartition("signature").sortWithinPartitions("signature", "node")
+    return staged(ordered.mapInArrow(_groups, "centre long, node long").distinct(), "pairs")
 
-    held = _texts_of(docs, sets, pairs)
+
+def linked(docs: DataFrame, sets: DataFrame, pairs: DataFrame, likeness: Likeness, salt: int) -> DataFrame:
+    """(node, label): a label for each node of ``pairs`` (see ``sharing``) that is linked with another of a signature of its.
+
+    ``sets`` holds doc_id and node of the rows of ``docs``.
+    """
+    held = _texts_of(docs, sets, pairs, likeness, salt)
     sketches = lambda k, x: held.select(F.col("node").alias(k), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     near = pairs.join(sketches("centre", "x"), "centre").join(sketches("node", "y"), "node").select("centre", "node", "nx", "sx", "ny", "sy")
-    near = staged(near.mapInArrow(_near, "a long, b long"), "near")
+    near = staged(near.mapInArrow(_near(likeness), "a long, b long"), "near")
 
     # The text of a centre is sent once for each block of the nodes that are compared with it.
     blocks = near.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -395,16 +439,18 @@ def linked_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     others = dealt.join(held.select(F.col("node").alias("b"), "text"), "b").select("a", "block", "b", "text")
     centres = dealt.select("a", "block").distinct().join(held.select(F.col("node").alias("a"), "text"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "text")
     met = centres.unionByName(others).repartition("a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
-    links = staged(met.mapInArrow(_verified, "a long, b long"), "similar")
+    links = staged(met.mapInArrow(_verified(likeness), "a long, b long"), "similar")
     dropped(dealt)
     labels = components(links)
 
     # Nodes of a centre that are not all of one component are compared with each other.
     named = lambda k: F.coalesce("label", k)
-    of_node = pairs.join(labels, "node", "left").select("centre", "node", named("node").alias("label"))
+    sizes = held.select("node", "size")
+    of_node = pairs.join(labels, "node", "left").join(sizes, "node").select("centre", "node", "size", named("node").alias("label"))
     of_both = of_node.join(labels.select(F.col("node").alias("centre"), F.col("label").alias("own")), "centre", "left").withColumn("own", F.coalesce("own", "centre"))
-    mixed = of_both.groupBy("centre").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    blocks = staged(mixed.select("centre", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    mixed = of_both.groupBy("centre").agg(F.count("*").alias("n"), F.sum("size").alias("elements"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    needed = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int")
+    blocks = staged(mixed.select("centre", needed.alias("blocks")), "mixed")
     members = of_both.join(blocks, "centre").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = staged(members.select("centre", "node", "label", (F.col("label") != F.col("own")).alias("asks"), "blocks", "block"), "members")
     dropped(pairs, blocks)
@@ -414,7 +460,7 @@ def linked_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     columns = members.where("asks").groupBy("centre").agg(F.collect_set("block").alias("columns"))
     held_by = members.join(columns, "centre").select("centre", "node", "label", F.lit(False).alias("asks"), F.col("block").alias("row"), F.explode("columns").alias("column"))
     compared = held_by.unionByName(asking).join(held.select("node", "text"), "node").select("centre", "row", "column", "node", "label", "asks", "text")
-    more = staged(compared.groupBy("centre", "row", "column").applyInArrow(_compared, "a long, b long"), "similar")
+    more = staged(compared.groupBy("centre", "row", "column").applyInArrow(_compared(likeness), "a long, b long"), "similar")
     dropped(members, held)
     if not more.isEmpty():
         dropped(labels)
@@ -423,7 +469,7 @@ def linked_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     return labels
 
 
-def _texts_of(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _texts_of(docs: DataFrame, sets: DataFrame, pairs: DataFrame, likeness: Likeness, salt: int) -> DataFrame:
     """node, size, sketch and text of one document for each node of ``pairs``."""
     wanted = pairs.select("node").union(pairs.select("centre")).distinct()
     firsts = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first"))
@@ -433,10 +479,10 @@ def _texts_of(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 0):
-                found = shingle_sets(*utf8(batch.column(0)))
+                found = likeness.sets(*utf8(batch.column(0)))
                 some = pa.array([len(x) > 0 for x in found], pa.bool_())
                 found = [x for x in found if len(x)]
-                columns = [pa.array([node_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64())]
+                columns = [pa.array([node_of(x, salt)[0] for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64())]
                 columns += [pa.array(map(sketch, found), pa.binary()), batch.column(0).filter(some)]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "sketch", "text"])
 
@@ -459,7 +505,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     words as one if it has fewer. Rows whose sets have Jaccard similarity 3/4 or more are linked; ``component_id`` is
     the least doc_id that links reach, the own one included. Null texts and texts without words have empty sets, are
     linked with nothing, and keep their own id. Repeated rows stay, linked with each other; a null id is larger than
-    any other. Words, shingles and sets are told apart by 64-bit digests. Other columns are not read.
+    any other. Words and shingles are told apart by 64-bit hashes, sets by 128-bit digests. Other columns are not read.
     """
     return _components(docs)[0]
 
@@ -467,8 +513,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def _components(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """``jaccard_components``, and the staged tables that it reads."""
     docs = docs.select("doc_id", "text")
-    sets = staged(_sets(docs), "sets")
-    labels = linked_components(docs, sets)
+    sets, salt = told_apart(lambda salt: _sets(docs, salt))
+    labels = linked(docs, sets, sharing(_listed(docs, _common(sets), salt)), LINKS, salt)
+    return named_components(sets, labels)
+
+
+def named_components(sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id, n_shingles, component_id for each row of ``sets``, and the staged tables that they read."""
     tables = [sets]
     sets = sets.where(F.col("n_shingles").isNotNull()).select("doc_id", "n_shingles", "node")
     nodes = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"))

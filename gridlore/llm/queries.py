@@ -98,6 +98,47 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlore.llm.filter_audit import audit_filters
+
+    return audit_filters(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where crc32 of the id ends in 0, the text's words from some place on repeat with some period."""
+    from gridlore.llm.common import crc_of_id
+    from gridlore.llm.filter_audit import words_of
+
+    h = crc_of_id()
+    cut = docs.select("doc_id", "text", F.when(h % 10 == 0, words_of(F.col("text"))).alias("words"), F.floor(h / 10).alias("g"))
+    n, long = F.size("words"), lambda c: c.cast("long")
+    placed = cut.select("*", F.when(n > 0, long(F.col("g") % n)).alias("a"))
+    placed = placed.select("*", (1 + F.call_function("div", n - F.col("a"), 3 + F.col("g") % 8)).alias("p"))
+    turned = F.transform("words", lambda w, i: F.when(i >= F.col("a"), F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))).otherwise(w))
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlore.llm.periodic_runs import periodic_runs
+
+    found = periodic_runs(with_planted_runs(documents(spark, sf_dir)))
+    # The greatest length, then the smallest start, then the smallest period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n"))))
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return out.select(
+        "doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.call_function("div", 1000 * length, period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+def op13_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlore.llm.minmax_dedup import minmax_components
+
+    return minmax_components(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -110,8 +151,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_neighbours": op8_neighbours,
         "op9_toxicity": op9_toxicity,
         "op10_repeated_passages": op10_repeated_passages,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_minmax_dedup": op13_minmax_dedup,
     }
 
 
+#: Counts by the set of failed filters, then every step of every order by itself; no potentials.
+AUDIT_SQL = r"""WITH d AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  m AS (SELECT part, CAST(len(w) < 50 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INTEGER)
+      + 4 * CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) AS INTEGER)
+      + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false) AS INTEGER) AS mask, quality, toxic
+    FROM d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+  c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE toxic = 1) AS toxic FROM m GROUP BY part, mask),
+  f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS f(name, bit)),
+  o AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e
+    WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+  s AS (SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS gone FROM (SELECT *, unnest(range(1, 6)) AS step FROM o)),
+  x AS (SELECT part, filter_order, step, bit, sum(n) FILTER (WHERE mask & (gone | bit) = 0) AS kept, sum(n) FILTER (WHERE mask & gone = 0 AND mask & bit <> 0) AS removed,
+      sum(n) FILTER (WHERE mask & gone <> 0 AND mask & bit <> 0) AS redundant, sum(n) FILTER (WHERE mask = bit) AS unique_fails,
+      sum(good) FILTER (WHERE mask & gone = 0 AND mask & bit <> 0) AS good_lost, sum(toxic) FILTER (WHERE mask & gone = 0 AND mask & bit <> 0) AS toxic_lost
+    FROM c, s GROUP BY part, filter_order, step, bit)
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+    CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley FROM x"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_filter_audit": AUDIT_SQL}

@@ -79,11 +79,11 @@ def test_similar_sets_share_a_signature(n):
         a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
         gone, come = rng.integers(0, n // 4 + 1), rng.integers(0, n // 3 + 1)
         b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**63, come, dtype=np.uint64)]))
-        if len(b) and J.similar(len(a), len(b), len(np.intersect1d(a, b))):
+        if len(b) and J.LINKS.similar(len(a), len(b), len(np.intersect1d(a, b))):
             for common in (np.zeros(0, np.uint64), np.sort(a[: n // 2]), a):
                 assert set(J.signatures(a, common)) & set(J.signatures(b, common))
             count = lambda s: np.frombuffer(J.sketch(s), np.uint8)
-            assert J.within_reach(len(a), count(a), len(b), count(b))
+            assert J.LINKS.within_reach(len(a), count(a), len(b), count(b))
 
 
 def test_components_of_no_documents(make_docs):
