@@ -134,7 +134,14 @@ def embedded_questions(questions: DataFrame, provider, text: str = "question") -
     return questions.mapInArrow(run, schema)
 
 
-def rescored(pool: DataFrame, question: Column, w: Weights = Weights()) -> DataFrame:
+def without_own(pool: DataFrame, own: Column, k: int = POOL, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """The k nearest of a pool of k + 1 once each question's ``own`` row is gone, ranked anew."""
+    order = Window.partitionBy(*by).orderBy("vector_rank")
+    left = pool.where(~F.coalesce(own, F.lit(False)))
+    return left.withColumn("vector_rank", F.row_number().over(order)).where(F.col("vector_rank") <= k)
+
+
+def rescored(pool: DataFrame, question: Column, w: Weights = Weights(), by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The pool with similarity, both signals, final_score and hybrid_rank; ties keep the vector order."""
     wanted = dates(question)
     pool = pool.withColumns(
@@ -146,7 +153,7 @@ def rescored(pool: DataFrame, question: Column, w: Weights = Weights()) -> DataF
     )
     score = w.similarity * F.col("similarity") + w.date * F.col("date_match").cast("int") + w.table * F.col("table_match").cast("int")
     pool = pool.withColumn("final_score", score)
-    order = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "vector_rank")
+    order = Window.partitionBy(*by).orderBy(F.desc("final_score"), "vector_rank")
     return pool.withColumn("hybrid_rank", F.row_number().over(order))
 
 

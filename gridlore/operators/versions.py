@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlore.functions.hashing import chunk_id, content_hash, metadata_hash
+from gridlore.operators.intervals import overlap_join
 from gridlore.schemas import DOCUMENTS, STORED_CHUNKS
 
 BATCH = 96
@@ -143,9 +144,10 @@ def prepared(chunks: DataFrame, document_hash: Column, document_id: Column, page
 
 
 def page_label_map(chunks: DataFrame, pages: DataFrame) -> DataFrame:
-    """chunk_id and its map of PDF page number to printed label: pages within the chunk's range."""
-    met = chunks.select("chunk_id", "source_filename", "page_index_start", "page_index_end").join(pages.select("source_filename", "page_index", "pdf_page_number", "printed_page_number"), "source_filename")
-    met = met.where(F.col("page_index").between(F.col("page_index_start"), F.col("page_index_end")))
+    """chunk_id and its map of PDF page number to printed label: pages within the chunk's range, met by bins."""
+    ranges = chunks.select("chunk_id", "source_filename", "page_index_start", "page_index_end")
+    pages = pages.select("source_filename", "page_index", "pdf_page_number", "printed_page_number")
+    met = overlap_join(pages, ranges, ["source_filename"], ("page_index", "page_index"), ("page_index_start", "page_index_end"))
     entries = F.array_sort(F.collect_list(F.struct(F.col("pdf_page_number").cast("string").alias("key"), F.col("printed_page_number").alias("value"))))
     return met.groupBy("chunk_id").agg(F.map_from_entries(entries).alias("printed_page_number_map"))
 

@@ -103,6 +103,13 @@ _HEADING = r"^([一二三四五六七八九十]+、\S|\d+(\.\d+){1,3}\s+\S)"
 _TITLE = f"list_filter(l, lambda x: regexp_matches(x, '{_HEADING}'))[1]"
 _WINDOWS = lambda s, o: f"""(SELECT doc_id, start, substring(whole, CAST(start + 1 AS BIGINT), {s}) AS t FROM (SELECT doc_id, whole, unnest(generate_series(0, greatest(0, length(whole) - {o} - 1), {s - o})) AS start
    FROM (SELECT doc_id, coalesce(text, '') || chr(10) AS whole FROM documents)))"""
+_FILE_WINDOWS = lambda s, o: f"""p AS (SELECT source, doc_id AS p, coalesce(text, '') || chr(10) AS t, CASE WHEN doc_id % 3 <> 0 THEN CAST(doc_id % 500 AS VARCHAR) END AS label, CASE WHEN doc_id % 4 = 0 THEN '4.' || CAST(doc_id % 9 AS VARCHAR) || ' Part' END AS title FROM documents),
+  q AS (SELECT *, sum(length(t)) OVER (PARTITION BY source ORDER BY p) AS e, sum(length(t)) OVER (PARTITION BY source ORDER BY p) - length(t) AS b FROM p),
+  w AS (SELECT source, string_agg(t, '' ORDER BY p) AS whole FROM p GROUP BY source),
+  c AS (SELECT source, start, substring(whole, CAST(start + 1 AS BIGINT), {s}) AS t FROM (SELECT *, unnest(generate_series(0, greatest(0, length(whole) - {o} - 1), {s - o})) AS start FROM w)),
+  k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY start) - 1 AS n FROM c WHERE length({_TRIM('t')}) > 0),
+  numbered AS (SELECT k.source, n, any_value(k.t) AS t, CAST(min(p) AS INTEGER) AS a, CAST(max(p) AS INTEGER) AS b, coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE label IS NOT NULL))), ','), '') AS labels,
+      CASE WHEN arg_min(coalesce(title, '-'), p) <> '-' THEN arg_min(coalesce(title, '-'), p) END AS title FROM k JOIN q ON k.source = q.source AND q.b < k.start + length(k.t) AND q.e > k.start GROUP BY k.source, n)"""
 _CHUNKS = """chunks AS (SELECT lpad(CAST(vec_id AS VARCHAR), 8, '0') AS chunk_id, vec_id, CAST(embedding AS DOUBLE[]) AS v, label, 'doc_' || CAST(vec_id % 4 AS VARCHAR) AS filename,
     CASE WHEN vec_id % 3 = 0 THEN 'table' ELSE 'prose' END AS chunk_type, vec_id % 28 + 1 AS day FROM embeddings WHERE vec_id % 10 <> 9),
   asked AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q, label AS query_label, vec_id % 28 + 1 AS day, vec_id % 100 = 0 AS about_table FROM embeddings WHERE vec_id % 50 = 0),
@@ -112,6 +119,7 @@ _CHUNKS = """chunks AS (SELECT lpad(CAST(vec_id AS VARCHAR), 8, '0') AS chunk_id
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, vector_rank) AS hybrid_rank FROM (
       SELECT *, CAST(1 AS DOUBLE) * (CAST(1 AS DOUBLE) - distance) + CAST(0.5 AS DOUBLE) * CAST(date_match AS INTEGER) + CAST(0.2 AS DOUBLE) * CAST(table_match AS INTEGER) AS final_score FROM pool))"""
 _ALL = "WITH " + _CHUNKS.replace("{scope}", "")
+_OTHERS = "WITH " + _CHUNKS.replace("{scope}", "WHERE vec_id <> query_id")
 _STORED = "stored AS (SELECT d.doc_id, source AS document_id, lang AS strategy_name, quality = 1 AS is_active FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
 _QUESTIONS = """q AS (SELECT conv_id, turn, '見 2024 年 ' || CAST((conv_id + turn) % 12 + 1 AS VARCHAR) || ' 月 ' || CAST((conv_id + turn) % 28 + 1 AS VARCHAR) || ' 日' ||
    CASE WHEN (conv_id + turn) % 2 = 0 THEN '，2023年1月2日 表 4' ELSE '表格' END AS question FROM conversations)"""
@@ -179,9 +187,17 @@ def oracle_sql() -> dict[str, str]:
         "section_heading": f"WITH {_PAGES}, {_LINES} SELECT doc_id, {_TITLE} AS section_title FROM lines",
         "section_carry_forward": f"WITH {_PAGES}, {_LINES}, t AS (SELECT source_filename, doc_id AS page_index, {_TITLE} AS section_title FROM lines) SELECT *, last_value(section_title IGNORE NULLS) OVER (PARTITION BY source_filename ORDER BY page_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried_title FROM t",
         "chunk_fixed_600_100": f"SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(length(t) AS INTEGER) AS char_count, sha256(t) AS text_hash FROM {_WINDOWS(600, 100)} WHERE length({_TRIM('t')}) > 0",
-        "chunk_stats_by_strategy": "SELECT strategy_name, count(*) AS chunks, round(avg(n), 1) AS mean_chars, CAST(max(n) AS INTEGER) AS max_chars FROM (" + " UNION ALL ".join(
-            f"SELECT 'fixed_{s}_{o}' AS strategy_name, length(t) AS n FROM {_WINDOWS(s, o)} WHERE length({_TRIM('t')}) > 0" for s, o in ((400, 80), (600, 100), (800, 120))
-        ) + ") GROUP BY strategy_name",
+        "chunk_fixed_pages": f"""WITH {_FILE_WINDOWS(600, 100)} SELECT source || '::fixed_600_100::prose::' || lpad(CAST(n AS VARCHAR), CAST(greatest(4, length(CAST(n AS VARCHAR))) AS INTEGER), '0') AS chunk_id, source AS source_filename, CAST(length(t) AS INTEGER) AS char_count,
+            a AS page_index_start, b AS page_index_end, labels, title AS section_title, sha256(t) AS text_hash FROM numbered""",
+        "chunk_stats_by_strategy": " UNION ALL ".join(
+            f"SELECT * FROM (WITH {_FILE_WINDOWS(s, o)} SELECT 'fixed_{s}_{o}' AS strategy_name, count(*) AS chunks, count(*) AS prose_chunks, CAST(0 AS BIGINT) AS table_chunks, round(avg(length(t)), 1) AS mean_chars, CAST(max(length(t)) AS INTEGER) AS max_chars, CAST(0 AS BIGINT) AS failures FROM numbered)"
+            for s, o in ((400, 80), (600, 100), (800, 120))
+        ),
+        "page_labels": """WITH p AS (SELECT source, doc_id AS p, CASE WHEN doc_id % 3 <> 0 THEN CAST(doc_id % 500 AS VARCHAR) ELSE '-' END AS label FROM documents)
+            SELECT CAST(r.p AS VARCHAR) AS chunk_id, string_agg(CAST(q.p + 1 AS VARCHAR) || '=' || q.label, ',' ORDER BY CAST(q.p + 1 AS VARCHAR) || '=' || q.label) AS labels
+            FROM p r JOIN p q ON r.source = q.source AND q.p BETWEEN r.p AND r.p + r.p % 90 GROUP BY r.p""",
+        "overlapping_orders": """WITH o AS (SELECT o_custkey, o_orderkey AS k, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 97 AS INTEGER) AS b FROM orders)
+            SELECT x.o_custkey, count(*) AS pairs, min(x.k) AS first_order, max(y.k) AS last_order FROM o x JOIN o y ON x.o_custkey = y.o_custkey AND x.k < y.k AND x.a <= y.b AND y.a <= x.b GROUP BY x.o_custkey""",
         "content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
         "chunk_id": "SELECT doc_id, sha256(concat_ws(':', source, 'fixed_600_100', 'prose', CAST(doc_id AS VARCHAR), CAST(doc_id AS VARCHAR), sha256(text))) AS chunk_id FROM documents",
         "metadata_hash": """SELECT doc_id, sha256('{"printed_page_number_list": ["' || CAST(doc_id AS VARCHAR) || '"], "section_title": ' || coalesce('"' || lang || '"', 'null') || ', "table_title": null}') AS metadata_hash FROM documents""",
@@ -202,9 +218,16 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT *, CASE WHEN query_id % 100 = 0 THEN query_id % 30 END AS page FROM pool WHERE vector_rank <= 5) GROUP BY query_id""",
         "chunks_with_filenames": "SELECT vec_id AS chunk_id, vec_id % 700 AS document_id, source AS filename FROM embeddings JOIN documents ON doc_id = vec_id % 700",
         "hybrid_topk": _ALL + " SELECT query_id, CAST(hybrid_rank AS INTEGER) AS hybrid_rank, CAST(vector_rank AS INTEGER) AS vector_rank, chunk_id, date_match, table_match, round(final_score, 6) AS final_score FROM ranked WHERE hybrid_rank <= 5",
-        "order_unchanged": _ALL + " SELECT query_id, bool_and(hybrid_rank = vector_rank) AS unchanged FROM ranked GROUP BY query_id",
-        "wrong_group_rate": _ALL + " SELECT count(*) FILTER (WHERE label <> query_label) AS wrong, count(*) AS candidates, round(avg(CAST(label <> query_label AS INTEGER)), 6) AS rate FROM ranked WHERE vector_rank <= 5",
-        "hit_at_k": _ALL + ", h AS (SELECT query_id, CAST(min(vector_rank) FILTER (WHERE label = query_label) AS INTEGER) AS hit_rank FROM ranked GROUP BY query_id) SELECT *, coalesce(hit_rank <= 1, false) AS hit_at_1, coalesce(hit_rank <= 3, false) AS hit_at_3, coalesce(hit_rank <= 5, false) AS hit_at_5 FROM h",
+        "order_unchanged": _OTHERS + " SELECT query_id, bool_and(hybrid_rank = vector_rank) AS unchanged FROM ranked GROUP BY query_id",
+        "wrong_group_rate": _OTHERS + " SELECT count(*) FILTER (WHERE label <> query_label) AS wrong, count(*) AS candidates, round(avg(CAST(label <> query_label AS INTEGER)), 6) AS rate FROM ranked WHERE vector_rank <= 5",
+        "hit_at_k": _OTHERS + ", h AS (SELECT query_id, CAST(min(vector_rank) FILTER (WHERE label = query_label) AS INTEGER) AS hit_rank FROM ranked GROUP BY query_id) SELECT *, coalesce(hit_rank <= 1, false) AS hit_at_1, coalesce(hit_rank <= 3, false) AS hit_at_3, coalesce(hit_rank <= 5, false) AS hit_at_5 FROM h",
+        "benchmark_grades": " UNION ALL ".join(
+            f"""SELECT * FROM (WITH {_CHUNKS.replace("{scope}", "WHERE vec_id <> query_id" + own)}, g AS (SELECT query_id, {rank} AS r, CAST(chunk_id AS BIGINT) AS v FROM ranked WHERE query_id % 7 <> 0),
+              h AS (SELECT query_id, CAST(min(r) FILTER (WHERE v % 4 = query_id % 4 AND query_id % 30 BETWEEN v % 30 AND v % 30 + 9
+                AND contains('chunk 2024 年5 月' || CAST(v % 28 + 1 AS VARCHAR) || ' 日', '月' || CAST(query_id % 3 + 1 AS VARCHAR))) AS INTEGER) AS hit_rank FROM g GROUP BY query_id)
+              SELECT '{scope}' AS scope, query_id, '{rank}' AS ranked_by, hit_rank, coalesce(hit_rank <= 1, false) AS hit_at_1, coalesce(hit_rank <= 3, false) AS hit_at_3, coalesce(hit_rank <= 5, false) AS hit_at_5 FROM h)"""
+            for scope, own in (("all_documents", ""), ("document_scoped", " AND vec_id % 4 = query_id % 4")) for rank in ("vector_rank", "hybrid_rank")
+        ),
         "keyword_coverage": """WITH k AS (SELECT DISTINCT conv_id AS query_id, w FROM conversations, (SELECT unnest(['the', 'tion', 'que']) AS w)),
             m AS (SELECT k.query_id, k.w, coalesce(bool_or(contains(c.text, k.w)), false) AS found FROM k LEFT JOIN conversations c ON c.conv_id = k.query_id AND c.turn + 1 <= 3 GROUP BY 1, 2),
             s AS (SELECT query_id, count(*) FILTER (WHERE found)::DOUBLE / count(*)::DOUBLE AS c FROM m GROUP BY 1) SELECT query_id, round(c, 6) AS coverage, c >= CAST(0.6 AS DOUBLE) AS success FROM s""",
@@ -212,8 +235,9 @@ def oracle_sql() -> dict[str, str]:
         "table_question": f"WITH {_QUESTIONS} SELECT conv_id, turn, regexp_matches(question, '表\\s*\\d+') AS is_table_question FROM q",
         "range_overlap": """SELECT l_returnflag, count(*) AS lines, count(DISTINCT o_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey
             WHERE l_shipdate <= o_orderdate + INTERVAL 60 DAY AND o_orderdate <= l_shipdate + INTERVAL 10 DAY GROUP BY l_returnflag""",
-        "case_time_range": f"""WITH {ENERGY} SELECT CAST(dataset_id AS VARCHAR) || '-' || strftime("timestamp", '%Y-%m-%d') AS case_id, count(*) AS readings, max(load_kw) AS peak_load_kw FROM e
-            WHERE "timestamp" BETWEEN CAST("timestamp" AS DATE) + INTERVAL 6 HOUR AND CAST("timestamp" AS DATE) + INTERVAL 12 HOUR GROUP BY 1""",
+        "case_time_range": f"""WITH {ENERGY}, d AS (SELECT DISTINCT dataset_id, CAST("timestamp" AS DATE) AS day FROM e)
+            SELECT CAST(d.dataset_id AS VARCHAR) || '-' || strftime(day, '%Y-%m-%d') AS case_id, count(*) AS readings, max(load_kw) AS peak_load_kw
+            FROM d JOIN e ON e.dataset_id = d.dataset_id AND e."timestamp" BETWEEN day + INTERVAL 6 HOUR AND day + INTERVAL 60 HOUR GROUP BY 1""",
         "case_evidence": f"""WITH {ENERGY}, a AS ({anomalies}), c AS (SELECT [{", ".join(f"'{n}'" for n in RULES)}][vec_id % {len(RULES)} + 1] AS rule, count(*) AS cases FROM embeddings GROUP BY 1)
             SELECT a.rule, severity, count(*) AS readings, any_value(cases) AS cases FROM a JOIN c ON a.rule = c.rule GROUP BY 1, 2""",
         "evidence_answers": f"""WITH {ENERGY}, a AS ({anomalies}), f AS (SELECT dataset_id, site_id, CAST("timestamp" AS DATE) AS day, rule, count(*) AS readings FROM a GROUP BY ALL),
@@ -221,10 +245,13 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT rule, count(*) AS cases FROM c GROUP BY 1),
             i AS (SELECT rule, string_agg('case:' || CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS ids FROM (SELECT rule, vec_id FROM c QUALIFY row_number() OVER (PARTITION BY rule ORDER BY vec_id) <= 5) GROUP BY 1),
             x AS (SELECT rule, string_agg(cause || ':' || CAST(n AS VARCHAR), ',' ORDER BY n DESC, cause) AS causes FROM (SELECT rule, cause, count(*) AS n FROM c GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY rule ORDER BY count(*) DESC, cause) <= 5) GROUP BY 1),
-            y AS (SELECT rule, string_agg(action || ':' || CAST(n AS VARCHAR), ',' ORDER BY n DESC, action) AS actions FROM (SELECT rule, action, count(*) AS n FROM c GROUP BY 1, 2) GROUP BY 1)
-            SELECT dataset_id, site_id, day, f.rule, readings, coalesce(cases, 0) AS cases, causes, actions, CASE WHEN cases IS NULL THEN 'insufficient data' ELSE 'low' END AS confidence,
-              'dataset:' || CAST(dataset_id AS VARCHAR) || coalesce(',' || ids, '') AS citations
-            FROM f LEFT JOIN k ON f.rule = k.rule LEFT JOIN i ON f.rule = i.rule LEFT JOIN x ON f.rule = x.rule LEFT JOIN y ON f.rule = y.rule""",
+            y AS (SELECT rule, string_agg(action || ':' || CAST(n AS VARCHAR), ',' ORDER BY n DESC, action) AS actions FROM (SELECT rule, action, count(*) AS n FROM c GROUP BY 1, 2) GROUP BY 1),
+            p AS (SELECT [{", ".join(f"'{n}'" for n in RULES)}][2 * (doc_id % 4) + 1] AS rule, count(*) AS passages,
+              string_agg('document:' || source || ' p. ' || CAST(doc_id AS VARCHAR) || '-' || CAST(doc_id + 1 AS VARCHAR), ',' ORDER BY doc_id) AS pages FROM documents WHERE doc_id // 4 + 1 <= doc_id % 4 + 1 GROUP BY 1)
+            SELECT dataset_id, site_id, day, f.rule, readings, coalesce(cases, 0) AS cases, CAST(coalesce(passages, 0) AS INTEGER) AS passages, causes, actions,
+              CASE WHEN cases IS NULL AND passages IS NULL THEN 'insufficient data' WHEN cases IS NULL OR passages IS NULL THEN 'low' WHEN least(cases, passages) < 2 THEN 'medium' ELSE 'high' END AS confidence,
+              'dataset:' || CAST(dataset_id AS VARCHAR) || coalesce(',' || ids, '') || coalesce(',' || pages, '') AS citations
+            FROM f LEFT JOIN p ON f.rule = p.rule LEFT JOIN k ON f.rule = k.rule LEFT JOIN i ON f.rule = i.rule LEFT JOIN x ON f.rule = x.rule LEFT JOIN y ON f.rule = y.rule""",
         "case_similarity": """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),
             c AS (SELECT vec_id AS case_id, 'type_' || CAST(vec_id % 3 AS VARCHAR) AS event_type, CAST(vec_id % 3 = 0 AS INTEGER) AS e, CAST(vec_id % 4 = 0 AS INTEGER) + CAST(vec_id % 5 = 0 AS INTEGER) AS s,
               CAST(1 AS DOUBLE) - (CAST(1 AS DOUBLE) - list_inner_product(CAST(embedding AS DOUBLE[]), q) / (sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_inner_product(q, q))) ) AS x FROM embeddings, q),
@@ -236,6 +263,6 @@ def oracle_sql() -> dict[str, str]:
     return found | {q: _rule(r) for q, r in RULE_QUERIES.items()}
 
 
-_STATUS_PAGES = f"""WITH s AS (SELECT doc_id, coalesce(CASE WHEN doc_id % 4 = 0 THEN substring(text, 1, 12) ELSE text END, '') AS t, least(CAST(doc_id % 12 AS DOUBLE) * CAST(10 AS DOUBLE) / CAST(100 AS DOUBLE), CAST(1 AS DOUBLE)) AS coverage FROM documents),
+_STATUS_PAGES = f"""WITH s AS (SELECT doc_id, coalesce(text, '') AS t, least(CAST(doc_id % 12 AS DOUBLE) * CAST(10 AS DOUBLE) / CAST(100 AS DOUBLE), CAST(1 AS DOUBLE)) AS coverage FROM documents),
   n AS (SELECT doc_id, CAST(length({_TRIM("t")}) AS INTEGER) AS char_count, coverage FROM s),
   c AS (SELECT *, CASE WHEN char_count >= 20 THEN 'text' WHEN coverage >= 0.5 THEN 'scanned' ELSE 'near_empty' END AS page_status FROM n)"""

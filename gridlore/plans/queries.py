@@ -11,8 +11,10 @@ from gridlore.functions import text as T
 from gridlore.functions.hashing import chunk_id, content_hash, metadata_hash
 from gridlore.functions.pages import image_coverage, page_status
 from gridlore.operators import answers, charts, chunking, retrieval, rules, schedule, timeline, versions
+from gridlore.operators.intervals import overlap_join
 from gridlore.plans import site_day
 from gridlore.sources import energy_csv, store
+from gridlore.sources.documents import cases_in_series
 from gridlore.sources.events_view import read_energy
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,8 +185,7 @@ def pages_view(docs: DataFrame) -> DataFrame:
 def page_status_query(spark, sf_dir):
     n = F.col("doc_id")
     boxes = F.array(F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), (n % 12).cast("double").alias("x1"), F.lit(10.0).alias("y1")))
-    shown = F.when(n % 4 == 0, F.substring("text", 1, 12)).otherwise(F.col("text"))
-    chars = F.length(T.trimmed(F.coalesce(shown, F.lit(""))))
+    chars = F.length(T.trimmed(F.coalesce("text", F.lit(""))))
     cover = image_coverage(boxes, F.lit(10.0), F.lit(10.0))
     return documents(spark, sf_dir).select("doc_id", chars.alias("char_count"), cover.alias("coverage"), page_status(chars, cover).alias("page_status"))
 
@@ -212,11 +213,55 @@ def chunk_fixed_600_100(spark, sf_dir):
     return out.select("doc_id", "start", F.length("chunk_text").alias("char_count"), content_hash(F.col("chunk_text")).alias("text_hash"))
 
 
+def _files(docs: DataFrame) -> DataFrame:
+    """Documents as pages of one file for each source, with labels and titles."""
+    n = F.col("doc_id")
+    label, title = F.when(n % 3 != 0, (n % 500).cast("string")), F.when(n % 4 == 0, F.concat(F.lit("4."), (n % 9).cast("string"), F.lit(" Part")))
+    return docs.select(F.col("source").alias("source_filename"), n.cast("int").alias("page_index"), label.alias("printed_page_number"), title.alias("section_title"), "text")
+
+
+def chunk_fixed_pages(spark, sf_dir):
+    """Fixed windows over files of many pages."""
+    out = chunking.chunk_documents(_files(documents(spark, sf_dir)), "fixed_600_100")
+    return out.select(
+        "chunk_id", "source_filename", "char_count", "page_index_start", "page_index_end", F.array_join("printed_page_number_list", ",").alias("labels"),
+        "section_title", content_hash(F.col("text")).alias("text_hash"),
+    )
+
+
 def chunk_stats_by_strategy(spark, sf_dir):
-    whole = documents(spark, sf_dir).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("whole"))
-    cut = [chunking.fixed_windows(whole, ["doc_id"], "whole", s, o).select(F.lit(f"fixed_{s}_{o}").alias("strategy_name"), F.length("chunk_text").alias("n")) for s, o in ((400, 80), (600, 100), (800, 120))]
-    rows = cut[0].unionByName(cut[1]).unionByName(cut[2])
-    return rows.groupBy("strategy_name").agg(F.count("*").alias("chunks"), F.round(F.avg("n"), 1).alias("mean_chars"), F.max("n").alias("max_chars"))
+    """The report over fixed windows of three sizes; ``strategy_comparison`` is over the presets."""
+    pages = _files(documents(spark, sf_dir))
+    cut = [chunking.chunk_fixed(pages, chunking.Strategy(f"fixed_{s}_{o}", "fixed", s, o)) for s, o in ((400, 80), (600, 100), (800, 120))]
+    return chunking.strategy_report(cut[0].unionByName(cut[1]).unionByName(cut[2]))
+
+
+def strategy_comparison(spark, sf_dir):
+    """All presets over the same files: the report, and how complete the chunks are."""
+    pages = _files(documents(spark, sf_dir))
+    first, *more = (chunking.chunk_documents(pages, name) for name in chunking.STRATEGIES)
+    for chunks in more:
+        first = first.unionByName(chunks)
+    whole = chunking.completeness(first, "表", ["10:00", "11:00"], ["the", "of"])
+    return chunking.strategy_report(first).join(whole, "strategy_name")
+
+
+def page_labels(spark, sf_dir):
+    """Labels of the pages of ranges that overlap: every page of a file begins one."""
+    pages = _files(documents(spark, sf_dir)).withColumn("pdf_page_number", F.col("page_index") + 1)
+    first = F.col("page_index")
+    ranges = pages.select(first.cast("string").alias("chunk_id"), "source_filename", first.alias("page_index_start"), (first + first % 90).alias("page_index_end"))
+    out = versions.page_label_map(ranges, pages)
+    entries = F.array_sort(F.transform(F.map_entries("printed_page_number_map"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("-")))))
+    return out.select("chunk_id", F.array_join(entries, ",").alias("labels"))
+
+
+def overlapping_orders(spark, sf_dir):
+    """Pairs of a customer's orders that were open at the same time."""
+    orders = _table("orders")(spark, sf_dir)
+    days = lambda name: orders.select("o_custkey", F.col("o_orderkey").alias(name), F.to_date("o_orderdate").alias(f"{name}_from"), F.date_add("o_orderdate", (F.col("o_orderkey") % 97).cast("int")).alias(f"{name}_to"))
+    met = overlap_join(days("a"), days("b"), ["o_custkey"], ("a_from", "a_to"), ("b_from", "b_to")).where("a < b")
+    return met.groupBy("o_custkey").agg(F.count("*").alias("pairs"), F.min("a").alias("first_order"), F.max("b").alias("last_order"))
 
 
 def chunk_structured_600_100(spark, sf_dir):
@@ -334,7 +379,9 @@ def chunks_with_filenames(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir):
-    return retrieval.rescored(retrieval.candidates(_chunks(spark, sf_dir), _asked(spark, sf_dir)), F.col("question"))
+    """The pool of each question, re-scored; a question's own row is no answer to it."""
+    pool = retrieval.candidates(_chunks(spark, sf_dir), _asked(spark, sf_dir), retrieval.POOL + 1)
+    return retrieval.rescored(retrieval.without_own(pool, F.col("vec_id") == F.col("query_id")), F.col("question"))
 
 
 def hybrid_topk(spark, sf_dir):
@@ -356,6 +403,23 @@ def hit_at_k(spark, sf_dir):
     return retrieval.hit_ranks(graded, "vector_rank")
 
 
+def benchmark_grades(spark, sf_dir):
+    """Questions graded by document, page and content, over all documents and within their own, by both ranks."""
+    n = F.col("query_id")
+    start = (F.col("vec_id") % 30).cast("int")
+    chunks = _chunks(spark, sf_dir).withColumns({"pdf_page_number_start": start, "pdf_page_number_end": start + 9})
+    asked = _asked(spark, sf_dir).withColumn("source_document", F.concat(F.lit("doc_"), (n % 4).cast("string")))
+    place = F.struct((n % 30).cast("int").alias("pdf_page_number"))
+    keywords = F.array(F.lit("2024"), F.concat(F.lit("月"), (n % 3 + 1).cast("string")))
+    questions = asked.select(n.alias("id"), "source_document", place.alias("expected_location"), keywords.alias("expected_content_keywords"), (n % 7 != 0).alias("retrieval_eval_eligible"))
+    pools = retrieval.in_both_scopes(chunks, asked, retrieval.POOL + 1).drop("source_document")
+    own = F.col("vec_id") == n
+    ranked = retrieval.rescored(retrieval.without_own(pools, own, by=("scope", "query_id")), F.col("question"), by=("scope", "query_id"))
+    graded = retrieval.graded(ranked, questions)
+    hits = [retrieval.hit_ranks(graded, rank, ("scope", "query_id")).withColumn("ranked_by", F.lit(rank)) for rank in ("vector_rank", "hybrid_rank")]
+    return hits[0].unionByName(hits[1])
+
+
 def keyword_coverage(spark, sf_dir):
     turns = conversations(spark, sf_dir).select(F.col("conv_id").alias("query_id"), "text", (F.col("turn") + 1).alias("rank"))
     keywords = turns.select("query_id").distinct().select("query_id", F.array(F.lit("the"), F.lit("tion"), F.lit("que")).alias("keywords"), F.lit(0.6).alias("threshold"))
@@ -387,16 +451,15 @@ def range_overlap(spark, sf_dir):
 
 
 def case_time_range(spark, sf_dir):
-    """Cases name a range of time as text; readings of their dataset in that range are counted."""
+    """Readings of each case's dataset in its range of time, counted."""
     e = read_energy(spark, sf_dir)
-    day = F.date_format("timestamp", "yyyy-MM-dd")
-    ranges = e.select("dataset_id", day.alias("day")).distinct().select(F.concat_ws("-", F.col("dataset_id").cast("string"), "day").alias("case_id"), F.col("dataset_id").alias("related_dataset_id"), F.concat(F.col("day"), F.lit(" 06:00:00 ~ "), F.col("day"), F.lit(" 12:00:00")).alias("related_time_range"))
-    ends = F.split("related_time_range", " ~ ")
-    at = lambda k: F.to_timestamp_ntz(ends[k], F.lit("yyyy-MM-dd HH:mm:ss"))
-    cases = ranges.select("case_id", "related_dataset_id", at(0).alias("a"), at(1).alias("b"), F.to_date(at(0)).alias("day"))
-    # Equality on dataset and day first, then the interval.
-    met = e.join(cases, (F.col("dataset_id") == F.col("related_dataset_id")) & (F.to_date("timestamp") == F.col("day"))).where(F.col("timestamp").between(F.col("a"), F.col("b")))
-    return met.groupBy("case_id").agg(F.count("*").alias("readings"), F.max("load_kw").alias("peak_load_kw"))
+    day = F.to_date("timestamp").cast("timestamp_ntz").alias("day")
+    after = lambda hours: F.col("day") + F.expr(f"INTERVAL {hours} HOURS")
+    cases = e.select("dataset_id", day).distinct().select(
+        F.concat_ws("-", F.col("dataset_id").cast("string"), F.date_format("day", "yyyy-MM-dd")).alias("case_id"), F.col("dataset_id").alias("related_dataset_id"),
+        F.struct(after(6).alias("start"), after(60).alias("end")).alias("related_time_range"),
+    )
+    return cases_in_series(cases, e).groupBy("case_id").agg(F.count("*").alias("readings"), F.max("load_kw").alias("peak_load_kw"))
 
 
 def case_evidence(spark, sf_dir):
@@ -409,16 +472,22 @@ def case_evidence(spark, sf_dir):
 
 
 def evidence_answers(spark, sf_dir):
-    """Seven-part answers of all findings, with the cases of their kind; parts that are lists are given as text."""
+    """Seven-part answers of all findings, with the cases and passages of their kind; parts that are lists are given as text."""
     kinds, n = list(rules.RULES), F.col("vec_id")
     named = F.element_at(F.array(*map(F.lit, kinds)), (n % len(kinds) + 1).cast("int"))
     text = lambda p, k: F.concat(F.lit(p), (n % k).cast("string"))
     cases = embeddings(spark, sf_dir).select(n.alias("case_id"), named.alias("event_type"), text("cause_", 7).alias("root_cause"), text("action_", 3).alias("operator_action"))
-    out = answers.answers(answers.findings(rules.anomalies(read_energy(spark, sf_dir))), cases)
+    # Every second rule has one passage for each rank up to its place among the rules.
+    pages = F.col("page_index")
+    hits = _files(documents(spark, sf_dir)).select(
+        F.element_at(F.array(*map(F.lit, kinds)), (2 * (pages % 4) + 1).cast("int")).alias("rule"), (F.floor(pages / 4) + 1).cast("int").alias("rank"),
+        pages.cast("string").alias("chunk_id"), F.col("source_filename").alias("filename"), pages.alias("page_index_start"), (pages + 1).alias("page_index_end"),
+    ).where(F.col("rank") <= F.col("page_index_start") % 4 + 1)
+    out = answers.answers(answers.findings(rules.anomalies(read_energy(spark, sf_dir))), cases, hits)
     listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["value"], F.lit(":"), x["cases"].cast("string"))), ",")
     cited = F.array_join(F.transform("citations", lambda x: F.concat(x["source"], F.lit(":"), x["reference"])), ",")
     return out.select(
-        "dataset_id", "site_id", "day", "rule", F.col("finding.readings").alias("readings"), F.col("evidence.cases").alias("cases"),
+        "dataset_id", "site_id", "day", "rule", F.col("finding.readings").alias("readings"), F.col("evidence.cases").alias("cases"), F.col("evidence.passages").alias("passages"),
         listed("possible_causes").alias("causes"), listed("next_checks").alias("actions"), "confidence", cited.alias("citations"),
     )
 
@@ -437,9 +506,9 @@ def queries() -> dict[str, Query]:
         dataset_list, dataset_by_id, dataset_count, dataset_summary, dataset_extent, timeseries_page, quality_range_check, quality_enum_check,
         quality_bool_lexicon, quality_numeric_coerce, anomalies_all, anomaly_timeline, schedule_suggestion, schedule_windows, cost_energy, cost_arbitrage,
         cost_before_after, green_index_site_day, capacity_fade, site_day_analysis, price_bands, cycle_trend_7d, load_peak_rank, chart_series_bounds,
-        stream_hourly_batch, page_status_counts, printed_label, section_heading, section_carry_forward, chunk_fixed_600_100, chunk_stats_by_strategy,
+        stream_hourly_batch, page_status_counts, printed_label, section_heading, section_carry_forward, chunk_fixed_600_100, chunk_fixed_pages, chunk_stats_by_strategy, strategy_comparison, page_labels, overlapping_orders,
         chunk_structured_600_100, sentence_split, upsert_plan, duplicate_content, lifecycle_counts, lifecycle_decision, active_documents, superseded_pairs,
-        vector_topk, vector_topk_scoped, search_in_both_scopes, page_overlap_hit, chunks_with_filenames, hybrid_topk, order_unchanged, wrong_group_rate, hit_at_k, keyword_coverage, date_candidates, table_question,
+        vector_topk, vector_topk_scoped, search_in_both_scopes, page_overlap_hit, chunks_with_filenames, hybrid_topk, order_unchanged, wrong_group_rate, hit_at_k, benchmark_grades, keyword_coverage, date_candidates, table_question,
         range_overlap, case_time_range, case_evidence, evidence_answers, case_similarity,
     ]
     named = {f.__name__: f for f in plain}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridlore.functions.pages import is_scanned, page_status, status_after_ocr
 from gridlore.functions.text import printed_page_number, section_heading, trimmed
+from gridlore.operators.intervals import overlap_join
 from gridlore.schemas import CASES, PAGES
 
 #: bytes of a file -> (text, image coverage) of each page
@@ -94,9 +95,9 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cases_in_series(cases: DataFrame, series: DataFrame) -> DataFrame:
-    """Readings of each case's dataset in its time range: equality on dataset, then an interval."""
-    c = cases.select("case_id", "related_dataset_id", F.col("related_time_range.start").alias("a"), F.col("related_time_range.end").alias("b"))
-    return series.join(c, series["dataset_id"] == c["related_dataset_id"]).where(F.col("timestamp").between(F.col("a"), F.col("b"))).drop("related_dataset_id", "a", "b")
+    """Readings of each case's dataset in its time range, with ``case_id``; met by dataset and bins of time."""
+    ranges = cases.select("case_id", F.col("related_dataset_id").alias("dataset_id"), F.col("related_time_range.start").alias("__start"), F.col("related_time_range.end").alias("__end"))
+    return overlap_join(series, ranges, ["dataset_id"], ("timestamp", "timestamp"), ("__start", "__end")).drop("__start", "__end")
 
 
 def read_texts(spark: SparkSession, paths: str) -> DataFrame:

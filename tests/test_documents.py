@@ -117,10 +117,27 @@ def test_caption_first_tables(spark):
     assert not of(chunks(spark, [contents], 400), "table")
     both = of(chunks(spark, [DATED + "\n" + "\n".join(CAPTIONED)], 900), "table")
     assert len(both) == 2 and "電池系統" not in both[0]["text"] + both[1]["text"].replace("表 3-1 電池系統組成", "") or len(both) == 2
-    first = of(chunks(spark, ["\n".join(CAPTIONED[:6]), "第二頁內容"], 400), "table")[0]
+    first = of(chunks(spark, ["\n".join(CAPTIONED[:6]), "第二頁的內容。"], 400), "table")[0]
     assert (first["page_index_start"], first["page_index_end"]) == (0, 0) and "第二頁" not in first["text"]
 
 
+def test_rows_that_tell_a_table_may_be_on_the_next_page(spark):
+    """Up to ten rows tell a table, over a page's end too; what follows them is taken from the caption's page alone."""
+    t = of(chunks(spark, ["表 3-1 電池\n一\n二", "三\n四\n五\n結尾。"], 400), "table")
+    assert [c["text"].split("\n")[2:] for c in t] == [["一", "二", "三", "四", "五"]]
+    assert (t[0]["page_index_start"], t[0]["page_index_end"]) == (0, 1)
+    rows = [f"row {k}" for k in range(30)]
+    t = of(chunks(spark, ["表 3-1 電池\n" + "\n".join(rows[:4]), "\n".join(rows[4:])], 900), "table")
+    assert t[0]["text"].split("\n")[2:] == rows[:10]
+    t = of(chunks(spark, ["表 3-1 電池\n" + "\n\n".join(rows[:4] + rows[4:]), "more"], 900), "table")
+    assert not t  # a blank line between rows ends the run that tells a table
+    t = of(chunks(spark, ["表 3-1 電池\n" + "\n".join(rows[:5]) + "\n\n" + "\n".join(rows[5:]), "more"], 900), "table")
+    assert t[0]["text"].split("\n")[2:] == rows
+    many = [f"r{k}" for k in range(80)]
+    t = of(chunks(spark, ["表 3-1 電池\n" + "\n".join(many)], 9000), "table")
+    assert t[0]["text"].split("\n")[2:] == many[:60]
+
+
 def test_prose_packing_overlaps(spark):
     text = "\n\n".join(f"Sentence number {k} is here." * 2 for k in range(30))
     found = in_order(chunks(spark, [text], 200, 40))
