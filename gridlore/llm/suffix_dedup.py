@@ -130,7 +130,7 @@ def _like_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(same[like]), pa.array(head[like])], names=["same", "head"])
 
 
-CONTEXTS = "head long, block int, doc_id long, place long, before int, words binary, starts binary, ends binary"
+CONTEXTS = "head long, block int, doc_id long, same long, place long, before int, words binary, starts binary, ends binary"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,47 +160,47 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for low, high, p, head in zip((first + a).tolist(), (last + a).tolist(), own[first].tolist(), heads[own[first]].view(np.int64).tolist(), strict=True):
                     if (w := blocks.get(head)) is None:
                         continue
-                    row = (doc, p - a, p - low, hashes[low : high + PASSAGE].tobytes())
+                    row = (doc, same, p - a, p - low, hashes[low : high + PASSAGE].tobytes())
                     row += ((chars[begin[low : high + 1]] - chars[at[k]]).tobytes(), (chars[end[low + PASSAGE - 1 : high + PASSAGE]] - chars[at[k]]).tobytes())
                     for block in range(w["blocks"]) if w["leads"] and head not in seen else (w["block"],):
                         for column, x in zip(out, (head, block, *row), strict=True):
                             column.append(x)
                     seen.add(head)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3]
+            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), *[pa.binary()] * 3]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
 
-MATCHES = "doc_id long, place long, last long, start long, end long, source long, source_start long, hash long, check long"
+MATCHES = "doc_id long, same long, place long, last long, start long, end long, source long, source_same long, source_start long, hash long, check long"
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From suffixes in order of head, block, document and place, what is redundant, and what is left to be told by digests.
+    """From suffixes in order of head, block, document, text and place, what is redundant, and what is left to be told by digests.
 
     Redundant: passages from ``place`` to ``last`` that the run's first suffix has, too, and its source. Left open:
     single passages with their digest and no source.
     """
     names = [k.split()[0] for k in MATCHES.split(", ")]
-    lead = None  # the run's first suffix: head and block, document, place, words before it, words, starts
+    lead = None  # the run's first suffix: head and block, document, text, place, words before it, words, starts
     listed = False  # whether its own passages are listed, as is needed for repeats that overlap it
     for batch in batches:
         out: list[tuple] = []
 
-        def left_open(doc, place, before, own, starts, ends, skip=range(0)):
+        def left_open(doc, same, place, before, own, starts, ends, skip=range(0)):
             runs = grams(own, HEAD)
             both = _spans(runs, PASSAGE).view(np.int64), _spans(runs, PASSAGE, 1).view(np.int64)
             for k in range(len(starts)):
                 if before - k not in skip:
                     s = place - before + k
-                    out.append((doc, s, s, int(starts[k]), int(ends[k]), None, None, int(both[0][k]), int(both[1][k])))  # noqa: B023
+                    out.append((doc, same, s, s, int(starts[k]), int(ends[k]), None, None, None, int(both[0][k]), int(both[1][k])))  # noqa: B023
 
-        for head, block, doc, place, before, own, starts, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for head, block, doc, same, place, before, own, starts, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             own, starts, ends = np.frombuffer(own, np.uint64), np.frombuffer(starts, np.int64), np.frombuffer(ends, np.int64)
-            x = (doc, place, before, own, starts, ends)
+            x = (doc, same, place, before, own, starts, ends)
             if lead is None or lead[0] != (head, block):
                 lead, listed = ((head, block), *x), False
                 continue
-            _, doc0, place0, before0, own0, starts0, _ = lead
-            if doc == doc0 and place - place0 < PASSAGE:
+            _, doc0, same0, place0, before0, own0, starts0, _ = lead
+            if (doc, same) == (doc0, same0) and place - place0 < PASSAGE:
                 if not listed:
                     left_open(*lead[1:])
                     listed = True
@@ -215,28 +215,28 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             most, least = left, max(PASSAGE - right, before - len(starts) + 1)  # words before the suffix, of passages that both have
             if least <= most:
                 first, last = before - most, before - least
-                out.append((doc, place - most, place - least, int(starts[first]), int(ends[last]), doc0, int(starts0[before0 - most]), None, None))
+                out.append((doc, same, place - most, place - least, int(starts[first]), int(ends[last]), doc0, same0, int(starts0[before0 - most]), None, None))
             left_open(*x, range(least, most + 1))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(names))], names=names)
 
 
-SPANS = "doc_id long, start long, end long, n_words long, source_doc_id long, source_start long"
+SPANS = "doc_id long, start long, end long, n_words long, source_doc_id long, source_start long, text_digest long"
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, place, last, start, end, source, source start), in order of document and place, to maximal spans."""
+    """Rows (doc_id, same, place, last, start, end, source, source start), in order of text and place, to maximal spans."""
     held: list | None = None
     names = [k.split()[0] for k in SPANS.split(", ")]
 
     def out(rows: list[list]) -> pa.RecordBatch:
-        made = [(d, s, e, q - p + PASSAGE, o, t) for d, p, q, s, e, o, t in rows]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*made, strict=True) if made else [[]] * 6)], names=names)
+        made = [(d, s, e, q - p + PASSAGE, o, t, x) for d, x, p, q, s, e, o, t in rows]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*made, strict=True) if made else [[]] * 7)], names=names)
 
     for batch in batches:
         done = []
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held is not None and held[0] == row[0] and row[1] <= held[2] + PASSAGE:
-                held[2], held[4] = max(held[2], row[2]), max(held[4], row[4])
+            if held is not None and held[:2] == list(row[:2]) and row[2] <= held[3] + PASSAGE:
+                held[3], held[5] = max(held[3], row[3]), max(held[5], row[5])
             else:
                 if held is not None:
                     done.append(held)
@@ -252,8 +252,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     ``start`` and ``end`` are code points of the text; ``source_doc_id`` and ``source_start`` name an earlier place of
     the span's first ``PASSAGE`` words. A document of the same words as one of smaller id, and of ``PASSAGE`` words at
     least, is one span from 0 to its end. Null and shorter texts have no passage. Rows that repeat an id and its text
-    count once; rows that repeat an id with other texts are judged by the least of them alone. Rows with a null id are
-    left out. Other columns are not read. Texts of any length are taken whole.
+    count once; texts that share an id are judged each by itself, in the order of ``text_digest``, which tells whose a
+    span is. Rows with a null id are left out. Other columns are not read. Texts of any length are taken whole.
     """
     return _repeats(docs)[0]
 
@@ -269,29 +269,29 @@ def _repeats(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     alike = suffixes.repartition("head").sortWithinPartitions("head", "same").mapInArrow(_like_neighbours, "same long, head long")
     alike = alike.unionByName(long.select("same", F.explode("repeated").alias("head"))).distinct()
     alike = staged(alike.join(nodes, "same").select("head", "same", F.col("first").alias("doc_id")), "alike")
-    runs = alike.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("doc_id").alias("lead"))
+    runs = alike.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min(F.struct("doc_id", "same")).alias("lead"))
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")
-    placed = alike.join(runs, "head").select("doc_id", "same", F.struct("head", block, "blocks", (F.col("doc_id") == F.col("lead")).alias("leads")).alias("head"))
+    placed = alike.join(runs, "head").select("doc_id", "same", F.struct("head", block, "blocks", (F.struct("doc_id", "same") == F.col("lead")).alias("leads")).alias("head"))
     wanted = staged(placed.groupBy("doc_id", "same").agg(F.collect_list("head").alias("heads")), "heads")  # of one document each
     dropped(alike)
     # Merged at every size: left to itself, Spark sends the heads of small inputs to every executor.
     texts = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "same", "heads").mapInArrow(_contexts, CONTEXTS)
-    order = ("head", "block", "doc_id", "place")
+    order = ("head", "block", "doc_id", "same", "place")
     matches = staged(texts.repartition("head", "block").sortWithinPartitions(*order).mapInArrow(_extended, MATCHES), "matches")
     dropped(wanted)
 
     open_ones = matches.where(F.col("hash").isNotNull())
-    firsts = open_ones.groupBy("hash", "check").agg(F.min(F.struct("doc_id", "place", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = firsts.select("hash", "check", F.col("first.doc_id").alias("source"), F.col("first.place").alias("source_place"), F.col("first.start").alias("source_start"))
-    later = (F.col("doc_id") != F.col("source")) | (F.col("place") >= F.col("source_place") + PASSAGE)
-    columns = ["doc_id", "place", "last", "start", "end", "source", "source_start"]
-    redundant = open_ones.drop("source", "source_start").join(firsts, ["hash", "check"]).where(later).select(columns)
+    firsts = open_ones.groupBy("hash", "check").agg(F.min(F.struct("doc_id", "same", "place", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = firsts.select("hash", "check", F.col("first.doc_id").alias("source"), F.col("first.same").alias("source_same"), F.col("first.place").alias("source_place"), F.col("first.start").alias("source_start"))
+    later = (F.col("doc_id") != F.col("source")) | (F.col("same") != F.col("source_same")) | (F.col("place") >= F.col("source_place") + PASSAGE)
+    columns = ["doc_id", "same", "place", "last", "start", "end", "source", "source_start"]
+    redundant = open_ones.drop("source", "source_same", "source_start").join(firsts, ["hash", "check"]).where(later).select(columns)
     redundant = redundant.unionByName(matches.where(F.col("hash").isNull()).select(columns))
-    spans = redundant.repartition("doc_id").sortWithinPartitions("doc_id", "place", "source").mapInArrow(_merged, SPANS)
+    spans = redundant.repartition("doc_id").sortWithinPartitions("doc_id", "same", "place", "source").mapInArrow(_merged, SPANS)
 
     copies = long.join(nodes, ["same", "digest"]).where(F.col("doc_id") != F.col("first")).select(
-        "doc_id", F.lit(0).cast("long").alias("start"), F.col("n_chars").alias("end"), "n_words", F.col("first").alias("source_doc_id"), F.lit(0).cast("long").alias("source_start")
-    ).dropDuplicates(["doc_id"])
+        "doc_id", F.lit(0).cast("long").alias("start"), F.col("n_chars").alias("end"), "n_words", F.col("first").alias("source_doc_id"), F.lit(0).cast("long").alias("source_start"), F.col("same").alias("text_digest")
+    ).dropDuplicates(["doc_id", "text_digest"])
     return spans.unionByName(copies), [listed, matches]
 
 
@@ -299,11 +299,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without redundant passages, in its own columns; a document of which nothing is left goes.
 
     ``n_chars``, if there is such a column, follows the text. Rows without a redundant passage stay as they are, also
-    those with a null text or id; of rows that repeat an id all lose the spans found for it.
+    those with a null text or id. Of rows that repeat an id each loses the spans of its own text.
     """
     found, tables = _repeats(docs)
     spans_name, id_name = free_name(docs, "spans"), free_name(docs, "id")
-    by_doc = staged(found.groupBy(F.col("doc_id").alias(id_name)).agg(F.collect_list(F.struct("start", "end")).alias(spans_name)), "spans")  # of one document each
+    by_doc = staged(found.groupBy(F.col("doc_id").alias(id_name)).agg(F.collect_list(F.struct("start", "end", "text_digest")).alias(spans_name)), "spans")  # of one document each
     dropped(*tables)
     joined = docs.join(by_doc, F.col("doc_id") == F.col(id_name), "left")
     names = docs.columns
@@ -316,7 +316,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             keep = np.ones(len(texts), bool)
             chars = batch.column(names.index("n_chars")).to_pylist() if "n_chars" in names else None
             for k, spans in enumerate(batch.column(spans_at).to_pylist()):
-                if spans and texts[k] is not None:
+                if not spans or texts[k] is None:
+                    continue
+                _, _, hashes, _ = words(*utf8(batch.column(at).slice(k, 1)), False)
+                own = _short(_digest(hashes))
+                if spans := [s for s in spans if s["text_digest"] == own]:
                     texts[k] = _left(texts[k], spans)
                     keep[k] = texts[k] is not None
                     if chars is not None and keep[k]:

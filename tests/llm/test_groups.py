@@ -220,3 +220,15 @@ def test_long_runs_are_split(make_docs, monkeypatch):
     for r in repeated_passages(make_docs(texts)).collect():
         got.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
     assert {d: sorted(s) for d, s in got.items()} == brute_repeats(texts)
+
+
+def test_texts_that_share_an_id_are_cut_each_by_itself(make_docs):
+    """Nothing is cut from a text but what is repeated of it."""
+    passage, unique = prose(20, 60), prose(41, 200)
+    copy = prose(40, 30) + " " + passage
+    docs = make_docs([(1, prose(30, 20) + " " + passage), (5, copy), (5, unique), (5, copy), (6, unique), (7, copy + " " + prose(42, 9))])
+    left = sorted((r["doc_id"], r["text"]) for r in without_repeats(docs).collect())
+    kept = prose(40, 30) + " "
+    assert left == sorted([(1, prose(30, 20) + " " + passage), (5, kept), (5, unique), (5, kept), (7, " " + prose(42, 9))])
+    spans = {(r["doc_id"], r["start"], r["end"]) for r in repeated_passages(docs).collect()}
+    assert spans == {(5, len(kept), len(copy)), (6, 0, len(unique)), (7, 0, len(copy))}
