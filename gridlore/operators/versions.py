@@ -10,45 +10,25 @@ from __future__ import annotations
 import datetime
 import time
 import uuid
-from collections.abc import Callable, Iterator
-from typing import Protocol
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlore.functions.hashing import chunk_id, content_hash, metadata_hash
+from gridlore.operators import ledger as L
 from gridlore.operators.intervals import overlap_join
+from gridlore.operators.ledger import BATCH, EmbeddingError, EmbeddingProvider
 from gridlore.schemas import DOCUMENTS, STORED_CHUNKS
+from gridlore.sources.shared import shared_folder
 
-BATCH = 96
-TOKENS = ("prompt_tokens", "total_tokens")
-TRIES = 3
+TRIES = L.TRIES
 
 
 class ChunkStateError(RuntimeError):
     """A version has active and inactive chunks at once, or nothing to activate."""
 
 
-class EmbeddingError(RuntimeError):
-    """The provider failed on every try."""
-
-
-class EmbeddingProvider(Protocol):
-    """Turns texts into vectors; runs in the workers.
-
-    A provider may also have ``usage``, a dict with ``prompt_tokens`` and ``total_tokens`` of its last call (either may be
-    missing or None).
-    """
-
-    name: str
-    model: str
-    version: str
-    dimensions: int
-
-    def embed(self, texts: list[str]) -> list[list[float]]: ...
-
-
 class HashProvider:
     """Deterministic stand-in without meaning: vectors from a hash of the text. Never a measure of retrieval quality."""
 
@@ -64,16 +44,10 @@ class HashProvider:
 
 def with_retry(provider: EmbeddingProvider, texts: list[str], sleep: Callable[[float], None] = time.sleep) -> list[list[float]]:
     """Up to ``TRIES`` calls, waiting 1 s, then 2 s; no call for no texts."""
-    if not texts:
-        return []
-    for k in range(TRIES):
-        try:
-            return provider.embed(texts)
-        except Exception as e:  # any failure of the service is tried again
-            if k == TRIES - 1:
-                raise EmbeddingError(str(e)) from e
-            sleep(2.0**k)
-    raise AssertionError
+    vectors, error, _ = L.tried(provider, texts, sleep, TRIES)
+    if error is not None:
+        raise EmbeddingError(error)
+    return vectors
 
 
 # ------------------------------------------------------------------ snapshots
@@ -99,27 +73,33 @@ def current(spark: SparkSession, table: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{table}/{name}")
 
 
-def commit(df: DataFrame, table: str) -> None:
-    """Write ``df`` as a new snapshot, then a pointer of the next number, by one rename; older pointers go last.
-
-    Whatever fails on the way, the newest pointer names a whole snapshot. The one before it stays, for readers that
-    have just found it.
-    """
-    spark = df.sparkSession
-    name = f"snapshot-{uuid.uuid4().hex}"
-    df.write.parquet(f"{table}/{name}")
+def point(spark: SparkSession, table: str, content: str) -> None:
+    """Write the pointer of the next number, by one rename; older ones but the last go."""
     before = _pointers(spark, table)
     number = int(before[-1].partition("-")[2]) + 1 if before else 1
     fs, new = _fs(spark, f"{table}/.pointer-{uuid.uuid4().hex}")
     out = fs.create(new)
-    out.write(bytearray(name.encode()))
+    out.write(bytearray(content.encode()))
     out.close()
-    if not fs.rename(new, _fs(spark, f"{table}/CURRENT-{number:012}")[1]):
+    target = _fs(spark, f"{table}/CURRENT-{number:012}")[1]
+    if fs.exists(target) or not fs.rename(new, target):
         raise OSError(f"{table}: another writer has committed snapshot {number}")
     for old in before[:-1]:
         fs.delete(_fs(spark, f"{table}/{old}")[1], False)
 
 
+def commit(df: DataFrame, table: str) -> None:
+    """Write ``df`` as a new snapshot, then a pointer of the next number, by one rename; older pointers go last.
+
+    Whatever fails on the way, the newest pointer names a whole snapshot. The one before it stays, for readers that
+    have just found it. For small tables; ``buckets`` writes what has changed alone. The file system must rename
+    atomically, which plain object stores do not.
+    """
+    name = f"snapshot-{uuid.uuid4().hex}"
+    df.write.parquet(f"{table}/{name}")
+    point(df.sparkSession, table, name)
+
+
 # -------------------------------------------------------------------- upserts
 
 
@@ -159,66 +139,54 @@ def plan_upsert(new: DataFrame, stored: DataFrame) -> DataFrame:
     return new.join(known, "chunk_id", "left").withColumn("action", action).drop("stored_hash")
 
 
-def embedded(chunks: DataFrame, provider: EmbeddingProvider, batch: int = BATCH) -> DataFrame:
-    """(chunk_id, embedding, error, prompt_tokens, total_tokens): in batches; a batch that fails gives errors, the others go on.
+_META = ["chunk_metadata_hash", "printed_page_number_map", "section_title", "table_title"]
 
-    A call's tokens, where the provider reports them, stand at its first chunk; ``token_totals`` sums them.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for low in range(0, len(pdf), batch):
-                part = pdf.iloc[low : low + batch]
-                used: dict = {}
-                try:
-                    vectors, error = with_retry(provider, list(part["text"])), None
-                    used = getattr(provider, "usage", None) or {}
-                except EmbeddingError as e:
-                    vectors, error = [None] * len(part), str(e)
-                tokens = {n: pd.array([used.get(n), *[None] * (len(part) - 1)], "Int64") for n in TOKENS}
-                yield pd.DataFrame({"chunk_id": list(part["chunk_id"]), "embedding": vectors, "error": [error] * len(part), **tokens})
-
-    return chunks.select("chunk_id", "text").mapInPandas(run, "chunk_id string, embedding array<float>, error string, prompt_tokens long, total_tokens long")
 
-
-def token_totals(vectors: DataFrame) -> DataFrame:
-    """Tokens of all calls of ``embedded``, in one row; a call that reports none counts as none."""
-    return vectors.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in TOKENS))
+def _provenance(provider: EmbeddingProvider, at: Column) -> dict[str, Column]:
+    return {
+        "embedding_provider": F.lit(provider.name), "embedding_model": F.lit(provider.model), "embedding_dimensions": F.lit(provider.dimensions),
+        "embedding_model_version": F.lit(provider.version), "embedded_at": at,
+    }
 
 
-def apply_upsert(new: DataFrame, stored: DataFrame, provider: EmbeddingProvider, now: datetime.datetime, batch: int = BATCH) -> tuple[DataFrame, dict, DataFrame]:
-    """The next snapshot of the chunks, counters, and the ids that failed.
+def upsert_changes(
+    new: DataFrame, stored: DataFrame, provider: EmbeddingProvider, now: datetime.datetime, batch: int = BATCH, ledger: str | None = None
+) -> tuple[DataFrame, dict, DataFrame]:
+    """The rows that an upsert adds or changes, counters, and the ids that failed.
 
-    Only inserts are embedded. New chunks are inactive; a metadata change never touches ``is_active``. The embeddings
-    are kept, since a second call would be charged for. Where the provider reports its usage, the counters have the
-    tokens of all calls.
+    Only inserts are embedded, and of those only texts that the ``ledger`` has no vector for; without one, the call gets
+    a ledger of its own. New chunks are inactive; a metadata change never touches ``is_active``. ``calls`` counts every
+    call that was made, failed ones and repeated tries included; where the provider reports its usage, the counters
+    have the tokens of all calls. A chunk fails if its text has no vector in the end.
     """
-    plan = plan_upsert(new, stored).cache()
-    inserts = plan.where(F.col("action") == "insert")
-    vectors = embedded(inserts, provider, batch).cache()
+    spark = new.sparkSession
+    ledger = ledger or shared_folder(spark, "ledger")
+    plan = plan_upsert(new, stored)
     counts = {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count("*").alias("n")).collect()}
-    failed = vectors.where(F.col("error").isNotNull()).select("chunk_id")
+    inserts = plan.where(F.col("action") == "insert")
+    run = L.embed_once(inserts.select(F.col("embedding_content_hash").alias("content_hash"), "text"), provider, ledger, batch, tries=TRIES)
+    vectors = L.finished(spark, ledger, provider).withColumnRenamed("content_hash", "embedding_content_hash")
+    failed = inserts.join(vectors, "embedding_content_hash", "left_anti").select("chunk_id")
     n_failed = failed.count()
     at = F.lit(now).cast("timestamp")
-    made = inserts.join(vectors.where(F.col("error").isNull()).select("chunk_id", "embedding"), "chunk_id").withColumns(
-        {
-            "embedding_provider": F.lit(provider.name), "embedding_model": F.lit(provider.model), "embedding_dimensions": F.lit(provider.dimensions),
-            "embedding_model_version": F.lit(provider.version), "embedded_at": at, "is_active": F.lit(False), "created_at": at, "updated_at": at,
-        }
-    )
-    meta = ["chunk_metadata_hash", "printed_page_number_map", "section_title", "table_title"]
-    changes = plan.where(F.col("action") == "update_metadata").select("chunk_id", F.struct(*meta).alias("change"))
-    kept = stored.join(changes, "chunk_id", "left").withColumns(
-        {m: F.when(F.col("change").isNotNull(), F.col(f"change.{m}")).otherwise(F.col(m)) for m in meta} | {"updated_at": F.when(F.col("change").isNotNull(), at).otherwise(F.col("updated_at"))}
-    )
     names = STORED_CHUNKS.fieldNames()
-    counters = {
-        "inserted": counts.get("insert", 0) - n_failed, "metadata_updated": counts.get("update_metadata", 0), "skipped": counts.get("skip", 0),
-        "failed": n_failed, "calls": -(-counts.get("insert", 0) // batch),
-    }
-    if hasattr(provider, "usage"):
-        counters |= token_totals(vectors).first().asDict()
-    return kept.select(*names).unionByName(made.select(*names)), counters, failed
+    made = inserts.select(*(c for c in inserts.columns if c != "embedding")).join(vectors, "embedding_content_hash").withColumns(_provenance(provider, at) | {"is_active": F.lit(False), "created_at": at, "updated_at": at})
+    changes = plan.where(F.col("action") == "update_metadata").select("chunk_id", F.struct(*_META).alias("change"))
+    changed = stored.join(changes, "chunk_id").withColumns({m: F.col(f"change.{m}") for m in _META} | {"updated_at": at})
+    counters = {"inserted": counts.get("insert", 0) - n_failed, "metadata_updated": counts.get("update_metadata", 0), "skipped": counts.get("skip", 0), "failed": n_failed}
+    spent = L.totals(spark, ledger, provider, run)
+    counters |= spent if hasattr(provider, "usage") else {"calls": spent["calls"]}
+    return changed.select(*names).unionByName(made.select(*names)), counters, failed
+
+
+def apply_upsert(
+    new: DataFrame, stored: DataFrame, provider: EmbeddingProvider, now: datetime.datetime, batch: int = BATCH, ledger: str | None = None
+) -> tuple[DataFrame, dict, DataFrame]:
+    """The next snapshot of the chunks, counters, and the ids that failed; see ``upsert_changes``."""
+    changes, counters, failed = upsert_changes(new, stored, provider, now, batch, ledger)
+    names = STORED_CHUNKS.fieldNames()
+    kept = stored.select(*names).join(changes.select("chunk_id"), "chunk_id", "left_anti").select(*names)
+    return kept.unionByName(changes), counters, failed
 
 
 def get_or_create_document(documents: DataFrame, filename: str, content: str, pages: int, stored: DataFrame, now: datetime.datetime) -> tuple[int, DataFrame]:
@@ -250,27 +218,50 @@ def state_counts(stored: DataFrame, keys: tuple[str, ...] = ("document_id", "str
     return counts.withColumn("decision", decision)
 
 
-def cutover(stored: DataFrame, documents: DataFrame, document_id: int, strategy: str, failed: DataFrame | None = None) -> tuple[str, DataFrame]:
-    """Outcome and next snapshot: the version's chunks active, those of the document it supersedes inactive.
+def cutover_changes(stored: DataFrame, documents: DataFrame, document_id: int, strategy: str, failed: DataFrame | None = None) -> tuple[str, DataFrame]:
+    """Outcome, and the rows that change: the version's chunks become active, those of the document it supersedes inactive.
 
-    With ``failed`` chunks of its upsert the version stays inactive, and the one before it active. Raises ``ChunkStateError`` where the version is partly active. Nothing is written here, so a failure changes nothing.
+    With ``failed`` chunks of its upsert the version stays inactive, and the one before it active. Raises
+    ``ChunkStateError`` where the version is partly active. Nothing is written here, so a failure changes nothing.
     """
+    none = stored.limit(0)
     if failed is not None and not failed.isEmpty():
-        return "failed_chunks", stored
-    own = stored.where((F.col("document_id") == document_id) & (F.col("strategy_name") == strategy))
-    state = state_counts(own).head(1)
+        return "failed_chunks", none
+    mine = (F.col("document_id") == document_id) & (F.col("strategy_name") == strategy)
+    state = state_counts(stored.where(mine)).head(1)
     if not state:
-        return "no_chunks", stored
+        return "no_chunks", none
     if state[0]["decision"] == "anomaly":
         raise ChunkStateError(f"document {document_id}, {strategy}: {state[0]['active']} active and {state[0]['inactive']} inactive chunks")
     if state[0]["decision"] == "already_active":
-        return "already_active", stored
+        return "already_active", none
     old = documents.where(F.col("id") == document_id).head(1)[0]["supersedes_document_id"]
-    mine = (F.col("document_id") == document_id) & (F.col("strategy_name") == strategy)
     replaced = (F.col("document_id") == F.lit(old)) if old is not None else F.lit(False)
-    return "activated", stored.withColumn("is_active", F.when(mine, F.lit(True)).when(replaced, F.lit(False)).otherwise(F.col("is_active")))
+    turned = F.when(mine, F.lit(True)).when(replaced, F.lit(False)).otherwise(F.col("is_active"))
+    return "activated", stored.withColumn("__turned", turned).where(~F.col("__turned").eqNullSafe(F.col("is_active"))).withColumn("is_active", F.col("__turned")).drop("__turned")
+
+
+def cutover(stored: DataFrame, documents: DataFrame, document_id: int, strategy: str, failed: DataFrame | None = None) -> tuple[str, DataFrame]:
+    """Outcome and next snapshot; see ``cutover_changes``."""
+    outcome, changes = cutover_changes(stored, documents, document_id, strategy, failed)
+    if outcome != "activated":
+        return outcome, stored
+    return outcome, stored.join(changes.select("chunk_id"), "chunk_id", "left_anti").select(*stored.columns).unionByName(changes.select(*stored.columns))
 
 
 def stale(stored: DataFrame, provider: EmbeddingProvider) -> DataFrame:
     """Chunks embedded by another model or version, to be embedded again."""
     return stored.where((F.col("embedding_model") != provider.model) | (F.col("embedding_model_version") != provider.version))
+
+
+def reembedded(stored: DataFrame, provider: EmbeddingProvider, now: datetime.datetime, ledger: str, batch: int = BATCH) -> tuple[DataFrame, dict]:
+    """The rows of ``stored`` that another model or version has embedded, embedded again through the ledger, and counters.
+
+    A row whose text fails keeps what it has. Run again after a failure, only what is missing is called for.
+    """
+    spark, old = stored.sparkSession, stale(stored, provider)
+    run = L.embed_once(old.select(F.col("embedding_content_hash").alias("content_hash"), "text"), provider, ledger, batch, tries=TRIES)
+    vectors = L.finished(spark, ledger, provider).select(F.col("content_hash").alias("embedding_content_hash"), F.col("embedding").alias("__vector"))
+    at = F.lit(now).cast("timestamp")
+    done = old.join(vectors, "embedding_content_hash").withColumns({"embedding": F.col("__vector"), "updated_at": at} | _provenance(provider, at))
+    return done.select(*stored.columns), L.totals(spark, ledger, provider, run)

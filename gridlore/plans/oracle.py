@@ -203,6 +203,8 @@ def oracle_sql() -> dict[str, str]:
         "metadata_hash": """SELECT doc_id, sha256('{"printed_page_number_list": ["' || CAST(doc_id AS VARCHAR) || '"], "section_title": ' || coalesce('"' || lang || '"', 'null') || ', "table_title": null}') AS metadata_hash FROM documents""",
         "sentence_split": r"SELECT doc_id, CAST(length(regexp_replace(text, '[^。！？.!?]', '', 'g')) + CAST(NOT regexp_matches(text, '[。！？.!?]$') AND text <> '' AS INTEGER) AS INTEGER) AS sentences FROM documents",
         "upsert_plan": "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'insert' WHEN doc_id % 2 = 0 THEN 'update_metadata' ELSE 'skip' END AS action FROM documents",
+        "upsert_next_snapshot": """SELECT doc_id AS document_id, lang AS section_title, doc_id % 3 = 0 AND doc_id % 4 <> 0 AS is_active, CASE WHEN doc_id % 3 = 0 THEN 'before' ELSE 'hash-64' END AS embedding_model,
+            CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 64 END AS dimensions, doc_id % 6 = 0 AS updated, doc_id % 3 <> 0 AS new FROM documents""",
         "duplicate_content": "SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc_id FROM documents GROUP BY 1 HAVING count(*) > 1",
         "lifecycle_counts": f"WITH {_STORED} SELECT document_id, strategy_name, count(*) FILTER (WHERE is_active) AS active, count(*) FILTER (WHERE NOT is_active) AS inactive FROM stored GROUP BY 1, 2",
         "lifecycle_decision": f"WITH {_STORED} SELECT document_id, strategy_name, CASE WHEN count(*) FILTER (WHERE is_active) > 0 AND count(*) FILTER (WHERE NOT is_active) > 0 THEN 'anomaly' WHEN count(*) FILTER (WHERE is_active) > 0 THEN 'already_active' ELSE 'activate' END AS decision FROM stored GROUP BY 1, 2",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 from gridlore.functions import text as T
 from gridlore.functions.hashing import chunk_id, content_hash, metadata_hash
 from gridlore.functions.pages import image_coverage, page_status
-from gridlore.operators import answers, charts, chunking, retrieval, rules, schedule, timeline, versions
+from gridlore.operators import answers, buckets, charts, chunking, retrieval, rules, schedule, timeline, versions
 from gridlore.operators.intervals import overlap_join
 from gridlore.plans import site_day
+from gridlore.schemas import STORED_CHUNKS
 from gridlore.sources import energy_csv, store
 from gridlore.sources.documents import cases_in_series
+from gridlore.sources.shared import shared_folder
 from gridlore.sources.events_view import read_energy
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -300,6 +303,31 @@ def upsert_plan(spark, sf_dir):
     return versions.plan_upsert(new, stored).select("doc_id", "action")
 
 
+def upsert_next_snapshot(spark, sf_dir):
+    """A store in buckets: every third chunk is there, half of those with other titles; all are upserted and committed."""
+    docs = documents(spark, sf_dir)
+    n, now = F.col("document_id"), datetime.datetime(2024, 1, 1)
+    page = n.cast("int")
+    new = docs.select(
+        F.col("doc_id").alias("document_id"), F.sha2(F.col("doc_id").cast("string"), 256).alias("chunk_id"), F.lit("fixed_600_100").alias("strategy_name"), F.lit("prose").alias("chunk_type"),
+        F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("page_index_start"), F.lit(0).alias("page_index_end"), F.lit(1).alias("pdf_page_number_start"), F.lit(1).alias("pdf_page_number_end"),
+        F.create_map(F.lit("1"), F.lit("1")).alias("printed_page_number_map"), F.col("lang").alias("section_title"), F.lit(None).cast("string").alias("table_title"),
+        content_hash(F.coalesce("text", F.lit(""))).alias("embedding_content_hash"), F.coalesce("lang", F.lit("")).alias("chunk_metadata_hash"),
+    )
+    was = new.where(n % 3 == 0).withColumns({
+        "section_title": F.when(page % 2 == 0, F.lit("old")).otherwise(F.col("section_title")), "chunk_metadata_hash": F.when(page % 2 == 0, F.lit("old")).otherwise(F.col("chunk_metadata_hash")),
+        "embedding": F.array(F.lit(0.0).cast("float")), "embedding_provider": F.lit("p"), "embedding_model": F.lit("before"), "embedding_dimensions": F.lit(1), "embedding_model_version": F.lit("0"),
+        "embedded_at": F.lit(now).cast("timestamp"), "is_active": n % 4 != 0, "created_at": F.lit(now).cast("timestamp"), "updated_at": F.lit(now).cast("timestamp"),
+    })
+    store = shared_folder(spark, "chunks")
+    buckets.commit_changes(was.select(*STORED_CHUNKS.fieldNames()), store)
+    later = now + datetime.timedelta(days=1)
+    changes, _, _ = versions.upsert_changes(new, buckets.current(spark, store, STORED_CHUNKS), versions.HashProvider(), later)
+    buckets.commit_changes(changes, store)
+    out = buckets.current(spark, store, STORED_CHUNKS)
+    return out.select("document_id", "section_title", "is_active", "embedding_model", F.size("embedding").alias("dimensions"), (F.col("updated_at") > F.col("created_at")).alias("updated"), (F.col("created_at") > F.lit(now).cast("timestamp")).alias("new"))
+
+
 def duplicate_content(spark, sf_dir):
     hashed = documents(spark, sf_dir).select("doc_id", content_hash(F.col("text")).alias("content_hash"))
     return hashed.groupBy("content_hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc_id")).where(F.col("copies") > 1)
@@ -507,7 +535,7 @@ def queries() -> dict[str, Query]:
         quality_bool_lexicon, quality_numeric_coerce, anomalies_all, anomaly_timeline, schedule_suggestion, schedule_windows, cost_energy, cost_arbitrage,
         cost_before_after, green_index_site_day, capacity_fade, site_day_analysis, price_bands, cycle_trend_7d, load_peak_rank, chart_series_bounds,
         stream_hourly_batch, page_status_counts, printed_label, section_heading, section_carry_forward, chunk_fixed_600_100, chunk_fixed_pages, chunk_stats_by_strategy, strategy_comparison, page_labels, overlapping_orders,
-        chunk_structured_600_100, sentence_split, upsert_plan, duplicate_content, lifecycle_counts, lifecycle_decision, active_documents, superseded_pairs,
+        chunk_structured_600_100, sentence_split, upsert_plan, upsert_next_snapshot, duplicate_content, lifecycle_counts, lifecycle_decision, active_documents, superseded_pairs,
         vector_topk, vector_topk_scoped, search_in_both_scopes, page_overlap_hit, chunks_with_filenames, hybrid_topk, order_unchanged, wrong_group_rate, hit_at_k, benchmark_grades, keyword_coverage, date_candidates, table_question,
         range_overlap, case_time_range, case_evidence, evidence_answers, case_similarity,
     ]
