@@ -64,18 +64,37 @@ def candidates(chunks: DataFrame, queries: DataFrame, k: int = POOL, document: s
         chunks = chunks.where("is_active")
     if document is not None:
         chunks = chunks.where(F.col("filename") == document)
-    wide = lambda v: F.transform(v, lambda x: x.cast("double")).alias("v")
-    packed = lambda df, vector: F.struct(*(c for c in df.columns if c != vector)).alias("row")
-    left = chunks.select(packed(chunks, "embedding"), wide("embedding"), norm(F.col("embedding")).alias("norm")).where(F.col("norm") > 0)
-    right = queries.select(packed(queries, "query_vector"), wide("query_vector"), norm(F.col("query_vector")).alias("norm")).where(F.col("norm") > 0)
-    sized = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("d")).first()
-    count = lambda r, most: max(1, -(-r["n"] // max(1, min(most, BLOCK_NUMBERS // r["d"]))))
-    blocks, query_blocks = count(sized(left), BLOCK_NUMBERS), count(sized(right), MOST_QUESTIONS)
+    left, right = with_norms(chunks, "embedding"), with_norms(queries, "query_vector")
+    sized = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("d"))
+    blocks = sized(left).select(blocks_of("n", "d")).first()[0]
+    query_blocks = sized(right).select(F.greatest(blocks_of("n", "d"), F.ceil(F.col("n") / MOST_QUESTIONS))).first()[0]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     file, asked_of = (F.col("row.filename"), F.col(f"row.{own_document}")) if own_document else (F.lit(""), F.lit(""))
     left = left.select("*", file.alias("file"), dealt("row.chunk_id", blocks).alias("block"), every(query_blocks).alias("query_block"))
     right = right.select("*", asked_of.alias("file"), every(blocks).alias("block"), dealt("row.query_id", query_blocks).alias("query_block"))
+    return nearest_met(left, right, ("file", "block", "query_block"), k)
+
+
+def with_norms(rows: DataFrame, vector: str, beside: tuple[str, ...] = ()) -> DataFrame:
+    """``row`` (all other columns), ``v`` (the vector, in doubles) and ``norm``; null and zero vectors are left out."""
+    wide = F.transform(vector, lambda x: x.cast("double")).alias("v")
+    packed = F.struct(*(c for c in rows.columns if c != vector)).alias("row")
+    return rows.select(packed, wide, norm(F.col(vector)).alias("norm"), *beside).where(F.col("norm") > 0)
+
+
+def blocks_of(n: str, d: str) -> Column:
+    """In how many blocks n vectors of d numbers are worked on, one at least."""
+    a_block = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_NUMBERS) / F.col(d)))
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / a_block)).cast("int")
+
+
+def nearest_met(left: DataFrame, right: DataFrame, keys: tuple[str, ...], k: int) -> DataFrame:
+    """The k nearest rows of ``left`` for each query of ``right`` (see ``with_norms``) among those of the same keys.
+
+    Columns of both, ``distance`` and ``vector_rank``. Rows of equal keys are one task's work: the caller bounds them. A
+    column that both have is the query's.
+    """
     schema = StructType([StructField("chunk", left.schema["row"].dataType), StructField("query", right.schema["row"].dataType), StructField("distance", DoubleType())])
 
     def meet(block: pa.Table, asked: pa.Table) -> pa.Table:
@@ -95,8 +114,9 @@ def candidates(chunks: DataFrame, queries: DataFrame, k: int = POOL, document: s
         columns = [block.column("row").take(pa.array(chunk)), asked.column("row").take(pa.array(query)), pa.array(distance, pa.float64())]
         return pa.table(columns, names=["chunk", "query", "distance"])
 
-    keys = ("file", "block", "query_block")
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema).select("chunk.*", "query.*", "distance")
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
+    own = [F.col(f"chunk.{c}") for c in left.schema["row"].dataType.fieldNames() if c not in right.schema["row"].dataType.fieldNames()]
+    met = met.select(*own, "query.*", "distance")
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return met.withColumn("vector_rank", F.row_number().over(order)).where(F.col("vector_rank") <= k)
 

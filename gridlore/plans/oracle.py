@@ -262,6 +262,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT case_id, event_type, round(score, 6) AS score, concat_ws(',', CASE WHEN e > 0 THEN 'event_type_match' END, CASE WHEN t > 0 THEN 'tag_similarity' END, CASE WHEN x > 0 THEN 'text_similarity' END) AS matching,
               concat_ws(',', CASE WHEN NOT e > 0 THEN 'event_type_match' END, CASE WHEN NOT t > 0 THEN 'tag_similarity' END, CASE WHEN NOT x > 0 THEN 'text_similarity' END) AS differing FROM r""",
     }
+    found["indexed_topk"] = found["vector_topk"]
     return found | {q: _rule(r) for q, r in RULE_QUERIES.items()}
 
 

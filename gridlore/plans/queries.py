@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridlore.functions import text as T
 from gridlore.functions.hashing import chunk_id, content_hash, metadata_hash
 from gridlore.functions.pages import image_coverage, page_status
-from gridlore.operators import answers, buckets, charts, chunking, retrieval, rules, schedule, timeline, versions
+from gridlore.operators import answers, buckets, charts, chunking, retrieval, rules, schedule, timeline, vector_index, versions
 from gridlore.operators.intervals import overlap_join
 from gridlore.plans import site_day
 from gridlore.schemas import STORED_CHUNKS
@@ -386,6 +386,15 @@ def vector_topk_scoped(spark, sf_dir):
     return pool.select("query_id", "vector_rank", "chunk_id", F.round("distance", 6).alias("distance"))
 
 
+def indexed_topk(spark, sf_dir):
+    """The nearest chunks by inverted lists, which are met until no other can hold a nearer one."""
+    chunks = _chunks(spark, sf_dir)
+    centres = vector_index.fit(chunks, "chunk_id")
+    listed = vector_index.in_lists(chunks, centres)
+    pool = vector_index.search(listed, _asked(spark, sf_dir), vector_index.with_radii(listed, centres), 5, exact=True)
+    return pool.select("query_id", "vector_rank", "chunk_id", F.round("distance", 6).alias("distance"))
+
+
 def search_in_both_scopes(spark, sf_dir):
     asked = _asked(spark, sf_dir).withColumn("source_document", F.concat(F.lit("doc_"), (F.col("query_id") % 4).cast("string")))
     pool = retrieval.in_both_scopes(_chunks(spark, sf_dir), asked, 5)
@@ -536,7 +545,7 @@ def queries() -> dict[str, Query]:
         cost_before_after, green_index_site_day, capacity_fade, site_day_analysis, price_bands, cycle_trend_7d, load_peak_rank, chart_series_bounds,
         stream_hourly_batch, page_status_counts, printed_label, section_heading, section_carry_forward, chunk_fixed_600_100, chunk_fixed_pages, chunk_stats_by_strategy, strategy_comparison, page_labels, overlapping_orders,
         chunk_structured_600_100, sentence_split, upsert_plan, upsert_next_snapshot, duplicate_content, lifecycle_counts, lifecycle_decision, active_documents, superseded_pairs,
-        vector_topk, vector_topk_scoped, search_in_both_scopes, page_overlap_hit, chunks_with_filenames, hybrid_topk, order_unchanged, wrong_group_rate, hit_at_k, benchmark_grades, keyword_coverage, date_candidates, table_question,
+        vector_topk, indexed_topk, vector_topk_scoped, search_in_both_scopes, page_overlap_hit, chunks_with_filenames, hybrid_topk, order_unchanged, wrong_group_rate, hit_at_k, benchmark_grades, keyword_coverage, date_candidates, table_question,
         range_overlap, case_time_range, case_evidence, evidence_answers, case_similarity,
     ]
     named = {f.__name__: f for f in plain}
