@@ -86,9 +86,15 @@ def daily_arbitrage(readings: DataFrame, t: Thresholds = Thresholds()) -> DataFr
 
 
 def before_after(readings: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """Cost of a site's day as it was, and had the suggestions been followed."""
+    """Cost of a site's day as it was, and had the suggestions been followed, each at the power that the battery had.
+
+    What it does already is not counted again: import moves by the difference to the suggested power, which is 0 for
+    idle. Each reading stands for itself; ``battery_plan`` carries the charge through the day.
+    """
     a = action(t)
-    shift = F.when(a == "discharge", -F.abs("battery_power_kw")).when(a == "charge", F.abs("battery_power_kw")).otherwise(0.0)
+    power = F.coalesce("battery_power_kw", F.lit(0.0))
+    wanted = F.when(a == "discharge", F.abs(power)).when(a == "charge", -F.abs(power)).when(a == "idle", F.lit(0.0)).otherwise(power)
+    shift = power - wanted
     after = F.greatest(c("grid_import_kw") + shift, F.lit(0.0)) * c("electricity_price")
     out = site_day(readings).groupBy("site_id", "day").agg(F.sum(energy_cost()).alias("x"), F.sum(after).alias("y"))
     return out.select("site_id", "day", F.round("x", 4).alias("cost_before"), F.round("y", 4).alias("cost_after"), F.round(F.col("x") - F.col("y"), 4).alias("saving"))

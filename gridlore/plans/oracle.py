@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridlore.operators.case_search import EVENT_TYPE, FIELDS, MOST_CASES
 from gridlore.operators.rules import BAD_MODES, BAD_STATUSES, RULES
 from gridlore.plans.queries import RULE_QUERIES
 from gridlore.schemas import EMS_MODES
@@ -163,7 +164,7 @@ def oracle_sql() -> dict[str, str]:
         "cost_energy": f"WITH {_ACTED} SELECT site_id, day, round(sum(grid_import_kw * electricity_price), 4) AS energy_cost, count(*) AS readings FROM a GROUP BY site_id, day",
         "cost_arbitrage": f"""WITH {_ACTED} SELECT site_id, day, round(sum(CASE WHEN electricity_price >= 4.0 AND battery_power_kw > 0 THEN battery_power_kw * electricity_price ELSE CAST(0 AS DOUBLE) END), 4) AS discharge_saving,
             round(sum(CASE WHEN electricity_price <= 2.75 AND battery_power_kw < 0 THEN abs(battery_power_kw) * electricity_price ELSE CAST(0 AS DOUBLE) END), 4) AS charging_cost FROM a GROUP BY site_id, day""",
-        "cost_before_after": f"""WITH {_ACTED}, s AS (SELECT site_id, day, sum(grid_import_kw * electricity_price) AS x, sum(greatest(grid_import_kw + CASE action WHEN 'discharge' THEN -abs(battery_power_kw) WHEN 'charge' THEN abs(battery_power_kw) ELSE CAST(0 AS DOUBLE) END, CAST(0 AS DOUBLE)) * electricity_price) AS y FROM a GROUP BY site_id, day)
+        "cost_before_after": f"""WITH {_ACTED}, s AS (SELECT site_id, day, sum(grid_import_kw * electricity_price) AS x, sum(greatest(grid_import_kw + CASE WHEN action = 'discharge' AND battery_power_kw < 0 THEN 2 * battery_power_kw WHEN action = 'charge' AND battery_power_kw > 0 THEN 2 * battery_power_kw WHEN action = 'idle' THEN battery_power_kw ELSE CAST(0 AS DOUBLE) END, CAST(0 AS DOUBLE)) * electricity_price) AS y FROM a GROUP BY site_id, day)
             SELECT site_id, day, round(x, 4) AS cost_before, round(y, 4) AS cost_after, round(x - y, 4) AS saving FROM s""",
         "green_index_site_day": f"""WITH {_ACTED}, i AS ({_INDEX}) SELECT site_id, day, round(pv, 4) AS pv_points, round(operation, 4) AS operation_points, round(grid, 4) AS grid_points, round(health, 4) AS health_points, round(bonus, 4) AS bonus_points,
             round(greatest(CAST(0 AS DOUBLE), least(CAST(100 AS DOUBLE), pv + operation + grid + health + bonus)), 4) AS green_index FROM i""",
@@ -254,13 +255,19 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN cases IS NULL AND passages IS NULL THEN 'insufficient data' WHEN cases IS NULL OR passages IS NULL THEN 'low' WHEN least(cases, passages) < 2 THEN 'medium' ELSE 'high' END AS confidence,
               'dataset:' || CAST(dataset_id AS VARCHAR) || coalesce(',' || ids, '') || coalesce(',' || pages, '') AS citations
             FROM f LEFT JOIN p ON f.rule = p.rule LEFT JOIN k ON f.rule = k.rule LEFT JOIN i ON f.rule = i.rule LEFT JOIN x ON f.rule = x.rule LEFT JOIN y ON f.rule = y.rule""",
-        "case_similarity": """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),
-            c AS (SELECT vec_id AS case_id, 'type_' || CAST(vec_id % 3 AS VARCHAR) AS event_type, CAST(vec_id % 3 = 0 AS INTEGER) AS e, CAST(vec_id % 4 = 0 AS INTEGER) + CAST(vec_id % 5 = 0 AS INTEGER) AS s,
-              CAST(1 AS DOUBLE) - (CAST(1 AS DOUBLE) - list_inner_product(CAST(embedding AS DOUBLE[]), q) / (sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_inner_product(q, q))) ) AS x FROM embeddings, q),
-            p AS (SELECT case_id, event_type, e, CAST(s AS DOUBLE) / CAST(4 - s AS DOUBLE) AS t, x FROM c),
-            r AS (SELECT *, CAST(0.4 AS DOUBLE) * e + CAST(0.3 AS DOUBLE) * t + CAST(0.3 AS DOUBLE) * x AS score FROM p ORDER BY score DESC, case_id LIMIT 10)
-            SELECT case_id, event_type, round(score, 6) AS score, concat_ws(',', CASE WHEN e > 0 THEN 'event_type_match' END, CASE WHEN t > 0 THEN 'tag_similarity' END, CASE WHEN x > 0 THEN 'text_similarity' END) AS matching,
-              concat_ws(',', CASE WHEN NOT e > 0 THEN 'event_type_match' END, CASE WHEN NOT t > 0 THEN 'tag_similarity' END, CASE WHEN NOT x > 0 THEN 'text_similarity' END) AS differing FROM r""",
+        "case_similarity": f"""WITH c AS (SELECT doc_id AS case_id, source AS event_type, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS symptoms, ['lang ' || lang, 'part ' || CAST(doc_id % 40 AS VARCHAR)] AS tags, 'cause ' || CAST(doc_id % 30 AS VARCHAR) AS root_cause, 'action ' || CAST(doc_id % 25 AS VARCHAR) AS operator_action FROM documents),
+            t AS (SELECT case_id, 'symptoms' AS field, unnest(symptoms) AS term FROM c UNION ALL SELECT case_id, 'tags', unnest(list_filter(tags, lambda x: x IS NOT NULL)) FROM c UNION ALL SELECT case_id, 'root_cause', unnest(string_split(root_cause, ' ')) FROM c UNION ALL SELECT case_id, 'operator_action', unnest(string_split(operator_action, ' ')) FROM c),
+            k AS (SELECT field, term, CAST(round(1000 * ln(CAST(1 AS DOUBLE) + CAST((SELECT count(*) FROM c) AS DOUBLE) / count(*))) AS BIGINT) AS w FROM t GROUP BY 1, 2 HAVING count(*) <= {MOST_CASES}),
+            p AS (SELECT case_id, t.field, t.term, w FROM t JOIN k ON t.field = k.field AND t.term = k.term),
+            o AS (SELECT case_id, field, sum(w) AS own FROM p GROUP BY 1, 2),
+            m AS (SELECT q.case_id AS query_id, p.case_id, p.field, sum(p.w) AS both_ FROM p q JOIN p ON q.field = p.field AND q.term = p.term AND q.case_id <> p.case_id WHERE q.case_id % 10 = 0 GROUP BY 1, 2, 3),
+            l AS (SELECT query_id, m.case_id, m.field, CAST(both_ AS DOUBLE) / CAST(a.own + b.own - both_ AS DOUBLE) AS likeness FROM m JOIN o a ON a.case_id = query_id AND a.field = m.field JOIN o b ON b.case_id = m.case_id AND b.field = m.field),
+            s AS (SELECT query_id, case_id, {", ".join(f"coalesce(max(likeness) FILTER (WHERE field = '{f}'), CAST(0 AS DOUBLE)) AS {f}" for f in FIELDS)} FROM l GROUP BY 1, 2),
+            e AS (SELECT s.*, CAST(coalesce(x.event_type = y.event_type, false) AS DOUBLE) AS event_type FROM s JOIN c x ON x.case_id = query_id JOIN c y ON y.case_id = s.case_id),
+            r AS (SELECT *, CAST({EVENT_TYPE} AS DOUBLE) * event_type + {" + ".join(f"CAST({w} AS DOUBLE) * {f}" for f, w in FIELDS.items())} AS score FROM e),
+            n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, case_id) AS rank FROM r)
+            SELECT query_id, case_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, concat_ws(',', {", ".join(f"CASE WHEN {f} > 0 THEN '{f}' END" for f in ("event_type", *FIELDS))}) AS matching,
+              concat_ws(',', {", ".join(f"CASE WHEN NOT {f} > 0 THEN '{f}' END" for f in ("event_type", *FIELDS))}) AS differing FROM n WHERE rank <= 5""",
     }
     found["indexed_topk"] = found["vector_topk"]
     return found | {q: _rule(r) for q, r in RULE_QUERIES.items()}

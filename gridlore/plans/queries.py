@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridlore.functions import text as T
 from gridlore.functions.hashing import chunk_id, content_hash, metadata_hash
 from gridlore.functions.pages import image_coverage, page_status
-from gridlore.operators import answers, buckets, charts, chunking, retrieval, rules, schedule, timeline, vector_index, versions
+from gridlore.operators import answers, battery_plan, buckets, case_search, charts, chunking, retrieval, rules, schedule, timeline, vector_index, versions
 from gridlore.operators.intervals import overlap_join
 from gridlore.plans import site_day
 from gridlore.schemas import STORED_CHUNKS
@@ -530,19 +530,28 @@ def evidence_answers(spark, sf_dir):
 
 
 def case_similarity(spark, sf_dir):
-    n = F.col("vec_id")
-    cases = embeddings(spark, sf_dir).select(n.alias("case_id"), F.concat(F.lit("type_"), (n % 3).cast("string")).alias("event_type"), F.array(F.concat(F.lit("t"), (n % 4).cast("string")), F.concat(F.lit("u"), (n % 5).cast("string"))).alias("tags"), "embedding")
-    first = cases.where(F.col("case_id") == 0).first()
-    asked = {"event_type": "type_0", "tags": ["t0", "u0"], "embedding": first["embedding"]} if first else None
-    out = retrieval.similar_cases(cases if asked else cases.limit(0), asked or {"event_type": "type_0", "tags": [], "embedding": [1.0]}, 10)
-    return out.select("case_id", "event_type", F.round("score", 6).alias("score"), F.array_join("matching", ",").alias("matching"), F.array_join("differing", ",").alias("differing"))
+    """The cases most like every tenth one, by their symptoms (whole texts), causes, actions, tags and types."""
+    n = F.col("doc_id")
+    numbered = lambda name, k: F.concat(F.lit(f"{name} "), (n % k).cast("string"))
+    cases = documents(spark, sf_dir).select(
+        n.alias("case_id"), F.col("source").alias("event_type"), F.col("text").alias("symptoms"), numbered("cause", 30).alias("root_cause"), numbered("action", 25).alias("operator_action"),
+        F.array(F.concat(F.lit("lang "), F.col("lang")), numbered("part", 40)).alias("tags"),
+    )
+    out = case_search.similar_to(cases, cases.where(F.col("case_id") % 10 == 0))
+    return out.select("query_id", "case_id", "rank", F.round("score", 6).alias("score"), F.array_join("matching", ",").alias("matching"), F.array_join("differing", ",").alias("differing"))
+
+
+def battery_plans(spark, sf_dir):
+    """The cheapest day that each site's battery could follow."""
+    out = battery_plan.battery_plans(read_energy(spark, sf_dir))
+    return out.select("site_id", "day", *(F.round(c, 4).alias(c) for c in ("cost_before", "cost_planned", "saving", "charge_first", "charge_last")), F.size("plan").alias("hours"))
 
 
 def queries() -> dict[str, Query]:
     plain = [
         dataset_list, dataset_by_id, dataset_count, dataset_summary, dataset_extent, timeseries_page, quality_range_check, quality_enum_check,
         quality_bool_lexicon, quality_numeric_coerce, anomalies_all, anomaly_timeline, schedule_suggestion, schedule_windows, cost_energy, cost_arbitrage,
-        cost_before_after, green_index_site_day, capacity_fade, site_day_analysis, price_bands, cycle_trend_7d, load_peak_rank, chart_series_bounds,
+        cost_before_after, battery_plans, green_index_site_day, capacity_fade, site_day_analysis, price_bands, cycle_trend_7d, load_peak_rank, chart_series_bounds,
         stream_hourly_batch, page_status_counts, printed_label, section_heading, section_carry_forward, chunk_fixed_600_100, chunk_fixed_pages, chunk_stats_by_strategy, strategy_comparison, page_labels, overlapping_orders,
         chunk_structured_600_100, sentence_split, upsert_plan, upsert_next_snapshot, duplicate_content, lifecycle_counts, lifecycle_decision, active_documents, superseded_pairs,
         vector_topk, indexed_topk, vector_topk_scoped, search_in_both_scopes, page_overlap_hit, chunks_with_filenames, hybrid_topk, order_unchanged, wrong_group_rate, hit_at_k, benchmark_grades, keyword_coverage, date_candidates, table_question,
