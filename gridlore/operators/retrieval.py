@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from gridlore.functions.text import contains_all, dates, is_table_question, mentions_date, preview
 from gridlore.functions.vectors import cosine_distance, norm
+from gridlore.operators.keywords import vocabulary, with_found
 
 #: Candidates by distance that are re-scored; a better match beyond them is not seen.
 POOL = 30
@@ -247,11 +248,20 @@ def hit_ranks(graded_rows: DataFrame, rank: str, keys: tuple[str, ...] = ("query
 def keyword_coverage(ranked: DataFrame, keywords: DataFrame, rank: str, k: int) -> DataFrame:
     """Share of each query's keywords that some text of rank k or better holds, and success against its threshold.
 
-    keywords: query_id, keywords, threshold (null: 1). A query without keywords has coverage 0 and no success.
+    keywords: query_id, keywords, threshold (null: 1). A query without keywords has coverage 0 and no success. Each text
+    is read once, by an automaton over the keywords of all queries; only keywords that it holds become rows. Keywords
+    past the bounds of ``keywords.vocabulary`` are joined with their query's texts.
     """
     each = keywords.select("query_id", F.coalesce("threshold", F.lit(1.0)).alias("threshold"), F.explode_outer("keywords").alias("keyword"))
     top = ranked.where(F.col(rank) <= k).select("query_id", "text")
-    met = each.join(top, "query_id", "left").groupBy("query_id", "threshold", "keyword").agg(F.coalesce(F.bool_or(F.contains("text", F.col("keyword"))), F.lit(False)).alias("found"))
+    words = vocabulary(each)
+    if words is None:
+        held = each.join(top, "query_id").where(F.contains("text", F.col("keyword"))).select("query_id", "keyword")
+    else:
+        held = with_found(top, "text", words).select("query_id", F.explode("found").alias("keyword"))
+        held = held.unionByName(top.where(F.col("text").isNotNull()).select("query_id", F.lit("").alias("keyword")))
+    held = held.distinct().withColumn("holds", F.lit(True))
+    met = each.join(held, ["query_id", "keyword"], "left").groupBy("query_id", "threshold", "keyword").agg(F.bool_or(F.coalesce("holds", F.lit(False))).alias("found"))
     out = met.groupBy("query_id", "threshold").agg((F.count_if("found") / F.count("*")).alias("coverage"), (F.count("keyword") > 0).alias("asked"))
     return out.select("query_id", "coverage", ((F.col("coverage") >= F.col("threshold")) & F.col("asked")).alias("success"))
 

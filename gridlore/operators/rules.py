@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Thresholds:
-    """All limits of the rules. Prices are absolute; see ``price_bands`` for a dataset's own."""
+    """All limits of the rules. Prices are absolute, or names of columns (see ``OWN_BANDS``)."""
 
     deviation: float = 0.20
     deviation_critical: float = 0.40
@@ -27,8 +27,8 @@ class Thresholds:
     temperature_warning: float = 35.0
     soh_low: float = 80.0
     soh_warning: float = 85.0
-    price_high: float = 4.0
-    price_low: float = 2.75
+    price_high: float | str = 4.0
+    price_low: float | str = 2.75
     soc_discharge: float = 30.0
     soc_full: float = 90.0
     soc_charge: float = 80.0
@@ -64,11 +64,11 @@ BAD_STATUSES = ("warning", "fault", "error", "offline", "maintenance", "unknown"
 
 
 def price_is_high(t: Thresholds) -> Column:
-    return c("electricity_price") >= t.price_high
+    return c("electricity_price") >= (c(t.price_high) if isinstance(t.price_high, str) else t.price_high)
 
 
 def price_is_low(t: Thresholds) -> Column:
-    return c("electricity_price") <= t.price_low
+    return c("electricity_price") <= (c(t.price_low) if isinstance(t.price_low, str) else t.price_low)
 
 
 def near_capacity(share: float) -> Column:
@@ -172,15 +172,41 @@ def anomalies(readings: DataFrame, t: Thresholds = Thresholds(), keys: tuple[str
     return readings.select(*keys, F.explode(F.array_compact(found)).alias("a")).select(*keys, "a.rule", "a.severity", "a.explanation")
 
 
-def price_bands(readings: DataFrame, exact: bool = True) -> DataFrame:
+#: Limits for readings that ``with_own_bands`` has given their dataset's prices.
+OWN_BANDS = Thresholds(price_high="price_high", price_low="price_low")
+#: Size of a sketch: its quartiles' ranks are within 0.5 % of all prices of theirs (99 % of the time).
+SKETCH = 800
+
+
+def price_sketches(readings: DataFrame) -> DataFrame:
+    """dataset_id, day and a sketch of the day's prices (KLL), to be kept with the series and merged for any days."""
+    rows = readings.where(F.col("electricity_price").isNotNull())
+    return rows.groupBy("dataset_id", F.to_date("timestamp").alias("day")).agg(F.kll_sketch_agg_double("electricity_price", F.lit(SKETCH)).alias("sketch"))
+
+
+def sketched_bands(sketches: DataFrame) -> DataFrame:
+    """``price_bands`` from ``price_sketches``, without a look at the readings: quartiles of prices that occur."""
+    merged = sketches.groupBy("dataset_id").agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH)).alias("sketch"))
+    at = lambda p: F.kll_sketch_get_quantile_double("sketch", F.lit(p))
+    return merged.select("dataset_id", at(0.75).alias("price_high"), at(0.25).alias("price_low"))
+
+
+def with_own_bands(readings: DataFrame, bands: DataFrame) -> DataFrame:
+    """Readings with their dataset's price_high and price_low, for rules and suggestions under ``OWN_BANDS``.
+
+    A dataset without prices has none, and no price of it is high or low. A price that is both, where all are equal, is
+    high and low at once.
+    """
+    return readings.join(bands.select("dataset_id", "price_high", "price_low"), "dataset_id", "left")
+
+
+def price_bands(readings: DataFrame) -> DataFrame:
     """Each dataset's prices above which a price is high, and below which it is low (upper and lower quartile).
 
+    Exact, between two prices where the quartile lies between them; ``sketched_bands`` is the way without another pass.
     Readings are counted by price before they are shuffled; null prices count for nothing.
     """
     price = "electricity_price"
-    if not exact:
-        at = lambda p: F.percentile_approx(price, p, 10_000).cast("double")
-        return readings.groupBy("dataset_id").agg(at(0.75).alias("price_high"), at(0.25).alias("price_low"))
     counts = readings.groupBy("dataset_id", price).agg(F.count(price).alias("n"))
     of = Window.partitionBy("dataset_id")
     up_to = F.sum("n").over(of.orderBy(price).rowsBetween(Window.unboundedPreceding, 0))

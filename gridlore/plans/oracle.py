@@ -153,6 +153,7 @@ def oracle_sql() -> dict[str, str]:
         "quality_bool_lexicon": f"WITH {_CELLS}, w AS (SELECT event_id, CASE WHEN \"boolean\" {_PRESENT} THEN lower(trim(\"boolean\")) END AS w FROM cells), v AS (SELECT event_id, w, CASE WHEN w IN {_in(TRUE)} THEN true WHEN w IN {_in(FALSE)} THEN false END AS value FROM w) SELECT event_id, value, w IS NOT NULL AND value IS NULL AS warned FROM v",
         "quality_numeric_coerce": f"WITH {_CELLS}, w AS (SELECT event_id, CASE WHEN number {_PRESENT} THEN trim(number) END AS w FROM cells), v AS (SELECT event_id, w, CASE WHEN isfinite(TRY_CAST(w AS DOUBLE)) THEN TRY_CAST(w AS DOUBLE) END AS value FROM w) SELECT event_id, value, w IS NOT NULL AND value IS NULL AS warned FROM v",
         "anomalies_all": f"WITH {ENERGY} {anomalies}",
+        "anomalies_own_bands": f"WITH {ENERGY.replace('e AS (', 'r AS (', 1)}, b AS (SELECT dataset_id, quantile_cont(electricity_price, 0.75) AS price_high FROM r GROUP BY dataset_id), e AS (SELECT r.*, price_high FROM r JOIN b ON r.dataset_id = b.dataset_id) {anomalies.replace('electricity_price >= 4.0', 'electricity_price >= price_high')}",
         "anomaly_timeline": f"WITH {ENERGY}, {placed} {periods}",
         "schedule_suggestion": f"""WITH {_ACTED} SELECT id, dataset_id, site_id, "timestamp", action, CASE WHEN action = 'discharge' THEN CASE WHEN {_UNSAFE} OR battery_soh < 80 THEN 'not_aggressive' ELSE 'normal' END END AS mode,
             CASE action WHEN 'idle' THEN 'battery is low, hot or critical' WHEN 'discharge' THEN 'price and grid import are high and the battery is charged' WHEN 'charge' THEN 'price is low or solar output exceeds load' END AS reason,
@@ -234,6 +235,9 @@ def oracle_sql() -> dict[str, str]:
         "keyword_coverage": """WITH k AS (SELECT DISTINCT conv_id AS query_id, w FROM conversations, (SELECT unnest(['the', 'tion', 'que']) AS w)),
             m AS (SELECT k.query_id, k.w, coalesce(bool_or(contains(c.text, k.w)), false) AS found FROM k LEFT JOIN conversations c ON c.conv_id = k.query_id AND c.turn + 1 <= 3 GROUP BY 1, 2),
             s AS (SELECT query_id, count(*) FILTER (WHERE found)::DOUBLE / count(*)::DOUBLE AS c FROM m GROUP BY 1) SELECT query_id, round(c, 6) AS coverage, c >= CAST(0.6 AS DOUBLE) AS success FROM s""",
+        "keyword_coverage_many": """WITH k AS (SELECT DISTINCT conv_id AS query_id, unnest(string_split(coalesce(text, ''), ' ')) AS w FROM conversations WHERE turn = 0),
+            m AS (SELECT k.query_id, k.w, coalesce(bool_or(contains(c.text, k.w)), false) AS found FROM k LEFT JOIN conversations c ON c.conv_id = k.query_id AND c.turn BETWEEN 1 AND 3 GROUP BY 1, 2),
+            s AS (SELECT query_id, count(*) FILTER (WHERE found)::DOUBLE / count(*)::DOUBLE AS c FROM m GROUP BY 1) SELECT query_id, round(c, 6) AS coverage, c >= CAST(0.2 AS DOUBLE) AS success FROM s""",
         "date_candidates": f"WITH {_QUESTIONS}, {_PARTS}, u AS (SELECT conv_id, turn, unnest(range(len(y))) AS place, y, m, d FROM extracted) SELECT conv_id, turn, CAST(place AS INTEGER) AS place, CAST(y[place + 1] AS INTEGER) AS year, CAST(m[place + 1] AS INTEGER) AS month, CAST(d[place + 1] AS INTEGER) AS day FROM u",
         "table_question": f"WITH {_QUESTIONS} SELECT conv_id, turn, regexp_matches(question, '表\\s*\\d+') AS is_table_question FROM q",
         "range_overlap": """SELECT l_returnflag, count(*) AS lines, count(DISTINCT o_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey

@@ -116,6 +116,12 @@ def anomalies_all(spark, sf_dir):
     return rules.anomalies(read_energy(spark, sf_dir))
 
 
+def anomalies_own_bands(spark, sf_dir):
+    """All anomalies, where prices are high or low by their dataset's quartiles, from sketches of its days."""
+    e = read_energy(spark, sf_dir)
+    return rules.anomalies(rules.with_own_bands(e, rules.sketched_bands(rules.price_sketches(e))), rules.OWN_BANDS)
+
+
 def anomaly_timeline(spark, sf_dir):
     return timeline.periods(read_energy(spark, sf_dir))
 
@@ -464,6 +470,15 @@ def keyword_coverage(spark, sf_dir):
     return out.select("query_id", F.round("coverage", 6).alias("coverage"), "success")
 
 
+def keyword_coverage_many(spark, sf_dir):
+    """The distinct words of each conversation's first turn, in the turns after it: many keywords, each text read once."""
+    turns = conversations(spark, sf_dir)
+    first = turns.where(F.col("turn") == 0).groupBy(F.col("conv_id").alias("query_id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split(F.coalesce("text", F.lit("")), " "))))).alias("keywords"))
+    ranked = turns.where(F.col("turn") > 0).select(F.col("conv_id").alias("query_id"), "text", F.col("turn").alias("rank"))
+    out = retrieval.keyword_coverage(ranked, first.withColumn("threshold", F.lit(0.2)), "rank", 3)
+    return out.select("query_id", F.round("coverage", 6).alias("coverage"), "success")
+
+
 def _questions(spark, sf_dir):
     n = F.col("conv_id") + F.col("turn")
     dated = F.concat(F.lit("見 2024 年 "), (n % 12 + 1).cast("string"), F.lit(" 月 "), (n % 28 + 1).cast("string"), F.lit(" 日"), F.when(n % 2 == 0, "，2023年1月2日 表 4").otherwise("表格"))
@@ -550,11 +565,11 @@ def battery_plans(spark, sf_dir):
 def queries() -> dict[str, Query]:
     plain = [
         dataset_list, dataset_by_id, dataset_count, dataset_summary, dataset_extent, timeseries_page, quality_range_check, quality_enum_check,
-        quality_bool_lexicon, quality_numeric_coerce, anomalies_all, anomaly_timeline, schedule_suggestion, schedule_windows, cost_energy, cost_arbitrage,
+        quality_bool_lexicon, quality_numeric_coerce, anomalies_all, anomalies_own_bands, anomaly_timeline, schedule_suggestion, schedule_windows, cost_energy, cost_arbitrage,
         cost_before_after, battery_plans, green_index_site_day, capacity_fade, site_day_analysis, price_bands, cycle_trend_7d, load_peak_rank, chart_series_bounds,
         stream_hourly_batch, page_status_counts, printed_label, section_heading, section_carry_forward, chunk_fixed_600_100, chunk_fixed_pages, chunk_stats_by_strategy, strategy_comparison, page_labels, overlapping_orders,
         chunk_structured_600_100, sentence_split, upsert_plan, upsert_next_snapshot, duplicate_content, lifecycle_counts, lifecycle_decision, active_documents, superseded_pairs,
-        vector_topk, indexed_topk, vector_topk_scoped, search_in_both_scopes, page_overlap_hit, chunks_with_filenames, hybrid_topk, order_unchanged, wrong_group_rate, hit_at_k, benchmark_grades, keyword_coverage, date_candidates, table_question,
+        vector_topk, indexed_topk, vector_topk_scoped, search_in_both_scopes, page_overlap_hit, chunks_with_filenames, hybrid_topk, order_unchanged, wrong_group_rate, hit_at_k, benchmark_grades, keyword_coverage, keyword_coverage_many, date_candidates, table_question,
         range_overlap, case_time_range, case_evidence, evidence_answers, case_similarity,
     ]
     named = {f.__name__: f for f in plain}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Names and order of the columns below.
 FLOAT_COLUMNS = [
     "pv_forecast_kw", "pv_actual_kw", "load_kw", "load_forecast_kw", "battery_soc", "battery_power_kw",
     "battery_temperature", "electricity_price", "contract_capacity_kw", "grid_import_kw", "grid_export_kw", "ghi",
@@ -92,9 +93,16 @@ CASES = _struct(
 )
 
 
-def assert_schema(df, schema: T.StructType) -> None:
-    """Raise ``ValueError`` unless ``df`` has the schema's columns and types."""
+def assert_schema(df, schema: T.StructType, finite: bool = False) -> None:
+    """Raise ``ValueError`` unless ``df`` has the schema's columns and types; with ``finite``, only finite numbers or null."""
     got = {f.name: f.dataType for f in df.schema}
     for f in schema:
         if got.get(f.name) != f.dataType:
             raise ValueError(f"{f.name}: {f.dataType.simpleString()} expected, {got[f.name].simpleString() if f.name in got else 'nothing'} found")
+    if finite and (names := [f.name for f in schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]):
+        from pyspark.sql import functions as F
+
+        odd = lambda c: F.count_if(F.isnan(c) | (F.abs(c) == float("inf"))).alias(c)
+        counts = df.agg(*map(odd, names)).first().asDict()
+        if bad := [f"{n} ({k})" for n, k in counts.items() if k]:
+            raise ValueError(f"numbers that are not finite: {', '.join(bad)}")

@@ -49,13 +49,34 @@ def file_hashes(spark: SparkSession, paths: str) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("document_content_hash"))
 
 
-def recognise(pages: DataFrame, recogniser: Recogniser) -> DataFrame:
-    """Pages whose scanned ones have gone through the recogniser, one reader for each worker."""
+#: Readers of this worker, by the key of what builds them.
+_READERS: dict[str, Recogniser] = {}
+
+
+def reader_of(key: str, build: Callable[[], Recogniser]) -> Recogniser:
+    """The worker's reader of this key, built at its first use."""
+    if key not in _READERS:
+        _READERS[key] = build()
+    return _READERS[key]
+
+
+def recognise(pages: DataFrame, recogniser: Recogniser | None = None, build: Callable[[], Recogniser] | None = None, key: str = "default") -> DataFrame:
+    """Pages whose scanned ones have gone through a recogniser.
+
+    Either the recogniser itself, or ``build``, which makes one and may take long: each worker calls it at its first
+    scanned page and keeps the result, for later tasks and jobs of the same ``key``, too.
+    """
+    if (recogniser is None) == (build is None):
+        raise ValueError("a recogniser, or what builds one")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from gridlore.sources.documents import reader_of  # the worker's own, not a copy sent with this function
+
         for pdf in batches:
-            pdf = pdf.copy()
-            pdf["text"] = ["\n".join(recogniser(p.source_filename, int(p.page_index))) for p in pdf.itertuples()]
+            if not len(pdf):
+                continue
+            read, pdf = recogniser or reader_of(key, build), pdf.copy()
+            pdf["text"] = ["\n".join(read(p.source_filename, int(p.page_index))) for p in pdf.itertuples()]
             yield pdf
 
     scanned = pages.where(F.col("page_status") == "scanned").mapInPandas(run, PAGES)

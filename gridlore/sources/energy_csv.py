@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,23 +98,39 @@ def validate(raw: DataFrame) -> tuple[DataFrame, list[tuple[str, str]]]:
     return rows, [(c, "column missing from file") for c in absent]
 
 
+def _feeds_in_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether some line has a quote that it does not close."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """The file's cells as strings, with ``row``: the line in the file, where the header is line 1 and blank lines do not count.
 
-    A file is one upload and is read in one task, which the numbering needs; many files are many calls.
+    A file is one upload. Its splits are read in parallel; a split's rows are numbered from the rows of those before it,
+    which one pass counts. Only a file with line feeds in quotes is read in one task.
     """
     header = spark.read.option("header", True).option("multiLine", True).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    rows = spark.read.option("header", True).option("multiLine", True).option("nullValue", "\u0000").option("emptyValue", "").schema(schema).csv(path).coalesce(1)
-    return rows.withColumn("row", (F.monotonically_increasing_id() + 2).cast("int"))
+    reader = spark.read.option("header", True).option("nullValue", "\u0000").option("emptyValue", "").schema(schema)
+    if _feeds_in_quotes(spark, path):
+        rows = reader.option("multiLine", True).csv(path).coalesce(1)
+        return rows.withColumn("row", (F.monotonically_increasing_id() + 2).cast("int"))
+    # Ids grow by one from row to row of a split.
+    rows = reader.csv(path).select("*", F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__at"))
+    splits = rows.groupBy("__split").agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))
+    before = F.coalesce(F.sum("__rows").over(Window.orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each split
+    splits = splits.select("__split", (before - F.col("__first") + 2).alias("__shift"))
+    numbered = rows.join(F.broadcast(splits), "__split")
+    return numbered.select(*(F.col(f"`{c}`") for c in header), (F.col("__at") + F.col("__shift")).cast("int").alias("row"))
 
 
 def warnings_of(rows: DataFrame, missing: list[tuple[str, str]]) -> DataFrame:
-    """Warnings (row, column, issue, action) in the order of the checks, then of the rows; missing columns first."""
+    """Warnings (place, row, column, issue, action); by place, then row, they are in the order of the checks, missing columns first."""
     spark = rows.sparkSession
     each = rows.select(F.explode("warnings").alias("x")).select("x.check", "x.w.row", "x.w.column", "x.w.issue", "x.w.action")
     first = spark.createDataFrame([(k - len(missing), None, c, i, "stored as NULL") for k, (c, i) in enumerate(missing)], "check int, row int, column string, issue string, action string")
-    return first.unionByName(each).orderBy("check", F.asc_nulls_first("row")).select("row", "column", "issue", "action")
+    return first.unionByName(each).select(F.col("check").cast("long").alias("place"), "row", "column", "issue", "action")
 
 
 def accepted(rows: DataFrame) -> DataFrame:

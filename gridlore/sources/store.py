@@ -1,6 +1,6 @@
 """Datasets on Parquet: the catalogue, the series, and the read functions over them.
 
-A store is a folder with ``datasets`` and ``series`` (partitioned by dataset). Data is written first and the catalogue
+A store is a folder with ``datasets``, ``series`` and ``warnings`` (both partitioned by dataset). Data is written first and the catalogue
 row last, so a failed write is never seen.
 """
 
@@ -9,10 +9,12 @@ from __future__ import annotations
 import datetime
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridlore.schemas import DATASETS, ENERGY_COLUMNS, SERIES, SUMMARY_COLUMNS
+from gridlore.operators.intervals import running_total
+from gridlore.schemas import DATASETS, ENERGY_COLUMNS, SERIES, SUMMARY_COLUMNS, WARNING
 from gridlore.sources import energy_csv
 
 MOST_ROWS = 1000
@@ -28,7 +30,9 @@ class IngestResult:
     row_count: int
     inserted_count: int
     status: str
+    #: The first of them; all are in the store (``warnings``).
     warnings: list[dict] = field(default_factory=list)
+    warning_count: int = 0
 
 
 def health(spark: SparkSession) -> dict:
@@ -54,6 +58,12 @@ def series(spark: SparkSession, store: str) -> DataFrame:
     return _read(spark, f"{store}/series", SERIES)
 
 
+def warnings(spark: SparkSession, store: str, dataset_id: int) -> DataFrame:
+    """All warnings of an upload, in the order of the checks, then of the rows; missing columns first."""
+    rows = _read(spark, f"{store}/warnings", T.StructType([T.StructField("place", T.LongType()), *WARNING.fields, T.StructField("dataset_id", T.LongType())]))
+    return rows.where(F.col("dataset_id") == dataset_id).orderBy("place", F.asc_nulls_first("row")).select(*WARNING.fieldNames())
+
+
 def listed(catalogue: DataFrame) -> DataFrame:
     """Newest first; a null creation time counts as newest."""
     return catalogue.select(*DATASETS.fieldNames()).orderBy(F.desc_nulls_first("created_at"), F.desc("id"))
@@ -114,20 +124,23 @@ def ingest_csv(spark: SparkSession, store: str, path: str, name: str | None = No
         return IngestResult(None, 0, 0, "failed", [{"row": None, "column": None, "issue": str(e), "action": "upload rejected"}])
     rows = rows.cache()  # read by three actions below
     try:
-        warnings = [r.asDict() for r in energy_csv.warnings_of(rows, missing).collect()]
+        found = energy_csv.warnings_of(rows, missing)
+        shown = [r.asDict() for r in found.orderBy("place", F.asc_nulls_first("row")).limit(MOST_ROWS).drop("place").collect()]
+        count = len(missing) + (rows.agg(F.sum(F.size("warnings"))).first()[0] or 0)
         kept = energy_csv.accepted(rows)
         extent = rows.agg(F.count("*").alias("n"), F.count("timestamp").alias("kept"), F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
         taken = series(spark, store).agg(F.max("id"), F.max("dataset_id")).first()
         base = taken[0] or 0
         # Rows of an upload that failed before its catalogue row was written keep their dataset's id to themselves.
         dataset_id = max(datasets(spark, store).agg(F.max("id")).first()[0] or 0, taken[1] or 0) + 1
-        numbered = kept.withColumn("id", F.row_number().over(Window.orderBy("row")).cast("long") + base)
-        numbered = numbered.select("id", F.lit(dataset_id).cast("long").alias("dataset_id"), *ENERGY_COLUMNS)
+        numbered = running_total(kept.withColumn("__file", F.lit(0)), "__file", "row", F.lit(1), "__before")
+        numbered = numbered.select((F.col("__before") + 1 + base).alias("id"), F.lit(dataset_id).cast("long").alias("dataset_id"), *ENERGY_COLUMNS)
         numbered.write.mode("append").partitionBy("dataset_id").parquet(f"{store}/series")
+        found.withColumn("dataset_id", F.lit(dataset_id).cast("long")).write.mode("append").partitionBy("dataset_id").parquet(f"{store}/warnings")
         now = (clock or (lambda: datetime.datetime.now(datetime.timezone.utc)))()
         row = (dataset_id, name or file_name, file_name, description, extent["kept"], extent["a"], extent["b"], now)
         spark.createDataFrame([row], DATASETS).write.mode("append").parquet(f"{store}/datasets")
-        return IngestResult(dataset_id, extent["n"], extent["kept"], "success_with_warnings" if warnings else "success", warnings)
+        return IngestResult(dataset_id, extent["n"], extent["kept"], "success_with_warnings" if count else "success", shown, count)
     except Exception as e:  # a failed write leaves no catalogue row and is reported as a result
         return IngestResult(None, 0, 0, "failed", [{"row": None, "column": None, "issue": str(e), "action": "upload failed"}])
     finally:
