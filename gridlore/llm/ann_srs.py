@@ -24,6 +24,8 @@ LEAVES = 16
 VERIFIED = 256
 #: Rows of an index block, and queries that meet a block at once.
 BLOCK = 32768
+#: Numbers of such a block, where vectors are long.
+BLOCK_NUMBERS = 1 << 22
 QUERY_BLOCK = 4096
 
 
@@ -160,7 +162,7 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 20, id_column
     if most is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     largest = float(most["m"]) * (1 + 1e-12)
-    blocks, query_blocks = -(-most["n"] // BLOCK), max(1, -(-most["q"] // QUERY_BLOCK))
+    blocks, query_blocks = -(-most["n"] // max(1, min(BLOCK, BLOCK_NUMBERS // most["d"]))), max(1, -(-most["q"] // QUERY_BLOCK))
     rows = rows.where(F.size("v") == most["d"])
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")

@@ -27,6 +27,8 @@ MOST_TEXTS = 120_000
 WINDOWS_PER_TEXT = 4
 #: Languages up to which their rates are broadcast; above, they are joined.
 BROADCAST_LANGUAGES = 100_000
+#: From so many expected texts of a language on, none is left out by chance (a chance of e^-40).
+SURE = 40
 EPOCHS = 8
 #: Share of the windows that are cut to a random length when they are learnt from, as short texts are.
 SHORTENED = 0.25
@@ -184,6 +186,12 @@ def train_network(docs: DataFrame) -> ByteNetwork | None:
         rates = F.broadcast(rates)
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 20))
     drawn = known.join(rates, "lang").where(draw < F.col("rate") * (1 << 20))
+    drawn = drawn.select("text", "lang")
+    if each < SURE:
+        # With few of each, chance may leave a language out: its text of least draw is taken then.
+        lettered = known.where(F.col("text").rlike(r"\p{L}")).withColumn("draw", draw)
+        least = lettered.groupBy("lang").agg(F.min("draw").alias("least")).join(rates, "lang").where(F.col("least") >= F.col("rate") * (1 << 20)).select("lang", "least")
+        drawn = drawn.unionByName(lettered.join(least, "lang").where(F.col("draw") == F.col("least")).select("text", "lang"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +203,7 @@ def train_network(docs: DataFrame) -> ByteNetwork | None:
                     names += [name] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array(names, pa.string())], names=["bytes", "lang"])
 
-    sample = drawn.select("text", "lang").mapInArrow(cut, "bytes binary, lang string").toArrow().sort_by([("lang", "ascending"), ("bytes", "ascending")])
+    sample = drawn.mapInArrow(cut, "bytes binary, lang string").toArrow().sort_by([("lang", "ascending"), ("bytes", "ascending")])
     if not sample.num_rows:
         return None
     labels = np.asarray(sample.column("lang").to_pylist(), object)

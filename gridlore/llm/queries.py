@@ -77,7 +77,8 @@ URL_RULES = [
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlore.llm.url_markov import judge_urls
 
-    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), URL_RULES)
+    judged = judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), URL_RULES)
+    return judged.withColumn("score", F.round("score", 6))
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,5 +179,35 @@ AUDIT_SQL = r"""WITH d AS (
     CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley FROM x"""
 
 
+def url_sql() -> str:
+    """The rules, both models and the threshold of ``op7_url_filter``, order by order."""
+    from gridlore.llm.url_markov import ALPHABET, HELD, ORDER
+
+    rules = sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), r[1], r[2]))
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    case = lambda pick: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{pick(kind, h, p)}'" for kind, h, p in rules) + " END"
+    part = lambda k: f"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', {k})"
+    models = []
+    for k in range(ORDER + 1):
+        low = [f"CAST({1 / ALPHABET!r} AS DOUBLE)"] * 2 if k == 0 else ["p.a", "p.b"]
+        lower = "" if k == 0 else f"JOIN p{k - 1} p ON p.gram = substring(n.gram, 2, {k})"
+        chance = lambda c, x: f"(n.{c} + greatest(c.{c}_kinds, 1) * {x}) / CAST(c.{c}_all + greatest(c.{c}_kinds, 1) AS DOUBLE)"
+        models.append(f"""n{k} AS (SELECT substring(gram, {ORDER + 1 - k}, {k + 1}) AS gram, sum(a) AS a, sum(b) AS b FROM counts GROUP BY 1),
+  c{k} AS (SELECT substring(gram, 1, {k}) AS context, sum(a) AS a_all, sum(b) AS b_all, count(*) FILTER (WHERE a > 0) AS a_kinds, count(*) FILTER (WHERE b > 0) AS b_kinds FROM n{k} GROUP BY 1),
+  p{k} AS (SELECT n.gram, {chance("a", low[0])} AS a, {chance("b", low[1])} AS b FROM n{k} n JOIN c{k} c ON c.context = substring(n.gram, 1, {k}) {lower})""")
+    return f"""WITH r AS (SELECT page_id, url, translate({part(1)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, {part(2)} AS path FROM pages),
+  u AS (SELECT url, count(*) AS copies, any_value({case(lambda kind, h, p: kind)}) AS kind, CAST('0x' || substring(md5(url), 1, 6) AS BIGINT) % {HELD} = 0 AS held FROM r WHERE url IS NOT NULL GROUP BY url),
+  g AS (SELECT url, copies, kind, held, substring(t, CAST(place AS BIGINT), {ORDER + 1}) AS gram FROM (SELECT *, unnest(range(1, length(t) - {ORDER} + 1)) AS place FROM (
+    SELECT *, repeat(chr(2), {ORDER}) || translate(lower(url), '0123456789', '0000000000') || chr(3) AS t FROM u))),
+  counts AS (SELECT gram, coalesce(sum(copies) FILTER (WHERE kind = 'allow' AND NOT held), 0) AS a, coalesce(sum(copies) FILTER (WHERE kind = 'block' AND NOT held), 0) AS b FROM g GROUP BY gram),
+  {", ".join(models)},
+  s AS (SELECT url, any_value(kind) AS kind, any_value(held) AS held, avg(ln(p.a) - ln(p.b)) AS score FROM g JOIN p{ORDER} p ON p.gram = g.gram GROUP BY url),
+  h AS (SELECT kind, avg(score) AS mean, coalesce(stddev_pop(score), 0) + CAST(0.000001 AS DOUBLE) AS spread FROM s WHERE held AND kind IS NOT NULL GROUP BY kind),
+  t AS (SELECT CASE WHEN (SELECT count(*) FROM h) = 2 THEN (SELECT (a.mean * b.spread + b.mean * a.spread) / (a.spread + b.spread) FROM h a, h b WHERE a.kind = 'allow' AND b.kind = 'block')
+    WHEN (SELECT count(DISTINCT kind) FROM s) = 2 THEN CAST(0 AS DOUBLE) END AS threshold)
+  SELECT page_id, host, path, {case(lambda kind, h, p: h + p)} AS rule, coalesce({case(lambda kind, h, p: kind)}, CASE WHEN score < threshold THEN 'block' ELSE 'allow' END) AS verdict,
+    round(score - coalesce(threshold, 0), 6) AS score FROM r LEFT JOIN s ON r.url = s.url, t"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_filter_audit": AUDIT_SQL}
+    return {"op7_url_filter": url_sql(), "op11_filter_audit": AUDIT_SQL}

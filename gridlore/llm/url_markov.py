@@ -91,7 +91,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], order: int = ORDER) -> DataF
     rows = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
     urls = rows.where(F.col("url").isNotNull()).groupBy("url", "host", "path").agg(F.count("*").alias("copies"))
-    urls = urls.select("url", "copies", verdict.alias("kind"), (F.crc32(F.col("url").cast("binary")) % HELD == 0).alias("held"))
+    urls = urls.select("url", "copies", verdict.alias("kind"), (F.conv(F.substring(F.md5("url"), 1, 6), 16, 10).cast("long") % HELD == 0).alias("held"))
     learns = lambda kind: F.sum(F.when((F.col("kind") == kind) & ~F.col("held"), F.col("copies")).otherwise(0))
     counts = _grams(urls, order).groupBy("gram").agg(learns("allow").alias("allow"), learns("block").alias("block"))
     ratios = staged(gram_ratios(staged(counts, "url_grams"), order), "url_ratios")
