@@ -29,15 +29,16 @@ def lines(c: Column) -> Column:
     return F.when(F.length(c) == 0, F.array().cast("array<string>")).when(F.element_at(split, -1) == "", F.slice(split, 1, F.greatest(F.size(split) - 1, F.lit(0)))).otherwise(split)
 
 
-def _filled(c: Column) -> Column:
-    return F.filter(F.transform(lines(c), trimmed), lambda x: F.length(x) > 0)
+#: What ends a line, beside a line feed.
+BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def printed_page_number(text: Column) -> Column:
     """The last line that is not empty if it is a number or a Roman numeral, else the first one, else null."""
-    found = _filled(text)
+    body = trimmed(F.translate(text, BREAKS, "\n" * len(BREAKS)))
     fits = lambda x: F.when(x.rlike(PRINTED_NUMBER), x)
-    return F.when(F.size(found) > 0, F.coalesce(fits(F.try_element_at(found, F.lit(-1))), fits(F.try_element_at(found, F.lit(1)))))
+    line = lambda which: trimmed(F.substring_index(body, "\n", which))
+    return F.coalesce(fits(line(-1)), fits(line(1)))
 
 
 def section_heading(text: Column) -> Column:
