@@ -87,12 +87,10 @@ _CHARTS = [
 ]
 
 
-def _pick(values: list[str]) -> str:
-    return f"(CASE event_id % {len(values)} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END)"
-
-
-_CELLS = f"""cells AS (SELECT event_id, {_pick(["N/A", " 12.5 ", "abc", "", "7", "1e3", "inf", "-3"])} AS number, {_pick([" Manual ", "auto", "on", "NA", "Idle"])} AS mode,
-   {_pick(["true", "0", "YES", "maybe", "", "No", "1"])} AS "boolean", CAST(event_id % 131 - 10 AS DOUBLE) AS soc FROM events)"""
+_K = "json_extract_string(props, '$.k')"
+_CELLS = f"""cells AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(value AS VARCHAR) WHEN 1 THEN ' ' || {_K} || ' ' WHEN 2 THEN event_type WHEN 3 THEN props ELSE 'N/A' END AS number,
+   CASE event_id % 4 WHEN 0 THEN upper(event_type) WHEN 1 THEN ' ' || event_type || ' ' WHEN 2 THEN '' ELSE {_K} END AS mode,
+   CASE WHEN CAST({_K} AS INTEGER) < 60 THEN CAST(CAST({_K} AS INTEGER) % 3 AS VARCHAR) WHEN event_id % 3 = 0 THEN 'YES' WHEN event_id % 3 = 1 THEN 'No' ELSE event_type END AS "boolean", value - 5 AS soc FROM events)"""
 _PRESENT = f"NOT IN {_in(MISSING)}"
 _SPACE = r"[\s\x0b\x{85}\p{Z}\x1c-\x1f]"
 _TRIM = lambda x: f"regexp_replace(regexp_replace({x}, '^{_SPACE}+', ''), '{_SPACE}+$', '')"
@@ -122,10 +120,9 @@ _CHUNKS = """chunks AS (SELECT lpad(CAST(vec_id AS VARCHAR), 8, '0') AS chunk_id
 _ALL = "WITH " + _CHUNKS.replace("{scope}", "")
 _OTHERS = "WITH " + _CHUNKS.replace("{scope}", "WHERE vec_id <> query_id")
 _STORED = "stored AS (SELECT d.doc_id, source AS document_id, lang AS strategy_name, quality = 1 AS is_active FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
-_QUESTIONS = """q AS (SELECT conv_id, turn, '見 2024 年 ' || CAST((conv_id + turn) % 12 + 1 AS VARCHAR) || ' 月 ' || CAST((conv_id + turn) % 28 + 1 AS VARCHAR) || ' 日' ||
-   CASE WHEN (conv_id + turn) % 2 = 0 THEN '，2023年1月2日 表 4' ELSE '表格' END AS question FROM conversations)"""
-_DATE = r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日"
-_PARTS = f"extracted AS (SELECT conv_id, turn, regexp_extract_all(question, '{_DATE}', 1) AS y, regexp_extract_all(question, '{_DATE}', 2) AS m, regexp_extract_all(question, '{_DATE}', 3) AS d FROM q)"
+#: The dates that each question asks about, and whether it asks about a table, without a look at its text.
+_ASKED_DATES = """d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS placed, CAST(o_orderdate AS DATE) + CAST(o_custkey % 400 AS INTEGER) AS later, o_totalprice > 100000 AS more FROM orders),
+  e AS (SELECT o_orderkey, CAST(0 AS INTEGER) AS place, placed AS asked FROM d UNION ALL SELECT o_orderkey, CAST(1 AS INTEGER), later FROM d WHERE more)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -211,7 +208,7 @@ def oracle_sql() -> dict[str, str]:
         "lifecycle_counts": f"WITH {_STORED} SELECT document_id, strategy_name, count(*) FILTER (WHERE is_active) AS active, count(*) FILTER (WHERE NOT is_active) AS inactive FROM stored GROUP BY 1, 2",
         "lifecycle_decision": f"WITH {_STORED} SELECT document_id, strategy_name, CASE WHEN count(*) FILTER (WHERE is_active) > 0 AND count(*) FILTER (WHERE NOT is_active) > 0 THEN 'anomaly' WHEN count(*) FILTER (WHERE is_active) > 0 THEN 'already_active' ELSE 'activate' END AS decision FROM stored GROUP BY 1, 2",
         "active_documents": "SELECT doc_id AS id, source AS filename FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
-        "superseded_pairs": "SELECT a.doc_id AS id, a.source AS filename, b.doc_id AS old_id, b.source AS old_filename FROM documents a JOIN documents b ON a.doc_id % 3 = 0 AND b.doc_id = a.doc_id - 20",
+        "superseded_pairs": "SELECT a.doc_id AS id, a.source AS filename, max(b.doc_id) AS old_id, a.source AS old_filename FROM documents a JOIN documents b ON a.source = b.source AND a.text = b.text AND b.doc_id < a.doc_id GROUP BY a.doc_id, a.source",
         "vector_topk": _ALL + " SELECT query_id, CAST(vector_rank AS INTEGER) AS vector_rank, chunk_id, round(distance, 6) + CAST(0 AS DOUBLE) AS distance FROM pool WHERE vector_rank <= 5",
         "vector_topk_scoped": "WITH " + _CHUNKS.replace("{scope}", "WHERE filename = 'doc_1'") + " SELECT query_id, CAST(vector_rank AS INTEGER) AS vector_rank, chunk_id, round(distance, 6) + CAST(0 AS DOUBLE) AS distance FROM pool WHERE vector_rank <= 5",
         "search_in_both_scopes": "".join(
@@ -238,8 +235,8 @@ def oracle_sql() -> dict[str, str]:
         "keyword_coverage_many": """WITH k AS (SELECT DISTINCT conv_id AS query_id, unnest(string_split(coalesce(text, ''), ' ')) AS w FROM conversations WHERE turn = 0),
             m AS (SELECT k.query_id, k.w, coalesce(bool_or(contains(c.text, k.w)), false) AS found FROM k LEFT JOIN conversations c ON c.conv_id = k.query_id AND c.turn BETWEEN 1 AND 3 GROUP BY 1, 2),
             s AS (SELECT query_id, count(*) FILTER (WHERE found)::DOUBLE / count(*)::DOUBLE AS c FROM m GROUP BY 1) SELECT query_id, round(c, 6) AS coverage, c >= CAST(0.2 AS DOUBLE) AS success FROM s""",
-        "date_candidates": f"WITH {_QUESTIONS}, {_PARTS}, u AS (SELECT conv_id, turn, unnest(range(len(y))) AS place, y, m, d FROM extracted) SELECT conv_id, turn, CAST(place AS INTEGER) AS place, CAST(y[place + 1] AS INTEGER) AS year, CAST(m[place + 1] AS INTEGER) AS month, CAST(d[place + 1] AS INTEGER) AS day FROM u",
-        "table_question": f"WITH {_QUESTIONS} SELECT conv_id, turn, regexp_matches(question, '表\\s*\\d+') AS is_table_question FROM q",
+        "date_candidates": f"WITH {_ASKED_DATES} SELECT o_orderkey, place, CAST(year(asked) AS INTEGER) AS year, CAST(month(asked) AS INTEGER) AS month, CAST(day(asked) AS INTEGER) AS day FROM e",
+        "table_question": f"WITH {_ASKED_DATES} SELECT o_orderkey, more AS is_table_question FROM d",
         "range_overlap": """SELECT l_returnflag, count(*) AS lines, count(DISTINCT o_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey
             WHERE l_shipdate <= o_orderdate + INTERVAL 60 DAY AND o_orderdate <= l_shipdate + INTERVAL 10 DAY GROUP BY l_returnflag""",
         "case_time_range": f"""WITH {ENERGY}, d AS (SELECT DISTINCT dataset_id, CAST("timestamp" AS DATE) AS day FROM e)

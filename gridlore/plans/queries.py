@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlore.functions import text as T
@@ -64,12 +64,14 @@ def timeseries_page(spark, sf_dir):
 
 
 def _cells(spark, sf_dir):
-    """Cells as a file might hold them."""
-    n = F.col("event_id")
-    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    """The events' own values as a file might hold them: numbers, words and JSON in one column."""
+    n, k = F.col("event_id"), F.get_json_object("props", "$.k")
+    pick = lambda *values: F.element_at(F.array(*values), (n % len(values) + 1).cast("int"))
+    blank = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     return events(spark, sf_dir).select(
-        "event_id", pick(["N/A", " 12.5 ", "abc", "", "7", "1e3", "inf", "-3"]).alias("number"), pick([" Manual ", "auto", "on", "NA", "Idle"]).alias("mode"),
-        pick(["true", "0", "YES", "maybe", "", "No", "1"]).alias("boolean"), (n % 131 - 10).cast("double").alias("soc"),
+        "event_id", pick(F.col("value").cast("string"), blank(k), F.col("event_type"), F.col("props"), F.lit("N/A")).alias("number"),
+        pick(F.upper("event_type"), blank(F.col("event_type")), F.lit(""), k).alias("mode"),
+        F.when(k.cast("int") < 60, (k.cast("int") % 3).cast("string")).otherwise(pick(F.lit("YES"), F.lit("No"), F.col("event_type"))).alias("boolean"), (F.col("value") - 5.0).alias("soc"),
     )
 
 
@@ -360,7 +362,9 @@ def active_documents(spark, sf_dir):
 
 
 def superseded_pairs(spark, sf_dir):
-    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("filename"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") - 20).alias("supersedes_document_id"))
+    """Every document supersedes the one of the same text and source before it."""
+    before = F.lag("doc_id").over(Window.partitionBy("source", F.sha2("text", 256)).orderBy("doc_id"))
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("filename"), before.alias("supersedes_document_id"))
     return versions.superseded_pairs(docs)
 
 
@@ -480,18 +484,21 @@ def keyword_coverage_many(spark, sf_dir):
 
 
 def _questions(spark, sf_dir):
-    n = F.col("conv_id") + F.col("turn")
-    dated = F.concat(F.lit("見 2024 年 "), (n % 12 + 1).cast("string"), F.lit(" 月 "), (n % 28 + 1).cast("string"), F.lit(" 日"), F.when(n % 2 == 0, "，2023年1月2日 表 4").otherwise("表格"))
-    return conversations(spark, sf_dir).select("conv_id", "turn", dated.alias("question"))
+    """Questions about an order's date, and, for the larger ones, about a second date and a table."""
+    written = lambda d, gap: F.concat(F.year(d).cast("string"), F.lit(f"{gap}年{gap}"), F.month(d).cast("string"), F.lit(f"{gap}月{gap}"), F.dayofmonth(d).cast("string"), F.lit(f"{gap}日"))
+    placed, price = F.to_date("o_orderdate"), F.col("o_totalprice")
+    later = F.date_add(placed, (F.col("o_custkey") % 400).cast("int"))
+    more = F.when(price > 100000, F.concat(F.lit("與"), written(later, ""), F.lit(" 表 "), F.substring("o_orderpriority", 1, 1))).otherwise("表格")
+    return _table("orders")(spark, sf_dir).select("o_orderkey", F.concat(F.lit("見 "), written(placed, " "), F.col("o_orderstatus"), more).alias("question"))
 
 
 def date_candidates(spark, sf_dir):
-    found = _questions(spark, sf_dir).select("conv_id", "turn", F.posexplode(T.dates(F.col("question"))).alias("place", "d"))
-    return found.select("conv_id", "turn", "place", "d.year", "d.month", "d.day")
+    found = _questions(spark, sf_dir).select("o_orderkey", F.posexplode(T.dates(F.col("question"))).alias("place", "d"))
+    return found.select("o_orderkey", "place", "d.year", "d.month", "d.day")
 
 
 def table_question(spark, sf_dir):
-    return _questions(spark, sf_dir).select("conv_id", "turn", T.is_table_question(F.col("question")).alias("is_table_question"))
+    return _questions(spark, sf_dir).select("o_orderkey", T.is_table_question(F.col("question")).alias("is_table_question"))
 
 
 def range_overlap(spark, sf_dir):
