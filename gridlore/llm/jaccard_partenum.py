@@ -352,15 +352,29 @@ def _verified(links: Likeness):
     return run
 
 
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of n numbers that each is joined with, directly or not, by the pairs (a, b)."""
+    least = np.arange(n)
+    while True:
+        low = np.minimum(least[a], least[b])
+        now = least.copy()
+        np.minimum.at(now, a, low)
+        np.minimum.at(now, b, low)
+        now = now[now]
+        if (now == least).all():
+            return least
+        least = now
+
+
 def _compared(links: Likeness):
     def run(block: pa.Table) -> pa.Table:
-        """From rows (node, label, asks, text) of one block, links of the nodes that ask with similar ones of other labels.
+        """From rows (node, label, asks, text) of one block, links between labels of which asking nodes are similar to others.
 
-        One link for each asking node and other label. Overlaps are counted by matrix products over the elements that
-        several of the nodes have.
+        Overlaps are counted by matrix products over the elements that several of the nodes have. The labels that come
+        together in a block are linked with the least of them, so links are fewer than labels.
         """
         sets = links.sets(*utf8(block.column("text")))
-        node, label = (block.column(c).to_numpy() for c in ("node", "label"))
+        label = block.column("label").to_numpy()
         asks = block.column("asks").to_numpy(zero_copy_only=False).astype(bool)
         size = np.array([len(x) for x in sets])
         owner = np.repeat(np.arange(len(sets)), size)
@@ -379,8 +393,10 @@ def _compared(links: Likeness):
                 shared += held[columns] @ held[rows].T
         union = size[columns][:, None] + size[rows][None, :] - shared
         i, j = np.nonzero((100 * shared >= links.percent * union) & (label[columns][:, None] != label[rows][None, :]))
-        _, first = np.unique(np.stack([node[columns[i]], label[rows[j]]]), axis=1, return_index=True)
-        return pa.table({"a": pa.array(node[columns[i[first]]], pa.int64()), "b": pa.array(node[rows[j[first]]], pa.int64())})
+        labels, of = np.unique(np.concatenate([label[columns[i]], label[rows[j]]]), return_inverse=True)
+        least = _joined(len(labels), of[: len(i)], of[len(i) :])
+        more = np.flatnonzero(least != np.arange(len(labels)))
+        return pa.table({"a": pa.array(labels[more], pa.int64()), "b": pa.array(labels[least[more]], pa.int64())})
 
     return run
 
@@ -428,23 +444,23 @@ def linked(docs: DataFrame, sets: DataFrame, pairs: DataFrame, likeness: Likenes
     ``sets`` holds doc_id and node of the rows of ``docs``.
     """
     held = _texts_of(docs, sets, pairs, likeness, salt)
-    sketches = lambda k, x: held.select(F.col("node").alias(k), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    near = pairs.join(sketches("centre", "x"), "centre").join(sketches("node", "y"), "node").select("centre", "node", "nx", "sx", "ny", "sy")
-    near = staged(near.mapInArrow(_near(likeness), "a long, b long"), "near")
-
-    # The text of a centre is sent once for each block of the nodes that are compared with it.
-    blocks = near.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = staged(near.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b"), "dealt")
-    dropped(near)
-    others = dealt.join(held.select(F.col("node").alias("b"), "text"), "b").select("a", "block", "b", "text")
-    centres = dealt.select("a", "block").distinct().join(held.select(F.col("node").alias("a"), "text"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "text")
-    met = centres.unionByName(others).repartition("a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
-    links = staged(met.mapInArrow(_verified(likeness), "a long, b long"), "similar")
-    dropped(dealt)
+    named = lambda k: F.coalesce("label", k)
+    # A node meets its least centre first; the others only if that has not brought them together.
+    least = staged(pairs.groupBy("node").agg(F.min("centre").alias("least")), "least")
+    links = _similar(least.select(F.col("least").alias("centre"), "node"), held, likeness)
     labels = components(links)
+    of_node = pairs.join(least, "node").where("centre <> least").join(labels, "node", "left").select("centre", "node", named("node").alias("label"))
+    apart = of_node.join(labels.select(F.col("node").alias("centre"), F.col("label").alias("own")), "centre", "left").where(F.col("label") != F.coalesce("own", "centre"))
+    more = _similar(apart.select("centre", "node"), held, likeness)
+    dropped(least)
+    if not more.isEmpty():
+        dropped(labels)
+        links, before = staged(links.unionByName(more), "similar"), links
+        dropped(before)
+        labels = components(links)
+    dropped(more)
 
     # Nodes of a centre that are not all of one component are compared with each other.
-    named = lambda k: F.coalesce("label", k)
     sizes = held.select("node", "size")
     of_node = pairs.join(labels, "node", "left").join(sizes, "node").select("centre", "node", "size", named("node").alias("label"))
     of_both = of_node.join(labels.select(F.col("node").alias("centre"), F.col("label").alias("own")), "centre", "left").withColumn("own", F.coalesce("own", "centre"))
@@ -459,7 +475,7 @@ def linked(docs: DataFrame, sets: DataFrame, pairs: DataFrame, likeness: Likenes
     # Only columns in which a node asks are dealt the other nodes.
     columns = members.where("asks").groupBy("centre").agg(F.collect_set("block").alias("columns"))
     held_by = members.join(columns, "centre").select("centre", "node", "label", F.lit(False).alias("asks"), F.col("block").alias("row"), F.explode("columns").alias("column"))
-    compared = held_by.unionByName(asking).join(held.select("node", "text"), "node").select("centre", "row", "column", "node", "label", "asks", "text")
+    compared = held_by.unionByName(asking).join(held.select("node", "text").hint("merge"), "node").select("centre", "row", "column", "node", "label", "asks", "text")
     more = staged(compared.groupBy("centre", "row", "column").applyInArrow(_compared(likeness), "a long, b long"), "similar")
     dropped(members, held)
     if not more.isEmpty():
@@ -469,6 +485,25 @@ def linked(docs: DataFrame, sets: DataFrame, pairs: DataFrame, likeness: Likenes
     return labels
 
 
+def _similar(pairs: DataFrame, held: DataFrame, likeness: Likeness) -> DataFrame:
+    """Staged (a, b): the pairs (centre, node) that are similar. ``held``: see ``_texts_of``; texts are merged at every size."""
+    held = held.hint("merge")
+    sketches = lambda k, x: held.select(F.col("node").alias(k), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    near = pairs.join(sketches("centre", "x"), "centre").join(sketches("node", "y"), "node").select("centre", "node", "nx", "sx", "ny", "sy")
+    near = staged(near.mapInArrow(_near(likeness), "a long, b long"), "near")
+
+    # The text of a centre is sent once for each block of the nodes that are compared with it.
+    blocks = near.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = staged(near.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b"), "dealt")
+    dropped(near)
+    others = dealt.join(held.select(F.col("node").alias("b"), "text"), "b").select("a", "block", "b", "text")
+    centres = dealt.select("a", "block").distinct().join(held.select(F.col("node").alias("a"), "text"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "text")
+    met = centres.unionByName(others).repartition("a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
+    links = staged(met.mapInArrow(_verified(likeness), "a long, b long"), "similar")
+    dropped(dealt)
+    return links
+
+
 def _texts_of(docs: DataFrame, sets: DataFrame, pairs: DataFrame, likeness: Likeness, salt: int) -> DataFrame:
     """node, size, sketch and text of one document for each node of ``pairs``."""
     wanted = pairs.select("node").union(pairs.select("centre")).distinct()
