@@ -27,3 +27,9 @@ def test_a_paragraph_over_many_pages(spark):
         else:
             want += [sentence[k : k + size] for k in range(0, len(sentence), size)]
     assert list(chunking.cut_long(lines, size)) == want and list(chunking.cut_long(lines, 500)) == [whole]
+
+
+def test_documents_of_a_page_are_no_groups(spark):
+    """Structured chunks stream through Arrow batches: no call of Python for each document, no window over texts."""
+    made = plan(queries.chunk_structured_600_100(spark, SMALL))
+    assert "FlatMapGroupsInPandas" not in made and "Window " not in made
