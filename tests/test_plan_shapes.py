@@ -33,3 +33,9 @@ def test_documents_of_a_page_are_no_groups(spark):
     """Structured chunks stream through Arrow batches: no call of Python for each document, no window over texts."""
     made = plan(queries.chunk_structured_600_100(spark, SMALL))
     assert "FlatMapGroupsInPandas" not in made and "Window " not in made
+
+
+def test_fixed_windows_of_a_report_are_not_numbered(spark):
+    """One place for all sizes: windows over lengths alone, no texts in them."""
+    made = plan(queries.chunk_stats_by_strategy(spark, SMALL))
+    assert made.count("Window ") <= 4
