@@ -19,8 +19,10 @@ from gridlore.operators.keywords import vocabulary, with_found
 POOL = 30
 #: Questions of a block; more are asked in blocks of about so many. Up to so many are broadcast where they are graded.
 MOST_QUESTIONS = 10_000
-#: Numbers of the vectors of a block of chunks or questions, and of the distances worked on at once.
+#: Numbers of the vectors of a block of chunks or questions.
 BLOCK_NUMBERS = 1 << 22
+#: Distances that are worked on at once, or those of one question.
+DISTANCES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -32,7 +34,8 @@ class Weights:
 
 def _vectors(column: pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
     """The vectors of the rows, which have one length."""
-    flat = column.take(pa.array(rows)).combine_chunks().flatten()
+    chosen = column if len(rows) == len(column) else column.take(pa.array(rows))
+    flat = chosen.combine_chunks().flatten()
     return flat.to_numpy(zero_copy_only=False).reshape(len(rows), -1)
 
 
@@ -41,9 +44,10 @@ def _nearest(x: np.ndarray, x_norm: np.ndarray, place: np.ndarray, asked: np.nda
 
     Matrix products pick the rows that may be among them; those are summed up in the order of ``cosine_distance``.
     """
-    unit = x / x_norm[:, None]
-    for low in range(0, len(asked), step := max(1, BLOCK_NUMBERS // len(x))):
-        away = 1.0 - (asked[low : low + step] / asked_norm[low : low + step, None]) @ unit.T
+    for low in range(0, len(asked), step := max(1, DISTANCES // len(x))):
+        away = (asked[low : low + step] / asked_norm[low : low + step, None]) @ x.T
+        away /= x_norm
+        np.subtract(1.0, away, out=away)
         limit = np.partition(away, k - 1, axis=1)[:, k - 1] if k < len(x) else np.full(len(away), np.inf)
         for q, row, most in zip(range(low, low + len(away)), away, limit, strict=True):
             near = np.flatnonzero(~(row > most + 1e-9))

@@ -1,6 +1,10 @@
 """How often texts are shuffled and passed to Python, told by plans."""
 
-from gridlore.operators import chunking
+import tracemalloc
+
+import numpy as np
+
+from gridlore.operators import chunking, retrieval
 from gridlore.plans import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -39,3 +43,17 @@ def test_fixed_windows_of_a_report_are_not_numbered(spark):
     """One place for all sizes: windows over lengths alone, no texts in them."""
     made = plan(queries.chunk_stats_by_strategy(spark, SMALL))
     assert made.count("Window ") <= 4
+
+
+def test_memory_of_distances(spark):
+    """A block of 65,536 vectors met by 200 questions needs little beside the block itself."""
+    rng = np.random.default_rng(1)
+    x, asked = rng.normal(size=(65536, 64)), rng.normal(size=(200, 64))
+    norms = [np.sqrt((v * v).sum(axis=1)) for v in (x, asked)]
+    tracemalloc.start()
+    got = list(retrieval._nearest(x, norms[0], np.arange(len(x)), asked, norms[1], 31))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    want = 1.0 - asked @ x.T / norms[1][:, None] / norms[0]
+    assert all(set(near) == set(np.argsort(want[q])[:31]) for q, near, _ in got)
