@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import dropped, free_name, grams, mix, slices, staged, utf8, words
+from gridlore.llm.common import dropped, free_name, grams, grams_at, mix, slices, staged, utf8, words
 
 #: Words of the shortest repeat.
 PASSAGE = 50
@@ -35,14 +35,11 @@ _U = np.uint64
 _PLACE_BITS = 32
 
 
-def _spans(heads: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
-    """Hash of each run of ``width`` words, from the hashes of its n-grams."""
-    m = len(heads) + HEAD - width
-    if m <= 0:
-        return np.zeros(0, np.uint64)
-    total = np.full(m, seed, np.uint64)
-    for at in [*range(0, width - HEAD, HEAD), width - HEAD]:
-        total = mix(total ^ heads[at : at + m])
+def _spans(hashes: np.ndarray, at: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of the ``PASSAGE`` words from each place on, from the hashes of its n-grams."""
+    total = np.full(len(at), seed, np.uint64)
+    for k in [*range(0, PASSAGE - HEAD, HEAD), PASSAGE - HEAD]:
+        total = mix(total ^ grams_at(hashes, at + k, HEAD))
     return total
 
 
@@ -173,51 +170,79 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 MATCHES = "doc_id long, same long, place long, last long, start long, end long, source long, source_same long, source_start long, hash long, check long"
 
 
+def _binary(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary column of numbers, and n + 1 offsets into them."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    size = np.dtype(kind).itemsize
+    if offsets is None or data is None:
+        return np.zeros(0, kind), np.zeros(len(column) + 1, np.int64)
+    at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind), (at - at[0]) // size
+
+
+def _alike(a: np.ndarray, b: np.ndarray, at: np.ndarray, other: np.ndarray, n: np.ndarray, step: int) -> np.ndarray:
+    """How many words from ``at`` in a and ``other`` in b on are alike, up to ``n``; ``step`` -1 counts them before these places."""
+    most = int(n.max(initial=0))
+    if not most:
+        return np.zeros(len(n), np.int64)
+    k = np.arange(most)
+    inside = k < n[:, None]
+    k = k if step > 0 else -1 - k
+    same = inside & (a[np.where(inside, at[:, None] + k, 0)] == b[np.where(inside, other[:, None] + k, 0)])
+    return np.where(same.all(axis=1), most, same.argmin(axis=1))
+
+
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From suffixes in order of head, block, document, text and place, what is redundant, and what is left to be told by digests.
 
     Redundant: passages from ``place`` to ``last`` that the run's first suffix has, too, and its source. Left open:
-    single passages with their digest and no source.
+    single passages with their digest and no source. All suffixes of a batch are worked on at once.
     """
     names = [k.split()[0] for k in MATCHES.split(", ")]
-    lead = None  # the run's first suffix: head and block, document, text, place, words before it, words, starts
+    lead: pa.RecordBatch | None = None  # the first suffix of the run that goes on
     listed = False  # whether its own passages are listed, as is needed for repeats that overlap it
     for batch in batches:
-        out: list[tuple] = []
-
-        def left_open(doc, same, place, before, own, starts, ends, skip=range(0)):
-            runs = grams(own, HEAD)
-            both = _spans(runs, PASSAGE).view(np.int64), _spans(runs, PASSAGE, 1).view(np.int64)
-            for k in range(len(starts)):
-                if before - k not in skip:
-                    s = place - before + k
-                    out.append((doc, same, s, s, int(starts[k]), int(ends[k]), None, None, None, int(both[0][k]), int(both[1][k])))  # noqa: B023
-
-        for head, block, doc, same, place, before, own, starts, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own, starts, ends = np.frombuffer(own, np.uint64), np.frombuffer(starts, np.int64), np.frombuffer(ends, np.int64)
-            x = (doc, same, place, before, own, starts, ends)
-            if lead is None or lead[0] != (head, block):
-                lead, listed = ((head, block), *x), False
-                continue
-            _, doc0, same0, place0, before0, own0, starts0, _ = lead
-            if (doc, same) == (doc0, same0) and place - place0 < PASSAGE:
-                if not listed:
-                    left_open(*lead[1:])
-                    listed = True
-                left_open(*x)
-                continue
-            n = min(before, before0)
-            unlike = np.flatnonzero(own[before - n : before][::-1] != own0[before0 - n : before0][::-1])
-            left = int(unlike[0]) if len(unlike) else n
-            n = min(len(own) - before, len(own0) - before0)
-            unlike = np.flatnonzero(own[before : before + n] != own0[before0 : before0 + n])
-            right = int(unlike[0]) if len(unlike) else n
-            most, least = left, max(PASSAGE - right, before - len(starts) + 1)  # words before the suffix, of passages that both have
-            if least <= most:
-                first, last = before - most, before - least
-                out.append((doc, same, place - most, place - least, int(starts[first]), int(ends[last]), doc0, same0, int(starts0[before0 - most]), None, None))
-            left_open(*x, range(least, most + 1))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(names))], names=names)
+        if not batch.num_rows:
+            continue
+        held = lead is not None
+        if held:
+            batch = pa.Table.from_batches([lead, batch]).combine_chunks().to_batches()[0]
+        head, block, doc, same, place, before = (np.asarray(c).astype(np.int64) for c in batch.columns[:6])
+        (own, own_at), (starts, starts_at), (ends, _) = _binary(batch.column(6), np.uint64), _binary(batch.column(7), np.int64), _binary(batch.column(8), np.int64)
+        leads = np.concatenate([[True], (head[1:] != head[:-1]) | (block[1:] != block[:-1])])
+        first = np.maximum.accumulate(np.where(leads, np.arange(len(head)), 0))
+        over = ~leads & (doc == doc[first]) & (same == same[first]) & (place - place[first] < PASSAGE)
+        x = np.flatnonzero(~leads & ~over)
+        y, at, n = first[x], own_at + np.append(before, 0), np.diff(own_at)
+        left = _alike(own, own, at[x], at[y], np.minimum(before[x], before[y]), -1)
+        right = _alike(own, own, at[x], at[y], np.minimum((n - before)[x], (n - before)[y]), 1)
+        # Words before the suffix, of passages that both have.
+        most, least = left, np.maximum(PASSAGE - right, before[x] - np.diff(starts_at)[x] + 1)
+        both = least <= most
+        x, y, most, least = x[both], y[both], most[both], least[both]
+        low, high = starts_at[x] + before[x] - most, starts_at[x] + before[x] - least
+        found = [doc[x], same[x], place[x] - most, place[x] - least, starts[low], ends[high], doc[y], same[y], starts[starts_at[y] + before[y] - most]]
+
+        # Every passage but those of first suffixes, unless one overlaps them, and those just found.
+        count = np.where(leads, 0, np.diff(starts_at))
+        again = np.unique(first[over])
+        again = again[1:] if held and listed and len(again) and again[0] == 0 else again
+        count[again] = np.diff(starts_at)[again]
+        listed = bool(first[-1] in again) or (held and listed and first[-1] == 0)
+        of = np.repeat(np.arange(len(head)), count)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        least_of, most_of = np.ones(len(head), np.int64), np.zeros(len(head), np.int64)
+        least_of[x], most_of[x] = least, most
+        left_open = (before[of] - k < least_of[of]) | (before[of] - k > most_of[of])
+        of, k = of[left_open], k[left_open]
+        s, c = place[of] - before[of] + k, starts_at[of] + k
+        digests = [_spans(own, own_at[of] + k, seed).view(np.int64) for seed in (0, 1)]
+
+        none = lambda m: pa.nulls(m, pa.int64())
+        yield pa.RecordBatch.from_arrays([*map(pa.array, found), none(len(x)), none(len(x))], names=names)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (doc[of], same[of], s, s, starts[c], ends[c])), *[none(len(of))] * 3, *map(pa.array, digests)], names=names)
+        lead = batch.slice(first[-1], 1)
 
 
 SPANS = "doc_id long, start long, end long, n_words long, source_doc_id long, source_start long, text_digest long"

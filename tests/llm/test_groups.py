@@ -232,3 +232,34 @@ def test_texts_that_share_an_id_are_cut_each_by_itself(make_docs):
     assert left == sorted([(1, prose(30, 20) + " " + passage), (5, kept), (5, unique), (5, kept), (7, " " + prose(42, 9))])
     spans = {(r["doc_id"], r["start"], r["end"]) for r in repeated_passages(docs).collect()}
     assert spans == {(5, len(kept), len(copy)), (6, 0, len(unique)), (7, 0, len(copy))}
+
+
+def test_suffixes_of_a_batch_are_extended_at_once(monkeypatch):
+    """The work in Python grows with batches, not with suffixes; how they are dealt to batches changes nothing."""
+    import pyarrow as pa
+
+    from gridlore.llm import suffix_dedup as S
+
+    passage, rows = prose(20, 70).split(), []
+    for doc in range(300):
+        text = " ".join(prose(100 + doc % 90, 8 + doc % 30).split() + passage[: 70 - doc % 17] + prose(200 + doc // 3, 30).split() + passage * (doc % 2))
+        _, _, hashes, _ = S.words(*S.utf8(pa.array([text])), False)
+        minimiser, heads = S._kept(hashes)
+        wanted = [{"head": h, "block": 0, "blocks": 1, "leads": False} for h in np.unique(heads[minimiser]).view(np.int64).tolist()]
+        table = pa.table({"doc_id": [doc], "text": [text], "same": [S._short(S._digest(hashes))], "heads": [wanted]})
+        rows += [r for b in S._contexts(iter(table.to_batches())) for r in b.to_pylist()]
+    rows.sort(key=lambda r: [r[k] for k in ("head", "block", "doc_id", "same", "place")])
+    kinds = pa.schema([("head", pa.int64()), ("block", pa.int32()), *((k, pa.int64()) for k in ("doc_id", "same", "place")), ("before", pa.int32()), *((k, pa.binary()) for k in ("words", "starts", "ends"))])
+    whole = pa.RecordBatch.from_pylist(rows, kinds)
+    calls = Counter()
+
+    def counted(h, mix=S.mix):
+        calls["mix"] += 1
+        return mix(h)
+
+    monkeypatch.setattr(S, "mix", counted)
+    extended = lambda size: Counter(tuple(r.values()) for b in S._extended(iter([whole.slice(k, size) for k in range(0, len(rows), size)])) for r in b.to_pylist())
+    want = extended(len(rows))
+    assert len(rows) > 1000 and calls["mix"] <= 20
+    assert any(r[6] is not None for r in want) and any(r[6] is None for r in want)
+    assert extended(1) == extended(7) == want
