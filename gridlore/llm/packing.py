@@ -18,6 +18,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +104,7 @@ class Schedule:
 
 
 class WordTable:
-    """Byte-level BPE ids of texts, each distinct word encoded once.
+    """Byte-level BPE ids of texts, each distinct word encoded once, those that a text adds in one call.
 
     The pre-tokens of the vocabulary's pattern never cross a single space, or a line feed, between two characters that
     are no white space; texts with other runs of white space are encoded whole.
@@ -119,6 +120,7 @@ class WordTable:
         self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.kind = np.dtype("<u2") if width == 2 else np.dtype("<u4")
         self.entries = entries
+        self.line_feed = ranks[b"\n"]
         self.special = {name: np.array([i], self.kind).tobytes() for name, i in (special or {}).items()}
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.first: dict[str, bytes] = {}
@@ -151,19 +153,39 @@ class WordTable:
             at = m.end()
         return b"".join([*parts, self._ordinary(text[at:])])
 
+    def _many(self, words: list[str]) -> list[bytes]:
+        """Ids of each word after a space, in one call: the pattern takes the line feeds between them for themselves."""
+        ids = np.array(self.bpe.encode_ordinary(" " + "\n ".join(words)), self.kind)
+        cuts, size, data = np.flatnonzero(ids == self.line_feed), self.kind.itemsize, ids.tobytes()
+        if len(cuts) != len(words) - 1:
+            return [self.whole(" " + w) for w in words]
+        return [data[a:b] for a, b in zip([0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(data)], strict=True)]
+
     def _ordinary(self, text: str) -> bytes:
-        parts: list[bytes] = []
+        parts: list[bytes | None] = []
+        flat: list[str] = []
         for k, line in enumerate(text.split("\n")):
             words = line.split(" ")
-            parts.append(self._chunk(self.opening if k else self.first, "\n" if k else "", words[0]))
-            if parts[-1] is None:
+            first = self._chunk(self.opening if k else self.first, "\n" if k else "", words[0])
+            if first is None:
                 return self.whole(text)
-            found = list(map(self.inner.get, words[1:]))
-            if None in found:
-                found = [self._chunk(self.inner, " ", w) for w in words[1:]]
-                if None in found:
-                    return self.whole(text)
-            parts += found
+            parts.append(first)
+            parts += map(self.inner.get, words[1:])
+            flat += words
+        if None not in parts:
+            return b"".join(parts)
+        places, at = [], -1
+        for _ in range(parts.count(None)):
+            at = parts.index(None, at + 1)
+            places.append(at)
+        lacking = list(dict.fromkeys([flat[k] for k in places]))
+        if not all(lacking) or any(w[0].isspace() or w[-1].isspace() for w in lacking):
+            return self.whole(text)
+        found = dict(zip(lacking, self._many(lacking), strict=True))
+        for k in places:
+            parts[k] = found[flat[k]]
+        if room := max(0, self.entries // 2 - len(self.inner)):
+            self.inner.update(found if len(found) <= room else islice(found.items(), room))
         return b"".join(parts)
 
 

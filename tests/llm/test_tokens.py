@@ -151,3 +151,18 @@ def test_schedules_of_any_window(seed):
 def test_more_queues_than_a_window_holds():
     with pytest.raises(ValueError):
         Schedule([5] * 9, 16)
+
+
+def test_words_that_a_text_adds_are_encoded_in_one_call(monkeypatch):
+    """One call for each text's new words, with the ids of the whole text, full table or not."""
+    import public_tokenizers as P
+
+    text = "Aa bb don't 's 12cc. ?! é漢字 \nx yy bb\x85b zz\tz q" + "".join(f" w{k}," for k in range(50))
+    for entries in (600_000, 20):
+        table = WordTable(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 2, entries=entries)
+        table._ordinary("Aa\nx")
+        want, calls, encode = table.whole(text), [], table.bpe.encode_ordinary
+        monkeypatch.setattr(table.bpe, "encode_ordinary", lambda t: calls.append(t) or encode(t))  # noqa: B023
+        assert table._ordinary(text.replace("漢字 ", "漢字")) == np.array(encode(text.replace("漢字 ", "漢字")), "<u2").tobytes()
+        assert len(calls) == 1 and len(table.inner) <= entries // 2
+        assert table._ordinary(text) == want
