@@ -53,13 +53,13 @@ def commit_changes(changes: DataFrame, table: str, key: str = "chunk_id", bucket
     write = f"write-{uuid.uuid4().hex}"
     placed = changes.withColumn("__bucket", bucket_of(key, pointed["buckets"]))
     # Written at once: what the changes are computed from may be this very table, or cost calls.
-    placed.write.parquet(f"{table}/.{write}")
+    placed.write.option("compression", "zstd").parquet(f"{table}/.{write}")
     placed = spark.read.schema(placed.schema).parquet(f"{table}/.{write}")
     touched = sorted(r[0] for r in placed.select("__bucket").distinct().collect())  # at most one row for each bucket
     if touched:
         before = current(spark, table, schema, touched).withColumn("__bucket", bucket_of(key, pointed["buckets"]))
         rows = overlaid(before, placed, key).repartition(len(touched), "__bucket")
-        rows.write.partitionBy("__bucket").parquet(f"{table}/{write}")
+        rows.write.option("compression", "zstd").partitionBy("__bucket").parquet(f"{table}/{write}")
         pointed["folders"] |= {str(b): f"{write}/__bucket={b}" for b in touched}
         versions.point(spark, table, json.dumps(pointed))
     files, path = versions._fs(spark, f"{table}/.{write}")

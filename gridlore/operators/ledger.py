@@ -116,19 +116,24 @@ def tried(provider: EmbeddingProvider, texts: list[str], sleep: Callable[[float]
     return None, error, tries
 
 
-def entries(spark: SparkSession, ledger: str, provider: EmbeddingProvider) -> DataFrame:
-    """All entries of a provider's model and version, each once."""
+def _written(spark: SparkSession, ledger: str, provider: EmbeddingProvider) -> DataFrame:
+    """All entries of a provider's model and version; those of a slot that is just being closed may come twice."""
     folder = folder_of(ledger, provider)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(path) or not any(not x.getPath().getName().startswith(".") for x in files.listStatus(path)):
         return spark.createDataFrame([], ENTRIES)
-    return spark.read.schema(ENTRIES).parquet(folder).dropDuplicates(["call", "content_hash"])
+    return spark.read.schema(ENTRIES).parquet(folder)
+
+
+def entries(spark: SparkSession, ledger: str, provider: EmbeddingProvider) -> DataFrame:
+    """All entries of a provider's model and version, each once."""
+    return _written(spark, ledger, provider).dropDuplicates(["call", "content_hash"])
 
 
 def finished(spark: SparkSession, ledger: str, provider: EmbeddingProvider) -> DataFrame:
     """content_hash and embedding of every text that has one."""
-    return entries(spark, ledger, provider).where(F.col("error").isNull()).dropDuplicates(["content_hash"]).select("content_hash", "embedding")
+    return _written(spark, ledger, provider).where(F.col("error").isNull()).dropDuplicates(["content_hash"]).select("content_hash", "embedding")
 
 
 def totals(spark: SparkSession, ledger: str, provider: EmbeddingProvider, run: str) -> dict[str, int]:
@@ -137,23 +142,26 @@ def totals(spark: SparkSession, ledger: str, provider: EmbeddingProvider, run: s
     return entries(spark, ledger, provider).where(F.col("run") == run).agg(*sums).first().asDict()
 
 
-def embed_once(texts: DataFrame, provider: EmbeddingProvider, ledger: str, batch: int = BATCH, run: str | None = None, tries: int = TRIES) -> str:
+def embed_once(texts: DataFrame, provider: EmbeddingProvider, ledger: str, batch: int = BATCH, run: str | None = None, tries: int = TRIES, among: DataFrame | None = None) -> str:
     """Have every text of ``texts`` (content_hash, text) in the ledger, calling the provider for those that are not; the run's name.
 
     A batch that fails on every try is entered with its error, and the others go on; a later run tries it again, as does
     none of the same name. Null texts are left out. Texts of one hash are one text.
+    ``among`` is a larger table of the same columns that has all of ``texts``, where that is cheaper to read: of ``texts``
+    only hashes are shuffled, of ``among`` the texts, once.
     """
     spark, run = texts.sparkSession, run or uuid.uuid4().hex
     folder = folder_of(ledger, provider)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
-    known = entries(spark, ledger, provider).where(F.col("error").isNull() & (F.col("run") != run)).select("content_hash")
-    wanted = texts.where(F.col("text").isNotNull()).select("content_hash", "text").dropDuplicates(["content_hash"]).join(known, "content_hash", "left_anti")
+    known = _written(spark, ledger, provider).where(F.col("error").isNull() & (F.col("run") != run)).select("content_hash")
+    wanted = texts.where(F.col("text").isNotNull()).select("content_hash").distinct().join(known, "content_hash", "left_anti")
     slots = max(1, -(-wanted.count() // (batch * SLOT_CALLS)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: _Slot | None = None
         waiting: list[tuple[str, str]] = []
+        last: str | None = None
 
         def call() -> None:
             if waiting:
@@ -170,16 +178,23 @@ def embed_once(texts: DataFrame, provider: EmbeddingProvider, ledger: str, batch
                     if own is not None:
                         own.close()
                     own = _Slot(folder, run, slot)
-                if known_as not in own.done:
+                if known_as != last and known_as not in own.done:
                     waiting.append((known_as, text))
                     if len(waiting) == batch:
                         call()
+                last = known_as
             yield pa.RecordBatch.from_arrays([pa.array([rows.num_rows], pa.int64())], names=["texts"])
         call()
         if own is not None:
             own.close()
 
-    dealt = wanted.select(F.pmod(F.xxhash64("content_hash"), F.lit(slots)).cast("int").alias("slot"), "content_hash", "text")
-    dealt = dealt.repartition(slots, "slot").sortWithinPartitions("slot", "content_hash")
+    rows = (texts if among is None else among).where(F.col("text").isNotNull()).select("content_hash", "text")
+    slot = F.pmod(F.hash("content_hash"), F.lit(slots)).cast("int")
+    if slots >= int(spark.conf.get("spark.sql.shuffle.partitions")):
+        # Dealt to slots by the very hash of Spark's shuffles, so that texts meet the hashes wanted where they are embedded.
+        dealt = rows.repartition(slots, "content_hash").join(wanted.repartition(slots, "content_hash").hint("merge"), "content_hash", "left_semi").withColumn("slot", slot)
+    else:
+        dealt = rows.join(wanted, "content_hash", "left_semi").withColumn("slot", slot).repartition(slots, "slot")
+    dealt = dealt.select("slot", "content_hash", "text").sortWithinPartitions("slot", "content_hash")
     dealt.mapInArrow(work, "texts long").agg(F.sum("texts")).collect()
     return run

@@ -164,13 +164,17 @@ def upsert_changes(
     plan = plan_upsert(new, stored)
     counts = {r["action"]: r["n"] for r in plan.groupBy("action").agg(F.count("*").alias("n")).collect()}
     inserts = plan.where(F.col("action") == "insert")
-    run = L.embed_once(inserts.select(F.col("embedding_content_hash").alias("content_hash"), "text"), provider, ledger, batch, tries=TRIES)
+    texts = lambda rows: rows.select(F.col("embedding_content_hash").alias("content_hash"), "text")
+    run = L.embed_once(texts(inserts), provider, ledger, batch, tries=TRIES, among=texts(new))
     vectors = L.finished(spark, ledger, provider).withColumnRenamed("content_hash", "embedding_content_hash")
     failed = inserts.join(vectors, "embedding_content_hash", "left_anti").select("chunk_id")
     n_failed = failed.count()
     at = F.lit(now).cast("timestamp")
     names = STORED_CHUNKS.fieldNames()
-    made = inserts.select(*(c for c in inserts.columns if c != "embedding")).join(vectors, "embedding_content_hash").withColumns(_provenance(provider, at) | {"is_active": F.lit(False), "created_at": at, "updated_at": at})
+    # Vectors go to the chunks, whose texts are shuffled once for it.
+    identity = ["chunk_id", "embedding_content_hash"]
+    placed = inserts.select(*identity).distinct().join(vectors, "embedding_content_hash")
+    made = new.select(*(c for c in new.columns if c != "embedding")).join(placed, identity).withColumns(_provenance(provider, at) | {"is_active": F.lit(False), "created_at": at, "updated_at": at})
     changes = plan.where(F.col("action") == "update_metadata").select("chunk_id", F.struct(*_META).alias("change"))
     changed = stored.join(changes, "chunk_id").withColumns({m: F.col(f"change.{m}") for m in _META} | {"updated_at": at})
     counters = {"inserted": counts.get("insert", 0) - n_failed, "metadata_updated": counts.get("update_metadata", 0), "skipped": counts.get("skip", 0), "failed": n_failed}

@@ -192,3 +192,20 @@ def test_an_upsert_of_known_texts_makes_no_call(spark, tmp_path):
     assert outcome == "activated" and changes.count() == 14
     buckets.commit_changes(changes, table)
     assert buckets.current(spark, table, STORED_CHUNKS).where("is_active").count() == 14
+
+
+def test_an_upsert_shuffles_texts_once_to_embed_them(spark, tmp_path, monkeypatch):
+    """Texts meet the hashes wanted in their slots, and are not dealt again; each is embedded once, copies and chunks that are there aside."""
+    log, plans = tmp_path / "calls", []
+    new = stored_chunks(spark, 50).drop("embedding")
+    copies = new.withColumn("chunk_id", F.concat(F.lit("copy"), F.col("chunk_id")))
+    kind = type(new)
+    run = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, *a, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or run(df, *a, **k))
+    monkeypatch.setattr(ledger, "SLOT_CALLS", 1)
+    changes, counters, failed = versions.upsert_changes(new.unionByName(copies), stored_chunks(spark, 10), Logging(log), NOW, batch=3, ledger=f"{tmp_path}/ledger")
+    assert "hashpartitioning(slot" not in plans[0] and plans[0].count("REPARTITION_BY_NUM") == 2
+    assert sorted(t for call in Logging(log).calls() for t in call) == sorted(f"t{k}" for k in range(50))
+    assert counters["inserted"] == 90 and counters["skipped"] == 10 and failed.count() == 0
+    rows = changes.collect()
+    assert len(rows) == 90 and all(r["embedding"] == [float(len(r["text"]))] for r in rows)
