@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlore.operators.case_search import EVENT_TYPE, FIELDS, MOST_CASES
+from gridlore.operators.case_search import EVENT_TYPE, FIELDS
 from gridlore.operators.rules import BAD_MODES, BAD_STATUSES, RULES
 from gridlore.plans.queries import RULE_QUERIES
 from gridlore.schemas import EMS_MODES
@@ -258,7 +258,7 @@ def oracle_sql() -> dict[str, str]:
             FROM f LEFT JOIN p ON f.rule = p.rule LEFT JOIN k ON f.rule = k.rule LEFT JOIN i ON f.rule = i.rule LEFT JOIN x ON f.rule = x.rule LEFT JOIN y ON f.rule = y.rule""",
         "case_similarity": f"""WITH c AS (SELECT doc_id AS case_id, source AS event_type, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS symptoms, ['lang ' || lang, 'part ' || CAST(doc_id % 40 AS VARCHAR)] AS tags, 'cause ' || CAST(doc_id % 30 AS VARCHAR) AS root_cause, 'action ' || CAST(doc_id % 25 AS VARCHAR) AS operator_action FROM documents),
             t AS (SELECT case_id, 'symptoms' AS field, unnest(symptoms) AS term FROM c UNION ALL SELECT case_id, 'tags', unnest(list_filter(tags, lambda x: x IS NOT NULL)) FROM c UNION ALL SELECT case_id, 'root_cause', unnest(string_split(root_cause, ' ')) FROM c UNION ALL SELECT case_id, 'operator_action', unnest(string_split(operator_action, ' ')) FROM c),
-            k AS (SELECT field, term, CAST(round(1000 * ln(CAST(1 AS DOUBLE) + CAST((SELECT count(*) FROM c) AS DOUBLE) / count(*))) AS BIGINT) AS w FROM t GROUP BY 1, 2 HAVING count(*) <= {MOST_CASES}),
+            k AS (SELECT field, term, CAST(round(1000 * ln(CAST(1 AS DOUBLE) + CAST((SELECT count(*) FROM c) AS DOUBLE) / count(*))) AS BIGINT) AS w FROM t GROUP BY 1, 2),
             p AS (SELECT case_id, t.field, t.term, w FROM t JOIN k ON t.field = k.field AND t.term = k.term),
             o AS (SELECT case_id, field, sum(w) AS own FROM p GROUP BY 1, 2),
             m AS (SELECT q.case_id AS query_id, p.case_id, p.field, sum(p.w) AS both_ FROM p q JOIN p ON q.field = p.field AND q.term = p.term AND q.case_id <> p.case_id WHERE q.case_id % 10 = 0 GROUP BY 1, 2, 3),

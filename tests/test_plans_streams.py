@@ -151,6 +151,21 @@ def test_pairs_of_similar_cases_are_not_shuffled(spark, monkeypatch):
     assert len(got) == 1800
 
 
+def test_words_of_very_many_cases_count(spark, monkeypatch):
+    """2,100 cases have a word; some share nothing else. Many blocks, little kept and met at once."""
+    for name, value in {"BLOCK_ENTRIES": 4000, "BLOCK_VALUES": 300, "KEPT": 500, "TOGETHER": 90}.items():
+        monkeypatch.setattr(case_search, name, value, raising=False)
+    rng = random.Random(8)
+    text = lambda k: " ".join(["fault", *rng.choices([f"w{n}" for n in range(40)], k=rng.randint(0, 5)), *([f"own{k}"] if k % 3 else [])])
+    cases = [(k, rng.choice(["a", "b", None]), text(k), rng.choice([None, "fan", "cell hot"]), rng.choice([None, "reset"]), rng.choice([None, ["t1"], ["t1", "t2"]])) for k in range(2097)]
+    cases += [(2097, "c", "fault", None, None, None), (2098, "c", "fault alone", None, None, None), (2099, None, None, None, None, ["none like it"])]
+    table = spark.createDataFrame(cases, "case_id long, event_type string, symptoms string, root_cause string, operator_action string, tags array<string>")
+    asked = [k for k in range(2100) if k % 210 == 0 or k >= 2097]
+    got = case_search.similar_to(table, table.where(F.col("case_id").isin(asked)), 4).collect()
+    assert {(r["query_id"], r["rank"], r["case_id"], round(r["score"], 9), tuple(r["matching"])) for r in got} == brute_similar(cases, asked, 4, math.inf)
+    assert {r["query_id"] for r in got} == {*asked} - {2099}
+
+
 # ------------------------------------------------------------------ streams
 
 
